@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chat, read_targets, read_turns
-from .common import LOWER, UPPER, WORD, read
+from .common import LOWER, UPPER, WORD, crc_mod, read
 from .decontaminate import decontaminate
+from .language import fit_dictionaries, identify
 from .packing import pack
 from .sharding import interleaved_shards
+from .toxicity import fit_lexicon, score_toxicity
 from .urls import judge_urls
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -53,6 +55,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fold = crc_mod(F.col("doc_id"), 5)
+    dictionaries = fit_dictionaries(docs.where(fold != 0).select("doc_id", "text", "lang"))
+    found = identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = crc_mod(F.col("doc_id"), 4)
+    lexicon = fit_lexicon(docs, read(spark, sf_dir, "labels").where(fold != 2))
+    scored = score_toxicity(docs, lexicon)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"), F.col("tox_hits").alias("n_hits"))
+
+
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = interleaved_shards(read(spark, sf_dir, "documents"), n_shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -82,6 +100,6 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op4_decontamination, op8_interleaved_shards, op9_url_filter, op10_best_two_fit)
+    f.__name__: f for f in (op1_chat_windows, op4_decontamination, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit)
 }
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
