@@ -39,7 +39,11 @@ def folded_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != ""))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, max_terms: int = 2_000, min_docs: int = 3, min_share: float = 0.015, min_precision: float = 0.95, prefixes: Sequence[int] = (4, 5, 6), seed: int = 3) -> dict[str, float]:
+def _beginnings(words: Column, n: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit(" "), F.substring(w, 1, n)))
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, max_terms: int = 2_000, min_docs: int = 3, min_share: float = 0.02, min_precision: float = 0.95, prefixes: Sequence[int] = (4, 5, 6), seed: int = 3) -> dict[str, float]:
     """Weights of terms from docs (doc_id, text) and labels (doc_id, toxic): the bounded sample of the classifier.
 
     About max_labelled labelled rows are drawn by seeded hash (all, if there are fewer) and broadcast. A term is
@@ -59,8 +63,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000,
     if not bad:
         return {}
     words = folded_words(F.col("text"))
-    begun = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.lit(" "), F.substring(w, 1, k))) for k in prefixes]
-    terms = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), *begun))
+    whole = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    terms = F.array_distinct(F.concat(whole, *(_beginnings(words, k) for k in prefixes)))
     counts = texts.select("_toxic", F.explode(terms).alias("term")).groupBy("term").agg(
         F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("_toxic") == 1, 0).otherwise(1)).alias("g")
     )
