@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .chat import format_chat, read_targets, read_turns
 from .common import LOWER, UPPER, WORD, crc_mod, read
 from .decontaminate import decontaminate
+from .jaccard import jaccard_classes
 from .language import fit_dictionaries, identify
+from .license import scan_licenses
 from .packing import pack
 from .sharding import interleaved_shards
+from .topk import top_k
 from .toxicity import fit_lexicon, score_toxicity
 from .urls import judge_urls
 
@@ -44,6 +47,14 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text"), n=5, threshold=0.8)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     names = F.array_join(F.sort_array(F.transform("item_ids", lambda i: i.cast("string"))), ",")
@@ -55,6 +66,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fold = crc_mod(F.col("doc_id"), 5)
@@ -84,6 +99,15 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
 
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -100,6 +124,6 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op4_decontamination, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit)
+    f.__name__: f for f in (op1_chat_windows, op2_top_k, op3_jaccard_join, op4_decontamination, op5_license_scan, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit)
 }
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_decontamination": OP4_SQL}
