@@ -74,11 +74,12 @@ def _sketches(docs: DataFrame, n: int, bands: int, per_band: int, slice_bytes: i
                 keys = band_keys(grams, rows, bands, per_band)
                 offsets = np.concatenate([[0], np.cumsum(np.diff(rows) > 0) * bands]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(set_keys(grams, rows), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "set_key", "bands"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(set_keys(grams, rows), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))],
+                    names=["doc_id", "text_key", "set_key", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return own.mapInArrow(run, "doc_id long, text_key long, set_key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int, slice_bytes: int = 4 << 20) -> DataFrame:
@@ -164,7 +165,7 @@ def _block_links(threshold: Fraction):
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, chunk: int = 512) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, n_text_links, n_copies.
+    """One row per row of docs: doc_id, class_id, n_links, n_text_links, n_copies, class_key, text_key.
 
     The word n-gram set of a whole text (words lower-cased; a text of fewer words is one gram) is compared with
     all others: two texts are linked if the Jaccard similarity of their full sets is at least the threshold. A
@@ -177,7 +178,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     the group of each hub they have, where all pairs are verified on full sets (64-bit hashes of the n-grams).
     A group of over `chunk` nodes is split into pairs of chunks, so that no task holds more than two of them and
     no pair of texts becomes a row. A pair at the threshold is missed with probability 1 - recall, a closer one
-    less often; what is reported is exact.
+    less often; what is reported is exact. class_key names a class even where no doc_id does (null for a text
+    without grams), text_key is xxhash64 of the text.
 
     Null, empty and wordless texts have no grams: no links, one copy, a class of their own. Null doc_ids are
     compared like others (their class may be null). Repeated rows are copies. Empty tables give no rows.
@@ -209,8 +211,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     placed = nodes.select("set_key", "n_copies", "first_doc").join(component, F.col("set_key") == F.col("node"), "left").join(counted, "set_key", "left")
     placed = placed.withColumn("component", F.coalesce("component", "set_key"))
     names = placed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
-    named = placed.join(names, "component").select("set_key", "class_id", "n_copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = sketch.select("doc_id", "set_key").join(named, "set_key", "left")
+    named = placed.join(names, "component").select("set_key", "class_id", F.col("component").alias("class_key"), "n_copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = sketch.select("doc_id", "text_key", "set_key").join(named, "set_key", "left")
     none = F.col("set_key").isNull()
     return rows.select(
         "doc_id",
@@ -218,4 +220,27 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         F.when(none, 0).otherwise(F.col("n_links") + F.col("n_copies") - 1).alias("n_links"),
         F.when(none, 0).otherwise(F.col("n_texts")).alias("n_text_links"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
-    )
+        "class_key", "text_key",
+    )
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """docs without near duplicates: of each class of jaccard_classes the row with the smallest doc_id stays.
+
+    Nulls come last, ties go by text_key and of equal rows one stays. Texts without words are in no class and all
+    stay. docs' columns come back unchanged.
+    """
+    classes = written(jaccard_classes(docs, **settings).where(F.col("class_key").isNotNull()).select("class_key", "doc_id", "text_key"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    first = classes.groupBy("class_key").agg(F.min(place).alias("first"))
+    rest = classes.join(first, "class_key").where(~place.eqNullSafe(F.col("first")))
+    rest = rest.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    key = F.xxhash64("text")
+    kept = docs.join(rest, docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    again = classes.groupBy("doc_id", "text_key").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    # equal rows of one doc_id: only these are gathered by their text
+    again = again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = kept.doc_id.cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
