@@ -54,7 +54,7 @@ def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
 def read_wav(spark: SparkSession, path: str, cap_bytes: int = 200 << 20, max_seconds: float = 420.0) -> tuple[DataFrame, DataFrame]:
     """(samples, rejected) of the audio files under path: one row per sample (path, i, l, r, fs), mono doubled; rejected (path, error).
 
-    Other extensions, empty and over-long files and broken headers are rejected rows, not failures.
+    Other extensions, over-long files and broken headers are rejected rows, not failures; Spark lists no empty files.
     """
     files = spark.read.format("binaryFile").load(path)
     small = F.col("path").rlike(AUDIO) & F.col("length").between(1, cap_bytes)
