@@ -90,7 +90,7 @@ def _found(column: pa.Array, windows: Windows, sample: int) -> list[pa.Array]:
     ]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 4 << 20, sample: int = 8, most_bytes: int = 256 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2 << 20, sample: int = 8, most_bytes: int = 256 << 20) -> DataFrame:
     """docs' columns with n_words, n_hit, item_ids, spans and clean_text added.
 
     Texts are lower-cased (A-Z) and cut into words; a window is `width` consecutive words of a benchmark item,

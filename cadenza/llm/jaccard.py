@@ -66,7 +66,7 @@ def band_keys(grams: np.ndarray, rows: np.ndarray, bands: int, per_band: int) ->
     return out
 
 
-def _sketches(docs: DataFrame, n: int, bands: int, per_band: int, slice_bytes: int = 4 << 20) -> DataFrame:
+def _sketches(docs: DataFrame, n: int, bands: int, per_band: int, slice_bytes: int = 1 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
@@ -82,7 +82,7 @@ def _sketches(docs: DataFrame, n: int, bands: int, per_band: int, slice_bytes: i
     return own.mapInArrow(run, "doc_id long, text_key long, set_key binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, n: int, slice_bytes: int = 4 << 20) -> DataFrame:
+def _sets(docs: DataFrame, n: int, slice_bytes: int = 1 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):

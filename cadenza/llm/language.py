@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textops import slices
+
+SLICE_BYTES = 1 << 20
 #: White space, digits and signs all become one blank; case is folded.
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
@@ -81,7 +84,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Compressors(model.value, chunk, level)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
             found = [classify(t) for t in b.column("text").to_pylist()]
             rejected = [lang == UNDETERMINED or (margin < min_margin and letters >= min_letters) for lang, margin, letters in found]
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(rejected, pa.bool_())]

@@ -15,8 +15,8 @@ from .common import ranked, written
 from .textops import ASCII_ALNUM, ASCII_SIGN, LOWERED, NOT_SPACE, run_hashes, runs, slices, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Parts of text that a task keeps the ids of.
-CACHE_PARTS = 4_000_000
+#: Parts of text that a task keeps the ids of, and how many new ones are tokenised at once (an encoding takes about 1 kB).
+CACHE_PARTS, ENCODE_PARTS = 1_000_000, 4_096
 
 
 class WordTokens:
@@ -40,9 +40,12 @@ class WordTokens:
         self.first, self.n = np.empty(0, np.int64), np.empty(0, np.int32)
 
     def _add(self, hashes: np.ndarray, parts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        n = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(n.sum()))
+        sizes, found = [], []
+        for at in range(0, len(parts), ENCODE_PARTS):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts[at : at + ENCODE_PARTS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        n, flat = np.concatenate(sizes), np.concatenate(found)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -94,7 +97,7 @@ def word_tokens(path: str) -> WordTokens:
     return _loaded[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, slice_bytes: int = 4 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, slice_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, piece, start, length and crc32 of the ids (little-endian uint32) of every piece of every document.
 
     A document is its ids and a 0. One of over `length` ids is cut every `length` ids; others are one piece. A

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textops import slices
+
+SLICE_BYTES = 1 << 20
 # Characters that look like a Latin letter or stand for one, and that letter. Digits and l share
 # the letter i, as 1, l and i are taken for each other.
 _FOLDS = [
@@ -121,7 +124,7 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float], exceptions: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model.value, exceptions)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
             found = [score(t) for t in b.column("text").to_pylist()]
             added = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "tox_score", "tox_hits", "tox_words"])
