@@ -100,16 +100,14 @@ def unique_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _syllables_sql(line: str, fr: str) -> str:
-    def rule(w: str) -> str:
-        n = f"len(regexp_extract_all({w}, CASE WHEN {fr} THEN '[{FR_VOWEL}]+' ELSE '[aeiouy]+' END))"
-        mute = f"CASE WHEN {fr} THEN regexp_matches({w}, '[^aeiouy]es?$') ELSE regexp_matches({w}, '[^aeiouy]e$') AND NOT regexp_matches({w}, 'le$') END"
-        first = f"({n} - CASE WHEN {n} > 1 AND {mute} THEN 1 ELSE 0 END)"
-        tail = f"CASE WHEN {fr} THEN regexp_matches({w}, '[^aeiouy]ent$') AND length({w}) > 4 ELSE regexp_matches({w}, '[^aeiouy]ed$') AND NOT regexp_matches({w}, '[td]ed$') END"
-        return f"greatest(1, {first} - CASE WHEN {first} > 1 AND {tail} THEN 1 ELSE 0 END)"
-
     parts = f"list_filter(regexp_split_to_array(regexp_replace(lower({line}), '[^a-zà-ÿœæ'' -]', ' ', 'g'), '[\\s-]+'), lambda w: w <> '')"
     bare = f"list_transform({parts}, lambda w: regexp_replace(w, '^[a-z]''', ''))"
-    return f"CAST(coalesce(list_sum(list_transform({bare}, lambda v: {rule('v')})), 0) AS BIGINT)"
+    counted = f"list_transform({bare}, lambda v: {{'w': v, 'n': len(regexp_extract_all(v, '%s'))}})"
+    spoken = "list_transform(%s, lambda x: {'w': x.w, 'n': x.n - CASE WHEN x.n > 1 AND %s THEN 1 ELSE 0 END})"
+    total = "CAST(coalesce(list_sum(list_transform(%s, lambda y: greatest(1, y.n - CASE WHEN y.n > 1 AND %s THEN 1 ELSE 0 END))), 0) AS BIGINT)"
+    french = total % (spoken % (counted % f"[{FR_VOWEL}]+", "regexp_matches(x.w, '[^aeiouy]es?$')"), "length(y.w) > 4 AND regexp_matches(y.w, '[^aeiouy]ent$')")
+    english = total % (spoken % (counted % "[aeiouy]+", "regexp_matches(x.w, '[^aeiouy]e$') AND NOT regexp_matches(x.w, 'le$')"), "regexp_matches(y.w, '[^aeiouy]ed$') AND NOT regexp_matches(y.w, '[td]ed$')")
+    return f"CASE WHEN {fr} THEN {french} ELSE {english} END"
 
 
 SYL_SQL = f"{LINES}, {LANG_SQL}, syl AS (SELECT lines.doc_id, pos, text, {_syllables_sql('text', chr(108) + ' = ' + chr(39) + 'fr' + chr(39))} AS n, l FROM lines JOIN langs USING (doc_id))"

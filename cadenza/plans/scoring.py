@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 # A song's features out of an order and its line items.
-FEATURES = """feat AS (SELECT o_orderkey AS track, 60 + o_orderkey % 120 AS bpm, 90 + o_custkey % 180 AS duration, -16 + (o_totalprice % 12) AS lufs, 4 + (o_totalprice % 11) AS plr, CAST(o_totalprice AS BIGINT) % 900 AS clipped,
+FEATURES = """feat AS (SELECT o_orderkey AS track, 60 + o_orderkey % 120 AS bpm, 90 + o_custkey % 180 AS duration, -16 + (o_totalprice % 12) AS lufs, 4 + (o_totalprice % 11) AS plr, CAST(floor(o_totalprice) AS BIGINT) % 900 AS clipped,
  -2 + (o_totalprice % 3) AS true_peak, n AS occurrences, hook, rep, lift, spread, 20 + o_orderkey % 45 AS sub, 10 + o_custkey % 30 AS mid, (o_orderkey % 10) / 10.0 AS dance, (o_orderkey % 21) / 20.0 AS low_corr, -(o_custkey % 7) / 2.0 AS mono_loss
  FROM orders JOIN (SELECT l_orderkey, count(*) AS n, min(l_quantity) AS hook, avg(l_discount) * 10 AS rep, avg(l_tax) * 100 - 2 AS lift, (max(l_quantity) - min(l_quantity)) / 50 AS spread FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
@@ -40,7 +40,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
     o = table(spark, sf_dir, "orders").select(
         key.alias("track"), (60 + key % 120).alias("bpm"), (90 + cust % 180).alias("duration"), (-16 + price % 12).alias("lufs"), (4 + price % 11).alias("plr"),
-        (half_up(price - 0.5 + F.when(price % 1 >= 0.5, 1).otherwise(0)) % 900).alias("clipped"), (-2 + price % 3).alias("true_peak"),
+        (F.floor(price) % 900).alias("clipped"), (-2 + price % 3).alias("true_peak"),
         (20 + key % 45).alias("sub"), (10 + cust % 30).alias("mid"), (key % 10 / 10.0).alias("dance"), (key % 21 / 20.0).alias("low_corr"), (-(cust % 7) / 2.0).alias("mono_loss"),
     )
     return o.join(li, "track")
