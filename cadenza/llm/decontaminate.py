@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .textops import slices, text_bytes, word_hashes
 
-FOUND = "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>, clean_text string"
+FOUND = "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>, clean_text string, _words array<struct<start:long,end:long>>"
+ADDED = ["n_words", "n_hit", "item_ids", "spans", "clean_text", "_words"]
 
 
 class Windows:
@@ -38,7 +40,13 @@ class Windows:
         self.item_rows = np.searchsorted(inverse[order], np.arange(len(both) + 1))
 
 
-def _found(column: pa.Array, windows: Windows, sample: int) -> list[pa.Array]:
+def _list_rows(column: pa.Array) -> np.ndarray:
+    """The row of each element of a list column without nulls."""
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+
+
+def _found(column: pa.Array, windows: Windows, sample: int, before: tuple[pa.Array, pa.Array] | None = None) -> list[pa.Array]:
+    """The ADDED columns of one shard. before: item_ids and _words (hit word spans) of the parts searched so far."""
     words, starts, ends, rows = word_hashes(column)
     n = len(column)
     hit = np.zeros(len(words) + 1, np.int64)
@@ -55,8 +63,14 @@ def _found(column: pa.Array, windows: Windows, sample: int) -> list[pa.Array]:
         n_items = np.diff(windows.item_rows)[window]
         pair_row = np.repeat(row, n_items)
         spot = np.repeat(windows.item_rows[window], n_items) + np.arange(len(pair_row)) - np.repeat(np.cumsum(n_items) - n_items, n_items)
-        pairs = np.unique(np.column_stack([pair_row, windows.items[spot]]), axis=0)
-        pair_row, pair_item = pairs[:, 0], pairs[:, 1]
+        pair_item = windows.items[spot]
+    if before is not None:
+        row = _list_rows(before[1])
+        np.add.at(hit, rows[row] + pc.struct_field(before[1].flatten(), 0).to_numpy(), 1)
+        np.add.at(hit, rows[row] + pc.struct_field(before[1].flatten(), 1).to_numpy(), -1)
+        pair_row, pair_item = np.concatenate([pair_row, _list_rows(before[0])]), np.concatenate([pair_item, before[0].flatten().to_numpy()])
+    pairs = np.unique(np.column_stack([pair_row, pair_item]), axis=0)
+    pair_row, pair_item = pairs[:, 0], pairs[:, 1]
     hit = np.cumsum(hit)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     # merged spans of hit words inside a row, in code points
@@ -80,17 +94,20 @@ def _found(column: pa.Array, windows: Windows, sample: int) -> list[pa.Array]:
     clean = pa.StringArray.from_buffers(n, pa.py_buffer(clean_offsets), pa.py_buffer(np.ascontiguousarray(data[stay])))
     if column.null_count:
         clean = pc.if_else(pc.is_null(column), pa.scalar(None, pa.string()), clean)
+    word_spans = pa.StructArray.from_arrays([pa.array(first - rows[:-1][row_of], pa.int64()), pa.array(last + 1 - rows[:-1][row_of], pa.int64())], ["start", "end"])
+    span_offsets = pa.array(span_rows.astype(np.int32))
     item_offsets = np.searchsorted(pair_row, np.arange(n + 1)).astype(np.int32)
     return [
         pa.array(np.diff(rows), pa.int64()),
         pa.array(total[rows[1:]] - total[rows[:-1]], pa.int64()),
         pa.ListArray.from_arrays(pa.array(item_offsets), pa.array(pair_item, pa.int64())),
-        pa.ListArray.from_arrays(pa.array(span_rows.astype(np.int32)), spans),
+        pa.ListArray.from_arrays(span_offsets, spans),
         clean,
+        pa.ListArray.from_arrays(span_offsets, word_spans),
     ]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2 << 20, sample: int = 8, most_bytes: int = 256 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 2 << 20, sample: int = 8, part_bytes: int = 4 << 20) -> DataFrame:
     """docs' columns with n_words, n_hit, item_ids, spans and clean_text added.
 
     Texts are lower-cased (A-Z) and cut into words; a window is `width` consecutive words of a benchmark item,
@@ -103,22 +120,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     A null text has no words and stays null; an empty or wordless text has no spans; null items, items without
     words and items with null item_id take no part; items that repeat or share windows are all reported; docs'
     own columns of the added names are replaced; empty tables give no rows or no hits. The test windows are
-    broadcast, so a benchmark of over most_bytes of text is refused: call once for each part of it.
+    broadcast in parts: items are dealt by hash so that a part has about part_bytes of text (its windows take some
+    twenty times that), and each part is one pass over the shards that adds to the hits of the passes before.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; at most {most_bytes} are broadcast at once")
-    rows = items.collect()
-    windows = docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width))
-    added = ["n_words", "n_hit", "item_ids", "spans", "clean_text"]
-    docs = docs.drop(*added)
-    names = [*docs.columns, *added]
+    n_parts = max(1, -(-size // part_bytes))
+    docs = docs.drop(*ADDED)
+    found = docs
+    for k in range(n_parts):
+        part = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k)
+        rows = part.collect()
+        windows = docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width))
+        found = _pass(found, docs, windows, shard_bytes, sample)
+    return found.drop("_words")
+
+
+def _pass(found: DataFrame, docs: DataFrame, windows: Broadcast[Windows], shard_bytes: int, sample: int) -> DataFrame:
+    n_own = len(docs.columns)
+    again = len(found.columns) > n_own
+    names = [*docs.columns, *ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in slices(batch, "text", shard_bytes):
-                yield pa.RecordBatch.from_arrays([*shard.columns, *_found(shard.column("text"), windows.value, sample)], names=names)
+                before = (shard.column("item_ids"), shard.column("_words")) if again else None
+                yield pa.RecordBatch.from_arrays([*shard.columns[:n_own], *_found(shard.column("text"), windows.value, sample, before)], names=names)
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), FOUND])
-    return docs.mapInArrow(run, ddl)
+    return found.mapInArrow(run, ddl)
