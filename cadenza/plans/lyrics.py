@@ -114,8 +114,9 @@ SYL_SQL = f"{LINES}, {LANG_SQL}, syl AS (SELECT lines.doc_id, pos, text, {_sylla
 
 
 def line_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lang = table(spark, sf_dir, "documents").select("doc_id", french_or_english(F.col("text")).alias("l"), F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw"))
-    lines = lang.select("doc_id", "l", F.col("pos").cast("long").alias("pos"), F.trim("raw").alias("text")).where("text <> ''")
+    # the language is found below the explode, once a document and not once a line
+    lang = table(spark, sf_dir, "documents").select("doc_id", french_or_english(F.col("text")).alias("l"), F.split("text", "\r?\n").alias("raws"))
+    lines = lang.select("doc_id", "l", F.posexplode("raws").alias("pos", "raw")).select("doc_id", "l", F.col("pos").cast("long").alias("pos"), F.trim("raw").alias("text")).where("text <> ''")
     return lines.withColumn("n", syllables(F.col("text"), F.col("l") == "fr").cast("long"))
 
 
