@@ -82,12 +82,13 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram_counts(spark, sf_dir)
 
 
-@query(f"""WITH {GRAMS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * length(gram) DESC, gram) AS p FROM c QUALIFY p <= 60)
+@query(f"""WITH {GRAMS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * length(gram) DESC, gram) AS p FROM c)
 SELECT a.doc_id, a.gram, a.n FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = a.doc_id AND b.p < a.p AND contains(b.gram, a.gram)) QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY p) <= 5""")
 def signature_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five weightiest repeated phrases of a document that no weightier one contains (of its 60 weightiest)."""
+    """The five weightiest repeated phrases of a document that no weightier one contains."""
     weight = F.col("n") * F.length("gram")
-    k = top(gram_counts(spark, sf_dir).withColumn("weight", weight), ["doc_id"], [F.desc("weight"), F.asc("gram")], 60, "p")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "gram"))
+    k = gram_counts(spark, sf_dir).withColumn("weight", weight).withColumn("p", place)
     b = k.select("doc_id", F.col("gram").alias("over"), F.col("p").alias("q"))
     free = k.join(b, (k.doc_id == b.doc_id) & (b.q < k.p) & b.over.contains(k.gram), "left_anti")
     return top(free, ["doc_id"], [F.asc("p")], 5).select("doc_id", "gram", "n")

@@ -99,10 +99,10 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("track", F.col("a").alias("u")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("s"), 6).alias("mean"))
 
 
-@query(f"""WITH {UNITS}, x AS (SELECT a.track, a.u AS a, b.u AS b, unnest(a.t) AS v, unnest(b.t) AS w FROM units a JOIN units b ON a.track = b.track AND a.u < b.u AND b.u < 6)
+@query(f"""WITH {UNITS}, x AS (SELECT a.track, a.u AS a, b.u AS b, unnest(a.t) AS v, unnest(b.t) AS w FROM units a JOIN units b ON a.track = b.track AND a.u < b.u)
 SELECT track, a, b, round(corr(v, w), 6) + 0.0 AS r FROM x GROUP BY 1, 2, 3""")
 def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(units(spark, sf_dir).where("u < 6"), ["track"], "u", ["t"])
+    p = pairs(units(spark, sf_dir), ["track"], "u", ["t"])
     x = p.select("track", "a", "b", F.explode(F.arrays_zip("t_a", "t_b")).alias("z"))
     return x.groupBy("track", "a", "b").agg(r(F.coalesce(F.corr("z.t_a", "z.t_b"), F.lit(0.0)), 6).alias("r"))
 

@@ -326,21 +326,21 @@ def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", note_name(F.col("value")).alias("note"))
 
 
-@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(a, a)), 6) AS norm,
- round(list_sum([a[n + 1] * cos({math.pi} / 8 * (n + 0.5) * 2) for n in range(0, 8)]), 5) + 0.0 AS c2, round(a[6], 6) + 0.0 AS turned, round(list_sum([a[n + 1] * (0.5 - 0.5 * cos(2 * {math.pi} * n / 8)) for n in range(0, 8)]), 5) + 0.0 AS windowed FROM v""")
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(a, a)), 6) AS norm,
+ round(list_sum([a[n + 1] * cos({math.pi} / 64 * (n + 0.5) * 2) for n in range(0, 64)]), 5) + 0.0 AS c2, round(a[62], 6) + 0.0 AS turned, round(list_sum([a[n + 1] * (0.5 - 0.5 * cos(2 * {math.pi} * n / 64)) for n in range(0, 64)]), 5) + 0.0 AS windowed FROM v""")
 def scalar_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Norm, second cosine coefficient, circular shift and window of the first eight components."""
-    a = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    """Norm, second cosine coefficient, circular shift and window of vectors of 64 components."""
+    a = F.transform("embedding", lambda x: x.cast("double"))
     v = table(spark, sf_dir, "embeddings").select("vec_id", a.alias("a"))
-    c2 = F.aggregate(F.transform("a", lambda x, n: x * F.cos(math.pi / 8 * (n + 0.5) * 2)), F.lit(0.0), lambda s, x: s + x)
-    windowed = F.aggregate(F.transform("a", lambda x, n: x * hann(n, 8)), F.lit(0.0), lambda s, x: s + x)
-    turned = F.get(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("a", F.pmod(i - 3, F.lit(8)))), F.lit(0))
+    c2 = F.aggregate(F.transform("a", lambda x, n: x * F.cos(math.pi / 64 * (n + 0.5) * 2)), F.lit(0.0), lambda s, x: s + x)
+    windowed = F.aggregate(F.transform("a", lambda x, n: x * hann(n, 64)), F.lit(0.0), lambda s, x: s + x)
+    turned = F.get(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("a", F.pmod(i - 3, F.lit(64)))), F.lit(0))
     return v.select("vec_id", r(norm(F.col("a")), 6).alias("norm"), r(c2, 5).alias("c2"), r(turned, 6).alias("turned"), r(windowed, 5).alias("windowed"))
 
 
-@query("WITH u AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings) SELECT a.vec_id, round(list_inner_product(a.a, b.a), 6) + 0.0 AS dot FROM u a JOIN u b ON b.vec_id = a.vec_id + 1")
+@query("WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings) SELECT a.vec_id, round(list_inner_product(a.a, b.a), 6) + 0.0 AS dot FROM u a JOIN u b ON b.vec_id = a.vec_id + 1")
 def neighbour_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    a = F.transform("embedding", lambda x: x.cast("double"))
     v = table(spark, sf_dir, "embeddings").select("vec_id", a.alias("a"))
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     return v.join(nxt, "vec_id").select("vec_id", r(dot(F.col("a"), F.col("b")), 6).alias("dot"))
