@@ -13,7 +13,7 @@ from .common import LOWER, UPPER, WORD, crc_mod, read
 from .decontaminate import decontaminate
 from .jaccard import jaccard_classes
 from .language import fit_dictionaries, identify
-from .license import scan_licenses
+from .license import NOTICES, PHRASES, scan_licenses
 from .packing import pack
 from .sharding import interleaved_shards
 from .topk import top_k
@@ -123,7 +123,59 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def _templates_sql() -> str:
+    rows, k = [], 0
+    for exact, templates in ((True, PHRASES), (False, NOTICES)):
+        for label, text in templates:
+            w = text.split(" ")
+            n = len(w) - (1 if exact else 2)
+            rows += [f"({k}, '{label}', {str(exact).lower()}, {n}, {i}, '{w[i]}', '{w[i + 1]}', {'NULL' if exact else repr(w[i + 2])})" for i in range(n)]
+            k += 1
+    return ", ".join(rows)
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {_templates_sql()}) AS v(template, label, exact, n_grams, tpos, t1, t2, t3)),
+p AS (SELECT doc_id, i AS place, w[i + 1] AS w1, w[i + 2] AS w2, w[i + 3] AS w3 FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+h AS (SELECT doc_id, template, label, exact, n_grams, place - tpos AS diagonal, tpos, place FROM p JOIN t ON w1 = t1 AND w2 = t2 WHERE t3 IS NULL OR t3 = w3),
+v AS (SELECT doc_id, template, label, exact, n_grams, diagonal, list(DISTINCT tpos) AS votes, min(place) AS first, max(place) AS last FROM h GROUP BY ALL),
+a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= CASE WHEN exact THEN 0 ELSE 2 END THEN 0 ELSE 1 END AS apart FROM v),
+r AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM a),
+m AS (SELECT doc_id, label, exact, n_grams, len(list_distinct(flatten(list(votes)))) / n_grams AS coverage, min(first) AS first, max(last) AS last, min(diagonal) AS diagonal FROM r GROUP BY doc_id, template, label, exact, n_grams, run),
+g AS (SELECT *, CASE WHEN exact THEN coverage = 1 ELSE coverage >= 0.6 AND last - first + 1 <= 1.5 * n_grams + 1 END AS good FROM m),
+f AS (SELECT doc_id, count(*) FILTER (WHERE good AND exact) AS n_base, min(diagonal) FILTER (WHERE good AND exact) AS first_word, max(diagonal) FILTER (WHERE good AND exact) AS last_word,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good AND exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels, max(coverage) AS score FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
+def _rules_sql(host: str, path: str, part: str) -> str:
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r))
+    cases = " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{k if part == 'verdict' else h + p}'" for k, h, p in ordered)
+    return f"CASE {cases} END"
+
+
+_HOST = f"translate(regexp_extract({{u}}, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+_PATH = "regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
+OP9_SQL = f"""
+WITH RECURSIVE l AS (SELECT split_part(url, '#', 1) AS src, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS site, regexp_extract(url, '^[^:/?#]+://[^?#]*/') AS folder,
+ replace(unnest([regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1),
+  regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1)]), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL),
+e AS (SELECT src, split_part(CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '^[^:/?#]+:') || t WHEN starts_with(t, '/') THEN site || t
+  WHEN regexp_matches(folder, '://[^/]') THEN folder || t ELSE site || '/' || t END, '#', 1) AS dst FROM l WHERE t <> ''),
+b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+c(node, seen) AS (SELECT src, src FROM b UNION SELECT c.node, b.dst FROM c JOIN b ON b.src = c.seen),
+k AS (SELECT node, min(seen) AS comp FROM c GROUP BY node),
+j AS (SELECT comp, {_rules_sql(_HOST.format(u='node'), _PATH.format(u='node'), 'verdict')} AS v FROM k),
+z AS (SELECT comp, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS alias FROM j GROUP BY comp),
+o AS (SELECT page_id, url, {_HOST.format(u="coalesce(url, '')")} AS host, {_PATH.format(u="coalesce(url, '')")} AS path FROM pages),
+x AS (SELECT *, {_rules_sql('host', 'path', 'rule')} AS rule, {_rules_sql('host', 'path', 'verdict')} AS own FROM o)
+SELECT page_id, host, path, rule, coalesce(own, alias, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN alias IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+FROM x LEFT JOIN k ON k.node = split_part(url, '#', 1) LEFT JOIN z USING (comp)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_windows, op2_top_k, op3_jaccard_join, op4_decontamination, op5_license_scan, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit)
 }
-ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_url_filter": OP9_SQL}

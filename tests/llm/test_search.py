@@ -126,6 +126,10 @@ def test_license_query_against_brute_force(spark, sf):
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
 
 
+def test_license_query_against_sql(spark):
+    assert spark_rows(Q.op5_license_scan(spark, SF)) == oracle_rows(Q.OP5_SQL, SF)
+
+
 def test_license_odd_rows_and_verified_spans(spark):
     gpl = NOTICES[1][1].split()
     docs = [
