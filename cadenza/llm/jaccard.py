@@ -199,7 +199,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     sets = _sets(texts.join(ids, texts.doc_id.eqNullSafe(ids.first_doc), "left_semi"), n)
     sets = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.first("grams").alias("grams"))
     members = wanted.join(sets, "set_key").select("set_key", "hubs", "n_copies", "grams", F.explode("hubs").alias("hub"))
-    sizes = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("n_chunks"))
+    # written, so that the join below has its own exchange and a hot hub can be split over tasks
+    sizes = written(edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("n_chunks")))
     spread = members.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("n_chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
     tasks = spread.withColumn("pair", F.explode(pairs)).select("hub", "pair.i", "pair.j", "set_key", "hubs", "n_copies", "grams", "chunk")
@@ -210,7 +211,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     component = connected_components(links.select(F.col("set_key").alias("src"), F.col("root").alias("dst")))
     placed = nodes.select("set_key", "n_copies", "first_doc").join(component, F.col("set_key") == F.col("node"), "left").join(counted, "set_key", "left")
     placed = placed.withColumn("component", F.coalesce("component", "set_key"))
-    names = placed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
+    # written, so that the join below has its own exchange and a huge class can be split over tasks
+    names = written(placed.groupBy("component").agg(F.min("first_doc").alias("class_id")))
     named = placed.join(names, "component").select("set_key", "class_id", F.col("component").alias("class_key"), "n_copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = sketch.select("doc_id", "text_key", "set_key").join(named, "set_key", "left")
     none = F.col("set_key").isNull()
@@ -232,7 +234,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """
     classes = written(jaccard_classes(docs, **settings).where(F.col("class_key").isNotNull()).select("class_key", "doc_id", "text_key"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    first = classes.groupBy("class_key").agg(F.min(place).alias("first"))
+    first = written(classes.groupBy("class_key").agg(F.min(place).alias("first")))
     rest = classes.join(first, "class_key").where(~place.eqNullSafe(F.col("first")))
     rest = rest.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     key = F.xxhash64("text")
