@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ def plain(text: str) -> str:
 def fit_dictionaries(labelled: DataFrame, n_samples: int = 400, sample_chars: int = 256, max_languages: int = 64, seed: int = 5) -> dict[str, bytes]:
     """Raw-content dictionary per language from (doc_id, text, lang): the bounded sample of the classifier.
 
-    For each of the max_languages most frequent languages, n_samples rows are drawn by seeded hash order and a
+    For each of the max_languages most frequent languages, n_samples rows are drawn by seeded hash and a
     stretch of sample_chars code points at a hashed place of each is taken, so a dictionary has at most
     n_samples * sample_chars characters whatever the corpus. Null text or lang takes no part.
     """
@@ -35,7 +36,11 @@ def fit_dictionaries(labelled: DataFrame, n_samples: int = 400, sample_chars: in
         return {}
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - sample_chars)) + 1
-    drawn = rows.where(F.col("lang").isin(languages)).select("lang", "doc_id", h.alias("h"), "text").select("lang", "doc_id", "h", F.substring("text", start.cast("int"), F.lit(sample_chars)).alias("part"))
+    # of a frequent language only some eight times the sample, chosen by the hash, goes on to be ranked
+    scale = 1 << 30
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(scale, math.ceil(scale * 8 * n_samples / r.n)))])
+    drawn = rows.where(F.col("lang").isin(languages)).withColumn("h", h).where(F.pmod(F.shiftright("h", 20), F.lit(scale)) < F.try_element_at(share, F.col("lang")))
+    drawn = drawn.select("lang", "doc_id", "h", F.substring("text", start.cast("int"), F.lit(sample_chars)).alias("part"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "part")
     sample = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= n_samples).select("lang", "k", "part").collect()
     parts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in languages}
