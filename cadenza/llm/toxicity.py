@@ -46,14 +46,21 @@ def _beginnings(words: Column, n: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit(" "), F.substring(w, 1, n)))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, max_terms: int = 2_000, min_docs: int = 3, min_share: float = 0.02, min_precision: float = 0.95, prefixes: Sequence[int] = (4, 5, 6), seed: int = 3) -> dict[str, float]:
+def _lower_bound(b: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound of a share b / n."""
+    p = b / n
+    return (p + z * z / 2 / n - z * F.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_docs: int = 3, min_precision: float = 0.95, min_bound: float = 0.55, z: float = 1.645, prefixes: Sequence[int] = (4, 5, 6), seed: int = 3) -> dict[str, float]:
     """Weights of terms from docs (doc_id, text) and labels (doc_id, toxic): the bounded sample of the classifier.
 
     About max_labelled labelled rows are drawn by seeded hash (all, if there are fewer) and broadcast. A term is
-    a folded word (` word `) or the beginning of longer words (` wor`). It enters the lexicon if it stands in at
-    least min_docs toxic documents and min_share of all toxic ones, and min_precision of its documents are
-    toxic; its weight is the log of its odds. At most max_terms are kept. Null doc_id, toxic or text takes no
-    part; of repeated labels the highest counts. No toxic rows: an empty lexicon.
+    a folded word (` word `) or the beginning of longer words (` wor`). Its own counts decide, over distinct texts,
+    so the size of the corpus and of its languages plays no part: it enters the lexicon if it stands in at least
+    min_docs toxic texts, min_precision of its texts are toxic, and the lower confidence bound of that share (z
+    standard errors) is min_bound or more. Its weight is the log of its odds. Null doc_id, toxic or text takes no
+    part; of repeated labels and texts the highest label counts. No toxic rows: an empty lexicon.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     n = own.count()
@@ -61,19 +68,19 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000,
     drawn = own.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(scale)) < max(1, min(scale, math.ceil(scale * max_labelled / max(n, 1)))))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    totals = texts.agg(F.coalesce(F.sum(F.when(F.col("_toxic") == 1, 1)), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("all")).first()
-    bad, good = totals.bad, totals["all"] - totals.bad
-    if not bad:
-        return {}
+    texts = texts.groupBy("text").agg(F.max("_toxic").alias("_toxic"))
     words = folded_words(F.col("text"))
     whole = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    terms = F.array_distinct(F.concat(whole, *(_beginnings(words, k) for k in prefixes)))
+    # the empty term stands in every text: its counts are the totals
+    terms = F.array_distinct(F.concat(F.array(F.lit("")), whole, *(_beginnings(words, k) for k in prefixes)))
     counts = texts.select("_toxic", F.explode(terms).alias("term")).groupBy("term").agg(
         F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("_toxic") == 1, 0).otherwise(1)).alias("g")
     )
-    good_terms = counts.where((F.col("b") >= max(min_docs, math.ceil(min_share * bad))) & (F.col("b") >= min_precision * (F.col("b") + F.col("g"))))
-    kept = good_terms.orderBy(F.desc("b"), "term").limit(max_terms).collect()
-    return {r.term: math.log((r.b + 0.5) / (bad + 1)) - math.log((r.g + 0.5) / (good + 1)) for r in kept}
+    both = F.col("b") + F.col("g")
+    evident = (F.col("b") >= min_docs) & (F.col("b") >= min_precision * both) & (_lower_bound(F.col("b"), both, z) >= min_bound)
+    kept = {r.term: (r.b, r.g) for r in counts.where((F.col("term") == "") | evident).collect()}
+    bad, good = kept.pop("", (0, 0))
+    return {t: math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1)) for t, (b, g) in sorted(kept.items())}
 
 
 class Scorer:

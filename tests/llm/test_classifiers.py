@@ -78,3 +78,25 @@ def test_toxicity_odd_rows(spark):
     assert fit_lexicon(docs, labels.where("toxic = 0")) == {} and fit_lexicon(docs.limit(0), labels) == {}
     assert {r.tox_score for r in score_toxicity(docs, {}).collect()} == {0.0}
     assert score_toxicity(docs.limit(0), lexicon).count() == 0
+
+
+def test_toxicity_held_out_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(docs[r.doc_id], toxic[r.doc_id] == 1, r.predicted == 1) for r in Q.op7_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    for lang in ("en", "de", "fr", "es"):
+        of = [p for g, t, p in held if g == lang and t]
+        assert len(of) > 10 and sum(of) >= 0.8 * len(of), (lang, sum(of), len(of))
+    clean = [p for _, t, p in held if not t]
+    assert sum(clean) <= 0.005 * len(clean), (sum(clean), len(clean))
+
+
+def test_toxicity_counts_own_texts(spark):
+    """A term of few texts enters however large the rest is; copies of one text are no evidence."""
+    rows = [(i, f"plain words number {i} here", 0) for i in range(2000)] + [(5000 + i, f"vile thing {i}", 1) for i in range(1000)]
+    rows += [(8000 + i, f"asqueroso texto {i}", 1) for i in range(5)] + [(9000 + i, "copied lines", 1) for i in range(50)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = fit_lexicon(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert folded("asqueroso") in lexicon and folded("vile") in lexicon
+    assert folded("copied") not in lexicon and folded("plain") not in lexicon
