@@ -341,6 +341,15 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("track", "i", "x", note.alias("note"), (F.col("x") >= hi / 2).alias("kept")).where("i < 50")
 
 
+@query(f"""WITH {SAMPLES}, m AS (SELECT track, max(x) AS hi FROM samples GROUP BY track)
+SELECT track, i, x, CASE WHEN x >= 20 THEN round(69 + 12 * log2(x / 440), 4) END AS note, x >= hi / 2 AS kept FROM samples JOIN m USING (track)""")
+def sample_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voiced predicate and the relative gate of `gates` for every sample, without its prefix."""
+    hi = F.max("x").over(Window.partitionBy("track"))
+    note = F.when(F.col("x") >= 20, r(69 + 12 * F.log2(F.col("x") / 440)))
+    return samples(spark, sf_dir).select("track", "i", "x", note.alias("note"), (F.col("x") >= hi / 2).alias("kept"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 b(user_id, k, event_id, t, tokens, ok) AS (SELECT user_id, k, event_id, t, CAST(2.0 AS DOUBLE), true FROM e WHERE k = 1 UNION ALL
  SELECT e.user_id, e.k, e.event_id, e.t, CASE WHEN least(3.0, b.tokens + (e.t - b.t) / 36000) >= 1 THEN least(3.0, b.tokens + (e.t - b.t) / 36000) - 1 ELSE least(3.0, b.tokens + (e.t - b.t) / 36000) END,
