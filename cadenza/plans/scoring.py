@@ -210,6 +210,59 @@ def tonal_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("vec_id", F.col("id").alias("band")).agg(r(F.coalesce(F.avg(inside), F.lit(0.0)), 5).alias("deviation"))
 
 
+# All advice rules (id, area, condition, severity) in their order; severity 3 is the gravest.
+ALL_RULES = [
+    ("mud", "mix", "mud > 2.5", "CASE WHEN mud > 4.5 THEN 3 ELSE 2 END"), ("boxy", "mix", "boxy > 2.5", "2"), ("harsh", "mix", "harsh > 2.5", "CASE WHEN harsh > 4 THEN 3 ELSE 2 END"),
+    ("sibilance", "voice", "sibilance > 3", "2"), ("dull", "mix", "air < -4", "1"), ("thin", "mix", "low_end < -4", "3"), ("boomy", "mix", "low_end > 4", "3"),
+    ("lowmono", "stereo", "low_corr < 0.8", "CASE WHEN low_corr < 0.5 THEN 3 ELSE 2 END"), ("phase", "stereo", "mono_loss < -2.5", "3"), ("narrow", "stereo", "width < 0.06", "1"),
+    ("clip", "master", "clipped > 0", "3"), ("tp", "master", "true_peak > -1", "CASE WHEN true_peak > 0 THEN 3 ELSE 2 END"), ("quiet", "master", "lufs < lmin - 1", "2"),
+    ("crushed", "master", "lufs > lmax + 0.5 OR plr < 6", "2"), ("lra", "master", "lra > 9 AND genre <> 'rock'", "1"), ("late-hook", "structure", "hook > 8", "3"), ("few-hooks", "structure", "occurrences < 3", "2"),
+]
+#: Third-octave ranges of which the largest deviation counts, and bands of which the mean does.
+WORST = {"mud": (160, 500), "boxy": (500, 1200), "harsh": (2000, 5000), "sibilance": (5000, 10000)}
+MEAN = {b: (lo, hi) for b, lo, hi in TONE_BANDS if b in ("air", "sub", "bass")}
+
+
+@query(f"""WITH {FEATURES}, {GENRE_SQL}, {THIRDS_SQL}, {TARGET_SQL}, {LEVELS_SQL}, guess AS ({ORACLES["genre_guess"]}),
+df AS (SELECT vec_id, family, f, lv.db - target.db AS d FROM lv JOIN target ON target.band = lv.band), mid AS (SELECT vec_id, family, list_sort(list(d) FILTER (WHERE f BETWEEN 100 AND 8000)) AS l FROM df GROUP BY 1, 2),
+dev AS (SELECT vec_id, family, f, round(d - l[len(l) // 2 + 1], 6) AS d FROM df JOIN mid USING (vec_id, family)),
+tone_of AS (SELECT vec_id, family, {", ".join(f"(list(d ORDER BY abs(d) DESC, f) FILTER (WHERE f BETWEEN {a} AND {b}))[1] AS {k}" for k, (a, b) in WORST.items())}, {", ".join(f"avg(d) FILTER (WHERE f >= {a} AND f < {b}) AS {k}" for k, (a, b) in MEAN.items())} FROM dev GROUP BY 1, 2),
+whole AS (SELECT feat.*, guess.genre, genre.lmin, genre.lmax, (duration - 90) % 20 / 100.0 AS width, feat.track % 15 AS lra, mud, boxy, harsh, sibilance, round(air, 6) AS air, round((tone_of.sub + bass) / 2, 6) AS low_end
+ FROM feat JOIN guess ON guess.track = feat.track JOIN genre ON genre.id = guess.genre LEFT JOIN tone_of ON tone_of.family = genre.family AND tone_of.vec_id = feat.track % (SELECT max(vec_id) + 1 FROM embeddings)),
+x AS ({" UNION ALL ".join(f"SELECT track, '{a}' AS area, {s} AS severity, '{i}' AS id, {k} AS k FROM whole WHERE {c}" for k, (i, a, c, s) in enumerate(ALL_RULES))})
+SELECT track, area, severity, id, CAST(row_number() OVER (PARTITION BY track ORDER BY severity DESC, k) AS INTEGER) AS place FROM x""")
+def all_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 17 rules, with the loudness limits and the target curve of each track's guessed genre.
+
+    A track's spectrum is the vector of its number among the embeddings (modulo the largest), its width and loudness
+    range come from its customer and its number, as its other features do. No such vector: no tonal advice.
+    """
+    t = F.broadcast(targets(spark).select("family", "band", "f", "target"))
+    d = levels(spark, sf_dir).join(t, "band").withColumn("d", F.col("db") - F.col("target"))
+    item = F.array_sort(F.collect_list(F.struct("f", "d")))
+    off = upper_median(F.collect_list(F.when(F.col("f").between(100, 8000), F.col("d"))))
+    v = d.groupBy("vec_id", "family").agg(item.alias("l"), off.alias("off"))
+    v = v.withColumn("l", F.transform("l", lambda p: F.struct(p.f.alias("f"), F.round(p.d - F.col("off"), 6).alias("d"))))
+
+    def furthest(lo: float, hi: float) -> Column:
+        inside = F.filter("l", lambda p: p.f.between(lo, hi))
+        return F.array_min(F.transform(inside, lambda p: F.struct((-F.abs(p.d)).alias("s"), p.f.alias("f"), p.d.alias("d")))).d
+
+    def mean(lo: float, hi: float) -> Column:
+        inside = F.filter("l", lambda p: (p.f >= lo) & (p.f < hi))
+        return F.aggregate(inside, F.lit(0.0), lambda s, p: s + p.d) / F.size(inside)
+
+    m = {k: mean(*x) for k, x in MEAN.items()}
+    tones = v.select("vec_id", "family", *[furthest(*x).alias(k) for k, x in WORST.items()], F.round(m["air"], 6).alias("air"), F.round((m["sub"] + m["bass"]) / 2, 6).alias("low_end"))
+    g = F.broadcast(genres(spark).select(F.col("id").alias("genre"), "family", F.col("lufs.min").alias("lmin"), F.col("lufs.max").alias("lmax")))
+    n = F.broadcast(table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("_n")))
+    f = features(spark, sf_dir).join(genre_guess(spark, sf_dir), "track").join(g, "genre").crossJoin(n)
+    f = f.withColumns({"vec_id": F.col("track") % F.col("_n"), "width": (F.col("duration") - 90) % 20 / 100.0, "lra": F.col("track") % 15}).join(tones, ["vec_id", "family"], "left")
+    rules = F.array(*[F.when(F.expr(c), F.struct(F.lit(a).alias("area"), F.expr(s).alias("severity"), F.lit(i).alias("id"), F.lit(k).alias("k"))) for k, (i, a, c, s) in enumerate(ALL_RULES)])
+    x = f.select("track", F.explode(F.array_compact(rules)).alias("x")).select("track", "x.*")
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("track").orderBy(F.desc("severity"), "k"))).select("track", "area", "severity", "id", "place")
+
+
 @query(f"""WITH {LEVELS_SQL}, {THIRDS_SQL}, {BANDS_SQL}, p AS (SELECT vec_id, f, pow(10, db / 10) AS p FROM lv JOIN third USING (band))
 SELECT vec_id, round(regr_slope(10 * log10(p), log2(f)) FILTER (WHERE f BETWEEN 100 AND 10000), 5) + 0.0 AS tilt, round(sum(p * f) / sum(p), 3) AS centroid, round(100 * sum(p) FILTER (WHERE f < 250) / sum(p), 5) AS low_share FROM p GROUP BY 1""")
 def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
