@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +23,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session, which has one machine,
+    may do without the setting; on a cluster its absence is an error, as executors could not read each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+#: Paths of the tables written inside each open scratch().
+_open: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and whole after an executor is lost."""
+    """df as a Parquet table in the shared folder: computed once, and whole after an executor is lost.
+
+    The table goes with dropped(), with the end of the scratch() it was made in, or else as the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    for paths in _open:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -41,13 +62,28 @@ def written(df: DataFrame) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Removes a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _path(df.sparkSession, df._table_path)
+    fs.delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes all tables written() inside it at its end, but for those put in the yielded list."""
+    made: list[str] = []
+    keep: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in set(made) - {df._table_path for df in keep}:
+            fs, at = _path(spark, path)
+            fs.delete(at, True)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
-    return F.crc32(doc_id.cast("string")) % n
+    """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
 def words_of(text: Column) -> Column:
@@ -79,17 +115,19 @@ def ranked(df: DataFrame, strata: Sequence[str], bucket: Column, order: Sequence
     return out.withColumn(name, F.col(name) + F.col(off)).drop(b, off, *[f"_o_{k}" for k in keys])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge list (src, dst); component is the smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each a groupBy-min and a join, written
-    to the shared folder. Nulls and loops are left out; an empty edge list gives no rows.
+    to the shared folder. Nulls and loops are left out; an empty edge list gives no rows. The loop ends without a
+    limit of rounds: no round ever raises a node's smallest neighbour, one that changes nothing ends it, and the
+    paper shows that O(log(n)^2) rounds do for n nodes.
     """
     both = lambda e: e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
     e = written(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    state = None
-    for _ in range(max_rounds):
+    state = ()
+    while True:
         near = both(e)
         low = near.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         star = near.where(F.col("dst") > F.col("src")).join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
@@ -104,7 +142,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)

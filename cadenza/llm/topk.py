@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -9,138 +11,192 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FOUND = "query_id long, vec_id long, score long"
+from .common import dropped, written
 
+#: Products that a task holds at once.
+BLOCK_PRODUCTS = 1 << 21
 
-def scaled(column: pa.ChunkedArray | pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """floor(scale * x) of a list column as a matrix (short rows padded with 0), and which rows are whole and finite."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(column)
-    valid = ~column.is_null().to_numpy(zero_copy_only=False)
-    length = np.where(valid, np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)), 0).astype(np.int64)
-    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    flat = np.floor(scale * flat)
-    out = np.zeros((n, int(length.max(initial=0))))
-    row = np.repeat(np.arange(n), length)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
-    good = np.isfinite(flat)
-    valid[row[~good]] = False
-    out[row, place] = np.where(good, flat, 0)
-    return out, valid
-
-
-def block_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of integers held as doubles, exact: by BLAS below 2**53, else by 64-bit integers."""
-    top = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1])
-    return (q @ x.T).astype(np.int64) if top < 2**53 else q.astype(np.int64) @ x.T.astype(np.int64)
-
-
-def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = max(a.shape[1], b.shape[1])
-    return tuple(np.pad(m, ((0, 0), (0, w - m.shape[1]))) for m in (a, b))
-
-
-def _sides(queries: pa.Table, rows: pa.Table, scale: int) -> tuple[np.ndarray, ...]:
-    rows = rows.sort_by("vec_id")
-    x, good = scaled(rows.column("embedding"), scale)
-    ids = rows.column("vec_id").to_numpy()
-    good[1:] &= ids[1:] != ids[:-1]  # of rows that repeat a vec_id one takes part
-    q, _ = scaled(queries.column("query"), scale)
-    q, x = same_width(q, x[good])
-    return queries.column("query_id").to_numpy(), q, ids[good], x
 
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id; ids are in rising order."""
-    if len(scores) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= cut)
-        return keep[np.argsort(-scores[keep], kind="stable")[:k]]
-    return np.argsort(-scores, kind="stable")[:k]
+def scaled(column: pa.ChunkedArray | pa.Array, scale: int, width: int) -> np.ndarray:
+    """floor(scale * x) of a list column as a matrix, short rows padded with 0."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    length = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.floor(scale * column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+    out = np.zeros((len(column), width))
+    row = np.repeat(np.arange(len(column)), length)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
+    return out
 
 
-def _table(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-    n = [len(i) for _, i, _ in found]
-    join = lambda k: np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
-    return pa.table({"query_id": pa.array(np.repeat([f[0] for f in found], n).astype(np.int64)), "vec_id": pa.array(join(1)), "score": pa.array(join(2))})
+def exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles, in which products of integers are exact below 2**53, else as 64-bit integers."""
+    top = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1])
+    return (q, x) if top < 2**53 else (q.astype(np.int64), x.astype(np.int64))
+
+
+class Queries:
+    """A block of queries: ids in order and scaled vectors, and once known the cutoffs."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, cuts: np.ndarray | None = None):
+        self.ids, self.q, self.cuts = ids, q, cuts
+
+
+def _column(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x, np.int64))
+
+
+def _products(batches: Iterator[pa.RecordBatch], own: Queries, scale: int, at: slice) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+    """(vec_ids, slice of the queries, partial scores queries x rows) of one list, in blocks of bounded size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            b = batch.slice(start, 1024)
+            ids = b.column(0).to_numpy()
+            q, x = exact(own.q[:, at], scaled(b.column(1), scale, at.stop - at.start))
+            step = max(1, BLOCK_PRODUCTS // max(1, len(ids)))
+            for a in range(0, len(q), step):
+                part = slice(a, min(a + step, len(q)))
+                yield ids, part, (q[part] @ x.T).astype(np.int64)
+
+
+def _first(queries, scale: int, at: slice, number: int, k: int) -> Callable:
+    """Phase 1 of one list: the k best partial scores of each query among a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = queries.value
+        low = np.iinfo(np.int64).min
+        best, who = np.full((len(own.ids), k), low), np.zeros((len(own.ids), k), np.int64)
+        for ids, part, p in _products(batches, own, scale, at):
+            p[own.ids[part][:, None] == ids[None, :]] = low
+            # of most blocks nothing is better than what is known
+            some = np.flatnonzero(p.max(1) > best[part].min(1))
+            if not len(some):
+                continue
+            rows = some + part.start
+            n = min(k, len(ids))
+            top = np.argpartition(p[some], len(ids) - n, axis=1)[:, len(ids) - n :]
+            both = np.concatenate([best[rows], np.take_along_axis(p[some], top, 1)], 1)
+            ids_both = np.concatenate([who[rows], ids[top]], 1)
+            keep = np.argpartition(both, n, axis=1)[:, n:]
+            best[rows], who[rows] = np.take_along_axis(both, keep, 1), np.take_along_axis(ids_both, keep, 1)
+        q, j = np.nonzero(best > low)
+        yield pa.RecordBatch.from_arrays([_column(own.ids[q]), _column(who[q, j]), _column(best[q, j]), _column(np.full(len(q), number))], names=["query_id", "vec_id", "part", "list"])
+
+    return run
+
+
+def _second(queries, scale: int, at: slice, number: int, lists: int) -> Callable:
+    """Phase 2 of one list: the entries at or above the uniform threshold, cutoff / lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = queries.value
+        least = -(-own.cuts // lists)
+        for ids, part, p in _products(batches, own, scale, at):
+            enough = (p >= least[part][:, None]) & (own.ids[part][:, None] != ids[None, :])
+            q, j = np.nonzero(enough)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([_column(own.ids[part][q]), _column(ids[j]), _column(p[q, j]), _column(np.full(len(q), 1 << number))], names=["query_id", "vec_id", "part", "list"])
+
+    return run
+
+
+def _third(queries, scale: int, where: list[slice]) -> Callable:
+    """Completes the scores of (query_id, vec_id, known, lists) with the lists that are not in `lists`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = queries.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                b = batch.slice(start, 4096)
+                q = own.q[np.searchsorted(own.ids, b.column(0).to_numpy())]
+                q, x = exact(q, scaled(b.column(4), scale, own.q.shape[1]))
+                total, lists = b.column(2).to_numpy().copy(), b.column(3).to_numpy()
+                for number, at in enumerate(where):
+                    rest = np.flatnonzero((lists >> number) & 1 == 0)
+                    total[rest] += (q[rest, at] * x[rest, at]).sum(1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _column(total)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def usable(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """vec_id, embedding, _q of the rows that take part."""
+    own = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("_q"))
+    own = own.where(~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    return own.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("_q").alias("_q"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, lists: int = 4, block_rows: int = 4096, block_queries: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, lists: int = 2, block_bytes: int = 8 << 20, counts: list[dict] | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows by inner product of floor(scale * x).
 
-    Rows of vectors (vec_id, embedding) are dealt by hash to blocks of about block_rows, queries (the rows where
-    is_query holds) to blocks of about block_queries, and every query block meets every row block in a task of
-    bounded size. Components are cut into `lists` stretches, and so a block has that many score lists a query.
-    Phase 1: each block takes the k best of each list, and of these the k best by score; the k-th best over all
-    blocks is a cutoff below no query's true k-th score. Phase 2: the cutoffs go to all blocks. With each list
-    raised by its Cauchy-Schwarz bound to be positive, a row that can reach the cutoff stands, in one list at
-    least, above the uniform threshold (cutoff + bounds) / lists; just such entries are collected. Phase 3: the
-    lists not yet counted complete their scores exactly, and the best k (ties to the smaller vec_id) remain.
+    The components are cut into `lists` stretches; the products of a query with one stretch of all rows are one
+    score list, and each list has tasks of its own, which see no other stretch. Queries (the rows where is_query
+    holds) go by blocks of about block_bytes, dealt by hash: a block is broadcast and destroyed before the next
+    one, and the rows stay where they are. For each block:
+    Phase 1 gathers the k best entries of every list, completes the scores of these few rows, and takes the k-th
+    best of them as the query's cutoff, which is safe: k rows at least reach it. Phase 2 broadcasts the cutoffs.
+    A row whose scores sum to the cutoff has a list with cutoff / lists or more (whatever the signs), so each list
+    sends just its entries above that uniform threshold. They are summed by row, and a row goes if even the
+    threshold in each list that did not send it leaves it below the cutoff. Phase 3 computes the missing lists of
+    the rows that remain, and of those rows only. Products of the lists are computed in phase 1 and again in
+    phase 2, as kept lists would hold an entry for each row and query.
 
     A row is no candidate for its own vec_id. Null vec_ids, null vectors and vectors with a null or non-finite
-    component take no part; of repeated vec_ids one row does; shorter vectors are padded with zeros; a query
-    with fewer candidates gets them all; empty tables give no rows.
+    component take no part; of rows that repeat a vec_id the one with the smallest vector does; shorter vectors
+    are padded with zeros; a query with fewer candidates gets them all; ties go to the smaller vec_id; of rows
+    with equal vectors only the k + 1 of smallest vec_id can be among any k best, so only they are searched (a
+    frequent vector costs no more than a rare one); empty tables give no rows. counts, where given, gets for each
+    block the pairs of phase 1, the entries of phase 2 and the pairs completed in phase 3.
     """
-    own = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("_q"))
-    values = F.col("embedding")
-    own = own.where(~F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    n, n_queries = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_q").cast("int")), F.lit(0))).first()
-    n_blocks, n_query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
-    h = F.xxhash64("vec_id")
-    row_block, query_block = F.pmod(h, F.lit(n_blocks)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(n_query_blocks)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = own.select("vec_id", "embedding", row_block.alias("rb"), every(n_query_blocks).alias("qb"))
-    queries = own.where("_q").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), query_block.alias("qb"))
-
-    def stretches(width: int) -> list[slice]:
-        edge = np.linspace(0, width, min(lists, max(1, width)) + 1).astype(int)
-        return [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-
-    def gather(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table([])
-        query_ids, q, ids, x = _sides(left, right, scale)
-        parts = [block_scores(q[:, s], x[:, s]) for s in stretches(q.shape[1])]
-        total = sum(parts)
-        found = []
-        for a, query_id in enumerate(query_ids):
-            other = np.flatnonzero(ids != query_id)
-            if len(other):
-                seen = np.unique(np.concatenate([other[_best(p[a, other], ids, k)] for p in parts]))
-                best = seen[_best(total[a, seen], ids, k)]
-                found.append((query_id, ids[best], total[a, best]))
-        return _table(found)
-
-    def resolve(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table([])
-        query_ids, q, ids, x = _sides(left, right, scale)
-        cuts = left.column("cutoff").to_numpy()
-        where = stretches(q.shape[1])
-        parts = [block_scores(q[:, s], x[:, s]) for s in where]
-        bounds = [np.ceil(np.sqrt((q[:, s] ** 2).sum(1)) * np.sqrt((x[:, s] ** 2).sum(1).max(initial=0))) + 1 for s in where]
-        threshold = (cuts + sum(bounds)) / len(where)
-        enough = np.zeros(parts[0].shape, bool)
-        for p, b in zip(parts, bounds, strict=True):
-            enough |= (p + b[:, None]) >= threshold[:, None]
-        total = sum(parts)
-        enough &= total >= cuts[:, None]
-        found = []
-        for a, query_id in enumerate(query_ids):
-            some = np.flatnonzero(enough[a])
-            some = some[ids[some] != query_id]
-            best = some[_best(total[a, some], ids, k)]
-            found.append((query_id, ids[best], total[a, best]))
-        return _table(found)
-
-    def meet(left: DataFrame, task) -> DataFrame:
-        spread = left.withColumn("rb", every(n_blocks))
-        return spread.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInArrow(task, FOUND)
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    lowest = ranked(meet(queries, gather)).groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
-    # with fewer than k candidates known every score is collected
-    cutoffs = lowest.select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-(2**62))).alias("cutoff"))
-    final = ranked(meet(queries.join(cutoffs, "query_id"), resolve))
-    return final.select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = written(usable(vectors, is_query))
+    n_queries, width = rows.agg(F.coalesce(F.sum(F.col("_q").cast("int")), F.lit(0)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_queries * max(1, width) * 8 // block_bytes))
+    alike = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
+    stock = written(rows.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k + 1).select("vec_id", "embedding"))
+    edge = np.linspace(0, width, min(lists, max(1, width)) + 1).astype(int).tolist()
+    where = [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    m = len(where)
+    stretch = lambda at: stock.select("vec_id", F.slice("embedding", at.start + 1, at.stop - at.start).alias("part"))
+    every = lambda task, schema: reduce(DataFrame.unionByName, [stretch(at).mapInArrow(task(at, number), schema) for number, at in enumerate(where)])
+    found = "query_id long, vec_id long, score long"
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    done = []
+    for block in range(n_blocks):
+        mine = rows.where("_q").where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).select("vec_id", "embedding").toArrow().sort_by("vec_id")
+        ids, q = mine.column("vec_id").to_numpy(), scaled(mine.column("embedding"), scale, width)
+        if not len(ids):
+            continue
+        queries = spark.sparkContext.broadcast(Queries(ids, q))
+        complete = lambda pairs, queries=queries: pairs.join(stock, "vec_id").select("query_id", "vec_id", "known", "lists", "embedding").mapInArrow(_third(queries, scale, where), found)
+
+        entry = "query_id long, vec_id long, part long, list long"
+        line = Window.partitionBy("query_id", "list").orderBy(F.desc("part"))
+        first = every(lambda at, number, queries=queries: _first(queries, scale, at, number, k), entry)
+        first = first.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= k)
+        pairs = first.select("query_id", "vec_id").distinct().withColumns({"known": F.lit(0).cast("long"), "lists": F.lit(0).cast("long")})
+        known = written(complete(pairs))
+        top = known.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
+        cuts = np.full(len(ids), -(2**56))  # with fewer than k candidates every entry is sent
+        for r in top.where(F.col("n") >= k).collect():
+            cuts[np.searchsorted(ids, r.query_id)] = r.low
+        queries.destroy()
+
+        queries = spark.sparkContext.broadcast(Queries(ids, q, cuts))
+        limits = spark.createDataFrame(list(zip(ids.tolist(), cuts.tolist(), strict=True)), "query_id long, cutoff long")
+        entries = every(lambda at, number, queries=queries: _second(queries, scale, at, number, m), entry)
+        if counts is not None:
+            entries = written(entries)
+        summed = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.bit_or("list").alias("lists")).join(F.broadcast(limits), "query_id")
+        reach = m * F.col("known") + (m - F.bit_count("lists")) * F.col("cutoff") >= m * F.col("cutoff")
+        rest = summed.where(reach)
+        final = complete(rest, queries).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+        done.append(written(final.select("query_id", F.col("_r").alias("rank"), "vec_id", "score")))
+        if counts is not None:
+            counts.append({"queries": len(ids), "rows": stock.count(), "first": known.count(), "entries": entries.count(), "completed": rest.count()})
+        queries.destroy()
+        dropped(known)
+    dropped(rows)
+    dropped(stock)
+    if not done:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, done)

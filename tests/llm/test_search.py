@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import queries as Q
 from cadenza.llm.jaccard import choose_bands, jaccard_classes
@@ -27,11 +28,9 @@ def test_top_k_odd_rows(spark):
     bad = [(2000, None), (2100, [1.0, None]), (2200, [float("nan")] * 5), (None, [1.0] * 5), (2300, [float("inf")] * 5)]
     short = [(2400, [3.0]), (2500, [])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows + bad + short + rows[:50]], "vec_id long, embedding array<float>, label string, rank int")
-    for lists, block, k in ((4, 100, 10), (1, 64, 3), (2, 5000, 2000)):
+    for lists, block, k in ((4, 100, 10), (1, 200, 3), (2, 1 << 20, 2000)):
         got = defaultdict(list)
-        from pyspark.sql import functions as F
-
-        for r in sorted(top_k(df, F.col("vec_id") % 100 == 0, k=k, scale=8, lists=lists, block_rows=block, block_queries=4).collect(), key=lambda r: (r.query_id, r.rank)):
+        for r in sorted(top_k(df, F.col("vec_id") % 100 == 0, k=k, scale=8, lists=lists, block_bytes=block).collect(), key=lambda r: (r.query_id, r.rank)):
             assert r.rank == len(got[r.query_id]) + 1
             got[r.query_id].append((r.vec_id, r.score))
         whole = {i: [math.floor(8 * x) for x in v] + [0] * (5 - len(v)) for i, v in rows + short}
@@ -43,6 +42,27 @@ def test_top_k_odd_rows(spark):
     assert top_k(one, F.lit(True)).count() == 0 and top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_completes_few_pairs(spark):
+    """Phase 3 works on the rows whose entries passed the uniform threshold, not on all pairs."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    counts = []
+    top_k(vectors, F.col("vec_id") % 100 == 0, counts=counts)
+    n = counts[0]
+    assert n["rows"] == 2000 and n["queries"] == 20 and 200 <= n["completed"] <= n["entries"] < 0.15 * n["rows"] * n["queries"]
+
+
+def test_top_k_equal_vectors(spark):
+    """Copies of one vector are searched by their k + 1 smallest ids, which hold every possible result."""
+    rows = [(i, [1.0, 2.0]) for i in range(0, 3000)] + [(5000, [1.0, 1.9]), (5100, [0.1, 0.2])]
+    counts = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in top_k(df, F.col("vec_id").isin(0, 2900, 5100), k=4, scale=10, counts=counts).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {0: [(i, 500) for i in (1, 2, 3, 4)], 2900: [(i, 500) for i in (0, 1, 2, 3)], 5100: [(i, 50) for i in (0, 1, 2, 3)]}
+    assert counts[0]["rows"] == 5 + 2
+
+
 def test_bands_reach_recall():
     for t in (0.5, 0.8, 0.95):
         b, r = choose_bands(t, 0.999)
