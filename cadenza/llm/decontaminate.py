@@ -12,64 +12,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .textops import slices, text_bytes, word_hashes
+from .textops import gram_hashes, slices, text_bytes, word_hashes
 
-FOUND = "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>, clean_text string, _words array<struct<start:long,end:long>>"
-ADDED = ["n_words", "n_hit", "item_ids", "spans", "clean_text", "_words"]
+FOUND = "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:long,end:long>>, clean_text string"
+ADDED = ["n_words", "n_hit", "item_ids", "spans", "clean_text"]
 
 
 class Windows:
-    """The distinct windows of benchmark items: hashes (n x width), lengths, and the items of each window."""
+    """The distinct windows of some benchmark items: places in one array of word hashes, lengths, and each window's items."""
 
     def __init__(self, item_ids: list[int], texts: list[str], width: int):
-        words, _, _, rows = word_hashes(pa.array(texts, pa.string()))
+        self.words, _, _, rows = word_hashes(pa.array(texts, pa.string()))
+        hashes, item = gram_hashes(self.words, rows, width)
         count = np.diff(rows)
         per_item = np.where(count > 0, np.maximum(count - width + 1, 1), 0)
-        item = np.repeat(np.arange(len(count)), per_item)
         first = np.repeat(rows[:-1], per_item) + np.arange(len(item)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
-        lengths = np.minimum(rows[1:][item] - first, width)
-        padded = np.append(words, np.zeros(width, np.uint64))
-        table = np.stack([np.where(k < lengths, padded[first + k], np.uint64(0)) for k in range(width)], 1) if len(first) else np.zeros((0, width), np.uint64)
-        both = np.column_stack([table, lengths.astype(np.uint64)])
-        both, inverse = np.unique(both, axis=0, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        self.hashes, self.lengths = np.ascontiguousarray(both[:, :-1]), both[:, -1].astype(np.int64)
-        ids = np.array(item_ids, np.int64)[item]
-        order = np.lexsort((ids, inverse))
-        self.items = ids[order]
-        self.item_rows = np.searchsorted(inverse[order], np.arange(len(both) + 1))
-
-
-def _list_rows(column: pa.Array) -> np.ndarray:
-    """The row of each element of a list column without nulls."""
-    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-
-
-def _found(column: pa.Array, windows: Windows, sample: int, before: tuple[pa.Array, pa.Array] | None = None) -> list[pa.Array]:
-    """The ADDED columns of one shard. before: item_ids and _words (hit word spans) of the parts searched so far."""
+        _, at, window = np.unique(hashes, return_index=True, return_inverse=True)
+        self.starts = first[at]
+        self.lengths = np.minimum(rows[1:][item[at]] - self.starts, width)
+        pairs = np.unique(np.column_stack([window.reshape(-1), np.array(item_ids, np.int64)[item]]), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.items = pairs[:, 1]
+        self.item_rows = np.searchsorted(pairs[:, 0], np.arange(len(at) + 1))
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... (n[k] of them) for each k, one after the other."""
+    return np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _loaded(part: Broadcast[Windows], alone: bool) -> Windows:
+    """A part's windows; of several parts a task keeps one at a time."""
+    value = part.value
+    if not alone:
+        vars(part).pop("_value", None)
+    return value
+
+
+def _found(column: pa.Array, parts: list[Broadcast[Windows]], sample: int) -> list[pa.Array]:
+    """The ADDED columns of one shard: one index, in which the windows of all parts are looked up."""
     words, starts, ends, rows = word_hashes(column)
     n = len(column)
     hit = np.zeros(len(words) + 1, np.int64)
-    pair_row, pair_item = np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(words) and len(windows.lengths):
-        index = FMIndex(words, rows, sample)
-        lo, hi = index.search(windows.hashes, windows.lengths)
+    pairs = np.empty((0, 2), np.int64)
+    index = FMIndex(words, rows, sample) if len(words) and parts else None
+    for part in parts if index else ():
+        windows = _loaded(part, len(parts) == 1)
+        lo, hi = index.search(windows.words, windows.starts, windows.lengths)
         occurs = hi - lo
         window = np.repeat(np.arange(len(lo)), occurs)
-        row, place = index.locate(np.repeat(lo, occurs) + np.arange(len(window)) - np.repeat(np.cumsum(occurs) - occurs, occurs))
+        row, place = index.locate(_runs(lo, occurs))
         begin = rows[row] + place
         np.add.at(hit, begin, 1)
         np.add.at(hit, begin + windows.lengths[window], -1)
+        # a window counts once in a row, however often it occurs there, before its items are looked up
+        row, window = np.divmod(np.unique(row * len(lo) + window), len(lo)) if len(window) else (row, window)
         n_items = np.diff(windows.item_rows)[window]
-        pair_row = np.repeat(row, n_items)
-        spot = np.repeat(windows.item_rows[window], n_items) + np.arange(len(pair_row)) - np.repeat(np.cumsum(n_items) - n_items, n_items)
-        pair_item = windows.items[spot]
-    if before is not None:
-        row = _list_rows(before[1])
-        np.add.at(hit, rows[row] + pc.struct_field(before[1].flatten(), 0).to_numpy(), 1)
-        np.add.at(hit, rows[row] + pc.struct_field(before[1].flatten(), 1).to_numpy(), -1)
-        pair_row, pair_item = np.concatenate([pair_row, _list_rows(before[0])]), np.concatenate([pair_item, before[0].flatten().to_numpy()])
-    pairs = np.unique(np.column_stack([pair_row, pair_item]), axis=0)
+        more = np.column_stack([np.repeat(row, n_items), windows.items[_runs(windows.item_rows[window], n_items)]])
+        pairs = np.unique(np.concatenate([pairs, more]), axis=0)
     pair_row, pair_item = pairs[:, 0], pairs[:, 1]
     hit = np.cumsum(hit)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(hit)])
@@ -94,7 +93,6 @@ def _found(column: pa.Array, windows: Windows, sample: int, before: tuple[pa.Arr
     clean = pa.StringArray.from_buffers(n, pa.py_buffer(clean_offsets), pa.py_buffer(np.ascontiguousarray(data[stay])))
     if column.null_count:
         clean = pc.if_else(pc.is_null(column), pa.scalar(None, pa.string()), clean)
-    word_spans = pa.StructArray.from_arrays([pa.array(first - rows[:-1][row_of], pa.int64()), pa.array(last + 1 - rows[:-1][row_of], pa.int64())], ["start", "end"])
     span_offsets = pa.array(span_rows.astype(np.int32))
     item_offsets = np.searchsorted(pair_row, np.arange(n + 1)).astype(np.int32)
     return [
@@ -103,7 +101,6 @@ def _found(column: pa.Array, windows: Windows, sample: int, before: tuple[pa.Arr
         pa.ListArray.from_arrays(pa.array(item_offsets), pa.array(pair_item, pa.int64())),
         pa.ListArray.from_arrays(span_offsets, spans),
         clean,
-        pa.ListArray.from_arrays(span_offsets, word_spans),
     ]
 
 
@@ -119,33 +116,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
 
     A null text has no words and stays null; an empty or wordless text has no spans; null items, items without
     words and items with null item_id take no part; items that repeat or share windows are all reported; docs'
-    own columns of the added names are replaced; empty tables give no rows or no hits. The test windows are
-    broadcast in parts: items are dealt by hash so that a part has about part_bytes of text (its windows take some
-    twenty times that), and each part is one pass over the shards that adds to the hits of the passes before.
+    own columns of the added names are replaced; empty tables give no rows or no hits.
+
+    The benchmark, a bounded collection of tests, is broadcast in parts: items are dealt by hash so that a part has
+    about part_bytes of text, which the driver reads, hashes and lets go before the next. A part takes some five
+    times its text. A task builds a shard's index once and looks the parts up in it one after the other, so neither
+    the driver nor a task ever holds more than one of them; the parts lie on the executors' disks.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(1, -(-size // part_bytes))
+    n_parts = -(-size // part_bytes)
     docs = docs.drop(*ADDED)
-    found = docs
+    parts = []
     for k in range(n_parts):
-        part = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k)
-        rows = part.collect()
-        windows = docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width))
-        found = _pass(found, docs, windows, shard_bytes, sample)
-    return found.drop("_words")
-
-
-def _pass(found: DataFrame, docs: DataFrame, windows: Broadcast[Windows], shard_bytes: int, sample: int) -> DataFrame:
-    n_own = len(docs.columns)
-    again = len(found.columns) > n_own
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k).collect()
+        parts.append(docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width)))
     names = [*docs.columns, *ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in slices(batch, "text", shard_bytes):
-                before = (shard.column("item_ids"), shard.column("_words")) if again else None
-                yield pa.RecordBatch.from_arrays([*shard.columns[:n_own], *_found(shard.column("text"), windows.value, sample, before)], names=names)
+                yield pa.RecordBatch.from_arrays([*shard.columns, *_found(shard.column("text"), parts, sample)], names=names)
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), FOUND])
-    return found.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, ddl)

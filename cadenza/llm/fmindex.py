@@ -107,15 +107,15 @@ class FMIndex:
             lo, i = np.where(up, zeros + a, lo - a), np.where(up, zeros + b, i - b)
         return self.starts[symbol] + (i - lo)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that begin with each pattern (one row of hashes each, `lengths` of them used)."""
-        n = len(patterns)
+    def search(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the suffixes that begin with each pattern: `lengths` hashes of words from `starts` on."""
+        n = len(starts)
         lo, hi = np.zeros(n, np.int64), np.where(lengths > 0, self.n, 0).astype(np.int64)
         if not len(self.vocabulary):
             return lo, lo.copy()
         for k in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((k < lengths) & (lo < hi))
-            word = patterns[live, lengths[live] - 1 - k]
+            word = words[starts[live] + lengths[live] - 1 - k]
             found = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
             known = self.vocabulary[found] == word
             hi[live[~known]] = lo[live[~known]]

@@ -160,8 +160,8 @@ _HOST = f"translate(regexp_extract({{u}}, '://([^/?#]*)', 1), '{UPPER}', '{LOWER
 _PATH = "regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
 OP9_SQL = f"""
 WITH RECURSIVE l AS (SELECT split_part(url, '#', 1) AS src, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS site, regexp_extract(url, '^[^:/?#]+://[^?#]*/') AS folder,
- replace(unnest([regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1),
-  regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1)]), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL),
+ replace(unnest(list_concat(list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1)),
+  list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1)))), '&amp;', '&') AS t FROM pages WHERE url IS NOT NULL),
 e AS (SELECT src, split_part(CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '^[^:/?#]+:') || t WHEN starts_with(t, '/') THEN site || t
   WHEN regexp_matches(folder, '://[^/]') THEN folder || t ELSE site || '/' || t END, '#', 1) AS dst FROM l WHERE t <> ''),
 b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),

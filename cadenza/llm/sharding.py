@@ -19,12 +19,13 @@ def interleaved_shards(docs: DataFrame, n_shards: int, seed: int = 17, stratum:
     other; repeated rows each get their own slot; an empty table gives no rows. n_buckets bounds what one task
     ranks: a stratum's rows are spread over that many hash buckets, whatever its share.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), crc)  # the text too, or rows of one doc_id would fall into one bucket
     rows = docs.select(
         "doc_id",
         F.col(stratum).alias("stratum"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
+        crc.alias("text_crc32"),
         h.alias("h"),
     )
     order = [F.col(c) for c in ("h", "doc_id", "text_crc32", "size")]

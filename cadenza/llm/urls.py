@@ -24,14 +24,14 @@ def without_fragment(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls: canonical links and refresh redirects that the pages' html declares, relative ones resolved."""
+    """(src, dst) urls: all canonical links and refresh redirects that the pages' html declares, relative ones resolved."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.col("url")
     attr = r"""\s*=\s*["']?\s*([^"'>\s]+)"""
-    link = F.regexp_extract(html, r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    targets = F.array(
-        F.regexp_extract(link, rf"(?i)\bhref{attr}", 1),
-        F.regexp_extract(meta, rf"(?i)\burl{attr}", 1),
+    links = F.regexp_extract_all(html, F.lit(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
+    metas = F.regexp_extract_all(html, F.lit(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
+    targets = F.concat(
+        F.transform(links, lambda x: F.regexp_extract(x, rf"(?i)\bhref{attr}", 1)),
+        F.transform(metas, lambda x: F.regexp_extract(x, rf"(?i)\burl{attr}", 1)),
     )
     found = pages.where(url.isNotNull()).select(url.alias("src"), F.explode(F.filter(targets, lambda t: t != "")).alias("to"))
     src, to = F.col("src"), F.regexp_replace("to", "&amp;", "&")

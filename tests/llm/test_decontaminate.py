@@ -26,8 +26,8 @@ def test_suffix_array(x):
 def test_search_and_locate(texts, patterns):
     rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     index = FMIndex(np.array([w for t in texts for w in t], np.uint64), rows, sample=3)
-    table = np.array([p + [0] * (4 - len(p)) for p in patterns], np.uint64)
-    lo, hi = index.search(table, np.array([len(p) for p in patterns]))
+    sizes = np.array([len(p) for p in patterns])
+    lo, hi = index.search(np.array([w for p in patterns for w in p], np.uint64), np.cumsum(sizes) - sizes, sizes)
     for p, a, b in zip(patterns, lo, hi):
         text, place = index.locate(np.arange(a, b))
         want = sorted((k, i) for k, t in enumerate(texts) for i in range(len(t) - len(p) + 1) if t[i : i + len(p)] == p)
@@ -80,6 +80,15 @@ def test_odd_rows_against_brute_force(spark):
     assert sorted((tuple(r) for r in decontaminate(d, b, 3, part_bytes=20).collect()), key=str) == whole
 
 
+def test_item_words_shared_by_many_items(spark):
+    """A word that is a whole item, many times over, in many documents: each counts once before its items are listed."""
+    items = spark.createDataFrame([(i, "yes") for i in range(500)] + [(900, "no yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(d, "yes " * 2000 + ("no yes" if d % 2 else "")) for d in range(20)], "doc_id long, text string")
+    for part_bytes in (4 << 20, 300):
+        for r in decontaminate(docs, items, part_bytes=part_bytes).collect():
+            assert r.item_ids == [*range(500), *([900] if r.doc_id % 2 else [])] and r.n_hit == r.n_words == 2000 + 2 * (r.doc_id % 2) and r.clean_text.strip() == ""
+
+
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert spark_rows(Q.op4_decontamination(spark, sf)) == oracle_rows(Q.OP4_SQL, sf)

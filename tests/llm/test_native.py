@@ -1,6 +1,7 @@
 """Chat windows, sharding and URL filters against plain Python."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -150,6 +151,55 @@ def test_url_aliases(spark, tmp_path):
     assert judge_urls(df.limit(0), Q.URL_RULES).count() == 0 and judge_urls(df, []).count() == 12
 
 
+def test_url_every_link_of_a_page_counts(spark, tmp_path):
+    two = '<link rel=canonical href="http://a.net/"><link rel=canonical href="http://t.com/de/"><meta http-equiv=refresh content="0;url=http://b.net/"><meta http-equiv=refresh content="0;url=http://c.net/">'
+    rows = [(1, "http://x.net/", two)] + [(2 + k, f"http://{h}.net/", "") for k, h in enumerate("abcd")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.via) for r in judge_urls(df, Q.URL_RULES).collect()}
+    assert link_edges(df).count() == 4 and got == {k: ("block", "alias") for k in (1, 2, 3, 4)} | {5: ("allow", "default")}
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert {r[0]: r[1:] for r in con.execute(f"SELECT page_id, verdict, via FROM ({Q.OP9_SQL})").fetchall()} == got
+
+
+def test_url_components_against_union_find(spark):
+    """Made pages: many chains, one component of a third of all pages, random links; verdicts against a union-find."""
+    rng = random.Random(9)
+    n = 3000
+    url = lambda i: f"http://{'s%d.org' % i if i % 211 == 0 else 's%d.net' % i}/p" if i % 97 else f"http://h{i}.com/de/{i}"
+    links = {i: [] for i in range(n)}
+    for i in range(1, n // 3):
+        links[i].append(rng.randrange(i))  # one tree
+    for i in range(n // 3, n - 1):
+        if i % 25:
+            links[i].append(i + 1)  # chains of up to 25
+    for i in range(0, n, 500):
+        links[i].append(i)
+    canon = lambda i: "".join(f'<link rel="canonical" href="{url(j)}">' for j in links[i])
+    df = spark.createDataFrame([(i, url(i), canon(i)) for i in range(n)], "page_id long, url string, html string")
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, js in links.items():
+        for j in js:
+            root[find(i)] = find(j)
+    seen = {}
+    for i in range(n):
+        seen.setdefault(find(i), set()).add(plain_rule(url(i))[3])
+    want = {}
+    for i in range(n):
+        of = seen[find(i)]
+        want[i] = plain_rule(url(i))[3] or ("allow" if "allow" in of or "block" not in of else "block")
+    assert {r.page_id: r.verdict for r in judge_urls(df, Q.URL_RULES).collect()} == want
+    assert set(want.values()) == {"allow", "block"} and len(seen) > 50
+
+
 def test_url_long_chain(spark):
     n = 40
     df = spark.createDataFrame([(i, f"http://n{i:03}.net/", "") for i in range(n)], "page_id long, url string, html string")
