@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 # The template's marks. `past` turns are repeated context; `turn` turns are each written once.
 BOS, TURN, PAST, END = "<|bos|>", "<|turn|>", "<|past|>", "<|end|>"
 #: Starts of control strings, this template's and other common ones, inside which an escape is put.
@@ -22,87 +24,112 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def format_chat(conversations: DataFrame, budget: int = 2048, history_turns: int = 2, history_budget: int = 256, block_turns: int = 512) -> DataFrame:
+#: Signs of scripts written without blanks, which tokenizers take one by one.
+_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}"
+TOKEN = rf"[{_CJK}]|[\p{{L}}\p{{M}}&&[^{_CJK}]]{{1,5}}|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
+
+
+def token_count(text: Column) -> Column:
+    """An estimate: pieces of up to five letters or three digits, and every other sign and every CJK or Thai sign, are a token each."""
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
+def _numbered(rows: DataFrame, bucket_turns: int) -> DataFrame:
+    """Adds rank (from 0) and before, the tokens of the turns before, in each conversation's order.
+
+    Ranks and sums are made inside buckets of bucket_turns turn numbers and shifted by the buckets before, so a
+    huge conversation is spread over tasks; the results do not depend on bucket_turns.
+    """
+    rows = rows.withColumn("_b", F.coalesce(F.floor(F.col("turn") / bucket_turns), F.lit(-(2**62))))
+    sums = rows.groupBy("conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("tokens").alias("_t"))
+    line = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_k"), *(F.coalesce(F.sum(c).over(line), F.lit(0)).alias(c) for c in ("_n", "_t")))
+    inside = Window.partitionBy("conv_id", "_b").orderBy("turn", "role", "text")
+    local = rows.withColumns({"_r": F.row_number().over(inside) - 1, "_s": F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")})
+    both = local.join(past, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_k")))
+    return both.select(*[c for c in rows.columns if c != "_b"], (F.col("_r") + F.col("_n")).alias("rank"), (F.col("_s") + F.col("_t")).alias("before"))
+
+
+def format_chat(conversations: DataFrame, budget: int = 2048, history_turns: int = 2, history_budget: int = 256, tokens: Column | None = None, block_budgets: int = 64, bucket_turns: int = 512) -> DataFrame:
     """Windows of conversations (conv_id, turn, role, text): one row per window with its formatted text and loss mask.
 
-    A turn's tokens are estimated as a quarter of its code points plus 4. Prefix sums of them choose spans of
-    whole turns that fit the budget, less what the system turn and the history reserve; a turn that is larger
-    than that stands alone and marks its window `over_budget`. Each later window repeats the conversation's
-    first system turn and up to history_turns turns before it (within history_budget), both as `past` turns
-    outside the loss mask. So every turn is a target once: loss_spans holds [start, end) code point offsets of
-    the assistant texts among the window's own turns.
-
-    Turns are ordered by turn, role, text; null role and text are empty; a null turn comes first; a null
-    conv_id is a conversation of its own; repeated rows are repeated turns; an empty table gives no rows. Long
-    conversations are formatted in blocks of block_turns turn numbers, so a huge one is spread over tasks: a
-    block's end closes a window and the last history_turns turn numbers go along as history of the next block.
+    A turn's tokens are those of its text (the column `tokens` where the caller has exact counts, else
+    token_count) and 4 for its marks. Prefix sums of them choose spans of whole turns that fit the budget, less
+    what the system turn and the history reserve; a turn that is larger than that stands alone and marks its
+    window `over_budget`. A span also ends where the prefix sum passes a multiple of block_budgets budgets:
+    that is the block of a conversation that one task formats. Each later window repeats the conversation's first
+    system turn and up to history_turns turns before it (within history_budget), across blocks too, both as
+    `past` turns outside the loss mask. So every turn is a target once: loss_spans holds [start, end) code point
+    offsets of the assistant texts among the window's own turns.
+
+    Turns are ordered by turn, role, text, whatever gaps their numbers have; null role and text are empty, null
+    tokens are none; a null turn comes first; a null conv_id is a conversation of its own; repeated rows are
+    repeated turns; an empty table gives no rows.
     """
     turn, text = F.col("turn").cast("long"), F.coalesce(F.col("text"), F.lit(""))
-    rows = conversations.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-    block = F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62)))
-    tail = F.pmod(F.col("turn"), F.lit(block_turns)) >= block_turns - history_turns
-    places = F.when(tail, F.array(F.struct(block.alias("block"), F.lit(False).alias("past")), F.struct((block + 1).alias("block"), F.lit(True).alias("past")))).otherwise(
-        F.array(F.struct(block.alias("block"), F.lit(False).alias("past")))
-    )
-    placed = rows.withColumn("at", F.explode(places)).select("conv_id", "at.block", "turn", "role", "text", "at.past")
+    size = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else token_count(text)
+    rows = conversations.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (size + 4).alias("tokens"))
+    placed = written(_numbered(rows, bucket_turns).withColumn("block", F.floor(F.col("before") / (block_budgets * budget))))
     head = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("~2"))
-    item = F.struct("turn", "role", "text", "past", head.alias("head"), escaped(F.col("text")).alias("body"))
-    grouped = placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    grouped = grouped.where(F.exists("items", lambda x: ~x.past))
-
-    first = F.struct("turn", "role", "text")
+    item = F.struct("rank", "turn", "role", "tokens", head.alias("head"), escaped(F.col("text")).alias("body"))
+    own = placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # the turns before each block but the first, found by their ranks
+    late = placed.groupBy("conv_id", "block").agg(F.min("rank").alias("first")).where(F.col("first") > 0)
+    ranks = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("first") - history_turns), F.col("first") - 1)
+    late = late.select(F.col("conv_id").alias("late_conv"), F.col("block").alias("late_block"), F.explode(ranks if history_turns else F.array().cast("array<long>")).alias("late_rank"))
+    carried = placed.join(late, F.col("conv_id").eqNullSafe(F.col("late_conv")) & (F.col("rank") == F.col("late_rank"))).groupBy("late_conv", "late_block").agg(F.array_sort(F.collect_list(item)).alias("carried"))
+    same = F.col("conv_id").eqNullSafe(F.col("late_conv")) & (F.col("block") == F.col("late_block"))
+    grouped = own.join(carried, same, "left").withColumns({"carried": F.coalesce("carried", F.expr("slice(items, 1, 0)"))}).drop("late_conv", "late_block")
+
+    first = F.struct("rank", "text", "tokens")
     system = (
-        rows.where(F.col("role") == "system").groupBy("conv_id").agg(F.min(first).alias("s"))
-        .select(F.col("conv_id").alias("sys_conv"), F.col("s.turn").alias("sys_turn"), F.concat(F.lit(PAST + "system\n"), escaped(F.col("s.text")), F.lit(END)).alias("sys_text"))
+        placed.where(F.col("role") == "system").groupBy("conv_id").agg(F.min(first).alias("s"))
+        .select(F.col("conv_id").alias("sys_conv"), F.col("s.rank").alias("sys_rank"), F.concat(F.lit(PAST + "system\n"), escaped(F.col("s.text")), F.lit(END)).alias("sys_text"), F.col("s.tokens").alias("sys_tokens"))
     )
-    df = grouped.join(system, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left")
-
-    tokens = lambda x: F.ceil(F.length(x.body) / 4) + 4
-    df = df.withColumns({"sizes": F.transform("items", tokens), "n_past": F.size(F.filter("items", lambda x: x.past))})
-    sys_tokens = F.coalesce(F.ceil(F.length("sys_text") / 4), F.lit(0))
-    df = df.withColumn("room", F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - sys_tokens))
-    empty = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
+    df = grouped.join(system, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left").withColumn("sys_tokens", F.coalesce("sys_tokens", F.lit(0)))
+    df = df.withColumn("room", F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - F.col("sys_tokens")))
+    origin = F.get("items", F.lit(0)).rank
+    df = df.withColumn("origin", origin)
 
-    def step(a: Column, size: Column) -> Column:
-        new = (F.size(a.starts) == 0) | (a.used + size > F.col("room"))
+    def step(a: Column, x: Column) -> Column:
+        new = (F.size(a.starts) == 0) | (a.used + x.tokens > F.col("room"))
         return F.struct(
-            (a.i + 1).alias("i"),
-            F.when(new, size).otherwise(a.used + size).alias("used"),
-            F.when(new, F.concat(a.starts, F.array(a.i + F.col("n_past")))).otherwise(a.starts).alias("starts"),
+            F.when(new, x.tokens).otherwise(a.used + x.tokens).alias("used"),
+            F.when(new, F.concat(a.starts, F.array((x.rank - F.col("origin")).cast("int")))).otherwise(a.starts).alias("starts"),
         )
 
-    own_sizes = F.slice("sizes", F.col("n_past") + 1, F.size("sizes") - F.col("n_past"))
-    df = df.withColumn("starts", F.aggregate(own_sizes, empty, step, lambda a: a.starts))
+    nothing = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
+    df = df.withColumn("starts", F.aggregate("items", nothing, step, lambda a: a.starts))
     # start (from 0) and end of each window, then its own and its repeated turns
     df = df.select("*", F.posexplode("starts").alias("window", "start"))
     end = F.coalesce(F.get("starts", F.col("window") + 1), F.size("items"))
     df = df.withColumn("n_own", end - F.col("start")).drop("starts")
-    df = df.withColumn("n_back", F.least(F.lit(history_turns), F.col("start")))
-    df = df.withColumns({"own": F.slice("items", F.col("start") + 1, F.col("n_own")), "back": F.slice("items", F.col("start") - F.col("n_back") + 1, F.col("n_back"))})
-    df = df.withColumn("back", F.filter("back", lambda x: x.role != "system"))
-    size_from = lambda i: F.aggregate(F.slice("back", i + 1, F.size("back") - i), F.lit(0).cast("long"), lambda a, x: a + tokens(x))
-    df = df.withColumn("back", F.filter("back", lambda x, i: size_from(i) <= history_budget))
-    has_system = F.exists("own", lambda x: (x.role == "system") & x.turn.eqNullSafe(F.col("sys_turn")))
-    written = lambda mark: lambda x: F.concat(F.lit(mark), x.head, F.lit("\n"), x.body, F.lit(END))
-    before = F.concat(F.lit(BOS), F.when(has_system, "").otherwise(F.coalesce("sys_text", F.lit(""))), F.array_join(F.transform("back", written(PAST)), ""))
-    df = df.withColumns({"before": before, "pieces": F.transform("own", written(TURN))}).drop("items", "sizes", "back")
-    df = df.withColumn("lengths", F.transform("pieces", lambda p: F.length(p)))
-
-    def span(x: Column, i: Column) -> Column:
-        stop = F.length("before") + F.aggregate(F.slice("lengths", 1, i + 1), F.lit(0), lambda a, n: a + n) - len(END)
-        return F.struct((stop - F.length(x.body)).alias("start"), stop.alias("end"), x.role.alias("role"))
-
-    targets = F.filter(F.transform("own", span), lambda s: s.role == "assistant")
-    n_tokens = F.ceil(F.length("before") / 4) + F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + tokens(x))
+    line = F.concat("carried", F.slice("items", 1, F.col("start")))
+    back = F.slice(line, F.greatest(F.lit(1), F.size(line) - history_turns + 1), F.lit(history_turns))
+    df = df.withColumns({"own": F.slice("items", F.col("start") + 1, F.col("n_own")), "back": F.filter(back, lambda x: x.role != "system")})
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.tokens)
+    df = df.withColumn("back", F.filter("back", lambda x, i: total(F.slice("back", i + 1, F.size("back") - i)) <= history_budget))
+    has_system = F.exists("own", lambda x: x.rank.eqNullSafe(F.col("sys_rank")))
+    piece = lambda mark, x: F.concat(F.lit(mark), x.head, F.lit("\n"), x.body, F.lit(END))
+    before = F.concat(F.lit(BOS), F.when(has_system, "").otherwise(F.coalesce("sys_text", F.lit(""))), F.array_join(F.transform("back", lambda x: piece(PAST, x)), ""))
+    extra = F.when(has_system, 0).otherwise(F.col("sys_tokens"))
+    df = df.withColumns({"before": before, "n_tokens": extra + total("back") + total("own")}).drop("items", "carried", "back")
+
+    def target(a: Column, x: Column) -> Column:
+        stop = a.at + F.length(piece(TURN, x))
+        span = F.struct((stop - len(END) - F.length(x.body)).alias("start"), (stop - len(END)).alias("end"))
+        return F.struct(stop.alias("at"), F.when(x.role == "assistant", F.concat(a.spans, F.array(span))).otherwise(a.spans).alias("spans"))
+
+    start = F.struct(F.length("before").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return df.select(
         "conv_id", "block", "window",
         F.get("own", F.lit(0)).turn.alias("first_turn"),
         F.element_at("own", -1).turn.alias("last_turn"),
         "n_own",
-        F.concat("before", F.array_join("pieces", "")).alias("formatted"),
-        F.transform(targets, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("loss_spans"),
-        n_tokens.alias("n_tokens"),
-        (n_tokens > budget).alias("over_budget"),
+        F.concat("before", F.array_join(F.transform("own", lambda x: piece(TURN, x)), "")).alias("formatted"),
+        F.aggregate("own", start, target, lambda a: a.spans).alias("loss_spans"),
+        "n_tokens",
+        (F.col("n_tokens") > budget).alias("over_budget"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -50,7 +51,7 @@ def test_chat_small_budget_round_trip(spark):
     ]
     odd += [(3, t, "assistant" if t % 2 else "user", f"turn {t} " * (t % 7)) for t in range(40)]
     df = spark.createDataFrame([(*r, "e", "b") for r in odd], TURNS)
-    w = format_chat(df, budget=120, history_turns=2, history_budget=30, block_turns=16)
+    w = format_chat(df, budget=120, history_turns=2, history_budget=30, block_budgets=1, bucket_turns=7)
     parts = w.select("*", read_turns(F.col("formatted")).alias("t"), read_targets(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()
     got = {}
     for r in sorted(parts, key=lambda r: (str(r.conv_id), r.block, r.window)):
@@ -65,8 +66,44 @@ def test_chat_small_budget_round_trip(spark):
     assert mine == expected([r[:4] for r in odd])
     later = [r for r in parts if r.conv_id == 1 and r.window > 0]
     assert later and all(f"{PAST}system\n" in r.formatted for r in later)
-    crossing = [r for r in parts if r.conv_id == 3 and r.block == 1 and r.window == 0]
-    assert f"{PAST}user\nturn 14" in crossing[0].formatted or f"{PAST}assistant\nturn 15" in crossing[0].formatted
+    crossing = [r for r in parts if r.conv_id == 3 and r.block > 0 and r.window == 0]
+    assert crossing and all(PAST in r.formatted for r in crossing)
+    again = format_chat(df, budget=120, history_turns=2, history_budget=30, block_budgets=1, bucket_turns=1000).select("conv_id", "block", "window", "formatted").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in w.select("conv_id", "block", "window", "formatted").collect())
+
+
+def greedy(turns, budget, history_turns, history_budget):
+    """Windows of (role, text) turns as lists of own turns, by a plain loop."""
+    size = lambda t: len(re.findall(r"[\u4e00-\u9fff]|[^\W\d_\u4e00-\u9fff]{1,5}|\d{1,3}|[^\w\s]|_", t)) + 4
+    system = next((size(t) for r, t in turns if r == "system"), 0)
+    out, used = [], 0
+    for r, t in turns:
+        if not out or used + size(t) > max(1, budget - history_budget - system):
+            out.append([])
+            used = 0
+        out[-1].append((r, t))
+        used += size(t)
+    return out
+
+
+def test_chat_windows_follow_tokens_not_turn_numbers(spark):
+    sparse = [(1, 300 * k, "assistant" if k % 2 else "user", f"short turn {k}") for k in range(6)]
+    tiny = [(2, k, "assistant" if k % 2 else "user", "ok") for k in range(514)]
+    chinese = [(3, k, "user", "\u6f22" * 1500) for k in range(4)]
+    rng = random.Random(3)
+    mixed = [(4, 3 * k, "system" if k == 0 else "assistant" if k % 2 else "user", "word, " * rng.randrange(120)) for k in range(60)]
+    df = spark.createDataFrame([(*r, "e", "b") for r in sparse + tiny + chinese + mixed], TURNS)
+    got = {}
+    for r in sorted(format_chat(df, budget=100_000).collect(), key=lambda r: (r.conv_id, r.block, r.window)):
+        got.setdefault(r.conv_id, []).append(r.n_own)
+    assert got == {1: [6], 2: [514], 3: [4], 4: [60]}
+    small = format_chat(df, budget=2048).select("*", read_turns(F.col("formatted")).alias("t")).collect()
+    assert [r.over_budget for r in small if r.conv_id == 3] == [False] * 4 and [r.n_own for r in small if r.conv_id == 3] == [1] * 4
+    assert len([r for r in small if r.conv_id == 1]) == 1
+    mine = [[tuple(t) for t in r.t] for r in sorted((r for r in small if r.conv_id == 4), key=lambda r: (r.block, r.window))]
+    assert mine == greedy([r[2:] for r in mixed], 2048, 2, 256) and len(mine) > 2
+    counted = format_chat(df.where("conv_id = 3"), budget=2048, tokens=F.lit(3000)).collect()
+    assert all(r.over_budget for r in counted)
 
 
 def test_chat_escapes_and_empty(spark):
