@@ -13,7 +13,7 @@ from .common import LOWER, UPPER, WORD, crc_mod, read
 from .decontaminate import decontaminate
 from .jaccard import jaccard_classes
 from .language import fit_dictionaries, identify
-from .license import NOTICES, PHRASES, scan_licenses
+from .license import NOTICES, PHRASES, scan_licenses, template_rows
 from .packing import pack
 from .sharding import interleaved_shards
 from .topk import top_k
@@ -124,29 +124,23 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 def _templates_sql() -> str:
-    rows, k = [], 0
-    for exact, templates in ((True, PHRASES), (False, NOTICES)):
-        for label, text in templates:
-            w = text.split(" ")
-            n = len(w) - (1 if exact else 2)
-            rows += [f"({k}, '{label}', {str(exact).lower()}, {n}, {i}, '{w[i]}', '{w[i + 1]}', {'NULL' if exact else repr(w[i + 2])})" for i in range(n)]
-            k += 1
-    return ", ".join(rows)
+    text = lambda w: "NULL" if w is None else f"'{w}'"
+    return ", ".join(f"({k}, '{label}', {str(exact).lower()}, {n}, {i}, {text(a)}, {text(b)}, {text(c)})" for k, label, exact, n, i, a, b, c in template_rows(PHRASES, NOTICES))
 
 
 OP5_SQL = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
 t AS (SELECT * FROM (VALUES {_templates_sql()}) AS v(template, label, exact, n_grams, tpos, t1, t2, t3)),
-p AS (SELECT doc_id, i AS place, w[i + 1] AS w1, w[i + 2] AS w2, w[i + 3] AS w3 FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
-h AS (SELECT doc_id, template, label, exact, n_grams, place - tpos AS diagonal, tpos, place FROM p JOIN t ON w1 = t1 AND w2 = t2 WHERE t3 IS NULL OR t3 = w3),
-v AS (SELECT doc_id, template, label, exact, n_grams, diagonal, list(DISTINCT tpos) AS votes, min(place) AS first, max(place) AS last FROM h GROUP BY ALL),
-a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= CASE WHEN exact THEN 0 ELSE 2 END THEN 0 ELSE 1 END AS apart FROM v),
-r AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM a),
-m AS (SELECT doc_id, label, exact, n_grams, len(list_distinct(flatten(list(votes)))) / n_grams AS coverage, min(first) AS first, max(last) AS last, min(diagonal) AS diagonal FROM r GROUP BY doc_id, template, label, exact, n_grams, run),
+p AS (SELECT rid, i AS place, w[i + 1] AS w1, w[i + 2] AS w2, w[i + 3] AS w3 FROM (SELECT rid, w, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+h AS (SELECT rid, template, label, exact, n_grams, place - tpos AS diagonal, tpos, place FROM p JOIN t ON w1 = t1 AND w2 = t2 WHERE t3 IS NULL OR t3 = w3),
+v AS (SELECT rid, template, label, exact, n_grams, diagonal, list(DISTINCT tpos) AS votes, min(place) AS first, max(place) AS last FROM h GROUP BY ALL),
+a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= CASE WHEN exact THEN 0 ELSE 2 END THEN 0 ELSE 1 END AS apart FROM v),
+r AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM a),
+m AS (SELECT rid, label, exact, n_grams, len(list_distinct(flatten(list(votes)))) / n_grams AS coverage, min(first) AS first, max(last) AS last, min(diagonal) AS diagonal FROM r GROUP BY rid, template, label, exact, n_grams, run),
 g AS (SELECT *, CASE WHEN exact THEN coverage = 1 ELSE coverage >= 0.6 AND last - first + 1 <= 1.5 * n_grams + 1 END AS good FROM m),
-f AS (SELECT doc_id, count(*) FILTER (WHERE good AND exact) AS n_base, min(diagonal) FILTER (WHERE good AND exact) AS first_word, max(diagonal) FILTER (WHERE good AND exact) AS last_word,
- string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good AND exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels, max(coverage) AS score FROM g GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN f USING (doc_id)
+f AS (SELECT rid, count(*) FILTER (WHERE good AND exact) AS n_base, min(diagonal) FILTER (WHERE good AND exact) AS first_word, max(diagonal) FILTER (WHERE good AND exact) AS last_word,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good AND exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels, max(coverage) AS score FROM g GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN f USING (rid)
 """
 
 
