@@ -22,31 +22,32 @@ def plain(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def fit_dictionaries(labelled: DataFrame, n_samples: int = 400, sample_chars: int = 256, max_languages: int = 64, seed: int = 5) -> dict[str, bytes]:
+def fit_dictionaries(labelled: DataFrame, n_samples: int = 400, sample_chars: int = 256, seed: int = 5) -> dict[str, bytes]:
     """Raw-content dictionary per language from (doc_id, text, lang): the bounded sample of the classifier.
 
-    For each of the max_languages most frequent languages, n_samples rows are drawn by seeded hash and a
-    stretch of sample_chars code points at a hashed place of each is taken, so a dictionary has at most
-    n_samples * sample_chars characters whatever the corpus. Null text or lang takes no part.
+    For every language n_samples rows are drawn by seeded hash and a stretch of sample_chars code points at a
+    hashed place of each is taken, so a dictionary has at most n_samples * sample_chars characters whatever the
+    corpus. Null text or lang takes no part; a language without letters in its sample gets no dictionary.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    languages = [r.lang for r in counts]
-    if not languages:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
         return {}
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - sample_chars)) + 1
     # of a frequent language only some eight times the sample, chosen by the hash, goes on to be ranked
     scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(scale, math.ceil(scale * 8 * n_samples / r.n)))])
-    drawn = rows.where(F.col("lang").isin(languages)).withColumn("h", h).where(F.pmod(F.shiftright("h", 20), F.lit(scale)) < F.try_element_at(share, F.col("lang")))
+    share = labelled.sparkSession.createDataFrame([(r.lang, min(scale, math.ceil(scale * 8 * n_samples / r.n))) for r in counts], "lang string, share long")
+    drawn = rows.withColumn("h", h).join(F.broadcast(share), "lang").where(F.pmod(F.shiftright("h", 20), F.lit(scale)) < F.col("share"))
     drawn = drawn.select("lang", "doc_id", "h", F.substring("text", start.cast("int"), F.lit(sample_chars)).alias("part"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "part")
     sample = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= n_samples).select("lang", "k", "part").collect()
-    parts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in languages}
+    parts: dict[str, list[tuple[int, str]]] = {}
     for r in sample:
-        parts[r.lang].append((r.k, plain(r.part)))
-    return {lang: " ".join(p for _, p in sorted(ps)).encode() for lang, ps in parts.items()}
+        parts.setdefault(r.lang, []).append((r.k, plain(r.part)))
+    joined = {lang: " ".join(p for _, p in sorted(ps) if p).encode() for lang, ps in parts.items()}
+    # zstandard wants eight bytes or more
+    return {lang: raw if len(raw) >= 8 else (raw + b" ") * 8 for lang, raw in sorted(joined.items()) if raw}
 
 
 class Compressors:
@@ -56,33 +57,30 @@ class Compressors:
         self.chunk = chunk
         self.by_language = []
         for lang, raw in sorted(dictionaries.items()):
-            if len(raw) < 8:
-                continue
             params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(raw), source_size=chunk, write_content_size=False, write_checksum=False, write_dict_id=False)
             shared = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.by_language.append((lang, zstandard.ZstdCompressor(dict_data=shared, compression_params=params)))
 
-    def __call__(self, text: str | None) -> tuple[str, float, int]:
-        """Language, margin in 0..1 and letters: the smallest total size of the text's chunks wins."""
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        """Language and margin in 0..1: the smallest total size of the text's chunks wins."""
         clean = plain(text or "")
-        letters = sum(map(str.isalpha, clean))
-        if not letters or not self.by_language:
-            return UNDETERMINED, 0.0, letters
+        if not any(map(str.isalpha, clean)) or not self.by_language:
+            return UNDETERMINED, 0.0
         chunks = [clean[i : i + self.chunk].encode() for i in range(0, len(clean), self.chunk)]
         sizes = sorted((sum(len(c.compress(x)) for x in chunks), lang) for lang, c in self.by_language)
-        margin = 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
-        return sizes[0][1], margin, letters
+        return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002, min_letters: int = 200, chunk: int = 1000, level: int = 6) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005, chunk: int = 1000, level: int = 6) -> DataFrame:
     """docs with lang_pred, lang_score and lang_rejected added (own columns of these names are replaced).
 
     The whole text, case-folded and without signs and digits, is compressed in chunks of `chunk` characters
     with each language's dictionary; the language of the smallest sum is chosen (ties: first in order) and the
     score is how much smaller it is than the second (0 to 1). `und` with score 0 stands for null, empty and
-    letterless texts, and if nothing was learned. Rejected are those, and texts whose margin is below
-    min_margin; texts of fewer than min_letters letters are too short for margins to tell and are not rejected
-    for them. Repeated rows are judged alike; an empty table gives no rows.
+    letterless texts, and if nothing was learned. Rejected are those, and texts of any length whose margin is
+    min_margin or less. Sizes are whole bytes, so the least difference that passes grows with the text: a short
+    text is rejected if two languages tie, one that takes 10 kB needs over 50 bytes. Repeated rows are judged
+    alike; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
@@ -91,7 +89,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         classify = Compressors(model.value, chunk, level)
         for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
             found = [classify(t) for t in b.column("text").to_pylist()]
-            rejected = [lang == UNDETERMINED or (margin < min_margin and letters >= min_letters) for lang, margin, letters in found]
+            rejected = [lang == UNDETERMINED or margin <= min_margin for lang, margin in found]
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 

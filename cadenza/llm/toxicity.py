@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
 from .textops import slices
 
 SLICE_BYTES = 1 << 20
@@ -27,7 +28,7 @@ FOLD_FROM = "".join(a for a, _ in _FOLDS) + _WIDE
 FOLD_TO = "".join(b for _, b in _FOLDS) + _WIDE_PLAIN
 TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Harmless phrases with words that lexicons tend to hold.
+#: Harmless phrases with words that lexicons tend to hold; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "stupid simple")
 
 
@@ -52,6 +53,26 @@ def _lower_bound(b: Column, n: Column, z: float) -> Column:
     return (p + z * z / 2 / n - z * F.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
 
 
+def _suspects(texts: DataFrame, lexicon: dict[str, float], prefixes: Sequence[int]) -> DataFrame:
+    """_toxic and pair for the distinct pairs of neighbouring words of each text of which the lexicon holds one."""
+    model = texts.sparkSession.sparkContext.broadcast(set(lexicon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = model.value
+        hit = lambda w: f" {w} " in terms or any(len(w) > n and f" {w[:n]}" in terms for n in prefixes)
+        for batch in batches:
+            toxic, pairs = [], []
+            for t, text in zip(batch.column("_toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = folded(text).split()
+                bad = [hit(w) for w in words]
+                found = {f" {words[k]} {words[k + 1]} " for k in range(len(words) - 1) if bad[k] or bad[k + 1]}
+                pairs += found
+                toxic += [t] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(pairs, pa.string())], names=["_toxic", "term"])
+
+    return texts.select(F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(run, "_toxic int, term string")
+
+
 def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_docs: int = 3, min_precision: float = 0.95, min_bound: float = 0.55, z: float = 1.645, prefixes: Sequence[int] = (4, 5, 6), seed: int = 3) -> dict[str, float]:
     """Weights of terms from docs (doc_id, text) and labels (doc_id, toxic): the bounded sample of the classifier.
 
@@ -59,8 +80,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000,
     a folded word (` word `) or the beginning of longer words (` wor`). Its own counts decide, over distinct texts,
     so the size of the corpus and of its languages plays no part: it enters the lexicon if it stands in at least
     min_docs toxic texts, min_precision of its texts are toxic, and the lower confidence bound of that share (z
-    standard errors) is min_bound or more. Its weight is the log of its odds. Null doc_id, toxic or text takes no
-    part; of repeated labels and texts the highest label counts. No toxic rows: an empty lexicon.
+    standard errors) is min_bound or more. Its weight is the log of its odds. By the same three bounds, the other
+    way round, a pair of words of which the lexicon holds one is an exception phrase, with a negative weight. Null
+    doc_id, toxic or text takes no part; of repeated labels and texts the highest label counts. No toxic rows: an
+    empty lexicon.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     n = own.count()
@@ -68,19 +91,27 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000,
     drawn = own.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(scale)) < max(1, min(scale, math.ceil(scale * max_labelled / max(n, 1)))))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    texts = texts.groupBy("text").agg(F.max("_toxic").alias("_toxic"))
+    texts = written(texts.groupBy("text").agg(F.max("_toxic").alias("_toxic")))
     words = folded_words(F.col("text"))
     whole = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     # the empty term stands in every text: its counts are the totals
     terms = F.array_distinct(F.concat(F.array(F.lit("")), whole, *(_beginnings(words, k) for k in prefixes)))
-    counts = texts.select("_toxic", F.explode(terms).alias("term")).groupBy("term").agg(
-        F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("_toxic") == 1, 0).otherwise(1)).alias("g")
-    )
-    both = F.col("b") + F.col("g")
-    evident = (F.col("b") >= min_docs) & (F.col("b") >= min_precision * both) & (_lower_bound(F.col("b"), both, z) >= min_bound)
-    kept = {r.term: (r.b, r.g) for r in counts.where((F.col("term") == "") | evident).collect()}
+
+    def counted(found: DataFrame) -> DataFrame:
+        toxic = F.when(F.col("_toxic") == 1, 1).otherwise(0)
+        return found.groupBy("term").agg(F.sum(toxic).alias("b"), F.sum(1 - toxic).alias("g")).withColumn("both", F.col("b") + F.col("g"))
+
+    def evident(side: str) -> Column:
+        k = F.col(side)
+        return (k >= min_docs) & (k >= min_precision * F.col("both")) & (_lower_bound(k, F.col("both"), z) >= min_bound)
+
+    counts = counted(texts.select("_toxic", F.explode(terms).alias("term")))
+    kept = {r.term: (r.b, r.g) for r in counts.where((F.col("term") == "") | evident("b")).collect()}
     bad, good = kept.pop("", (0, 0))
-    return {t: math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1)) for t, (b, g) in sorted(kept.items())}
+    lexicon = {t: math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1)) for t, (b, g) in sorted(kept.items())}
+    harmless = counted(_suspects(texts, lexicon, prefixes)).where(evident("g")).collect() if lexicon else []
+    dropped(texts)
+    return lexicon | {r.term: -1.0 for r in sorted(harmless)}
 
 
 class Scorer:
@@ -89,8 +120,7 @@ class Scorer:
 
         self.automaton = ahocorasick.Automaton()
         for term, weight in lexicon.items():
-            if weight > 0:
-                self.automaton.add_word(term, (len(term), weight))
+            self.automaton.add_word(term, (len(term), weight))
         for phrase in exceptions:
             term = folded(phrase)
             self.automaton.add_word(term, (len(term), -1.0))
