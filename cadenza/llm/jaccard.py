@@ -74,12 +74,12 @@ def _sketches(docs: DataFrame, n: int, bands: int, per_band: int, slice_bytes: i
                 keys = band_keys(grams, rows, bands, per_band)
                 offsets = np.concatenate([[0], np.cumsum(np.diff(rows) > 0) * bands]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(set_keys(grams, rows), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "text_key", "set_key", "bands"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(set_keys(grams, rows), pa.binary()), pa.array(np.diff(rows), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))],
+                    names=["doc_id", "text_key", "set_key", "n_grams", "bands"],
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, set_key binary, bands array<long>")
+    return own.mapInArrow(run, "doc_id long, text_key long, set_key binary, n_grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int, slice_bytes: int = 1 << 20) -> DataFrame:
@@ -118,16 +118,16 @@ def _block_links(threshold: Fraction):
     p, q = threshold.numerator, threshold.denominator
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        hub, i, j = key[0].as_py(), key[1].as_py(), key[2].as_py()
+        hub, a, i, b, j = (k.as_py() for k in key)
         keys = table.column("set_key").to_pylist()
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
         table = table.take(pa.array(order))
         keys = [keys[k] for k in order]
         grams = table.column("grams").combine_chunks()
         grams = [grams[k].values.to_numpy() for k in range(len(keys))]
-        chunk = table.column("chunk").to_numpy()
+        size_class, chunk = table.column("size_class").to_numpy(), table.column("chunk").to_numpy()
         copies = table.column("n_copies").to_numpy()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        left, right = np.flatnonzero((size_class == a) & (chunk == i)), np.flatnonzero((size_class == b) & (chunk == j))
         size = np.array([len(g) for g in grams])
         same = overlaps(grams, left, right)
         link = same * (p + q) >= p * (size[left][:, None] + size[right][None, :])
@@ -143,15 +143,15 @@ def _block_links(threshold: Fraction):
         texts, links = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         np.add.at(texts, left, link.sum(1))
         np.add.at(links, left, link @ copies[right])
-        if i != j:
+        if (a, i) != (b, j):
             np.add.at(texts, right, link.sum(0))
             np.add.at(links, right, copies[left] @ link)
         root = np.arange(len(keys))
-        a, b = left[np.nonzero(link)[0]], right[np.nonzero(link)[1]]
-        while len(a):
+        one, other = left[np.nonzero(link)[0]], right[np.nonzero(link)[1]]
+        while len(one):
             low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
+            np.minimum.at(low, one, root[other])
+            np.minimum.at(low, other, root[one])
             low = low[low]
             if (low == root).all():
                 break
@@ -164,7 +164,7 @@ def _block_links(threshold: Fraction):
     return run
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, chunk: int = 512) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, chunk: int = 128, chunk_grams: int = 1 << 18) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_text_links, n_copies, class_key, text_key.
 
     The word n-gram set of a whole text (words lower-cased; a text of fewer words is one gram) is compared with
@@ -176,10 +176,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     Documents with one set are one node, so exact copies cost a count. MinHash signatures are cut in bands
     (choose_bands) and shuffled on the bands' hashes; each bucket's smallest node is its hub, and nodes meet in
     the group of each hub they have, where all pairs are verified on full sets (64-bit hashes of the n-grams).
-    A group of over `chunk` nodes is split into pairs of chunks, so that no task holds more than two of them and
-    no pair of texts becomes a row. A pair at the threshold is missed with probability 1 - recall, a closer one
-    less often; what is reported is exact. class_key names a class even where no doc_id does (null for a text
-    without grams), text_key is xxhash64 of the text.
+    Only node keys and sizes go to the hubs at first. A group that is more than one chunk (of at most `chunk`
+    nodes and chunk_grams grams) is cut by size classes, so wide that linked sets lie in one or in neighbouring
+    ones, and these into chunks by hash; then gram lists move to the pairs of chunks that can hold a link, and to
+    no others. So no task holds more than two chunks and no pair of texts becomes a row. A pair at the threshold is
+    missed with probability 1 - recall, a closer one less often; what is reported is exact. class_key names a
+    class even where no doc_id does (null for a text without grams), text_key is xxhash64 of the text.
 
     Null, empty and wordless texts have no grams: no links, one copy, a class of their own. Null doc_ids are
     compared like others (their class may be null). Repeated rows are copies. Empty tables give no rows.
@@ -187,10 +189,31 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     bands, per_band = choose_bands(threshold, recall)
     sketch = written(_sketches(docs, n, bands, per_band))
     full = sketch.where(F.col("set_key").isNotNull())
-    nodes = written(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_doc"), F.min("bands").alias("bands")))
-    keyed = nodes.select("set_key", F.explode("bands").alias("band"))
+    wide = max(math.log(1 / threshold) * (1 + 1e-9), 1e-6) if threshold > 0 else math.inf
+    size_class = F.floor(F.ln("n_grams") / wide).cast("int") if wide < math.inf else F.lit(0)
+    nodes = full.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_doc"), F.min("bands").alias("bands"), F.min("n_grams").alias("n_grams"))
+    nodes = written(nodes.withColumn("size_class", size_class))
+    keyed = nodes.select("set_key", "n_grams", "size_class", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band", "hub")
-    edges = written(keyed.join(buckets, "band").select("set_key", "hub").distinct())
+    edges = written(keyed.join(buckets, "band").select("set_key", "n_grams", "size_class", "hub").distinct())
+
+    parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("g") / chunk_grams)).cast("int")
+    classes = edges.groupBy("hub", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
+    of_class = F.map_from_entries(F.collect_list(F.struct("size_class", F.struct(parts.alias("parts"), "n"))))
+    # written, so that the join below has its own exchange and a hot hub can be split over tasks
+    plan = written(classes.groupBy("hub").agg(of_class.alias("classes"), ((F.sum("n") <= chunk) & (F.sum("g") <= chunk_grams)).alias("one")))
+    own, here = F.col("classes")[F.col("size_class")], F.col("size_class")
+    spread = edges.join(plan, "hub").withColumn("chunk", F.pmod(F.xxhash64("set_key"), own["parts"]).cast("int"))
+    pair = lambda a, i, b, j: F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"))
+    chunks = lambda c: F.sequence(F.lit(0), F.try_element_at("classes", c)["parts"] - 1)
+    none = F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")
+    same = F.when(own["n"] > 1, F.transform(chunks(here), lambda o: pair(here, F.least("chunk", o), here, F.greatest("chunk", o)))).otherwise(none)
+    up = F.coalesce(F.transform(chunks(here + 1), lambda j: pair(here, F.col("chunk"), here + 1, j)), none)
+    down = F.coalesce(F.transform(chunks(here - 1), lambda i: pair(here - 1, i, here, F.col("chunk"))), none)
+    zero = F.lit(0)
+    at = F.explode(F.when(F.col("one"), F.array(pair(zero, zero, zero, zero))).otherwise(F.concat(same, up, down)))
+    whole = lambda c: F.when(F.col("one"), 0).otherwise(F.col(c)).alias(c)
+    tasks = spread.withColumn("at", at).select("set_key", "hub", "at.*", whole("size_class"), whole("chunk"))
 
     hubs = edges.groupBy("set_key").agg(F.collect_set("hub").alias("hubs"))  # at most one for each band
     wanted = nodes.join(hubs, "set_key").select("set_key", "hubs", "n_copies", "first_doc")
@@ -198,14 +221,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     ids = wanted.select("first_doc").distinct()
     sets = _sets(texts.join(ids, texts.doc_id.eqNullSafe(ids.first_doc), "left_semi"), n)
     sets = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.first("grams").alias("grams"))
-    members = wanted.join(sets, "set_key").select("set_key", "hubs", "n_copies", "grams", F.explode("hubs").alias("hub"))
-    # written, so that the join below has its own exchange and a hot hub can be split over tasks
-    sizes = written(edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("n_chunks")))
-    spread = members.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("n_chunks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    tasks = spread.withColumn("pair", F.explode(pairs)).select("hub", "pair.i", "pair.j", "set_key", "hubs", "n_copies", "grams", "chunk")
+    members = wanted.join(sets, "set_key").select("set_key", "hubs", "n_copies", "grams")
     verify = _block_links(Fraction(threshold).limit_denominator(10_000))
-    links = written(tasks.groupBy("hub", "i", "j").applyInArrow(verify, "set_key binary, n_texts long, n_links long, root binary"))
+    links = tasks.join(members, "set_key").groupBy("hub", "a", "i", "b", "j").applyInArrow(verify, "set_key binary, n_texts long, n_links long, root binary")
+    links = written(links)
 
     counted = links.groupBy("set_key").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
     component = connected_components(links.select(F.col("set_key").alias("src"), F.col("root").alias("dst")))

@@ -117,10 +117,14 @@ def test_jaccard_odd_rows_and_large_groups(spark):
         for _ in range(rng.randrange(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         docs.append((i, " ".join(w)))
+    for i in range(60):  # longer and longer ones, from class to class of sizes
+        docs.append((200 + i, " ".join(base + rng.choices(vocabulary, k=2 * i))))
+        docs.append((300 + i, docs[-1][1] + " " + rng.choice(vocabulary)))
     docs += [(500 + i, docs[3][1]) for i in range(40)] + [(600 + i, " ".join(rng.choices(vocabulary, k=80))) for i in range(60)]
     docs += [(700, None), (701, ""), (702, "!!"), (703, None), (704, "one two"), (705, "One, TWO!"), (None, docs[3][1]), (None, "lonely text of its own here"), (706, "x " * 30000), (706, "x " * 30000)]
     df = spark.createDataFrame([(*r, "s", 1) for r in docs], "doc_id long, text string, source string, hub int")
-    assert rows_of(jaccard_classes(df, chunk=16, recall=0.99999)) == brute_classes(docs)
+    for chunk, grams in ((16, 1 << 18), (128, 1 << 18), (1000, 1000)):
+        assert rows_of(jaccard_classes(df, chunk=chunk, chunk_grams=grams, recall=0.99999)) == brute_classes(docs)
     assert jaccard_classes(df.limit(0)).count() == 0
     assert rows_of(jaccard_classes(df.where("doc_id between 700 and 703"))) == [(i, i, 0, 0) for i in range(700, 704)]
 
