@@ -90,6 +90,58 @@ def test_best_two_fit_places_all_and_packs_tightly():
             assert len(load) <= 1.01 * total / cap + 1
 
 
+def one_by_one(pieces, cap):
+    """Best-two-fit by the piece: loads of the bins as sorted lists of sizes."""
+    left, bins = sorted(pieces, reverse=True), []
+    while left:
+        held, gap = [], cap
+        fill = lambda: next((x for x in left if x <= gap), None)
+        while (x := fill()) is not None:
+            left.remove(x)
+            held.append(x)
+            gap -= x
+        while gap and len(held) > 1:
+            small = min(held)
+            wide, best = gap + small, None
+            for x in sorted(set(left)):
+                for y in set(left):
+                    if small < x + y <= wide and (x != y or left.count(x) > 1) and (best is None or x + y > sum(best)):
+                        best = (x, y)
+            if best is None:
+                break
+            held.remove(small)
+            left.append(small)
+            for x in best:
+                left.remove(x)
+                held.append(x)
+            left.sort(reverse=True)
+            gap = wide - sum(best)
+            while (x := fill()) is not None:
+                left.remove(x)
+                held.append(x)
+                gap -= x
+        bins.append(sorted(held))
+    return bins
+
+
+def test_plan_against_packing_one_by_one():
+    """The plan by counts packs as densely as the same rule applied piece by piece."""
+    rng = random.Random(11)
+    for case in range(40):
+        cap = rng.choice([7, 12, 25])
+        pieces = [rng.randint(1, cap) for _ in range(rng.randrange(1, 60))]
+        counts = defaultdict(int)
+        for x in pieces:
+            counts[x] += 1
+        load = defaultdict(list)
+        for size, a, b, first, bins, _ in best_two_fit(dict(counts), cap):
+            for k in range(b - a):
+                load[first + k % bins].append(size)
+        want = one_by_one(pieces, cap)
+        assert sorted(x for v in load.values() for x in v) == sorted(pieces) and max(map(sum, load.values())) <= cap
+        assert abs(len(load) - len(want)) <= 1 and len(load) <= -(-sum(pieces) // cap) * 1.35 + 1, (case, len(load), len(want))
+
+
 def test_pair_replaces_smallest():
     # greedy leaves 10 = 6 + 3 and a gap of 1; giving back 3 lets 2 + 2 in
     plan = best_two_fit({6: 1, 3: 1, 2: 2}, 10)

@@ -52,7 +52,9 @@ def test_stages_against_brute_force(spark):
 
 def test_run_and_odd_rows(spark, tmp_path):
     whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    odd = [(9001, None, "en", "s", 0), (9002, "", None, None, 0), (9003, whole.first().text, None, "s", 1), (None, "a text without an id but words", "en", None, None), (9004, "same row", "en", "s", 8), (9004, "same row", "en", "s", 8)]
+    # words of real texts in an order of their own, long enough for their language to show
+    one, two = (" ".join(sorted(r.text.split()[:80])) for r in whole.where("lang = 'en' and length(text) > 600").orderBy("doc_id").limit(2).collect())
+    odd = [(9001, None, "en", "s", 0), (9002, "", None, None, 0), (9003, whole.first().text, None, "s", 1), (None, one, "en", None, None), (9004, two, "en", "s", 8), (9004, two, "en", "s", 8)]
     docs = whole.unionByName(spark.createDataFrame(odd, whole.schema)).withColumn("class_key", F.lit("x")).withColumn("n_hit", F.lit(1))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
