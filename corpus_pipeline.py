@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import crc_mod, read, written
+from cadenza.llm.common import crc_mod, dropped, read, scratch, written
 from cadenza.llm.decontaminate import decontaminate
 from cadenza.llm.jaccard import keep_one
 from cadenza.llm.language import fit_dictionaries, identify
@@ -67,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's tables go when its output is written, and that when the next one's is."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs
