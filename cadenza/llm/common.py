@@ -121,7 +121,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each a groupBy-min and a join, written
     to the shared folder. Nulls and loops are left out; an empty edge list gives no rows. The loop ends without a
     limit of rounds: no round ever raises a node's smallest neighbour, one that changes nothing ends it, and the
-    paper shows that O(log(n)^2) rounds do for n nodes.
+    paper shows that O(log(n)^2) rounds do for n nodes. The smallest neighbours are written, so that the joins with
+    them have exchanges of their own and a node of a huge component can be split over tasks.
     """
     both = lambda e: e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
@@ -129,15 +130,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = ()
     while True:
         near = both(e)
-        low = near.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        low = written(near.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")))
         star = near.where(F.col("dst") > F.col("src")).join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        star = star.where(F.col("src") != F.col("dst")).distinct()
-        least = star.groupBy("src").agg(F.min("dst").alias("m"))
+        star = written(star.where(F.col("src") != F.col("dst")).distinct())
+        least = written(star.groupBy("src").agg(F.min("dst").alias("m")))
         small = star.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         small = small.union(least.select("src", F.col("m").alias("dst"))).where(F.col("src") != F.col("dst")).distinct()
         nxt = written(small)
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        dropped(e)
+        for table in (e, low, star, least):
+            dropped(table)
         e = nxt
         if now == state:
             break

@@ -135,9 +135,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     Phase 1 gathers the k best entries of every list, completes the scores of these few rows, and takes the k-th
     best of them as the query's cutoff, which is safe: k rows at least reach it. Phase 2 broadcasts the cutoffs.
     A row whose scores sum to the cutoff has a list with cutoff / lists or more (whatever the signs), so each list
-    sends just its entries above that uniform threshold. They are summed by row, and a row goes if even the
-    threshold in each list that did not send it leaves it below the cutoff. Phase 3 computes the missing lists of
-    the rows that remain, and of those rows only. Products of the lists are computed in phase 1 and again in
+    sends just its entries above that uniform threshold. They are summed by row. Phase 3 computes the lists that
+    did not send a row, of these rows only, and the k best remain. Products of the lists are computed in phase 1 and again in
     phase 2, as kept lists would hold an entry for each row and query.
 
     A row is no candidate for its own vec_id. Null vec_ids, null vectors and vectors with a null or non-finite
@@ -182,13 +181,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         queries.destroy()
 
         queries = spark.sparkContext.broadcast(Queries(ids, q, cuts))
-        limits = spark.createDataFrame(list(zip(ids.tolist(), cuts.tolist(), strict=True)), "query_id long, cutoff long")
         entries = every(lambda at, number, queries=queries: _second(queries, scale, at, number, m), entry)
         if counts is not None:
             entries = written(entries)
-        summed = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.bit_or("list").alias("lists")).join(F.broadcast(limits), "query_id")
-        reach = m * F.col("known") + (m - F.bit_count("lists")) * F.col("cutoff") >= m * F.col("cutoff")
-        rest = summed.where(reach)
+        rest = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.bit_or("list").alias("lists"))
         final = complete(rest, queries).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
         done.append(written(final.select("query_id", F.col("_r").alias("rank"), "vec_id", "score")))
         if counts is not None:
