@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_up
-from ..functions.text import ACCENTED, EN_STOP, FR_STOP, FR_VOWEL, PLAIN, french_or_english, normal_line, rhyme, safe_name, syllables, words
+from ..functions.text import ACCENTED, EN_STOP, FR_STOP, FR_SOUNDS, FR_VOWEL, PLAIN, french_or_english, normal_line, rhyme, safe_name, syllables, words
 from ..operators.windows import top
 from ..sources.tables import LINES, lyric_lines, table, written
 from .timeline import r
@@ -70,11 +70,17 @@ c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >=
 
 
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated 3- to 6-grams of each document; n-grams cross line ends."""
-    w = doc_words(spark, sf_dir)
-    at = w.select("doc_id", "w", F.explode(F.array(*map(F.lit, (3, 4, 5, 6)))).alias("n")).where(F.size("w") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
-    return at.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Repeated 3- to 6-grams of each document; n-grams cross line ends.
+
+    Word arrays are dealt by doc_id once; hashes of the n-grams are counted where they lie, and only of repeated ones
+    the words are joined.
+    """
+    w = doc_words(spark, sf_dir).repartition("doc_id")
+    at = w.select("doc_id", "w", F.explode(F.array(*map(F.lit, (3, 4, 5, 6)))).alias("size")).where(F.size("w") >= F.col("size"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("size"))))
+    counted = at.select("doc_id", "size", F.posexplode(hashes).alias("i", "h")).groupBy("doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
+    again = counted.where("n >= 2").join(w, "doc_id")
+    return again.select("doc_id", F.array_join(F.slice("w", F.col("i") + 1, F.col("size")), " ").alias("gram"), "n")
 
 
 @query(f"WITH {GRAMS_SQL} SELECT doc_id, gram, n FROM c")
@@ -86,12 +92,16 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.doc_id, a.gram, a.n FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = a.doc_id AND b.p < a.p AND contains(b.gram, a.gram)) QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY p) <= 5""")
 def signature_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five weightiest repeated phrases of a document that no weightier one contains."""
-    weight = F.col("n") * F.length("gram")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "gram"))
-    k = gram_counts(spark, sf_dir).withColumn("weight", weight).withColumn("p", place)
-    b = k.select("doc_id", F.col("gram").alias("over"), F.col("p").alias("q"))
-    free = k.join(b, (k.doc_id == b.doc_id) & (b.q < k.p) & b.over.contains(k.gram), "left_anti")
-    return top(free, ["doc_id"], [F.asc("p")], 5).select("doc_id", "gram", "n")
+    item = F.struct((-F.col("n") * F.length("gram")).alias("weight"), "gram", "n")
+    k = gram_counts(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("k"))
+    none = F.array().cast("array<struct<weight:bigint,gram:string,n:bigint>>")
+
+    def step(kept, x):
+        free = (F.size(kept) < 5) & ~F.exists(kept, lambda h: h.gram.contains(x.gram))
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    # a phrase in one that was left out is also in the one that holds that
+    return k.select("doc_id", F.explode(F.aggregate("k", none, step)).alias("x")).select("doc_id", "x.gram", "x.n")
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(len(list_distinct(w)) / greatest(1, len(w)), 6) AS unique_ratio FROM ws")
@@ -136,33 +146,114 @@ def rhyme_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyric_lines(spark, sf_dir).select("doc_id", "pos", rhyme(F.col("text"), F.lit(False)).alias("rhyme"))
 
 
-@query()
+_CONS = "[^aeiouyàâäéèêëîïôöùûü]+"
+
+
+def _sound_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{end}') THEN '{sound}'" for end, sound in FR_SOUNDS) + " END"
+
+
+def _rhyme_sql(source: str) -> str:
+    """CTEs from `source` (id, pos, text, l) to rk (its columns and k, the rhyme key in the language l)."""
+    cons = f"string_split(regexp_extract(c, '({_CONS})$', 1), '')"
+    once = f"array_to_string(list_filter({cons}, lambda x, i: i = 1 OR x <> {cons}[i - 1]), '')"
+    sound = _sound_sql(f"regexp_replace(c, '{_CONS}$', '')")
+    return rf"""lw AS (SELECT *, list_last(regexp_split_to_array(trim(regexp_replace(lower(text), '[^a-zà-ÿœæ'' ]+', ' ', 'g'), ' '), '\s+')) AS last FROM {source}),
+tk AS (SELECT *, regexp_replace(translate(last, '{ACCENTED}', '{PLAIN}'), '''', '', 'g') AS e, regexp_replace(regexp_replace(last, '^[a-z]''', ''), 'œ', 'e', 'g') AS f FROM lw),
+ck AS (SELECT *, CASE WHEN regexp_extract(e, '([aeiouy]+[^aeiouy]*)$', 1) <> '' THEN regexp_extract(e, '([aeiouy]+[^aeiouy]*)$', 1) ELSE regexp_extract(e, '.{{0,2}}$') END AS t,
+ regexp_replace(regexp_replace(regexp_replace(f, '(es|ent)$', ''), 'e$', ''), '[stxdzp]+$', '') AS c FROM tk),
+vk AS (SELECT *, coalesce({sound}, '') || upper({once}) AS code FROM ck),
+rk AS (SELECT *, CASE WHEN l <> 'fr' THEN upper(regexp_replace(regexp_replace(regexp_replace(t, 'e$', ''), 'ies$|y$', 'i'), 's$', '')) WHEN f = '' THEN '' WHEN regexp_matches(f, '(ée?s?|er|ez)$') THEN 'É' WHEN regexp_matches(f, 'ai[st]?$') THEN 'È'
+ ELSE coalesce(CASE WHEN regexp_matches(c, '[nm]$') THEN {_sound_sql('c')} END, CASE WHEN code <> '' THEN code ELSE upper(regexp_extract(c, '.{{0,2}}$')) END) END AS k FROM vk)"""
+
+
+@query(f"WITH {LINES}, fl AS (SELECT *, 'fr' AS l FROM lines), {_rhyme_sql('fl')} SELECT doc_id, pos, k AS rhyme FROM rk")
 def rhyme_key_french(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Needs a back reference (doubled consonants), which the oracle's regular expressions lack."""
     return lyric_lines(spark, sf_dir).select("doc_id", "pos", rhyme(F.col("text"), F.lit(True)).alias("rhyme"))
 
 
-@query(f"""WITH {RHYME_EN_SQL}, f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, k) AS first FROM rk), d AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS o,
- k <> '' AND (k = lag(k) OVER w OR k = lag(k, 2) OVER w OR k = lead(k) OVER w OR k = lead(k, 2) OVER w) AS near FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, pos, chr(CAST(65 + o % 26 AS INTEGER)) AS letter, coalesce(near, false) AS rhymed FROM d""")
-def rhyme_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters by first appearance of each rhyme, and whether a line rhymes with one of the two before or after it."""
-    k = lyric_lines(spark, sf_dir).select("doc_id", "pos", rhyme(F.col("text"), F.lit(False)).alias("k"))
-    first = k.withColumn("first", F.min("pos").over(Window.partitionBy("doc_id", "k")))
-    line = Window.partitionBy("doc_id").orderBy("pos")
+# Headers of sections in brackets or by keyword, and the name of text without one.
+HEADER = r"^[\[(]\s*([^\])]+)\s*[\])]\s*:?$"
+HEADER_WORD = r"(?i)^(refrain|couplet|hook|chorus|verse|pont|bridge|intro|outro|pré-refrain|pre-chorus)\s*\d*\s*:?$"
+NO_SECTION = "Texte"
+HOOK_SECTION = r"(?i)refrain|hook|chorus"
+
+
+def sectioned(lines: DataFrame, key: str) -> DataFrame:
+    """Lines (key, pos, text) without the headers, each with the section of the last header before it."""
+    bracket, word = F.regexp_extract("text", HEADER, 1), F.regexp_extract("text", HEADER_WORD, 1)
+    header = F.when(F.col("text").rlike(HEADER), F.trim(bracket)).when(F.col("text").rlike(HEADER_WORD), F.trim(word))
+    line = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("_header", header)
+    return marked.withColumn("section", F.coalesce(F.last("_header", ignorenulls=True).over(line), F.lit(NO_SECTION))).where(F.col("_header").isNull()).drop("_header")
+
+
+def _sections_sql(source: str, key: str) -> str:
+    return f"""hd AS (SELECT *, CASE WHEN regexp_matches(text, '{HEADER}') THEN trim(regexp_extract(text, '{HEADER}', 1)) WHEN regexp_matches(text, '{HEADER_WORD}') THEN trim(regexp_extract(text, '{HEADER_WORD}', 1)) END AS header FROM {source}),
+sec AS (SELECT * EXCLUDE (header) FROM (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '{NO_SECTION}') AS section FROM hd) WHERE header IS NULL)"""
+
+
+def lettered(lines: DataFrame, key: str) -> DataFrame:
+    """Lines (key, pos, section, k) with the letter of their rhyme by first appearance in the section, and whether one of
+    the two lines before or after in the section has the same rhyme."""
+    first = lines.withColumn("first", F.min("pos").over(Window.partitionBy(key, "section", "k")))
+    line = Window.partitionBy(key, "section").orderBy("pos")
     near = F.lit(False)
     for step in (1, 2):
         near = near | F.coalesce(F.col("k") == F.lag("k", step).over(line), F.lit(False)) | F.coalesce(F.col("k") == F.lead("k", step).over(line), F.lit(False))
-    order = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")) - 1
-    return first.select("doc_id", "pos", F.char(65 + order % 26).alias("letter"), ((F.col("k") != "") & near).alias("rhymed"))
+    order = F.dense_rank().over(Window.partitionBy(key, "section").orderBy("first")) - 1
+    return first.withColumns({"letter": F.char(65 + order % 26), "rhymed": (F.col("k") != "") & near}).drop("first")
+
+
+def _letters_sql(key: str) -> str:
+    return f"""fk AS (SELECT *, min(pos) OVER (PARTITION BY {key}, section, k) AS first FROM rk), dk AS (SELECT *, chr(CAST(65 + (dense_rank() OVER (PARTITION BY {key}, section ORDER BY first) - 1) % 26 AS INTEGER)) AS letter,
+ coalesce(k <> '' AND (coalesce(k = lag(k) OVER w, false) OR coalesce(k = lag(k, 2) OVER w, false) OR coalesce(k = lead(k) OVER w, false) OR coalesce(k = lead(k, 2) OVER w, false)), false) AS rhymed FROM fk WINDOW w AS (PARTITION BY {key}, section ORDER BY pos))"""
+
 
+RHYMES_SQL = f"{LINES}, {LANG_SQL}, ln AS (SELECT lines.*, l FROM lines JOIN langs USING (doc_id)), {_sections_sql('ln', 'doc_id')}, {_rhyme_sql('sec')}, {_letters_sql('doc_id')}"
 
-@query(f"""WITH {RHYME_EN_SQL}, n AS (SELECT doc_id, k <> '' AND (k = lag(k) OVER w OR k = lag(k, 2) OVER w OR k = lead(k) OVER w OR k = lead(k, 2) OVER w) AS near FROM rk WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, round(avg(CASE WHEN near THEN 1.0 ELSE 0.0 END), 6) AS density FROM n GROUP BY doc_id""")
+
+@query(f"WITH {RHYMES_SQL} SELECT doc_id, pos, letter, rhymed FROM dk")
+def rhyme_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rhymes in the language of each text: letters by first appearance in the section, and whether a line rhymes with
+    one of the two before or after it there."""
+    lines = sectioned(line_syllables(spark, sf_dir), "doc_id").select("doc_id", "pos", "section", rhyme(F.col("text"), F.col("l") == "fr").alias("k"))
+    return lettered(lines, "doc_id").select("doc_id", "pos", "letter", "rhymed")
+
+
+@query(f"WITH {RHYMES_SQL} SELECT doc_id, round(avg(CASE WHEN rhymed THEN 1.0 ELSE 0.0 END), 6) AS density FROM dk GROUP BY doc_id")
 def rhyme_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rhyme_letters(spark, sf_dir).groupBy("doc_id").agg(r(F.avg(F.when(F.col("rhymed"), 1.0).otherwise(0.0)), 6).alias("density"))
 
 
+def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as song texts of many sections: each turn is a section, and its role is the header, as a keyword for
+    the assistant's (chorus), in square brackets for the user's and in round ones for others. (song, l, pos, text), with the language of the whole text."""
+    header = F.when(F.col("role") == "assistant", "CHORUS 2:").when(F.col("role") == "user", "[ Verse 1 ]").otherwise(F.concat(F.lit("("), F.coalesce("role", F.lit("none")), F.lit(") :")))
+    part = F.concat(header, F.lit("\n"), F.coalesce("text", F.lit("")))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("t"))
+    texts = turns.select(F.col("conv_id").alias("song"), F.array_join(F.transform("t", lambda t: t.part), "\n").alias("text"))
+    lines = texts.select("song", french_or_english(F.col("text")).alias("l"), F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw"))
+    return lines.select("song", "l", F.col("pos").cast("long").alias("pos"), F.trim("raw").alias("text")).where("text <> ''")
+
+
+SONGS_SQL = f"""so AS (SELECT conv_id AS song, array_to_string(list(part ORDER BY turn, part), chr(10)) AS text FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'CHORUS 2:' WHEN role = 'user' THEN '[ Verse 1 ]' ELSE '(' || coalesce(role, 'none') || ') :' END || chr(10) || coalesce(text, '') AS part FROM conversations) GROUP BY conv_id),
+sw AS (SELECT song, text, {words_sql('text')} AS w FROM so), sl AS (SELECT song, text, CASE WHEN len(list_filter(w, lambda x: x IN {_in(FR_STOP)})) + CASE WHEN regexp_matches(lower(text), '[éèêàùçœ]') THEN 3 ELSE 0 END >= len(list_filter(w, lambda x: x IN {_in(EN_STOP)})) THEN 'fr' ELSE 'en' END AS l FROM sw),
+song AS (SELECT song, l, CAST(pos AS BIGINT) AS pos, text FROM (SELECT song, l, unnest(range(0, len(x))) AS pos, trim(unnest(x), ' ') AS text FROM (SELECT song, l, regexp_split_to_array(text, '\\r?\\n') AS x FROM sl)) WHERE text <> '')"""
+
+
+@query(f"WITH {SONGS_SQL}, {_sections_sql('song', 'song')} SELECT song, section, count(*) AS n, min(pos) AS first FROM sec GROUP BY 1, 2")
+def song_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines under each section's name."""
+    return sectioned(songs(spark, sf_dir), "song").groupBy("song", "section").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+
+
+@query(f"WITH {SONGS_SQL}, {_sections_sql('song', 'song')}, {_rhyme_sql('sec')}, {_letters_sql('song')} SELECT song, pos, section, k AS rhyme, letter, rhymed FROM dk")
+def song_rhymes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = sectioned(songs(spark, sf_dir), "song").withColumn("k", rhyme(F.col("text"), F.col("l") == "fr"))
+    return lettered(lines, "song").select("song", "pos", "section", F.col("k").alias("rhyme"), "letter", "rhymed")
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, trim(text, ' ') AS text FROM (SELECT conv_id, turn, unnest(regexp_split_to_array('[' || role || ']' || chr(10) || coalesce(text, ''), '\r?\n')) AS text FROM conversations))
 SELECT conv_id, turn, regexp_extract(text, '^\[\s*([^\]]+?)\s*\]$', 1) AS section, count(*) AS n FROM t WHERE regexp_matches(text, '^\[\s*[^\]]+\]$') GROUP BY 1, 2, 3""")
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,21 +273,37 @@ def title_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(t, "doc_id").groupBy("doc_id", "title").agg(F.count_if(has).alias("drops"), F.coalesce(F.min(F.when(has, F.col("pos"))), F.lit(-1)).cast("long").alias("first"))
 
 
-HOOK_SQL = f"""{SYL_SQL}, hn AS (SELECT doc_id, pos, text, n, {norm_sql('text')} AS norm, {words_sql('text')} AS w FROM syl), hr AS (SELECT *, count(*) OVER (PARTITION BY doc_id, norm) AS reps FROM hn),
-hs AS (SELECT *, CAST(floor(100 * (0.3 * CASE WHEN n BETWEEN 4 AND 11 THEN 1.0 WHEN n <= 14 THEN 0.5 ELSE 0.1 END + 0.3 * least(1.0, (reps - 1) / 2) + 0.15 * CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(tu|toi|te|t''|you|your|we|nous|on)($|[^a-z0-9_])') THEN 1 ELSE 0 END
- + 0.1 * CASE WHEN coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(1, len(w)) <= 5 THEN 1.0 WHEN coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(1, len(w)) <= 6.5 THEN 0.6 ELSE 0.3 END) + 0.5) AS BIGINT) AS score FROM hr)"""
+def _hooks_sql(source: str, key: str) -> str:
+    """CTEs from `source` (key, pos, text, section, l) to hs: syllables n, repetitions and the hook score of each line."""
+    mean = "coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(1, len(w))"
+    return f"""hn AS (SELECT {key}, pos, text, section, {_syllables_sql('text', "l = 'fr'")} AS n, {norm_sql('text')} AS norm, {words_sql('text')} AS w FROM {source}), hr AS (SELECT *, count(*) OVER (PARTITION BY {key}, norm) AS reps FROM hn),
+hs AS (SELECT *, CAST(floor(100 * (0.3 * CASE WHEN n BETWEEN 4 AND 11 THEN 1.0 WHEN n <= 14 THEN 0.5 ELSE 0.1 END + 0.3 * least(1.0, (reps - 1) / 2) + 0.15 * CASE WHEN regexp_matches(lower(text), '{ADDRESS}') THEN 1 ELSE 0 END
+ + 0.15 * CASE WHEN regexp_matches(section, '{HOOK_SECTION}') THEN 1 ELSE 0 END + 0.1 * CASE WHEN {mean} <= 5 THEN 1.0 WHEN {mean} <= 6.5 THEN 0.6 ELSE 0.3 END) + 0.5) AS BIGINT) AS score FROM hr)"""
 
 
-def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hook score of each line: singable length, repetition, address to a listener, short words."""
-    s = line_syllables(spark, sf_dir).withColumns({"norm": normal_line(F.col("text"))}).withColumn("w", words(F.col("norm")))
-    reps = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "norm"))
+# Words that address a listener; the score's weights are 0.3, 0.3, 0.15, 0.15 and 0.1.
+ADDRESS = "(^|[^a-z0-9_])(tu|toi|te|t''|you|your|we|nous|on)($|[^a-z0-9_])"
+
+
+HOOK_SQL = f"{LINES}, {LANG_SQL}, ln AS (SELECT lines.*, l FROM lines JOIN langs USING (doc_id)), {_sections_sql('ln', 'doc_id')}, {_hooks_sql('sec', 'doc_id')}"
+
+
+def hook_scores(lines: DataFrame, key: str) -> DataFrame:
+    """Hook score of lines (key, pos, text, section, n): singable length, repetition, address to a listener, a section
+    that is a hook, short words."""
+    s = lines.withColumns({"norm": normal_line(F.col("text"))}).withColumn("w", words(F.col("norm")))
+    reps = F.count(F.lit(1)).over(Window.partitionBy(key, "norm"))
     short = F.when(F.col("n").between(4, 11), 1.0).when(F.col("n") <= 14, 0.5).otherwise(0.1)
-    address = F.when(F.lower("text").rlike("(^|[^a-z0-9_])(tu|toi|te|t'|you|your|we|nous|on)($|[^a-z0-9_])"), 1).otherwise(0)
+    address = F.when(F.lower("text").rlike(ADDRESS.replace("''", "'")), 1).otherwise(0)
+    hook = F.when(F.col("section").rlike(HOOK_SECTION), 1).otherwise(0)
     mean = F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.lit(1), F.size("w"))
     simple = F.when(mean <= 5, 1.0).when(mean <= 6.5, 0.6).otherwise(0.3)
     rep = F.least(F.lit(1.0), (F.col("reps") - 1) / 2)
-    return s.withColumn("reps", reps).withColumn("score", half_up(100 * (0.3 * short + 0.3 * rep + 0.15 * address + 0.1 * simple)))
+    return s.withColumn("reps", reps).withColumn("score", half_up(100 * (0.3 * short + 0.3 * rep + 0.15 * address + 0.15 * hook + 0.1 * simple)))
+
+
+def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hook_scores(sectioned(line_syllables(spark, sf_dir), "doc_id"), "doc_id")
 
 
 @query(f"WITH {HOOK_SQL} SELECT doc_id, pos, score FROM hs")
@@ -227,6 +334,65 @@ def lyric_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(every, ["doc_id"], [F.desc("score"), F.asc("i"), F.asc("m")]).select("doc_id", "i", "m", "score")
 
 
+SONG_HOOKS_SQL = f"{SONGS_SQL}, {_sections_sql('song', 'song')}, {_hooks_sql('sec', 'song')}"
+
+
+def song_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = sectioned(songs(spark, sf_dir), "song")
+    return hook_scores(lines.withColumn("n", syllables(F.col("text"), F.col("l") == "fr").cast("long")), "song")
+
+
+@query(f"WITH {SONG_HOOKS_SQL} SELECT song, pos, section, n, score FROM hs")
+def song_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return song_scores(spark, sf_dir).select("song", "pos", "section", "n", "score")
+
+
+# Titles of the four new orders of a text.
+RESTRUCTURES = ["hook A-A-B-A", "short clip", "call and response", "hook first"]
+_ECHO_SQL = r"""{x} || ' (' || array_to_string(list_reverse(list_reverse(regexp_split_to_array(regexp_replace({x}, '[.,!?…]+$', ''), '\s+'))[1:2]), ' ') || ')'"""
+
+
+@query(f"""WITH {SONG_HOOKS_SQL}, lo AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY song) AS total FROM hs),
+u AS (SELECT * FROM lo QUALIFY row_number() OVER (PARTITION BY song, norm ORDER BY score DESC, pos) = 1), c AS (SELECT song, list(text ORDER BY score DESC, pos)[1:2] AS h, arg_min(norm, (-score, pos)) AS hn FROM u GROUP BY song),
+x AS (SELECT a.song, a.i, b.i - a.i + 1 AS m, sum(l.score) / (b.i - a.i + 1) * CASE WHEN sum(l.n) <= 44 THEN 1 ELSE 0.5 END + (b.i - a.i + 1) * 2 AS s FROM lo a JOIN lo b ON a.song = b.song AND b.i BETWEEN a.i + 1 AND a.i + 3 JOIN lo l ON l.song = a.song AND l.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3, b.i),
+bw AS (SELECT song, i AS best FROM x QUALIFY row_number() OVER (PARTITION BY song ORDER BY round(s, 6) DESC, i, m) = 1),
+g AS (SELECT lo.song, array_to_string(list(text ORDER BY i), chr(10)) AS cut FROM lo JOIN bw USING (song) JOIN (SELECT song, i AS fi, section AS fs FROM lo) f ON f.song = lo.song AND f.fi = best WHERE i >= best AND (i < best + 2 OR (i < best + 4 AND section = fs)) GROUP BY 1),
+rest AS (SELECT song, array_to_string(list(text ORDER BY pos), chr(10)) AS rest FROM (SELECT lo.song, text, pos, row_number() OVER (PARTITION BY lo.song ORDER BY pos) AS k FROM lo JOIN c USING (song) WHERE norm <> hn) WHERE k <= 8 GROUP BY song),
+a AS (SELECT c.song, h[1] AS a, coalesce(h[2], h[1]) AS b FROM c JOIN (SELECT DISTINCT song FROM lo WHERE total >= 2) USING (song))
+SELECT song, title, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM (
+ SELECT song, '{RESTRUCTURES[0]}' AS title, concat_ws(chr(10), a, a, b, a) AS text FROM a UNION ALL SELECT song, '{RESTRUCTURES[1]}', cut FROM g JOIN a USING (song)
+ UNION ALL SELECT song, '{RESTRUCTURES[2]}', concat_ws(chr(10), {_ECHO_SQL.format(x='a')}, {_ECHO_SQL.format(x='b')}, {_ECHO_SQL.format(x='a')}, {_ECHO_SQL.format(x='b')}) FROM a
+ UNION ALL SELECT song, '{RESTRUCTURES[3]}', concat_ws(chr(10), a, b, '') || CASE WHEN rest IS NULL THEN '' ELSE chr(10) || rest END FROM a LEFT JOIN rest USING (song))""")
+def restructures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four new orders of each text of two lines or more: the best hook with a contrast, the best short stretch of one
+    section, hooks with their echoes, and the first other lines after the hooks. Digests and lengths of the texts."""
+    line = Window.partitionBy("song").orderBy("pos")
+    lo = song_scores(spark, sf_dir).withColumns({"i": (F.row_number().over(line) - 1).cast("long"), "total": F.count(F.lit(1)).over(Window.partitionBy("song"))}).where("total >= 2")
+    best = top(lo, ["song", "norm"], [F.desc("score"), F.asc("pos")]).drop("rank")
+    place = F.struct((-F.col("score")).alias("s"), "pos", "text", "norm")
+    hooks = best.groupBy("song").agg(F.array_sort(F.collect_list(place)).alias("h")).select("song", F.get("h", F.lit(0)).text.alias("a"), F.coalesce(F.get("h", F.lit(1)).text, F.get("h", F.lit(0)).text).alias("b"), F.get("h", F.lit(0)).norm.alias("hook"))
+    parts = []
+    for m in (2, 3, 4):
+        w = line.rowsBetween(0, m - 1)
+        value = F.avg("score").over(w) * F.when(F.sum("n").over(w) <= 44, 1.0).otherwise(0.5) + m * 2
+        parts.append(lo.select("song", "i", "total", "section", F.lit(m).alias("m"), F.round(value, 6).alias("value")).where(F.col("i") + m <= F.col("total")))
+    start = top(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["song"], [F.desc("value"), F.asc("i"), F.asc("m")]).select("song", F.col("i").alias("best"), F.col("section").alias("of"))
+    text_of = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x.text), "\n").alias(c)
+    inside = (F.col("i") >= F.col("best")) & ((F.col("i") < F.col("best") + 2) | ((F.col("i") < F.col("best") + 4) & (F.col("section") == F.col("of"))))
+    cut = lo.join(start, "song").where(inside).groupBy("song").agg(text_of("cut"))
+    other = top(lo.join(hooks.select("song", "hook"), "song").where("norm <> hook"), ["song"], [F.asc("pos")], 8).groupBy("song").agg(text_of("rest"))
+
+    def echo(x):
+        ws = F.split(F.regexp_replace(x, "[.,!?…]+$", ""), r"\s+")
+        return F.concat(x, F.lit(" ("), F.array_join(F.slice(ws, F.greatest(F.lit(1), F.size(ws) - 1), F.lit(2)), " "), F.lit(")"))
+
+    a, b = F.col("a"), F.col("b")
+    texts = [F.concat_ws("\n", a, a, b, a), F.col("cut"), F.concat_ws("\n", echo(a), echo(b), echo(a), echo(b)), F.concat(F.concat_ws("\n", a, b, F.lit("")), F.coalesce(F.concat(F.lit("\n"), F.col("rest")), F.lit("")))]
+    four = F.explode(F.array(*[F.struct(F.lit(t).alias("title"), x.alias("text")) for t, x in zip(RESTRUCTURES, texts, strict=True)]))
+    found = hooks.join(cut, "song").join(other, "song", "left").withColumn("x", four)
+    return found.select("song", "x.title", F.md5("x.text").alias("text_md5"), F.length("x.text").cast("long").alias("n_chars"))
+
+
 @query(f"""WITH w AS (SELECT item_id, unnest(list_distinct({words_sql('text')})) AS w, len(list_distinct({words_sql('text')})) AS n FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) AS dice FROM w a JOIN w b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2 HAVING 2 * count(*) / (any_value(a.n) + any_value(b.n)) >= 0.35""")
 def similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
