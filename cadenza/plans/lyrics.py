@@ -233,7 +233,8 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.concat(header, F.lit("\n"), F.coalesce("text", F.lit("")))
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("t"))
     texts = turns.select(F.col("conv_id").alias("song"), F.array_join(F.transform("t", lambda t: t.part), "\n").alias("text"))
-    lines = texts.select("song", french_or_english(F.col("text")).alias("l"), F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw"))
+    known = texts.select("song", french_or_english(F.col("text")).alias("l"), F.split("text", "\r?\n").alias("raws"))
+    lines = known.select("song", "l", F.posexplode("raws").alias("pos", "raw"))
     return lines.select("song", "l", F.col("pos").cast("long").alias("pos"), F.trim("raw").alias("text")).where("text <> ''")
 
 
