@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import top
-from ..sources.tables import table
+from ..sources.tables import table, passing
 from ..streaming import live
 from .relational import SECTIONS, sections
 from .signals import pitch_points
@@ -29,11 +26,8 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    """A new folder under the shared checkpoint folder; it goes when the driver ends."""
+    return passing(spark, "stream")
 
 
 @query()

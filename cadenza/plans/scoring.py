@@ -28,8 +28,8 @@ def query(sql: str | None = None):
 
 # A song's features out of an order and its line items.
 FEATURES = """feat AS (SELECT o_orderkey AS track, 60 + o_orderkey % 120 AS bpm, 90 + o_custkey % 180 AS duration, -16 + (o_totalprice % 12) AS lufs, 4 + (o_totalprice % 11) AS plr, CAST(floor(o_totalprice) AS BIGINT) % 900 AS clipped,
- -2 + (o_totalprice % 3) AS true_peak, n AS occurrences, hook, rep, lift, spread, 20 + o_orderkey % 45 AS sub, 10 + o_custkey % 30 AS mid, (o_orderkey % 10) / 10.0 AS dance, (o_orderkey % 21) / 20.0 AS low_corr, -(o_custkey % 7) / 2.0 AS mono_loss
- FROM orders JOIN (SELECT l_orderkey, count(*) AS n, min(l_quantity) AS hook, avg(l_discount) * 10 AS rep, avg(l_tax) * 100 - 2 AS lift, (max(l_quantity) - min(l_quantity)) / 50 AS spread FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+ -2 + (o_totalprice % 3) AS true_peak, n AS occurrences, hook, rep, lift, spread, 20 + o_orderkey % 45 AS sub, 10 + o_custkey % 30 AS mid, (o_orderkey % 10) / 10.0 AS dance, (o_orderkey % 21) / 20.0 AS low_corr, -(o_custkey % 7) / 2.0 AS mono_loss,
+ -5 + (o_custkey % 30) / 10.0 AS tilt, (o_orderkey % 13) / 100.0 AS vocal_contrast, (o_custkey % 11) / 12.0 AS vocal_chorus, -3 + (o_orderkey % 7) AS presence FROM orders JOIN (SELECT l_orderkey, count(*) AS n, min(l_quantity) AS hook, avg(l_discount) * 10 AS rep, avg(l_tax) * 100 - 2 AS lift, (max(l_quantity) - min(l_quantity)) / 50 AS spread FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("track"), (60 + key % 120).alias("bpm"), (90 + cust % 180).alias("duration"), (-16 + price % 12).alias("lufs"), (4 + price % 11).alias("plr"),
         (F.floor(price) % 900).alias("clipped"), (-2 + price % 3).alias("true_peak"),
         (20 + key % 45).alias("sub"), (10 + cust % 30).alias("mid"), (key % 10 / 10.0).alias("dance"), (key % 21 / 20.0).alias("low_corr"), (-(cust % 7) / 2.0).alias("mono_loss"),
+        (-5 + cust % 30 / 10.0).alias("tilt"), (key % 13 / 100.0).alias("vocal_contrast"), (cust % 11 / 12.0).alias("vocal_chorus"), (-3 + key % 7).alias("presence"),
     )
     return o.join(li, "track")
 
@@ -67,19 +68,21 @@ def tempo_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("track", "bpm").crossJoin(g).select("track", "genre", r(tempo_distance(F.col("bpm"), F.col("bpm_windows")), 6).alias("octaves"))
 
 
-@query(f"""WITH {FEATURES}, {GENRE_SQL}, t AS (SELECT track, gid, any_value(sub) AS sub, any_value(dance) AS dance, any_value(bpm) AS bpm, -4 * {_fit_sql('bpm')} AS s FROM feat, win GROUP BY 1, 2),
+@query(f"""WITH {FEATURES}, {GENRE_SQL}, t AS (SELECT track, gid, any_value(sub) AS sub, any_value(dance) AS dance, any_value(bpm) AS bpm, any_value(tilt) AS tilt, any_value(vocal_contrast) AS contrast, -4 * {_fit_sql('bpm')} AS s FROM feat, win GROUP BY 1, 2),
 z AS (SELECT track, gid, s + CASE WHEN sub > 55 THEN CASE gid WHEN 'rap' THEN 1.2 WHEN 'drill' THEN 0.8 WHEN 'latin' THEN 0.4 WHEN 'edm' THEN 0.3 ELSE 0 END ELSE CASE gid WHEN 'pop' THEN 0.5 WHEN 'rock' THEN 0.4 ELSE 0 END END
- + CASE WHEN gid = 'edm' AND dance > 0.35 AND bpm BETWEEN 118 AND 132 THEN 0.8 ELSE 0 END - CASE WHEN gid = 'drill' THEN 0.3 ELSE 0 END AS s FROM t)
+ + CASE WHEN gid = 'edm' AND dance > 0.35 AND bpm BETWEEN 118 AND 132 THEN 0.8 ELSE 0 END + CASE WHEN gid = 'rock' AND tilt > -3.2 THEN 0.3 WHEN gid = 'edm' AND contrast < 0.03 THEN 0.5 ELSE 0 END - CASE WHEN gid = 'drill' THEN 0.3 ELSE 0 END AS s FROM t)
 SELECT track, gid AS genre FROM z QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(s, 9) DESC, gid) = 1""")
 def genre_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The bonuses of low end, pulse, tilt and missing voice, and the malus of a narrow window
     g = genres(spark).select(F.col("id").alias("genre"), "bpm_windows")
     gid = F.col("genre")
     heavy = F.create_map(*[F.lit(x) for p in (("rap", 1.2), ("drill", 0.8), ("latin", 0.4), ("edm", 0.3)) for x in p])
     light = F.create_map(F.lit("pop"), F.lit(0.5), F.lit("rock"), F.lit(0.4))
     bonus = F.when(F.col("sub") > 55, F.coalesce(F.try_element_at(heavy, gid), F.lit(0.0))).otherwise(F.coalesce(F.try_element_at(light, gid), F.lit(0.0)))
     pulse = F.when((gid == "edm") & (F.col("dance") > 0.35) & F.col("bpm").between(118, 132), 0.8).otherwise(0.0)
-    s = -4 * tempo_distance(F.col("bpm"), F.col("bpm_windows")) + bonus + pulse - F.when(gid == "drill", 0.3).otherwise(0.0)
-    z = features(spark, sf_dir).select("track", "bpm", "sub", "dance").crossJoin(F.broadcast(g)).withColumn("s", F.round(s, 9))
+    bright = F.when((gid == "rock") & (F.col("tilt") > -3.2), 0.3).when((gid == "edm") & (F.col("vocal_contrast") < 0.03), 0.5).otherwise(0.0)
+    s = -4 * tempo_distance(F.col("bpm"), F.col("bpm_windows")) + bonus + pulse + bright - F.when(gid == "drill", 0.3).otherwise(0.0)
+    z = features(spark, sf_dir).select("track", "bpm", "sub", "dance", "tilt", "vocal_contrast").crossJoin(F.broadcast(g)).withColumn("s", F.round(s, 9))
     return top(z, ["track"], [F.desc("s"), F.asc("genre")]).select("track", "genre")
 
 
@@ -98,6 +101,7 @@ UNION ALL SELECT track, clipped, 'memorability', 10, 100 * {_bell_sql('rep', 0.3
 UNION ALL SELECT track, clipped, 'groove', 12, 100 * (0.6 * dance + 0.4 * exp(-0.5 * pow(tf / 0.08, 2))) FROM pf
 UNION ALL SELECT track, clipped, 'energy', 8, 100 * (0.7 * {_bell_sql('spread', 0.3, 0.85, 0.15)} + 0.3 * CASE WHEN occurrences > 4 THEN 1 ELSE 0.4 END) FROM pf
 UNION ALL SELECT track, clipped, 'loudness', 10, 100 * {_clamp_sql(f"0.6 * {_bell_sql('lufs', -11, -7.5, 2.2)} + 0.4 * {_bell_sql('plr', 6, 12, 2)} - CASE WHEN clipped > 0 THEN least(0.5, clipped / 2000) ELSE 0 END - CASE WHEN true_peak > 0 THEN 0.25 WHEN true_peak > -0.5 THEN 0.1 ELSE 0 END")} FROM pf
+UNION ALL SELECT track, clipped, 'vocal', 10, CASE WHEN vocal_contrast > 0.03 THEN 100 * {_clamp_sql(f"0.55 * {_clamp_sql('vocal_chorus / 0.7')} + 0.45 * {_bell_sql('presence', -1.5, 2.5, 2)}")} ELSE 90 * (0.5 + 0.5 * {_bell_sql('presence', -1.5, 2.5, 2)}) END FROM pf
 UNION ALL SELECT track, clipped, 'translation', 10, 100 * {_clamp_sql(f"0.45 * {_clamp_sql('(mid - 12) / 25')} + 0.3 * {_clamp_sql('(low_corr - 0.5) / 0.45')} + 0.25 * {_clamp_sql('1 + mono_loss / 3')} - CASE WHEN sub > 45 THEN 0.15 ELSE 0 END")} FROM pf
 UNION ALL SELECT track, clipped, 'format', 6, 100 * (0.7 * {_bell_sql('duration', 140, 210, 30)} + 0.3 * dance) FROM pf)"""
 
@@ -111,6 +115,7 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     hook = F.when(c("hook") <= 3, 100).when(c("hook") <= 5, 92).when(c("hook") <= 10, 92 - (c("hook") - 5) * 6).when(c("hook") <= 20, 62 - (c("hook") - 10) * 3).otherwise(F.greatest(F.lit(8), 32 - (c("hook") - 20) * 1.2))
     clip = F.when(c("clipped") > 0, F.least(F.lit(0.5), c("clipped") / 2000)).otherwise(0)
     peak = F.when(c("true_peak") > 0, 0.25).when(c("true_peak") > -0.5, 0.1).otherwise(0)
+    # The nine criteria with their weights, windows and steps
     scores = [
         ("hook-timing", 18, hook),
         ("hook-strength", 16, 100 * (0.4 * F.least(F.lit(1.0), c("occurrences") / 3) + 0.35 * c("dance") + 0.25 * bell(c("lift"), 1.5, 5, 1.5))),
@@ -118,6 +123,7 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("groove", 12, 100 * (0.6 * c("dance") + 0.4 * F.exp(-0.5 * F.pow(tf / 0.08, F.lit(2))))),
         ("energy", 8, 100 * (0.7 * bell(c("spread"), 0.3, 0.85, 0.15) + 0.3 * F.when(c("occurrences") > 4, 1.0).otherwise(0.4))),
         ("loudness", 10, 100 * clamp(0.6 * bell(c("lufs"), g[3][0], g[3][1], 2.2) + 0.4 * bell(c("plr"), 6, 12, 2) - clip - peak)),
+        ("vocal", 10 if g[7] else 5, F.when(c("vocal_contrast") > 0.03, 100 * clamp(0.55 * clamp(c("vocal_chorus") / 0.7) + 0.45 * bell(c("presence"), -1.5, 2.5, 2))).otherwise(90 * (0.5 + 0.5 * bell(c("presence"), -1.5, 2.5, 2)))),
         ("translation", 10, 100 * clamp(0.45 * clamp((c("mid") - 12) / 25) + 0.3 * clamp((c("low_corr") - 0.5) / 0.45) + 0.25 * clamp(1 + c("mono_loss") / 3) - F.when(c("sub") > 45, 0.15).otherwise(0))),
         ("format", 6, 100 * (0.7 * bell(c("duration"), g[4][0], g[4][1], 30) + 0.3 * c("dance"))),
     ]

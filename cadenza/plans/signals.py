@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import half_up, midi
+from ..functions.scalar import half_up, loudness, midi
 from ..operators import signal as S
 from ..operators.windows import frame, top
 from ..sources.audio import tones
 from ..sources.tables import SAMPLES, samples, table
 from .relational import UNITS, units
-from .timeline import r
+from .timeline import gated, r
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,8 +89,8 @@ def k_weighted_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     weighted = S.per_track(tones(spark, TONES, 16000, fs), ["track"], "i", run, "i long, x double")
     blocks = weighted.groupBy("track", F.floor(F.col("i") / 800).alias("b")).agg(F.avg(F.col("x") * F.col("x")).alias("e"))
-    windows = blocks.withColumn("m", F.avg("e").over(frame(["track"], ["b"], -3, 0))).where("b >= 3")
-    return windows.groupBy("track").agg(r(-0.691 + 10 * F.log10(F.avg("m"))).alias("lufs"))
+    windows = blocks.withColumn("mean", F.avg("e").over(frame(["track"], ["b"], -3, 0))).where("b >= 3").withColumn("l", loudness(F.col("mean")))
+    return gated(windows, -70, 10).groupBy("track").agg(r(loudness(F.avg("mean"))).alias("lufs"))
 
 
 @query()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -356,19 +359,24 @@ b(user_id, k, event_id, t, tokens, ok) AS (SELECT user_id, k, event_id, t, CAST(
  least(3.0, b.tokens + (e.t - b.t) / 36000) >= 1 FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
 SELECT event_id, ok, round(tokens, 4) AS tokens FROM b""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission per user: 1 token in 10 hours, at most 3; denied calls take none. A fold over each user's calls."""
-    item = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
-    calls = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("calls"))
-    start = F.expr("named_struct('us', cast(null as bigint), 'tokens', 3.0D, 'out', cast(array() as array<struct<event_id:bigint,ok:boolean,tokens:double>>))")
-
-    def step(s, c):
-        have = F.least(F.lit(3.0), s.tokens + F.coalesce((c.us / 1e6 - s.us / 1e6) / 36000, F.lit(0.0)))
-        ok = have >= 1
-        left = F.when(ok, have - 1).otherwise(have)
-        return F.struct(c.us.alias("us"), left.alias("tokens"), F.concat(s.out, F.array(F.struct(c.event_id.alias("event_id"), ok.alias("ok"), left.alias("tokens")))).alias("out"))
-
-    out = calls.select(F.explode(F.aggregate("calls", start, step, lambda s: s.out)).alias("o"))
-    return out.select("o.event_id", "o.ok", r(F.col("o.tokens")).alias("tokens"))
+    """Admission per user: 1 token in 10 hours, at most 3; denied calls take none. Each call needs the one before, so
+    the calls run sorted through the tasks, which hold one batch and the state of one user."""
+    calls = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last, tokens = object(), 0, 3.0
+        for b in batches:
+            ok, left = [], []
+            for who, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = min(3.0, tokens + (us / 1e6 - last / 1e6) / 36000) if who == user else 3.0
+                ok.append(tokens >= 1)
+                tokens -= tokens >= 1
+                left.append(tokens)
+                user, last = who, us
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(ok, pa.bool_()), pa.array(left, pa.float64())], names=["event_id", "ok", "tokens"])
+
+    out = calls.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id").mapInArrow(run, "event_id long, ok boolean, tokens double")
+    return out.select("event_id", "ok", r(F.col("tokens")).alias("tokens"))
 
 
 @query(f"""WITH {SAMPLES}, b AS (SELECT track, i, x, lead(x) OVER (PARTITION BY track ORDER BY i) - x AS step FROM samples), c AS (SELECT track, i, avg(CASE WHEN step > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS up, x FROM b)

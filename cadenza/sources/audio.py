@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 AUDIO = r"(?i)\.(wav|mp3|flac|ogg|m4a|aac|aiff?|mp4)$"
 
 
@@ -33,20 +35,33 @@ def encode_wav(channels: list[np.ndarray], fs: int, bits: int = 16) -> bytes:
 
 
 def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
-    """(samples x channels, rate) of PCM WAVE bytes of 16, 24 or 32 bits."""
+    """(samples x channels, rate) of WAVE bytes: PCM of 8 to 32 bits or floats of 32 or 64. ValueError for all else."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, fmt = 12, None
     while at + 8 <= len(raw):
-        kind, size = raw[at : at + 4], struct.unpack("<I", raw[at + 4 : at + 8])[0]
+        kind, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+        part = raw[at + 8 : at + 8 + size]
         if kind == b"fmt ":
-            fmt = struct.unpack("<HHIIHH", raw[at + 8 : at + 24])
+            if len(part) < 16:
+                raise ValueError("cut format chunk")
+            fmt = struct.unpack("<HHIIHH", part[:16])
+            # the extensible format names the real one at the start of its identifier
+            tag = int.from_bytes(part[24:26], "little") if fmt[0] == 0xFFFE and len(part) >= 26 else fmt[0]
+            if (tag, fmt[5]) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not fmt[1] or not fmt[2]:
+                raise ValueError(f"format {tag} of {fmt[5]} bits and {fmt[1]} channels")
         elif kind == b"data" and fmt:
-            body, width = np.frombuffer(raw[at + 8 : at + 8 + size], np.uint8), fmt[5] // 8
-            b = body[: len(body) // (width * fmt[1]) * width * fmt[1]].reshape(-1, width)
-            v = np.zeros((len(b), 4), np.uint8)
-            v[:, 4 - width :] = b
-            return (v.reshape(-1).view("<i4") / 2.0**31).reshape(-1, fmt[1]), fmt[2]
+            width = fmt[5] // 8
+            body = part[: len(part) // (width * fmt[1]) * width * fmt[1]]
+            if tag == 3:
+                x = np.frombuffer(body, f"<f{width}").astype(np.float64)
+            elif width == 1:
+                x = (np.frombuffer(body, np.uint8) - 128.0) / 128
+            else:
+                v = np.zeros((len(body) // width, 4), np.uint8)
+                v[:, 4 - width :] = np.frombuffer(body, np.uint8).reshape(-1, width)
+                x = v.reshape(-1).view("<i4") / 2.0**31
+            return x.reshape(-1, fmt[1]), fmt[2]
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
@@ -54,7 +69,8 @@ def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
 def read_wav(spark: SparkSession, path: str, cap_bytes: int = 200 << 20, max_seconds: float = 420.0) -> tuple[DataFrame, DataFrame]:
     """(samples, rejected) of the audio files under path: one row per sample (path, i, l, r, fs), mono doubled; rejected (path, error).
 
-    Other extensions, over-long files and broken headers are rejected rows, not failures; Spark lists no empty files.
+    Other extensions, over-long files and whatever can't be decoded are rejected rows, not failures; Spark lists no
+    empty files. Files are decoded once, into a table that both frames read.
     """
     files = spark.read.format("binaryFile").load(path)
     small = F.col("path").rlike(AUDIO) & F.col("length").between(1, cap_bytes)
@@ -69,7 +85,7 @@ def read_wav(spark: SparkSession, path: str, cap_bytes: int = 200 << 20, max_sec
                 except ValueError as e:
                     yield pd.DataFrame({"path": [p], "i": [None], "l": [None], "r": [None], "fs": [None], "error": [str(e)]})
 
-    decoded = files.where(small).select("path", "content").mapInPandas(decode, "path string, i long, l double, r double, fs int, error string")
+    decoded = written(files.where(small).select("path", "content").mapInPandas(decode, "path string, i long, l double, r double, fs int, error string"))
     refused = files.where(~small).select("path", F.when(F.col("length").between(1, cap_bytes), "no audio file").otherwise("size").alias("error"))
     return decoded.where("error is null").drop("error"), decoded.where("error is not null").select("path", "error").unionByName(refused)
 
