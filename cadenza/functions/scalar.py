@@ -122,3 +122,26 @@ def response_db(k: dict[str, Column], f: Column, fs: float) -> Column:
     num = F.pow(k["b0"] + k["b1"] * c1 + k["b2"] * c2, F.lit(2)) + F.pow(k["b1"] * s1 + k["b2"] * s2, F.lit(2))
     den = F.pow(1 + k["a1"] * c1 + k["a2"] * c2, F.lit(2)) + F.pow(k["a1"] * s1 + k["a2"] * s2, F.lit(2))
     return 10 * F.log10(F.greatest(num / den, F.lit(EPS)))
+
+
+# Factor, step and seed of the 32-bit congruential generator.
+LCG_FACTOR, LCG_STEP, LCG_SEED = 1664525, 1013904223, 22222
+
+
+def lcg(n: Column, bits: int = 32) -> Column:
+    """The n-th state after the seed (n below 2**bits), as a long of 32 bits.
+
+    One step is the map s -> a * s + c; steps of 2, 4, 8, ... are maps of the same form, and those of n's bits are
+    applied in turn. Products are made of 16-bit halves, which fit a long.
+    """
+    modulus, a, c, maps = 1 << 32, LCG_FACTOR, LCG_STEP, []
+    long = lambda v, name: F.lit(v).cast("long").alias(name)
+    for k in range(bits):
+        maps.append(F.struct(long(1 << k, "p"), long(a >> 16, "high"), long(a & 0xFFFF, "low"), long(c, "c")))
+        a, c = a * a % modulus, (a * c + c) % modulus
+
+    def step(s: Column, m: Column) -> Column:
+        moved = F.pmod(s * m.low + F.pmod(s * m.high, F.lit(1 << 16)) * (1 << 16) + m.c, F.lit(modulus))
+        return F.when(F.floor(n / m.p) % 2 == 1, moved).otherwise(s)
+
+    return F.aggregate(F.array(*maps), F.lit(LCG_SEED).cast("long"), step)

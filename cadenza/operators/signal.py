@@ -59,6 +59,54 @@ def power_spectrum(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.rfft(x * w)) ** 2 / (np.sum(w * w) * len(x))
 
 
+def spectra(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Power spectra (frames x bins) of all whole Hann-windowed frames of x."""
+    if len(x) < size:
+        return np.zeros((0, size // 2 + 1))
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+    return np.abs(np.fft.rfft(frames * w, axis=1)) ** 2 / (np.sum(w * w) * size)
+
+
+def log_bands(size: int, fs: float, lo: float, hi: float, n: int) -> np.ndarray:
+    """The log-spaced band of each bin from lo to hi, -1 outside and for bin 0."""
+    edges = lo * (hi / lo) ** (np.arange(n + 1) / n)
+    band = np.searchsorted(edges, np.arange(size // 2 + 1) * fs / size, side="right") - 1
+    band[(band >= n) | (np.arange(len(band)) == 0)] = -1
+    return band
+
+
+def _summed(p: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the columns of p by group (those of -1 left out): frames x n."""
+    return p[:, group >= 0] @ np.eye(n)[group[group >= 0]]
+
+
+def frame_features(mid: np.ndarray, side: np.ndarray, fs: float, size: int, hop: int) -> dict[str, np.ndarray]:
+    """Series of features per frame: level, low level, centroid, flatness, voice, 24 timbre bands in dB, 12 pitch classes."""
+    eps = 1e-12
+    pm, ps = spectra(mid, size, hop), spectra(side, size, hop)
+    f = np.arange(pm.shape[1]) * fs / size
+    inside = lambda lo, hi: (np.arange(len(f)) >= max(1, round(lo * size / fs))) & (np.arange(len(f)) <= min(len(f) - 1, round(hi * size / fs)))
+    flat = lambda p: np.exp(np.log(p + eps).mean(1)) / np.maximum(p.mean(1), eps)
+    total = pm[:, 1:].sum(1)
+    note = 69 + 12 * np.log2(np.maximum(f, 1e-9) / 440)
+    near = np.floor(note + 0.5)
+    pitch = np.where((f >= 80) & (f <= 5000), near % 12, -1).astype(int)
+    chroma = _summed(np.sqrt(pm) * np.maximum(0, 1 - 2 * np.abs(note - near)), pitch, 12)
+    voice = inside(300, 3400)
+    v_mid, v_side = pm[:, voice].sum(1), ps[:, voice].sum(1)
+    frames = np.lib.stride_tricks.sliding_window_view(mid, size)[::hop] if len(mid) >= size else np.zeros((0, size))
+    return {
+        "rms_db": 10 * np.log10((frames**2).mean(1) + eps),
+        "low_db": 10 * np.log10(pm[:, inside(20, 120)].sum(1) + eps),
+        "centroid": (pm[:, 1:] @ f[1:]) / np.maximum(total, eps),
+        "flatness": flat(pm[:, inside(100, 8000)]),
+        "vocal": v_mid / np.maximum(total, eps) * v_mid / np.maximum(v_mid + v_side, eps) * (1 - np.minimum(1, 2 * flat(pm[:, voice]))),
+        "timbre": 10 * np.log10(_summed(pm + ps, log_bands(size, fs, 30, min(16000, fs / 2 - 1), 24), 24) + eps),
+        "chroma": chroma / np.maximum(chroma.sum(1, keepdims=True), eps),
+    }
+
+
 def autocorrelation(x: np.ndarray, most: int) -> np.ndarray:
     """Unbiased autocorrelation for lags 0 to most, by FFT."""
     n = len(x)

@@ -1,7 +1,7 @@
 """Registered queries with their oracles, one module per family."""
 
-from . import live, lyrics, relational, scoring, signals, timeline
+from . import catalog, live, lyrics, relational, scoring, signals, song, timeline
 
-MODULES = (timeline, relational, lyrics, scoring, signals, live)
+MODULES = (timeline, relational, lyrics, scoring, signals, live, catalog, song)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
