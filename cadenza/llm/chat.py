@@ -24,30 +24,28 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-#: Signs of scripts written without blanks, which tokenizers take one by one.
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}"
-TOKEN = rf"[{_CJK}]|[\p{{L}}\p{{M}}&&[^{_CJK}]]{{1,5}}|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
-
-
 def token_count(text: Column) -> Column:
-    """An estimate: pieces of up to five letters or three digits, and every other sign and every CJK or Thai sign, are a token each."""
-    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+    """An estimate from the code points and UTF-8 bytes: four signs of one byte are a token, and so is each sign of three
+    (as of scripts written without blanks); one of two bytes lies between."""
+    wide = (F.octet_length(text) - F.length(text)) / 2
+    return F.ceil(wide + (F.length(text) - wide) / 4)
 
 
 def _numbered(rows: DataFrame, bucket_turns: int) -> DataFrame:
-    """Adds rank (from 0) and before, the tokens of the turns before, in each conversation's order.
+    """Adds rank (from 0) and before, the tokens of the turns before, in each conversation's order, and its total.
 
     Ranks and sums are made inside buckets of bucket_turns turn numbers and shifted by the buckets before, so a
     huge conversation is spread over tasks; the results do not depend on bucket_turns.
     """
     rows = rows.withColumn("_b", F.coalesce(F.floor(F.col("turn") / bucket_turns), F.lit(-(2**62))))
     sums = rows.groupBy("conv_id", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("tokens").alias("_t"))
-    line = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_k"), *(F.coalesce(F.sum(c).over(line), F.lit(0)).alias(c) for c in ("_n", "_t")))
+    whole = Window.partitionBy("conv_id")
+    line = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_k"), F.sum("_t").over(whole).alias("total"), *(F.coalesce(F.sum(c).over(line), F.lit(0)).alias(c) for c in ("_n", "_t")))
     inside = Window.partitionBy("conv_id", "_b").orderBy("turn", "role", "text")
     local = rows.withColumns({"_r": F.row_number().over(inside) - 1, "_s": F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")})
     both = local.join(past, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_k")))
-    return both.select(*[c for c in rows.columns if c != "_b"], (F.col("_r") + F.col("_n")).alias("rank"), (F.col("_s") + F.col("_t")).alias("before"))
+    return both.select(*[c for c in rows.columns if c != "_b"], "total", (F.col("_r") + F.col("_n")).alias("rank"), (F.col("_s") + F.col("_t")).alias("before"))
 
 
 def format_chat(conversations: DataFrame, budget: int = 2048, history_turns: int = 2, history_budget: int = 256, tokens: Column | None = None, block_budgets: int = 64, bucket_turns: int = 512) -> DataFrame:
@@ -67,26 +65,26 @@ def format_chat(conversations: DataFrame, budget: int = 2048, history_turns: int
     repeated turns; an empty table gives no rows.
     """
     turn, text = F.col("turn").cast("long"), F.coalesce(F.col("text"), F.lit(""))
-    size = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else token_count(text)
-    rows = conversations.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (size + 4).alias("tokens"))
-    placed = written(_numbered(rows, bucket_turns).withColumn("block", F.floor(F.col("before") / (block_budgets * budget))))
+    count = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else token_count(text)
+    rows = conversations.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (count + 4).alias("tokens"))
+    size = block_budgets * budget
+    placed = written(_numbered(rows, bucket_turns).withColumn("block", F.floor(F.col("before") / size)))
     head = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("~2"))
     item = F.struct("rank", "turn", "role", "tokens", head.alias("head"), escaped(F.col("text")).alias("body"))
-    own = placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # the turns before each block but the first, found by their ranks
-    late = placed.groupBy("conv_id", "block").agg(F.min("rank").alias("first")).where(F.col("first") > 0)
-    ranks = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("first") - history_turns), F.col("first") - 1)
-    late = late.select(F.col("conv_id").alias("late_conv"), F.col("block").alias("late_block"), F.explode(ranks if history_turns else F.array().cast("array<long>")).alias("late_rank"))
-    carried = placed.join(late, F.col("conv_id").eqNullSafe(F.col("late_conv")) & (F.col("rank") == F.col("late_rank"))).groupBy("late_conv", "late_block").agg(F.array_sort(F.collect_list(item)).alias("carried"))
-    same = F.col("conv_id").eqNullSafe(F.col("late_conv")) & (F.col("block") == F.col("late_block"))
-    grouped = own.join(carried, same, "left").withColumns({"carried": F.coalesce("carried", F.expr("slice(items, 1, 0)"))}).drop("late_conv", "late_block")
-
-    first = F.struct("rank", "text", "tokens")
-    system = (
-        placed.where(F.col("role") == "system").groupBy("conv_id").agg(F.min(first).alias("s"))
-        .select(F.col("conv_id").alias("sys_conv"), F.col("s.rank").alias("sys_rank"), F.concat(F.lit(PAST + "system\n"), escaped(F.col("s.text")), F.lit(END)).alias("sys_text"), F.col("s.tokens").alias("sys_tokens"))
-    )
-    df = grouped.join(system, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left").withColumn("sys_tokens", F.coalesce("sys_tokens", F.lit(0)))
+    own = placed.select("conv_id", "block", F.lit("own").alias("part"), item.alias("item"))
+    # the turns before each block but the first, found by their ranks; only long conversations have such blocks
+    long = placed.where(F.col("total") > size)
+    late = long.groupBy("conv_id", "block").agg(F.min("rank").alias("first")).where(F.col("first") > 0)
+    ranks = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("first") - history_turns), F.col("first") - 1) if history_turns else F.array().cast("array<long>")
+    late = late.select(F.col("conv_id").alias("late_conv"), F.col("block").alias("late_block"), F.explode(ranks).alias("late_rank"))
+    carried = long.join(late, F.col("conv_id").eqNullSafe(F.col("late_conv")) & (F.col("rank") == F.col("late_rank"))).select("conv_id", F.col("late_block").alias("block"), F.lit("carried").alias("part"), item.alias("item"))
+    # the first system turn goes to every block
+    first = placed.where(F.col("role") == "system").withColumn("item", item).groupBy("conv_id").agg(F.min_by("item", "rank").alias("item"), F.max("total").alias("total"))
+    system = first.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / size))).alias("block"), F.lit("system").alias("part"), "item")
+    parts = own.unionByName(carried).unionByName(system).groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("part", "item"))).alias("parts"))
+    of = lambda name: F.transform(F.filter("parts", lambda x: x.part == name), lambda x: x.item)
+    df = parts.withColumns({"items": of("own"), "carried": of("carried"), "sys": F.get(of("system"), F.lit(0))}).drop("parts").where(F.size("items") > 0)
+    df = df.withColumns({"sys_rank": F.col("sys.rank"), "sys_text": F.concat(F.lit(PAST + "system\n"), F.col("sys.body"), F.lit(END)), "sys_tokens": F.coalesce("sys.tokens", F.lit(0))}).drop("sys")
     df = df.withColumn("room", F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - F.col("sys_tokens")))
     origin = F.get("items", F.lit(0)).rank
     df = df.withColumn("origin", origin)

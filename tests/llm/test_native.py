@@ -1,8 +1,8 @@
 """Chat windows, sharding and URL filters against plain Python."""
 
 import hashlib
+import math
 import random
-import re
 import zlib
 from collections import Counter
 
@@ -74,7 +74,8 @@ def test_chat_small_budget_round_trip(spark):
 
 def greedy(turns, budget, history_turns, history_budget):
     """Windows of (role, text) turns as lists of own turns, by a plain loop."""
-    size = lambda t: len(re.findall(r"[\u4e00-\u9fff]|[^\W\d_\u4e00-\u9fff]{1,5}|\d{1,3}|[^\w\s]|_", t)) + 4
+    wide = lambda t: (len(t.encode()) - len(t)) / 2
+    size = lambda t: math.ceil(wide(t) + (len(t) - wide(t)) / 4) + 4
     system = next((size(t) for r, t in turns if r == "system"), 0)
     out, used = [], 0
     for r, t in turns:
