@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import top
 from ..sources.tables import table, passing
 from ..streaming import live
+from . import timeline
 from .relational import SECTIONS, sections
 from .signals import pitch_points
 from .timeline import r
@@ -50,7 +51,7 @@ def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", r(F.col("total")).alias("total"))
 
 
-@query()
+@query(timeline.ORACLES["token_bucket"])
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_id").alias("id"))

@@ -113,7 +113,11 @@ def beat_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "k long, i long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLES}, nd AS (SELECT track, i, x, least(1.0, 60 / greatest(abs(x), 1e-12)) AS need FROM samples),
+ah AS (SELECT *, min(need) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ahead FROM nd),
+bx AS (SELECT *, (sum(ahead) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) + greatest(0, 4 - i) * first_value(ahead) OVER (PARTITION BY track ORDER BY i)) / 5 AS box FROM ah),
+g(track, i, g) AS (SELECT track, i, CASE WHEN box < 1 THEN box ELSE 1 + (box - 1) * 0.1 END FROM bx WHERE i = 0 UNION ALL SELECT b.track, b.i, CASE WHEN b.box < g.g THEN b.box ELSE g.g + (b.box - g.g) * 0.1 END FROM g JOIN bx b ON b.track = g.track AND b.i = g.i + 1)
+SELECT track, i, round(x * least(g, need), 4) + 0.0 AS y FROM g JOIN bx USING (track, i)""")
 def limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x = p.x.to_numpy()
@@ -122,7 +126,11 @@ def limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "i long, y double").select("track", "i", r(F.col("y")).alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLES}, w AS (SELECT track, i // 8 AS k, -greatest(0, 10 * log10(greatest(sum(x * x) / 8, 1e-12)) - 30) * 0.5 AS want FROM samples GROUP BY 1, 2),
+g(track, k, g) AS (SELECT track, k, want * CASE WHEN want < 0 THEN 0.5 ELSE 0.1 END FROM w WHERE k = 0 UNION ALL SELECT w.track, w.k, g.g + (w.want - g.g) * CASE WHEN w.want < g.g THEN 0.5 ELSE 0.1 END FROM g JOIN w ON w.track = g.track AND w.k = g.k + 1),
+n AS (SELECT track, max(k) AS m FROM g GROUP BY 1)
+SELECT s.track, s.i, round(s.x * pow(10, (a.g + (b.g - a.g) * greatest(0, least(1, s.i / 8.0 - 0.5 - a.k))) / 20), 4) + 0.0 AS y FROM samples s JOIN n USING (track)
+ JOIN g a ON a.track = s.track AND a.k = greatest(0, least(m, CAST(floor(s.i / 8.0 - 0.5) AS BIGINT))) JOIN g b ON b.track = s.track AND b.k = least(m, a.k + 1)""")
 def glue_compressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         x = p.x.to_numpy()

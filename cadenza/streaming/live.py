@@ -1,6 +1,8 @@
 """Streaming operators: windowed levels, live notes, token bucket and transcript folding on Structured Streaming.
 
-The state of a key is a small tuple of arrays or numbers; rows later than what was already decided are dropped.
+The state of a key is a small tuple of arrays or numbers; rows later than what was already decided are dropped. Where
+idle_seconds is given, state of a key without rows for so long is let go, so it does not grow with all keys ever seen.
+That needs a query that keeps running: one of trigger availableNow would go on for ever to wait for its timeouts.
 """
 
 from __future__ import annotations
@@ -37,35 +39,53 @@ def windowed_levels(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return g.select("event_type", F.col("w.start").alias("start"), "n", "total")
 
 
-def live_notes(points: DataFrame, settle: float = 0.12) -> DataFrame:
+def _timeout(idle_seconds: float | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def live_notes(points: DataFrame, settle: float = 0.12, idle_seconds: float | None = None) -> DataFrame:
     """Notes of a stream of pitch points (track, t, freq, clarity, rms), each once it ended `settle` seconds before the newest point.
 
     State: the points after the last note that was given out, and that note's end; points not later than 0.02 s
-    after it are late and dropped.
+    after it are late and dropped. A track without points for idle_seconds is over: its last notes come out.
     """
+    names = ("t", "freq", "clarity", "rms")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            found = notes(*(np.array(x, float) for x in state.get[:4]))
+            state.remove()
+            yield pd.DataFrame([(key[0], *n) for n in found], columns=["track", "midi", "cents", "start", "end", "velocity"])
+            return
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(1000 * idle_seconds))
         kept = [list(x) for x in state.get[:4]] if state.exists else [[], [], [], []]
         done = state.get[4] if state.exists else -1.0
-        p = pd.concat([pd.DataFrame(dict(zip(("t", "freq", "clarity", "rms"), kept, strict=True))), *batches], ignore_index=True)
+        p = pd.concat([pd.DataFrame(dict(zip(names, kept, strict=True))), *batches], ignore_index=True)
         p = p[p.t > done + 0.02] if done >= 0 else p
         p = p.sort_values("t")
-        found = [n for n in notes(*(p[c].to_numpy(float) for c in ("t", "freq", "clarity", "rms"))) if n[3] <= p.t.max() - settle] if len(p) else []
+        found = [n for n in notes(*(p[c].to_numpy(float) for c in names)) if n[3] <= p.t.max() - settle] if len(p) else []
         if found:
             done = found[-1][3]
             p = p[p.t > done + 0.02]
-        state.update((*(p[c].astype(float).tolist() for c in ("t", "freq", "clarity", "rms")), done))
+        state.update((*(p[c].astype(float).tolist() for c in names), done))
         yield pd.DataFrame([(key[0], *n) for n in found], columns=["track", "midi", "cents", "start", "end", "velocity"])
 
     schema = f"track {points.schema['track'].dataType.simpleString()}, midi int, cents int, start double, end double, velocity int"
     state = "t array<double>, freq array<double>, clarity array<double>, rms array<double>, done double"
-    return points.groupBy("track").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return points.groupBy("track").applyInPandasWithState(step, schema, state, "append", _timeout(idle_seconds))
 
 
-def admitted(calls: DataFrame, per_second: float, burst: float) -> DataFrame:
-    """Token bucket per key over a stream of calls (key, t, id): ok and tokens left. Denied calls take no token."""
+def admitted(calls: DataFrame, per_second: float, burst: float, idle_seconds: float | None = None) -> DataFrame:
+    """Token bucket per key over a stream of calls (key, t, id): ok and tokens left. Denied calls take no token. A key
+    whose bucket has had the time to fill is as good as new, so idle_seconds of burst / per_second or more lose nothing."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(1000 * idle_seconds))
         tokens, last = state.get if state.exists else (burst, -math.inf)
         out = []
         for t, i in pd.concat(list(batches)).sort_values(["t", "id"])[["t", "id"]].itertuples(index=False):
@@ -78,13 +98,19 @@ def admitted(calls: DataFrame, per_second: float, burst: float) -> DataFrame:
         yield pd.DataFrame(out, columns=["key", "id", "ok", "tokens"])
 
     schema = f"key {calls.schema['key'].dataType.simpleString()}, id long, ok boolean, tokens double"
-    return calls.groupBy("key").applyInPandasWithState(step, schema, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("key").applyInPandasWithState(step, schema, "tokens double, last double", "append", _timeout(idle_seconds))
 
 
-def folded_words(words: DataFrame) -> DataFrame:
-    """Final and interim speech results (key, seq, final, text) folded to the text so far: finals are appended, the interim one replaced."""
+def folded_words(words: DataFrame, idle_seconds: float | None = None) -> DataFrame:
+    """Final and interim speech results (key, seq, final, text) folded to the text so far: finals are appended, the interim one replaced. A
+    session without results for idle_seconds is over and forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(1000 * idle_seconds))
         text, last = state.get if state.exists else ("", -1)
         interim = ""
         for seq, final, t in pd.concat(list(batches)).sort_values("seq")[["seq", "final", "text"]].itertuples(index=False):
@@ -96,7 +122,7 @@ def folded_words(words: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], last, text, interim)], columns=["key", "seq", "text", "interim"])
 
     schema = f"key {words.schema['key'].dataType.simpleString()}, seq long, text string, interim string"
-    return words.groupBy("key").applyInPandasWithState(step, schema, "text string, last long", "append", GroupStateTimeout.NoTimeout)
+    return words.groupBy("key").applyInPandasWithState(step, schema, "text string, last long", "append", _timeout(idle_seconds))
 
 
 def unexpired(rows: DataFrame, ttl: str) -> DataFrame:
