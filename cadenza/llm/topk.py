@@ -94,26 +94,34 @@ def _second(queries, scale: int, at: slice, number: int, lists: int) -> Callable
             enough = (p >= least[part][:, None]) & (own.ids[part][:, None] != ids[None, :])
             q, j = np.nonzero(enough)
             if len(q):
-                yield pa.RecordBatch.from_arrays([_column(own.ids[part][q]), _column(ids[j]), _column(p[q, j]), _column(np.full(len(q), 1 << number))], names=["query_id", "vec_id", "part", "list"])
+                yield pa.RecordBatch.from_arrays([_column(own.ids[part][q]), _column(ids[j]), _column(p[q, j]), _column(np.full(len(q), number))], names=["query_id", "vec_id", "part", "list"])
 
     return run
 
 
 def _third(queries, scale: int, where: list[slice]) -> Callable:
-    """Completes the scores of (query_id, vec_id, known, lists) with the lists that are not in `lists`."""
+    """The exact scores of rows (vec_id, embedding, hits): known parts are summed, lists that sent none are computed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = queries.value
+        n = len(own.ids)
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                b = batch.slice(start, 4096)
-                q = own.q[np.searchsorted(own.ids, b.column(0).to_numpy())]
-                q, x = exact(q, scaled(b.column(4), scale, own.q.shape[1]))
-                total, lists = b.column(2).to_numpy().copy(), b.column(3).to_numpy()
-                for number, at in enumerate(where):
-                    rest = np.flatnonzero((lists >> number) & 1 == 0)
-                    total[rest] += (q[rest, at] * x[rest, at]).sum(1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _column(total)], names=["query_id", "vec_id", "score"])
+            for start in range(0, batch.num_rows, 256):
+                b = batch.slice(start, 256)
+                x = scaled(b.column(1), scale, own.q.shape[1])
+                hits = b.column(2)
+                query, part, list_ = (pc.struct_field(hits.flatten(), k).to_numpy() for k in range(3))
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(hits).to_numpy())
+                pairs, at = np.unique(row * n + np.searchsorted(own.ids, query), return_inverse=True)
+                total, sent = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+                np.add.at(total, at, part)
+                np.bitwise_or.at(sent, at, np.left_shift(1, list_))
+                row, query = np.divmod(pairs, n)
+                q, x = exact(own.q, x)
+                for number, stretch in enumerate(where):
+                    rest = np.flatnonzero((sent >> number) & 1 == 0)
+                    total[rest] += (q[query[rest], stretch] * x[row[rest], stretch]).sum(1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([_column(own.ids[query]), _column(b.column(0).to_numpy()[row]), _column(total)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -135,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     Phase 1 gathers the k best entries of every list, completes the scores of these few rows, and takes the k-th
     best of them as the query's cutoff, which is safe: k rows at least reach it. Phase 2 broadcasts the cutoffs.
     A row whose scores sum to the cutoff has a list with cutoff / lists or more (whatever the signs), so each list
-    sends just its entries above that uniform threshold. They are summed by row. Phase 3 computes the lists that
+    sends just its entries above that uniform threshold. They are gathered by row. Phase 3 computes the lists that
     did not send a row, of these rows only, and the k best remain. Products of the lists are computed in phase 1 and again in
     phase 2, as kept lists would hold an entry for each row and query.
 
@@ -159,6 +167,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     every = lambda task, schema: reduce(DataFrame.unionByName, [stretch(at).mapInArrow(task(at, number), schema) for number, at in enumerate(where)])
     found = "query_id long, vec_id long, score long"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def complete(entries: DataFrame, queries, n: int) -> DataFrame:
+        # a row of some 256 queries' entries for one vector, so that its components move once and not for every query
+        part = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // 256)))
+        hits = entries.groupBy("vec_id", part.alias("_p")).agg(F.collect_list(F.struct("query_id", "part", "list")).alias("hits"))
+        return hits.join(stock, "vec_id").select("vec_id", "embedding", "hits").mapInArrow(_third(queries, scale, where), found)
+
     done = []
     for block in range(n_blocks):
         mine = rows.where("_q").where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).select("vec_id", "embedding").toArrow().sort_by("vec_id")
@@ -166,14 +181,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         if not len(ids):
             continue
         queries = spark.sparkContext.broadcast(Queries(ids, q))
-        complete = lambda pairs, queries=queries: pairs.join(stock, "vec_id").select("query_id", "vec_id", "known", "lists", "embedding").mapInArrow(_third(queries, scale, where), found)
-
         entry = "query_id long, vec_id long, part long, list long"
         line = Window.partitionBy("query_id", "list").orderBy(F.desc("part"))
         first = every(lambda at, number, queries=queries: _first(queries, scale, at, number, k), entry)
         first = first.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= k)
-        pairs = first.select("query_id", "vec_id").distinct().withColumns({"known": F.lit(0).cast("long"), "lists": F.lit(0).cast("long")})
-        known = written(complete(pairs))
+        known = written(complete(first, queries, len(ids)))
         top = known.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
         cuts = np.full(len(ids), -(2**56))  # with fewer than k candidates every entry is sent
         for r in top.where(F.col("n") >= k).collect():
@@ -184,11 +196,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         entries = every(lambda at, number, queries=queries: _second(queries, scale, at, number, m), entry)
         if counts is not None:
             entries = written(entries)
-        rest = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.bit_or("list").alias("lists"))
-        final = complete(rest, queries).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+        final = complete(entries, queries, len(ids)).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
         done.append(written(final.select("query_id", F.col("_r").alias("rank"), "vec_id", "score")))
         if counts is not None:
-            counts.append({"queries": len(ids), "rows": stock.count(), "first": known.count(), "entries": entries.count(), "completed": rest.count()})
+            counts.append({"queries": len(ids), "rows": stock.count(), "first": known.count(), "entries": entries.count(), "completed": entries.select("query_id", "vec_id").distinct().count()})
         queries.destroy()
         dropped(known)
     dropped(rows)
