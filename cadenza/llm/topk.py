@@ -100,7 +100,8 @@ def _second(queries, scale: int, at: slice, number: int, lists: int) -> Callable
 
 
 def _third(queries, scale: int, where: list[slice]) -> Callable:
-    """The exact scores of rows (vec_id, embedding, hits): known parts are summed, lists that sent none are computed."""
+    """The exact scores of rows (vec_id, embedding, hits): known parts are summed, lists that sent none are computed.
+    Scores below the cutoff, where there is one, are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = queries.value
@@ -121,7 +122,8 @@ def _third(queries, scale: int, where: list[slice]) -> Callable:
                 for number, stretch in enumerate(where):
                     rest = np.flatnonzero((sent >> number) & 1 == 0)
                     total[rest] += (q[query[rest], stretch] * x[row[rest], stretch]).sum(1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([_column(own.ids[query]), _column(b.column(0).to_numpy()[row]), _column(total)], names=["query_id", "vec_id", "score"])
+                good = slice(None) if own.cuts is None else np.flatnonzero(total >= own.cuts[query])
+                yield pa.RecordBatch.from_arrays([_column(own.ids[query[good]]), _column(b.column(0).to_numpy()[row[good]]), _column(total[good])], names=["query_id", "vec_id", "score"])
 
     return run
 
