@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 FR_STOP = ["je", "tu", "il", "elle", "nous", "vous", "ils", "le", "la", "les", "un", "une", "des", "et", "est", "que", "qui", "pas", "dans", "pour", "sur", "mon", "ma", "mes", "ton", "ta", "tes", "moi", "toi", "avec", "c'est", "j'suis", "ça", "on"]
 EN_STOP = ["i", "you", "he", "she", "we", "they", "the", "a", "an", "and", "is", "are", "to", "of", "in", "on", "my", "your", "me", "it", "that", "with", "for", "i'm", "don't", "can't", "love", "baby"]
 FR_VOWEL = "aeiouyàâäéèêëîïôöùûüœæ"
+# Endings that are not spoken, in French and English, and those of English rhymes with what they become.
+FR_MUTE, FR_TAIL = "[^aeiouy]es?$", "[^aeiouy]ent$"
+EN_MUTE, EN_MUTE_NOT, EN_TAIL, EN_TAIL_NOT = "[^aeiouy]e$", "le", "[^aeiouy]ed$", "[td]ed$"
+EN_RHYME, EN_LEVELS = "([aeiouy]+[^aeiouy]*)$", [("e$", ""), ("ies$|y$", "i"), ("s$", "")]
+# French endings with a sound of their own, and the signs that are dropped before others are read.
+FR_CLOSED, FR_OPEN, FR_DROPPED = "(ée?s?|er|ez)$", "ai[st]?$", ["(es|ent)$", "e$", "[stxdzp]+$"]
 
 
 def without_accents(text: Column) -> Column:
@@ -54,8 +62,8 @@ def syllables(line: Column, french: Column) -> Column:
     clean = F.regexp_replace(F.lower(line), "[^a-zà-ÿœæ' -]", " ")
     parts = F.filter(F.split(clean, r"[\s-]+"), lambda w: w != "")
     bare = F.transform(parts, lambda w: F.regexp_replace(w, "^[a-z]'", ""))
-    in_french = _syllables(bare, FR_VOWEL, lambda w: w.rlike("[^aeiouy]es?$"), lambda w: (F.length(w) > 4) & w.rlike("[^aeiouy]ent$"))
-    in_english = _syllables(bare, "aeiouy", lambda w: w.rlike("[^aeiouy]e$") & ~w.endswith("le"), lambda w: w.rlike("[^aeiouy]ed$") & ~w.rlike("[td]ed$"))
+    in_french = _syllables(bare, FR_VOWEL, lambda w: w.rlike(FR_MUTE), lambda w: (F.length(w) > 4) & w.rlike(FR_TAIL))
+    in_english = _syllables(bare, "aeiouy", lambda w: w.rlike(EN_MUTE) & ~w.endswith(EN_MUTE_NOT), lambda w: w.rlike(EN_TAIL) & ~w.rlike(EN_TAIL_NOT))
     return F.when(french, in_french).otherwise(in_english)
 
 
@@ -67,8 +75,8 @@ def _last_word(line: Column) -> Column:
 def english_rhyme(line: Column) -> Column:
     """Last vowel group and what follows of the last word, endings levelled, in upper case."""
     last = F.regexp_replace(without_accents(_last_word(line)), "'", "")
-    tail = let(last, lambda w: F.coalesce(F.nullif(F.regexp_extract(w, "([aeiouy]+[^aeiouy]*)$", 1), F.lit("")), F.regexp_extract(w, ".{0,2}$", 0)))
-    return F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "e$", ""), "ies$|y$", "i"), "s$", ""))
+    tail = let(last, lambda w: F.coalesce(F.nullif(F.regexp_extract(w, EN_RHYME, 1), F.lit("")), F.regexp_extract(w, ".{0,2}$", 0)))
+    return F.upper(reduce(lambda t, level: F.regexp_replace(t, *level), EN_LEVELS, tail))
 
 
 # French endings and their sounds, the first that fits.
@@ -92,8 +100,8 @@ def french_rhyme(line: Column) -> Column:
         return F.coalesce(F.when(w.rlike("[nm]$"), _sound(w)), plain)
 
     def of_word(w: Column) -> Column:
-        cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "(es|ent)$", ""), "e$", ""), "[stxdzp]+$", "")
-        return F.when(w == "", "").when(w.rlike("(ée?s?|er|ez)$"), "É").when(w.rlike("ai[st]?$"), "È").otherwise(let(cut, of_stem))
+        cut = reduce(lambda t, end: F.regexp_replace(t, end, ""), FR_DROPPED, w)
+        return F.when(w == "", "").when(w.rlike(FR_CLOSED), "É").when(w.rlike(FR_OPEN), "È").otherwise(let(cut, of_stem))
 
     return let(last, of_word)
 
