@@ -145,3 +145,26 @@ def lcg(n: Column, bits: int = 32) -> Column:
         return F.when(F.floor(n / m.p) % 2 == 1, moved).otherwise(s)
 
     return F.aggregate(F.array(*maps), F.lit(LCG_SEED).cast("long"), step)
+
+
+# The step of the 32-bit additive generator and its two odd masks.
+MULBERRY_STEP, MULBERRY_MASKS = 0x6D2B79F5, (1, 61)
+
+
+def _times32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of two unsigned 32-bit longs, by halves that fit a long."""
+    high = F.shiftright(a, 16) * b
+    return F.pmod(F.pmod(high, F.lit(1 << 16)) * (1 << 16) + F.pmod(a, F.lit(1 << 16)) * b, F.lit(1 << 32))
+
+
+def mulberry(n: Column, seed: Column) -> Column:
+    """The n-th number (from 0, below 2**31) in [0, 1) after a seed of 32 bits. The state is a sum, so each number is
+    made on its own."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    t = F.pmod(seed + (n + 1) * F.lit(MULBERRY_STEP).cast("long"), F.lit(1 << 32))
+    # a lambda's argument is computed once
+    named = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    t = named(t, lambda s: _times32(xor(s, F.shiftright(s, 15)), s.bitwiseOR(F.lit(MULBERRY_MASKS[0]).cast("long"))))
+    mix = lambda s: F.pmod(s + _times32(xor(s, F.shiftright(s, 7)), s.bitwiseOR(F.lit(MULBERRY_MASKS[1]).cast("long"))), F.lit(1 << 32))
+    t = named(t, lambda s: xor(s, mix(s)))
+    return named(t, lambda s: xor(s, F.shiftright(s, 14)) / F.lit(2.0**32))

@@ -15,6 +15,7 @@ from ..operators.windows import frame, top
 from ..sources.audio import tones
 from ..sources.tables import SAMPLES, samples, table
 from .relational import UNITS, units
+from .song import chunked
 from .timeline import gated, r
 
 QUERIES, ORACLES = {}, {}
@@ -57,8 +58,11 @@ def fft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_track(tones(spark, TONES, 256, 8000.0), ["track"], "i", run, "bin long, power double").select("track", "bin", r(F.col("power"), 9).alias("power"))
 
 
-@query(f"""WITH {SAMPLES}, m AS (SELECT track, avg(x) AS m, count(*) AS n FROM samples GROUP BY 1), c AS (SELECT s.track, i, x - m AS x, n FROM samples s JOIN m USING (track) WHERE n >= 30)
-SELECT a.track, b.i - a.i AS lag, round(sum(a.x * b.x) / (any_value(a.n) - (b.i - a.i)), 4) + 0.0 AS ac FROM c a JOIN c b ON a.track = b.track AND b.i >= a.i AND b.i - a.i <= 10 GROUP BY 1, 2""")
+AUTOCORR = f"""WITH {SAMPLES}, m AS (SELECT track, avg(x) AS m, count(*) AS n FROM samples GROUP BY 1), c AS (SELECT s.track, i, x - m AS x, n FROM samples s JOIN m USING (track) WHERE n >= 30)
+SELECT a.track, b.i - a.i AS lag, round(sum(a.x * b.x) / (any_value(a.n) - (b.i - a.i)), 4) + 0.0 AS ac FROM c a JOIN c b ON a.track = b.track AND b.i >= a.i AND b.i - a.i <= 10 GROUP BY 1, 2"""
+
+
+@query(AUTOCORR)
 def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         v = S.autocorrelation(p.x.to_numpy(), 10) if len(p) >= 30 else np.empty(0)
@@ -93,14 +97,16 @@ def k_weighted_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(windows, -70, 10).groupBy("track").agg(r(loudness(F.avg("mean"))).alias("lufs"))
 
 
-@query()
+@query(f"""WITH ac AS ({AUTOCORR}), teeth AS (SELECT track, CAST(lag / k AS BIGINT) AS lag, ac * w AS v FROM ac, (VALUES (1, 1.0), (2, 0.5), (3, 0.33), (4, 0.25)) AS c(k, w) WHERE lag >= 1 AND lag % k = 0),
+s AS (SELECT track, lag, round(sum(v) * exp(-0.5 * pow(log2(lag / 4.0) / 0.9, 2)), 6) AS s FROM teeth GROUP BY 1, 2)
+SELECT track, lag, s + 0.0 AS score FROM s QUALIFY row_number() OVER (PARTITION BY track ORDER BY s DESC, lag) = 1""")
 def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comb of autocorrelation at one to four lags under a log-normal prior, over the lag table."""
     ac = autocorr(spark, sf_dir).where("lag >= 1")
     at = lambda k, w: ac.select("track", (F.col("lag") / k).alias("lag"), (F.col("ac") * w).alias("v")).where(F.col("lag") == F.floor("lag"))
     comb = at(1, 1.0).unionByName(at(2, 0.5)).unionByName(at(3, 0.33)).unionByName(at(4, 0.25)).groupBy("track", "lag").agg(F.sum("v").alias("v"))
     prior = F.exp(-0.5 * F.pow(F.log2(F.col("lag") / 4) / 0.9, F.lit(2)))
-    return top(comb.withColumn("s", F.round(F.col("v") * prior, 6)), ["track"], [F.desc("s"), F.asc("lag")]).select("track", F.col("lag").cast("long").alias("lag"), r(F.col("s")).alias("score"))
+    return top(comb.withColumn("s", F.round(F.col("v") * prior, 6)), ["track"], [F.desc("s"), F.asc("lag")]).select("track", F.col("lag").cast("long").alias("lag"), (F.col("s") + F.lit(0.0)).alias("score"))
 
 
 @query()
@@ -141,14 +147,17 @@ def glue_compressor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def center_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shared part of two channels: tone a on both sides, b on the left, c on the right."""
+    """The shared part of two channels: tone a on both sides, b on the left, c on the right. A group is a chunk of 64
+    frames, whatever the track's length; the frames' parts are added up by sample."""
     t = tones(spark, TONES, 4096, 8000.0).groupBy("i").pivot("track", ["a", "b", "c"]).agg(F.first("x"))
-    stereo = t.select(F.lit("mix").alias("track"), "i", (F.col("a") + F.col("b")).alias("l"), (F.col("a") + F.col("c")).alias("r"), "a")
+    stereo = t.select(F.lit("mix").alias("track"), "i", (F.col("a") + F.col("b")).alias("l"), (F.col("a") + F.col("c")).alias("r"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": p.i.to_numpy(), "center": S.center(p.l.to_numpy(), p.r.to_numpy()), "truth": p.a.to_numpy()})
+        whole = len(p) >= 256 or p.chunk.iloc[0] == 0
+        return pd.DataFrame({"i": p.i.to_numpy(), "center": S.center(p.l.to_numpy(), p.r.to_numpy()) if whole else np.zeros(len(p))})
 
-    both = S.per_track(stereo, ["track"], "i", run, "i long, center double, truth double").where("i between 256 and 3600")
+    parts = S.per_track(chunked(stereo, 256, 128), ["track", "chunk"], "i", run, "i long, center double")
+    both = parts.groupBy("track", "i").agg(F.sum("center").alias("center")).join(t.select("i", F.col("a").alias("truth")), "i")
     return both.groupBy("track").agg(r(F.corr("center", "truth")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 

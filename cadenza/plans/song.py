@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp, upper_median
 from ..operators import signal as S
 from ..operators.windows import moving_average, top
+from ..settings import Tuning, tuned
 from .timeline import r
 
 QUERIES, ORACLES = {}, {}
@@ -152,7 +153,7 @@ def bars(spark: SparkSession) -> DataFrame:
     tempo = tempo_of(onsets(spark), 128 / FS).select("track", "bpm")
     f = features(spark).join(tempo, "track").withColumn("u", F.floor(F.col("f") * 512 / FS / (240 / F.col("bpm"))))
     mean = lambda c, n: F.array(*[F.avg(F.get(c, F.lit(k))) for k in range(n)])
-    return f.groupBy("track", "u").agg(F.avg("rms_db").alias("level"), mean("chroma", 12).alias("chroma"), mean("timbre", 24).alias("timbre"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    return f.groupBy("track", "u").agg(F.avg("rms_db").alias("level"), mean("chroma", 12).alias("chroma"), mean("timbre", 24).alias("timbre"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= tuned(spark).least_frames)
 
 
 def _unit(x: Column) -> Column:
@@ -160,14 +161,13 @@ def _unit(x: Column) -> Column:
     return F.transform(x, lambda v: v / F.greatest(size, F.lit(1e-12)))
 
 
-@query()
-def song_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of each song: bars alike in chords (cosine 0.9) and level (3 dB) to the first such bar are one cluster,
-    successive bars of a cluster a section; the loudest cluster that comes twice is the chorus, other repeated ones
-    verses, a first or last section of its own the intro or outro, else a bridge. hook marks the first chorus."""
-    own = bars(spark).withColumn("c", _unit(F.col("chroma")))
+def structure_of(own: DataFrame, tuning: Tuning) -> DataFrame:
+    """Sections of each song of bars (track, u, level, chroma): bars alike in chords and level to the first such bar are
+    one cluster, successive bars of a cluster a section; the loudest cluster that comes twice is the chorus, other
+    repeated ones verses, a first or last section of its own the intro or outro, else a bridge. hook marks the first chorus."""
+    own = own.withColumn("c", _unit(F.col("chroma")))
     a = own.select("track", F.col("u").alias("v"), F.col("c").alias("cv"), F.col("level").alias("lv"))
-    alike = (F.aggregate(F.zip_with("c", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0.9) & (F.abs(F.col("level") - F.col("lv")) <= 3)
+    alike = (F.aggregate(F.zip_with("c", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= tuning.alike) & (F.abs(F.col("level") - F.col("lv")) <= tuning.level)
     label = own.join(a, "track").where((F.col("v") <= F.col("u")) & alike).groupBy("track", "u").agg(F.min("v").alias("cluster"), F.first("level").alias("level"))
     line = Window.partitionBy("track").orderBy("u")
     new = F.coalesce((F.col("cluster") != F.lag("cluster").over(line)).cast("int"), F.lit(1))
@@ -180,3 +180,66 @@ def song_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = s.withColumn("kind", kind)
     hook = F.min(F.when(F.col("kind") == "chorus", F.col("start"))).over(Window.partitionBy("track"))
     return named.select("track", F.col("run").cast("int").alias("run"), "start", "end", "kind", r(F.col("level"), 2).alias("level"), (F.col("start") == hook).alias("hook"))
+
+
+@query()
+def song_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_of(bars(spark), tuned(spark))
+
+
+# Bars a clip may have; weights of hook, early hook, loop and energy; the two kinds' shortest, longest and wanted seconds.
+CLIP_BARS, CLIP_WEIGHTS = (16, 12, 8, 6, 4, 3, 2, 1), (0.4, 0.2, 0.25, 0.15)
+CLIPS = [("clip", 11.0, 17.5, 15.0), ("micro", 5.0, 9.5, 7.0)]
+
+
+def clip_bars(bar_sec: Column, shortest: float, longest: float, wanted: float) -> Column:
+    """How many bars a clip has: the allowed count nearest to the wanted length, fours before twos before others (earlier
+    ones in a tie); if none fits, as many as come nearest."""
+    off = lambda b: F.struct((F.abs(b * bar_sec - wanted) + (0.0 if b % 4 == 0 else 1.0 if b % 2 == 0 else 2.5)).alias("off"), F.lit(-b).alias("b"))
+    fits = [F.when((b * bar_sec >= shortest) & (b * bar_sec <= longest), off(b)) for b in CLIP_BARS]
+    return F.coalesce(-F.array_min(F.array_compact(F.array(*fits))).b, F.greatest(F.lit(1), F.floor(wanted / bar_sec + 0.5)).cast("int"))
+
+
+def clips_of(own: DataFrame, sections: DataFrame, kinds: list[tuple[str, float, float, float]]) -> DataFrame:
+    """(track, kind, start, bars, loop, score): the best clip of each kind, from bars (track, u, bar_sec, level, chroma).
+
+    A clip loops if the bar behind it is like its first, its last like the one before it, or its second half like its
+    first: three joins of bars a fixed distance apart, so no pairs of all bars. Hookness is a share of the energy (levels
+    scaled to 0 to 1) and of standing in a chorus; a chorus beginning within 3 s of the start counts on top.
+    """
+    whole, line = Window.partitionBy("track"), Window.partitionBy("track").orderBy("u")
+    low, high = F.min("level").over(whole), F.max("level").over(whole)
+    e = own.withColumns({"c": _unit(F.col("chroma")), "energy": F.when(high > low, (F.col("level") - low) / (high - low)).otherwise(0.0), "n": F.max("u").over(whole) + 1})
+    chorus = sections.where("kind = 'chorus'").select("track", F.col("start").alias("first"), F.explode(F.sequence("start", F.col("end") - 1)).alias("u"))
+    e = e.join(chorus, ["track", "u"], "left").withColumn("hook", 0.7 * F.col("first").isNotNull().cast("double") + 0.3 * F.col("energy"))
+    early = F.min(F.when(F.col("first") == F.col("u"), F.col("u"))).over(line.rowsBetween(0, Window.unboundedFollowing))
+    e = e.withColumns({"early": F.coalesce(((early - F.col("u")) * F.col("bar_sec") <= 3).cast("double"), F.lit(0.0)), "hooks": F.sum("hook").over(line), "energies": F.sum("energy").over(line)})
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), clip_bars(F.col("bar_sec"), *limits).alias("bars")) for k, *limits in kinds]))
+    e = e.withColumn("k", kind).select("*", "k.kind", F.least(F.col("k.bars"), F.col("n")).alias("bars")).drop("k")
+    other = lambda shift, names: e.select("track", "kind", (F.col("u") - shift).alias("u"), *[F.col(c).alias(f"{c}_{n}") for c, n in names])
+    cos = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    half = F.greatest(F.lit(1), F.floor(F.col("bars") / 2))
+    keys = ["track", "kind", "u"]
+    e = e.join(other(half, [("c", "half")]), keys, "left").withColumn("inner", cos("c", "c_half"))
+    e = e.withColumn("inners", F.sum(F.coalesce("inner", F.lit(0.0))).over(Window.partitionBy("track", "kind").orderBy("u")))
+    by_kind = Window.partitionBy("track", "kind").orderBy("u")
+    e = e.withColumn("before", F.lag("c").over(by_kind))
+    last = e.select("track", "kind", (F.col("u") - F.col("bars") + 1).alias("u"), F.col("c").alias("c_last"), F.col("hooks").alias("h1"), F.col("energies").alias("e1"))
+    inner = e.select("track", "kind", (F.col("u") - half + 1).alias("u"), F.col("inners").alias("i1"))
+    after = e.select("track", "kind", (F.col("u") - F.col("bars")).alias("u"), F.col("c").alias("c_after"))
+    at = e.join(last, keys).join(inner, keys).join(after, keys, "left")
+    seam = F.greatest(cos("c", F.coalesce("c_after", "c_last")), F.coalesce(cos("before", "c_last"), F.lit(0.0)), (F.col("i1") - F.col("inners") + F.coalesce("inner", F.lit(0.0))) / half)
+    loop = clamp((seam - 0.5) / 0.5)
+    mean = lambda upto, running, own: (F.col(upto) - F.col(running) + F.col(own)) / F.col("bars")
+    w = CLIP_WEIGHTS
+    score = w[0] * mean("h1", "hooks", "hook") + w[1] * F.col("early") + w[2] * F.col("loop") + w[3] * mean("e1", "energies", "energy")
+    scored = at.withColumn("loop", loop).withColumn("score", F.round(score, 6))
+    best = top(scored, ["track", "kind"], [F.desc("score"), F.asc("u")])
+    return best.select("track", "kind", F.col("u").alias("start"), F.col("bars").cast("int").alias("bars"), r(F.col("loop")).alias("loop"), r(F.col("score")).alias("score"))
+
+
+@query()
+def song_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bars(spark)
+    tempo = tempo_of(onsets(spark), 128 / FS).select("track", (240 / F.col("bpm")).alias("bar_sec"))
+    return clips_of(own.join(tempo, "track"), structure_of(own, tuned(spark)), CLIPS)

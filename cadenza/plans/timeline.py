@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import from_power_db, loudness, upper_median
+from ..operators.quantiles import exact_quantiles
 from ..operators.windows import asof, closed_runs, frame, local_peaks, moving_average, runs, sliding_windows, spaced, top, with_runs
 from ..sources.tables import BLOCKS, SAMPLES, blocks, samples, table
 
@@ -288,15 +289,17 @@ def kurtosis_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT k, t, count(*) AS n, sum(x) AS sx, count(*) FILTER (WHERE x <= t) AS n0, sum(x) FILTER (WHERE x <= t) AS s0 FROM v, c GROUP BY 1, 2)
 SELECT round(t, 4) AS threshold FROM s WHERE n0 < n ORDER BY (n0 / n) * (1 - n0 / n) * pow(s0 / n0 - (sx - s0) / (n - n0), 2) DESC, k LIMIT 1""")
 def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold of largest between-class variance among 59 quantiles of value. The candidates are a bounded array."""
+    """Threshold of largest between-class variance among 59 exact quantiles of value, the only rows that are broadcast."""
     v = table(spark, sf_dir, "events").select(F.col("value").alias("x"))
-    cuts = v.agg(F.percentile("x", F.array(*[F.lit(k / 60) for k in range(1, 60)])).alias("t"), F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    tests = cuts.select("mean", "n", F.posexplode("t").alias("k", "t"))
-    ranges = v.crossJoin(F.broadcast(cuts.select("t"))).select("x", F.size(F.filter("t", lambda c: c < F.col("x"))).alias("above"))
-    hist = ranges.groupBy("above").agg(F.count(F.lit(1)).alias("m"), F.sum("x").alias("s"))
-    low = tests.join(F.broadcast(hist), F.col("above") <= F.col("k"), "left").groupBy("k", "t", "mean", "n").agg(F.sum("m").alias("n0"), F.sum("s").alias("s0"))
+    tests = exact_quantiles(v, "x", [k / 60 for k in range(1, 60)])
+    cuts = tests.agg(F.array_sort(F.collect_list("t")).alias("t"))
+    above = F.size(F.filter("t", lambda c: c < F.col("x")))
+    hist = v.crossJoin(F.broadcast(cuts)).groupBy(above.alias("above")).agg(F.count(F.lit(1)).alias("m"), F.sum("x").alias("s"))
+    whole = Window.partitionBy(F.lit(0))
+    hist = hist.withColumn("total", F.sum("s").over(whole))
+    low = tests.join(F.broadcast(hist), F.col("above") < F.col("k")).groupBy("k", "t", "n").agg(F.sum("m").alias("n0"), F.sum("s").alias("s0"), F.max("total").alias("total"))
     w0 = F.col("n0") / F.col("n")
-    m0, m1 = F.col("s0") / F.col("n0"), (F.col("mean") * F.col("n") - F.col("s0")) / (F.col("n") - F.col("n0"))
+    m0, m1 = F.col("s0") / F.col("n0"), (F.col("total") - F.col("s0")) / (F.col("n") - F.col("n0"))
     return low.where("n0 < n").select("t", (w0 * (1 - w0) * (m0 - m1) * (m0 - m1)).alias("v"), "k").orderBy(F.desc("v"), "k").limit(1).select(r(F.col("t")).alias("threshold"))
 
 

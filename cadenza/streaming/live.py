@@ -8,12 +8,14 @@ That needs a query that keeps running: one of trigger availableNow would go on f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.signal import notes
@@ -31,6 +33,25 @@ def finished(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def waited(query: StreamingQuery, on_progress: Callable[[int, int], None] | None = None, seconds: float = 280.0, first: float = 0.6, most: float = 2.5) -> bool:
+    """Waits at most `seconds` for a stream to end and says whether it has; a failed stream raises its error.
+
+    It looks after `first` seconds and then in intervals longer by a quarter each, `most` at the longest, and gives
+    on_progress each new micro-batch's number and rows. The stream goes on where the time is over.
+    """
+    end, delay, seen = time.monotonic() + seconds, first, -1
+    while True:
+        left = end - time.monotonic()
+        over = query.awaitTermination(max(0.001, min(delay, left)))
+        for p in query.recentProgress if on_progress else []:
+            if p["batchId"] > seen:
+                seen = p["batchId"]
+                on_progress(seen, p["numInputRows"])
+        if over or left <= delay:
+            return bool(over)
+        delay = min(most, delay * 1.25)
+
+
 def windowed_levels(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts and sums per type in tumbling or sliding event-time windows; a window closes when the watermark passes it."""
     ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
