@@ -13,6 +13,7 @@ from ..functions.scalar import clamp, upper_median
 from ..operators import signal as S
 from ..operators.windows import moving_average, top
 from ..settings import Tuning, tuned
+from ..sources.tables import written
 from .timeline import r
 
 QUERIES, ORACLES = {}, {}
@@ -149,11 +150,11 @@ def song_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession) -> DataFrame:
-    """(track, u, level, chroma, timbre) of each bar of the found tempo: means of the frames that begin in it."""
+    """(track, u, level, chroma, timbre, bar_sec) of each bar of the found tempo: means of the frames that begin in it."""
     tempo = tempo_of(onsets(spark), 128 / FS).select("track", "bpm")
     f = features(spark).join(tempo, "track").withColumn("u", F.floor(F.col("f") * 512 / FS / (240 / F.col("bpm"))))
     mean = lambda c, n: F.array(*[F.avg(F.get(c, F.lit(k))) for k in range(n)])
-    return f.groupBy("track", "u").agg(F.avg("rms_db").alias("level"), mean("chroma", 12).alias("chroma"), mean("timbre", 24).alias("timbre"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= tuned(spark).least_frames)
+    return f.groupBy("track", "u").agg(F.avg("rms_db").alias("level"), mean("chroma", 12).alias("chroma"), mean("timbre", 24).alias("timbre"), F.first(240 / F.col("bpm")).alias("bar_sec"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= tuned(spark).least_frames)
 
 
 def _unit(x: Column) -> Column:
@@ -223,7 +224,8 @@ def clips_of(own: DataFrame, sections: DataFrame, kinds: list[tuple[str, float,
     e = e.join(other(half, [("c", "half")]), keys, "left").withColumn("inner", cos("c", "c_half"))
     e = e.withColumn("inners", F.sum(F.coalesce("inner", F.lit(0.0))).over(Window.partitionBy("track", "kind").orderBy("u")))
     by_kind = Window.partitionBy("track", "kind").orderBy("u")
-    e = e.withColumn("before", F.lag("c").over(by_kind))
+    # written, as each join below would make it anew
+    e = written(e.withColumn("before", F.lag("c").over(by_kind)))
     last = e.select("track", "kind", (F.col("u") - F.col("bars") + 1).alias("u"), F.col("c").alias("c_last"), F.col("hooks").alias("h1"), F.col("energies").alias("e1"))
     inner = e.select("track", "kind", (F.col("u") - half + 1).alias("u"), F.col("inners").alias("i1"))
     after = e.select("track", "kind", (F.col("u") - F.col("bars")).alias("u"), F.col("c").alias("c_after"))
@@ -240,6 +242,6 @@ def clips_of(own: DataFrame, sections: DataFrame, kinds: list[tuple[str, float,
 
 @query()
 def song_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bars(spark)
-    tempo = tempo_of(onsets(spark), 128 / FS).select("track", (240 / F.col("bpm")).alias("bar_sec"))
-    return clips_of(own.join(tempo, "track"), structure_of(own, tuned(spark)), CLIPS)
+    # the bars are written, as clips and sections read them many times
+    own = written(bars(spark).drop("n"))
+    return clips_of(own, structure_of(own, tuned(spark)), CLIPS)
