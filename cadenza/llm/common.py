@@ -146,3 +146,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
     roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
+
+
+def numbered(df: DataFrame, strata: Sequence[str], order: Sequence[str], name: str = "number") -> DataFrame:
+    """Adds name (from 0, gapless in each stratum, ascending by order, nulls first) and `{name}_total`, the stratum's rows.
+
+    Rows are sorted over all partitions by ranges of (strata, order), which are drawn from the rows themselves, and
+    written; each keeps its place in its partition, and only the rows of each (partition, stratum) are counted and
+    added up. So a stratum of any share is spread over tasks as long as order tells its rows apart.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*strata, *order)]
+    line = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    line = written(line).withColumn("_part", F.shiftright("_at", 33))
+    runs = line.groupBy(*strata, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [*strata, "_part"]
+    shift = runs.select(*[F.col(k).alias(f"_o_{k}") for k in keys], (before - F.col("_from")).alias("_shift"), F.sum("_n").over(whole).alias(f"{name}_total"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
+    return line.join(shift, same).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift", *[f"_o_{k}" for k in keys])

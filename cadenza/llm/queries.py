@@ -14,6 +14,7 @@ from .decontaminate import decontaminate
 from .jaccard import jaccard_classes
 from .language import fit_dictionaries, identify
 from .license import NOTICES, PHRASES, scan_licenses, template_rows
+from .manifest import folded, leaf_digest, manifest, siblings
 from .packing import pack
 from .sharding import interleaved_shards
 from .topk import top_k
@@ -99,6 +100,20 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's leaf, its proof, and whether the proof still holds after every fifth row's text was tampered with (rows
+    without a doc_id are left as they are)."""
+    docs = read(spark, sf_dir, "documents")
+    kept = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_digest(*kept, F.translate("text", UPPER, LOWER)))
+    rows = manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], carry={"tampered": tampered})
+    out = rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 OP2_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -169,7 +184,41 @@ SELECT page_id, host, path, rule, coalesce(own, alias, 'allow') AS verdict, CASE
 FROM x LEFT JOIN k ON k.node = split_part(url, '#', 1) LEFT JOIN z USING (comp)
 """
 
+def _merkle_sql(source_levels: int = 8, top_levels: int = 6, fanout: int = 16) -> str:
+    """Levels of both trees, one CTE each: nodes l{k} and t{k}, runs of siblings r{k} and s{k}; then each row's node,
+    folded upwards (f), beside its siblings so far (p). Levels beyond a tree's height have no runs and change nothing."""
+    said = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(said, ("doc_id", "source", "lang", "n_chars")), said(text)]) + ")"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS low, coalesce({crc} % 5 = 0, false) AS hit FROM documents)",
+        "l0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d)",
+    ]
+
+    def levels(node: str, run: str, count: int) -> None:
+        for k in range(count):
+            parts.append(f"{run}{k} AS (SELECT tree, i // {fanout} AS i, list(h ORDER BY i) AS hs FROM {node}{k} WHERE n > 1 GROUP BY ALL)")
+            parts.append(f"{node}{k + 1} AS (SELECT tree, i, sha256(array_to_string(hs, '')) AS h, count(*) OVER (PARTITION BY tree) AS n FROM {run}{k})")
+
+    levels("l", "r", source_levels)
+    parts.append("sub AS (" + " UNION ALL ".join(f"SELECT tree, h FROM l{k} WHERE n = 1" for k in range(source_levels + 1)) + ")")
+    parts.append("t0 AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM sub)")
+    levels("t", "s", top_levels)
+    parts.append("top AS (" + " UNION ALL ".join(f"SELECT h FROM t{k} WHERE n = 1" for k in range(top_levels + 1)) + ")")
+    parts.append("p0 AS (SELECT l0.doc_id, l0.tree, leaf, l0.i, t0.i AS j, CASE WHEN hit THEN coalesce(low, leaf) ELSE leaf END AS f, '' AS p FROM l0 JOIN t0 ON t0.name = l0.tree)")
+    steps = [(f"r{k}", "p.tree", "p.i", k) for k in range(source_levels)] + [(f"s{k}", "''", "p.j", k) for k in range(top_levels)]
+    for k, (run, tree, at, level) in enumerate(steps):
+        pos = f"({at} // {fanout**level}) % {fanout}"
+        left, right = f"array_to_string(hs[1:{pos}], '')", f"array_to_string(hs[{pos} + 2:], '')"
+        parts.append(
+            f"p{k + 1} AS (SELECT doc_id, p.tree, leaf, p.i, j, CASE WHEN hs IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f, CASE WHEN hs IS NULL THEN p ELSE p || {left} || {right} END AS p"
+            f" FROM p{k} p LEFT JOIN {run} r ON r.tree = {tree} AND r.i = {at} // {fanout ** (level + 1)})"
+        )
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = top.h AS verified FROM p{len(steps)} p JOIN sub USING (tree), top"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_top_k, op3_jaccard_join, op4_decontamination, op5_license_scan, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit)
+    f.__name__: f for f in (op1_chat_windows, op2_top_k, op3_jaccard_join, op4_decontamination, op5_license_scan, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit, op11_merkle_manifest)
 }
-ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_merkle_manifest": _merkle_sql()}
