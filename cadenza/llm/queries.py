@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import format_chat, read_targets, read_turns
 from .common import LOWER, UPPER, WORD, crc_mod, read
 from .decontaminate import decontaminate
+from .fingerprint import containment, distinct_shingles, fingerprints, likeness, said
 from .jaccard import jaccard_classes
 from .language import fit_dictionaries, identify
 from .license import NOTICES, PHRASES, scan_licenses, template_rows
@@ -114,6 +116,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, other = F.col("sketch"), F.col("edited_sketch")
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        said(own).alias("fingerprint"), said(other).alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"), likeness(own, F.col("next_sketch")).alias("near_next"),
+        containment(own, other).alias("contained_edited"), distinct_shingles(own).alias("n_shingles"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    rows = align(read(spark, sf_dir, "documents").select("doc_id", "text"), a, b, describe=lambda groups: F.sha2(groups, 256))
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 OP2_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -219,6 +238,6 @@ def _merkle_sql(source_levels: int = 8, top_levels: int = 6, fanout: int = 16) -
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_top_k, op3_jaccard_join, op4_decontamination, op5_license_scan, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit, op11_merkle_manifest)
+    f.__name__: f for f in (op1_chat_windows, op2_top_k, op3_jaccard_join, op4_decontamination, op5_license_scan, op6_language, op7_toxicity, op8_interleaved_shards, op9_url_filter, op10_best_two_fit, op11_merkle_manifest, op12_fingerprints, op13_alignment)
 }
 ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_merkle_manifest": _merkle_sql()}
