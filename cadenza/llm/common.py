@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
+from pyarrow import RecordBatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: A word of the contracts' texts after lower-casing A-Z (Java, RE2 and Python read it alike).
@@ -81,6 +83,40 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
             fs.delete(at, True)
 
 
+def mapped(df: DataFrame, run: Callable[[str, Iterator[RecordBatch]], Iterator[RecordBatch]], **kinds: DataType) -> DataFrame:
+    """df with columns of these kinds behind its own, whatever their names and types. run gets the name of the text column
+    and batches, in which all columns have plain names, and yields them with the new columns behind."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    text = names[df.columns.index("text")]
+    plain = df.toDF(*names)
+    schema = StructType([*plain.schema.fields, *(StructField(name, kind) for name, kind in kinds.items())])
+    return plain.mapInArrow(lambda batches: run(text, batches), schema).toDF(*df.columns, *kinds)
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns of `like` only, whatever their names."""
+    return df.select(*[df["`" + c.replace("`", "``") + "`"] for c in like.columns])
+
+
+#: Times that a row is repeated at once.
+REPEATS = 1 << 16
+
+
+def repeated(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Every row of df as often as its column n says, numbered from 0 in a column `name`; n goes. Many repeats of one row
+    are dealt to tasks by stretches of REPEATS."""
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / REPEATS)))
+    parts = df.where(F.col(n) > 0).withColumn("_stretch", stretch)
+    parts = parts.repartition(F.xxhash64(*[F.col(c) for c in df.columns if c != n], "_stretch"))
+    numbers = F.sequence(F.col("_stretch") * REPEATS, F.least(F.col(n), (F.col("_stretch") + 1) * REPEATS) - 1)
+    return parts.withColumn(name, F.explode(numbers)).drop(n, "_stretch")
+
+
+def copies(df: DataFrame, name: str) -> DataFrame:
+    """df with a number `name`, from 0, among equal rows: these are counted before they are shuffled, then repeated."""
+    return repeated(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")), "_n", name)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import NOT_WORD, numbered, written
+from .common import NOT_WORD, numbered, repeated, written
 
 #: Words a shingle, hashes a sketch: a resemblance J is off by sqrt(J (1 - J) / HASHES), 0.044 at most.
 WORDS, HASHES = 5, 128
-#: Copies that one row is repeated to at once.
-COPIES = 1 << 16
+#: Most buckets of in_line(); their first keys, some 40 bytes each, are in every task.
+BUCKETS = 1 << 16
 
 
 def sketch(text: Column, words: int = WORDS, size: int = HASHES) -> Column:
@@ -82,26 +83,40 @@ def merge_sketches(df: DataFrame, by: Sequence[str], column: str = "sketch", siz
     return keys.join(full, same, "left").select(*[keys[k] for k in by], F.coalesce(full[column], F.expr("cast(array() as array<bigint>)")).alias(column))
 
 
-def with_next(docs: DataFrame, head: Column, *more: tuple[str, Column]) -> DataFrame:
-    """Every distinct (doc_id, text) of docs with its number of copies and what it needs of the next row by doc_id.
+def in_line(docs: DataFrame, per_task: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with a bucket b such that each row's next row by doc_id is the next of its bucket, and repeated rows.
 
-    Rows ascend by doc_id, null first, those of one id by their text's hash, and the last is followed by the first. Of
-    equal rows all but the last are followed by themselves. Returned: doc_id, text, copies, and of the row behind the last
-    copy `head` (a Column of its text and of `chars`, the code points of the row before it) and the Columns in `more`.
+    Rows ascend by doc_id, null first, those of one id by their text's hash, and the last is followed by the first. The
+    first table, (b, guest, none, k, h, doc_id, text), is to be sorted in each bucket by guest and key (none, k, h): its
+    last row is a guest, the row that follows the bucket. The second, (doc_id, text, n), has what is left out of it: rows
+    of which there are so many equal ones that they would fill buckets; n of them are followed by themselves.
 
-    Equal rows are counted before they are shuffled. Only ids, hashes and lengths are sorted; texts move once, by their
-    key, and heads once more.
+    Buckets are per_task for every shuffle partition, BUCKETS at most, and begin at keys that are evenly spread in the
+    sorted line of all distinct keys. Only keys are sorted; the driver holds the buckets' first keys, and a row finds its
+    bucket among them by halving, so that texts move once, by bucket.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "h"]
-    rows = own.groupBy("doc_id", *key).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    keys = own.select("doc_id", *key, F.length("text").cast("long").alias("chars")).distinct()
-    line = written(numbered(keys, [], ["doc_id", "h"]))
-    after = line.select(F.col("number").alias("at"), "k", "none", "h")
-    before = line.select(F.pmod(F.col("number") + 1, F.col("number_total")).alias("at"), F.col("k").alias("to_k"), F.col("none").alias("to_none"), F.col("h").alias("to_h"), "chars")
-    wanted = written(after.join(before, "at").drop("at"))
-    heads = rows.join(wanted, ["k", "none", "h"]).select(F.col("to_k").alias("k"), F.col("to_none").alias("none"), F.col("to_h").alias("h"), head.alias("head"), *[c.alias(n) for n, c in more])
-    return rows.join(heads, ["k", "none", "h"]).drop("k", "none", "h")
+    spark = docs.sparkSession
+    key = ["none", "k", "h"]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.select("*", F.when(F.col("doc_id").isNull(), 0).otherwise(1).cast("long").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("h"))
+    line = written(numbered(own.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), [], key))
+    keys, rows = line.agg(F.max("number_total"), F.sum("n")).first()
+    n_buckets = min(BUCKETS, per_task * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = -(-(keys or 1) // n_buckets)
+    first = [tuple(r) for r in line.where(F.col("number") % size == 0).orderBy("number").select(*key).collect()]
+    many = [tuple(r) for r in line.where((F.col("n") > 1) & (F.col("n") * n_buckets > (rows or 0))).select(*key, "n").collect()]
+    schema = "none long, k long, h long"
+    chosen = F.broadcast(spark.createDataFrame([*{*first, *(m[:3] for m in many)}], schema))
+    chosen = written(own.join(chosen, key).groupBy(*key).agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text")))
+    often = F.broadcast(spark.createDataFrame(many, schema + ", n long"))
+    single = own.join(often.drop("n"), key, "left_anti").unionByName(chosen.join(often.drop("n"), key))
+    bounds = F.from_json(F.lit(json.dumps([dict(zip(key, x, strict=True)) for x in first])), "array<struct<none: long, k: long, h: long>>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(first).bit_length()))])
+    halved = lambda x: F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s) <= x, at + s).otherwise(at))
+    placed = single.withColumn("b", let(F.struct(*key), halved)).withColumn("guest", F.lit(0))
+    before = spark.createDataFrame([(*x, (i - 1) % len(first)) for i, x in enumerate(first)], schema + ", b int")
+    guests = chosen.join(F.broadcast(before), key).withColumn("guest", F.lit(1))
+    return placed.unionByName(guests), chosen.join(often, key).select("doc_id", "text", (F.col("n") - 1).alias("n"))
 
 
 def edited(text: Column, head: Column) -> Column:
@@ -117,16 +132,19 @@ def fingerprints(docs: DataFrame, size: int = HASHES) -> DataFrame:
     """(doc_id, text, edited, sketch, edited_sketch, next_sketch) of every row of docs (doc_id, text).
 
     edited: the text's last quarter of code points replaced by the first as many of the next row's text (or all of it). See
-    with_next for the order, null ids and repeated rows; a null text counts as empty, and a single row is its own next.
-    Equal rows are worked once and then repeated. An empty table gives no rows; other columns are not read.
+    in_line for the order, null ids and repeated rows; a null text counts as empty, and a single row is its own next. Rows
+    that repeat by the thousand are worked once and then repeated. An empty table gives no rows; other columns are not read.
     """
-    pairs = with_next(docs, F.substring("text", F.lit(1), quarter(F.col("chars"))), ("next_sketch", sketch(F.col("text"), size=size)))
-    own = pairs.withColumn("sketch", sketch(F.col("text"), size=size))
-    same = F.struct((F.col("copies") - 1).alias("n"), F.substring("text", F.lit(1), quarter(F.length("text"))).alias("head"), F.col("sketch").alias("next_sketch"))
-    last = F.struct(F.lit(1).cast("long").alias("n"), "head", "next_sketch")
-    kinds = own.select("doc_id", "text", "sketch", F.explode(F.when(F.col("copies") > 1, F.array(same, last)).otherwise(F.array(last))).alias("x"))
-    rows = kinds.select("doc_id", "text", "sketch", "x.n", "x.next_sketch", edited(F.col("text"), F.col("x.head")).alias("edited"))
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), size=size))
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES)))
-    rows = rows.withColumn("chunk", chunk).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("n") - F.col("chunk") * COPIES))))
-    return rows.select("doc_id", "text", "edited", "sketch", "edited_sketch", "next_sketch")
+    placed, again = in_line(docs)
+    own = sketch(F.col("text"), size=size)
+    line = Window.partitionBy("b").orderBy("guest", "none", "k", "h")
+    rows = placed.repartition("b").withColumn("sketch", own)
+    rows = rows.withColumns({"next": F.lead("text").over(line), "next_sketch": F.lead("sketch").over(line)}).where("guest = 0")
+    again = again.withColumn("sketch", own).withColumns({"next": F.col("text"), "next_sketch": F.col("sketch")})
+    names = ["doc_id", "text", "edited", "sketch", "edited_sketch", "next_sketch"]
+
+    def done(df: DataFrame) -> DataFrame:
+        head = F.substring("next", F.lit(1), quarter(F.length("text")))
+        return df.withColumn("edited", edited(F.col("text"), head)).withColumn("edited_sketch", sketch(F.col("edited"), size=size))
+
+    return done(rows).select(*names).unionByName(repeated(written(done(again).select(*names, "n")), "n", "copy").select(*names))
