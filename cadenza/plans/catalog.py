@@ -247,12 +247,15 @@ def numbered_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("c_custkey", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s.brief)), "\n").alias("briefs"))
 
 
-@query(f"WITH {values([(i, float(a), float(b), float(s), float(v)) for i, a, b, s, v in VERSIONS], ['id', 'lo', 'hi', 'step', 'init'], 'v')} SELECT id, CAST(round((hi - lo) / step) AS BIGINT) + 1 AS n_steps, CAST(round((init - lo) / step) AS BIGINT) AS place, round(lo + step, 4) AS second FROM v")
+@query(f"""WITH {values([(k, i, float(a), float(b), float(s), float(v)) for k, (i, a, b, s, v) in enumerate(VERSIONS)], ['k', 'id', 'lo', 'hi', 'step', 'init'], 'v')}
+SELECT p_partkey, id, CAST(round((hi - lo) / step) AS BIGINT) + 1 AS n_steps, CAST(round((init - lo) / step) AS BIGINT) AS place, round(least(hi, lo + p_size % (CAST(round((hi - lo) / step) AS BIGINT) + 1) * step), 4) AS chosen FROM part JOIN v ON k = p_partkey % {len(VERSIONS)}""")
 def version_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions with a parameter: how many values it has, and the place of the initial one."""
-    v = spark.createDataFrame([(i, float(a), float(b), float(s), float(x)) for i, a, b, s, x in VERSIONS], "id string, lo double, hi double, step double, init double")
+    """Each part's version: how many values its parameter has, the place of the initial one, and the one that the size names."""
+    v = F.broadcast(spark.createDataFrame([(k, i, float(a), float(b), float(s), float(x)) for k, (i, a, b, s, x) in enumerate(VERSIONS)], "k int, id string, lo double, hi double, step double, init double"))
     steps = lambda c: F.round(c / F.col("step")).cast("long")
-    return v.select("id", (steps(F.col("hi") - F.col("lo")) + 1).alias("n_steps"), steps(F.col("init") - F.col("lo")).alias("place"), r(F.col("lo") + F.col("step")).alias("second"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % len(VERSIONS)).cast("int").alias("k")).join(v, "k").withColumn("n_steps", steps(F.col("hi") - F.col("lo")) + 1)
+    chosen = F.least(F.col("hi"), F.col("lo") + F.col("p_size") % F.col("n_steps") * F.col("step"))
+    return p.select("p_partkey", "id", "n_steps", steps(F.col("init") - F.col("lo")).alias("place"), r(chosen).alias("chosen"))
 
 
 _KEY_ROWS = [(t, m, f"{n} {m}", n + ("m" if m == "minor" else ""), CAMELOT[m][t]) for m in ("major", "minor") for t, n in enumerate(KEYS)]
@@ -274,13 +277,16 @@ def cepstrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "c", r(v, 5).alias("v"))
 
 
-@query("""WITH RECURSIVE g(i, s) AS (SELECT 1, CAST(22222 AS HUGEINT) * 1664525 % 4294967296 + 1013904223 UNION ALL SELECT i + 1, (s % 4294967296 * 1664525 + 1013904223) % 4294967296 FROM g WHERE i < 2000),
-n AS (SELECT i, CAST(s % 4294967296 AS BIGINT) AS s FROM g) SELECT CAST((a.i - 1) // 2 AS BIGINT) AS i, round((a.s - b.s) / 4294967296, 9) + 0.0 AS tpdf FROM n a JOIN n b ON b.i = a.i + 1 WHERE a.i % 2 = 1""")
+@query("""WITH RECURSIVE g(i, s) AS (SELECT 1, CAST(22222 AS HUGEINT) * 1664525 % 4294967296 + 1013904223 UNION ALL SELECT i + 1, (s % 4294967296 * 1664525 + 1013904223) % 4294967296 FROM g WHERE i < (SELECT 2 * max(event_id) + 2 FROM events)),
+n AS (SELECT i, CAST(s % 4294967296 AS BIGINT) AS s FROM g), t AS (SELECT (a.i - 1) // 2 AS i, (a.s - b.s) / 4294967296 AS tpdf FROM n a JOIN n b ON b.i = a.i + 1 WHERE a.i % 2 = 1)
+SELECT event_id, round(tpdf, 9) + 0.0 AS tpdf, CAST(floor(round(least(1, value / 500) * 32767 + tpdf, 6) + 0.5) AS BIGINT) AS pcm FROM events JOIN t ON i = event_id""")
 def dither_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangular noise of 1,000 samples, from a congruential generator whose n-th number is a closed form of n: every
-    sample is made on its own, without the ones before."""
-    first, second = (lcg(2 * F.col("id") + k) for k in (1, 2))
-    return spark.range(1000).select(F.col("id").alias("i"), r((first - second) / F.lit(2.0**32), 9).alias("tpdf"))
+    """Each event's value as a sample of 16 bits with triangular noise, from a congruential generator whose n-th number is a
+    closed form of n (here the event's number): every sample is made on its own, without the ones before."""
+    first, second = (lcg(2 * F.col("event_id") + k) for k in (1, 2))
+    e = table(spark, sf_dir, "events").select("event_id", "value", ((first - second) / F.lit(2.0**32)).alias("tpdf"))
+    pcm = F.floor(F.round(F.least(F.lit(1.0), F.col("value") / 500) * 32767 + F.col("tpdf"), 6) + 0.5)
+    return e.select("event_id", r(F.col("tpdf"), 9).alias("tpdf"), pcm.alias("pcm"))
 
 
 @query(f"WITH {SAMPLES} SELECT track, i // 64 AS part, count(*) AS n, round(sum(x), 4) AS total FROM samples GROUP BY 1, 2")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import top
-from ..sources.tables import table, passing
+from ..sources.tables import contour, passing, table
 from ..streaming import live
 from . import timeline
 from .relational import SECTIONS, sections
-from .signals import pitch_points
 from .timeline import r
 
 QUERIES, ORACLES = {}, {}
@@ -33,11 +32,12 @@ def scratch(spark: SparkSession) -> str:
 
 @query()
 def live_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch points arriving in small files; notes committed once they are settled."""
+    """Pitch points of the events arriving in six portions by time; notes committed once they are settled."""
     path = scratch(spark)
-    p = pitch_points(spark)
+    p = contour(spark, sf_dir)
+    each = p.agg(F.max("t")).first()[0] / 6 + 0.001
     for k in range(6):
-        p.where((F.col("t") >= k * 0.6) & (F.col("t") < (k + 1) * 0.6)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        p.where(F.floor(F.col("t") / each) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
     return live.finished(live.live_notes(live.stream_of(spark, f"{path}/in", p.schema)), path)
 
 

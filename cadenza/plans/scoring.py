@@ -190,9 +190,15 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(v).alias("band", "db"))
 
 
-@query(f"WITH {THIRDS_SQL}, {TARGET_SQL} SELECT family, CAST(band AS INTEGER) AS band, round(db, 5) + 0.0 AS db FROM target")
+@query(f"""WITH {THIRDS_SQL}, pt AS (SELECT p_partkey, 25 * pow(2, (p_partkey % 90) / 10.0) AS f FROM part)
+SELECT p_partkey, family, round(db_lo + CASE WHEN f <= lo THEN 0 ELSE ln(f / lo) / ln(hi / lo) END * (db_hi - db_lo), 5) + 0.0 AS db FROM pt JOIN anchor ON (f > lo AND f <= hi) OR (f = 25 AND lo = 25)""")
 def bracket_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets(spark).select("family", "band", r(F.col("target"), 5).alias("db"))
+    """Each part's frequency on the target curve of every family, log-interpolated between the anchors around it."""
+    f = F.col("f")
+    parts = table(spark, sf_dir, "part").select("p_partkey", (25 * F.pow(F.lit(2.0), (F.col("p_partkey") % 90) / 10.0)).alias("f"))
+    near = parts.join(F.broadcast(anchors(spark)), ((f > F.col("lo")) & (f <= F.col("hi"))) | ((f == 25) & (F.col("lo") == 25)))
+    share = F.when(f <= F.col("lo"), 0.0).otherwise(F.ln(f / F.col("lo")) / F.ln(F.col("hi") / F.col("lo")))
+    return near.select("p_partkey", "family", r(F.col("db_lo") + share * (F.col("db_hi") - F.col("db_lo")), 5).alias("db"))
 
 
 BANDS_SQL = values([(b, float(lo), float(hi)) for b, lo, hi in TONE_BANDS], ["id", "blo", "bhi"], "tone")
@@ -332,9 +338,15 @@ def device_response(spark: SparkSession) -> DataFrame:
     return flt.crossJoin(F.broadcast(thirds(spark))).groupBy("device", "band", "f").agg(F.sum(db).alias("db"))
 
 
-@query(f"WITH {THIRDS_SQL}, {_filters_sql()} SELECT device, CAST(band AS INTEGER) AS band, round(db, 4) + 0.0 AS db FROM rsp")
+@query(f"""WITH {_filters_sql().rsplit("rsp AS", 1)[0].rstrip().rstrip(",")}, pt AS (SELECT p_partkey, 2 * pi() * 25 * pow(2, (p_partkey % 90) / 10.0) / {FS} AS w FROM part)
+SELECT p_partkey, device, round(sum(10 * log10(greatest((pow(b0 + b1 * cos(w) + b2 * cos(2 * w), 2) + pow(b1 * sin(w) + b2 * sin(2 * w), 2)) / (pow(a0 + a1 * cos(w) + a2 * cos(2 * w), 2) + pow(a1 * sin(w) + a2 * sin(2 * w), 2)), 1e-12))), 4) + 0.0 AS db FROM co, pt GROUP BY 1, 2""")
 def filter_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return device_response(spark).select("device", "band", r(F.col("db"), 4).alias("db"))
+    """What each device's filters do, one after the other, at each part's frequency."""
+    k = biquad(F.col("type"), F.col("freq"), F.col("q"), F.col("gain"), FS)
+    flt = F.broadcast(device_filters(spark).select("device", *[c.alias(n) for n, c in k.items()]))
+    parts = table(spark, sf_dir, "part").select("p_partkey", (25 * F.pow(F.lit(2.0), (F.col("p_partkey") % 90) / 10.0)).alias("f"))
+    db = response_db({n: F.col(n) for n in k}, F.col("f"), FS)
+    return parts.crossJoin(flt).groupBy("p_partkey", "device").agg(r(F.sum(db)).alias("db"))
 
 
 DEVICE_SQL = values([(d, d in MONO) for d in DEVICES], ["device", "mono"], "dv")
@@ -357,10 +369,18 @@ def device_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rms.select("vec_id", "device", F.when(F.col("device") == "studio", 100.0).otherwise(score).alias("score"))
 
 
-@query(f"""WITH {GENRE_SQL} SELECT id, family, count(*) AS n_windows, min(wlo) AS lo, max(whi) AS hi, any_value(dhi - dlo) AS span FROM genre JOIN win ON gid = id GROUP BY 1, 2""")
+_GENRE_PLACE = values([(i, k) for k, (i, *_) in enumerate(GENRES)], ["pid", "place"], "placed")
+
+
+@query(f"""WITH {GENRE_SQL}, {_GENRE_PLACE}, d AS (SELECT id, any_value(family) AS family, count(*) AS n_windows, min(wlo) AS lo, max(whi) AS hi, any_value(dhi - dlo) AS span FROM genre JOIN win ON gid = id GROUP BY 1)
+SELECT id, family, n_windows, lo, hi, span, count(*) AS n_customers, round(avg(c_acctbal), 2) AS balance FROM customer JOIN placed ON place = c_custkey % {len(GENRES)} JOIN d ON id = pid GROUP BY ALL""")
 def dims_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the genre that their number names, with the genre's tempo windows and length from the dimension."""
     g = genres(spark).select("id", "family", F.col("duration.hi").alias("dhi"), F.col("duration.lo").alias("dlo"), F.explode("bpm_windows").alias("w"))
-    return g.groupBy("id", "family").agg(F.count(F.lit(1)).alias("n_windows"), F.min("w.lo").alias("lo"), F.max("w.hi").alias("hi"), F.first(F.col("dhi") - F.col("dlo")).alias("span"))
+    d = g.groupBy("id", "family").agg(F.count(F.lit(1)).alias("n_windows"), F.min("w.lo").alias("lo"), F.max("w.hi").alias("hi"), F.first(F.col("dhi") - F.col("dlo")).alias("span"))
+    place = spark.createDataFrame([(i, k) for k, (i, *_) in enumerate(GENRES)], "id string, place int")
+    by = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % len(GENRES)).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n_customers"), F.round(F.avg("c_acctbal"), 2).alias("balance"))
+    return by.join(F.broadcast(d.join(place, "id")), "place").drop("place")
 
 
 @query(f"WITH {values([(p[0], float(p[1]), float(p[5]), float(p[8])) for p in PRESETS], ['id', 'lufs', 'width', 'ratio'], 'preset')} SELECT p_partkey, id, round(p_retailprice / 100 + lufs, 6) AS gain, p_size * width AS w FROM part, preset WHERE p_size > 45 AND ratio >= 2")

@@ -1,21 +1,21 @@
-"""Spectra, pitch, beats, dynamics and structure of signals: synthetic tones and the event and embedding tracks."""
+"""Spectra, pitch, beats and dynamics of signals: the event, line item and embedding tracks."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import half_up, loudness, midi
+from ..functions.scalar import amplitude_db, half_up, loudness, midi, power_db
 from ..operators import signal as S
+from ..operators.scan import Cascade, Release, scanned
 from ..operators.windows import frame, top
-from ..sources.audio import tones
-from ..sources.tables import SAMPLES, samples, table
-from .relational import UNITS, units
-from .song import chunked
+from ..sources.tables import SAMPLES, WAVES, contour, samples, table, waves, written
+from .relational import units
+from .song import FS, chunked
 from .timeline import gated, r
 
 QUERIES, ORACLES = {}, {}
@@ -31,41 +31,43 @@ def query(sql: str | None = None):
     return add
 
 
-TONES = [("a", 440.0, 0.5, 0.0), ("b", 1000.0, 0.25, 0.3), ("c", 220.0, 0.8, 1.0)]
-
+@query(f"WITH {WAVES} SELECT track, count(*) AS n, round(avg(l), 6) + 0.0 AS mean, round(stddev_samp(l), 6) AS std, round(20 * log10(greatest(max(abs(l)), 1e-12)), 4) + 0.0 AS peak_db, round(10 * log10(greatest(avg(l * l), 1e-12)), 4) + 0.0 AS rms_db FROM waves GROUP BY 1")
+def synthetic_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, mean, sample deviation, peak and level of each track."""
+    x = F.col("l")
+    return waves(spark, sf_dir).groupBy("track").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg(x), 6).alias("mean"), r(F.stddev_samp(x), 6).alias("std"), r(amplitude_db(F.max(F.abs(x)))).alias("peak_db"), r(power_db(F.avg(x * x))).alias("rms_db")
+    )
 
-def tones_sql(n: int, fs: float) -> str:
-    rows = ", ".join(f"('{t}', {f}, {a}, {p})" for t, f, a, p in TONES)
-    return f"sig AS (SELECT track, i, amp * sin(2 * pi() * freq * i / {fs} + phase) AS x FROM (VALUES {rows}) AS v(track, freq, amp, phase), (SELECT unnest(range(0, {n})) AS i))"
 
+SPECTRA = f"""{WAVES}, hann AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM (SELECT unnest(range(0, 64)) AS i)), whole AS (SELECT track, i // 64 AS block FROM waves GROUP BY 1, 2 HAVING count(*) = 64),
+d AS (SELECT track, v.i // 64 AS block, k, sum(l * w * cos(2 * pi() * k * (v.i % 64) / 64)) AS re, sum(l * w * sin(2 * pi() * k * (v.i % 64) / 64)) AS im FROM waves v JOIN hann h ON h.i = v.i % 64, (SELECT unnest(range(0, 33)) AS k) GROUP BY 1, 2, 3),
+p AS (SELECT track, block, k AS bin, (re * re + im * im) / (SELECT sum(w * w) * 64 FROM hann) AS power FROM d JOIN whole USING (track, block))"""
 
-@query(f"WITH {tones_sql(4000, 8000.0)} SELECT track, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) AS std, round(20 * log10(max(abs(x))), 4) + 0.0 AS peak_db, round(10 * log10(avg(x * x)), 4) AS rms_db FROM sig GROUP BY 1")
-def synthetic_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x")
-    return tones(spark, TONES, 4000, 8000.0).groupBy("track").agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg(x), 6).alias("mean"), r(F.stddev_samp(x), 6).alias("std"), r(20 * F.log10(F.max(F.abs(x)))).alias("peak_db"), r(10 * F.log10(F.avg(x * x))).alias("rms_db")
-    )
 
+def spectra_of(signal: DataFrame, size: int = 64) -> DataFrame:
+    """(track, block, bin, power) of each whole block of `size` samples of a signal (track, i, x). A group is a block."""
 
-@query(f"""WITH {tones_sql(256, 8000.0)}, w AS (SELECT track, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 256)) AS x FROM sig), e AS (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 256), 2)) * 256 AS e FROM (SELECT unnest(range(0, 256)) AS i)),
-d AS (SELECT track, k, sum(x * cos(2 * pi() * k * i / 256)) AS re, sum(x * sin(2 * pi() * k * i / 256)) AS im FROM w, (SELECT unnest(range(0, 129)) AS k) GROUP BY 1, 2)
-SELECT track, k AS bin, round((re * re + im * im) / e, 9) + 0.0 AS power FROM d, e""")
-def fft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        v = S.power_spectrum(p.x.to_numpy())
+        v = S.power_spectrum(p.x.to_numpy()) if len(p) == size else np.empty(0)
         return pd.DataFrame({"bin": np.arange(len(v)), "power": v})
 
-    return S.per_track(tones(spark, TONES, 256, 8000.0), ["track"], "i", run, "bin long, power double").select("track", "bin", r(F.col("power"), 9).alias("power"))
+    return S.per_track(signal.withColumn("block", F.floor(F.col("i") / size)), ["track", "block"], "i", run, "bin long, power double")
+
+
+@query(f"WITH {SPECTRA} SELECT track, block, bin, round(power, 9) + 0.0 AS power FROM p")
+def fft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra_of(waves(spark, sf_dir).select("track", "i", F.col("l").alias("x"))).select("track", "block", "bin", r(F.col("power"), 9).alias("power"))
 
 
-AUTOCORR = f"""WITH {SAMPLES}, m AS (SELECT track, avg(x) AS m, count(*) AS n FROM samples GROUP BY 1), c AS (SELECT s.track, i, x - m AS x, n FROM samples s JOIN m USING (track) WHERE n >= 30)
+AUTOCORR = f"""WITH {SAMPLES}, m AS (SELECT track, avg(x) AS m, count(*) AS n FROM samples GROUP BY 1), c AS (SELECT s.track, i, x - m AS x, n FROM samples s JOIN m USING (track))
 SELECT a.track, b.i - a.i AS lag, round(sum(a.x * b.x) / (any_value(a.n) - (b.i - a.i)), 4) + 0.0 AS ac FROM c a JOIN c b ON a.track = b.track AND b.i >= a.i AND b.i - a.i <= 10 GROUP BY 1, 2"""
 
 
 @query(AUTOCORR)
 def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        v = S.autocorrelation(p.x.to_numpy(), 10) if len(p) >= 30 else np.empty(0)
+        v = S.autocorrelation(p.x.to_numpy(), min(10, len(p) - 1))
         return pd.DataFrame({"lag": np.arange(len(v)), "ac": v})
 
     return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "lag long, ac double").select("track", "lag", r(F.col("ac")).alias("ac"))
@@ -74,27 +76,33 @@ def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {SAMPLES}, y(track, i, x1, x2, y, y1) AS (SELECT track, i, x, CAST(0 AS DOUBLE), 0.2 * x, CAST(0 AS DOUBLE) FROM samples WHERE i = 0 UNION ALL
  SELECT s.track, s.i, s.x, y.x1, 0.2 * s.x + 0.4 * y.x1 + 0.2 * y.x2 + 0.3 * y.y - 0.1 * y.y1, y.y FROM y JOIN samples s ON s.track = y.track AND s.i = y.i + 1) SELECT track, i, round(y, 6) AS y FROM y""")
 def biquad_iir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": p.i.to_numpy(), "y": S.iir(p.x.to_numpy(), (0.2, 0.4, 0.2), (-0.3, 0.1))})
+    y = scanned(samples(spark, sf_dir).select("track", "i", "x"), Cascade([((0.2, 0.4, 0.2), (-0.3, 0.1))]))
+    return y.select("track", "i", r(F.col("y"), 6).alias("y"))
 
-    return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "i long, y double").select("track", "i", r(F.col("y"), 6).alias("y"))
 
+def _weighting_sql() -> str:
+    """Both sections of the weighting as one recursion over the samples, one after the other."""
+    ((p0, p1, p2), (q1, q2)), ((s0, s1, s2), (t1, t2)) = S.k_weighting(FS)
+    first = f"{p0!r} * w.l + {{z}}1"
+    return f"""k(track, i, a1, a2, b1, b2, y) AS (SELECT track, i, {p1!r} * l - {q1!r} * ({p0!r} * l), {p2!r} * l - {q2!r} * ({p0!r} * l), {s1!r} * ({p0!r} * l) - {t1!r} * ({s0!r} * ({p0!r} * l)), {s2!r} * ({p0!r} * l) - {t2!r} * ({s0!r} * ({p0!r} * l)), {s0!r} * ({p0!r} * l) FROM waves WHERE i = 0
+ UNION ALL SELECT track, i, {p1!r} * x - {q1!r} * u + a2, {p2!r} * x - {q2!r} * u, {s1!r} * u - {t1!r} * v + b2, {s2!r} * u - {t2!r} * v, v
+ FROM (SELECT w.track, w.i, w.l AS x, a2, b2, {first.format(z='k.a')} AS u, {s0!r} * ({first.format(z='k.a')}) + k.b1 AS v FROM k JOIN waves w ON w.track = k.track AND w.i = k.i + 1))"""
 
-@query()
+
+@query(f"""WITH RECURSIVE {WAVES}, {_weighting_sql()}, e AS (SELECT track, i // 20 AS b, avg(y * y) AS e FROM k GROUP BY 1, 2), w AS (SELECT track, b, avg(e) OVER (PARTITION BY track ORDER BY b ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS mean FROM e QUALIFY b >= 3),
+g AS (SELECT *, -0.691 + 10 * log10(mean) AS l FROM w WHERE mean > 0), a AS (SELECT *, -0.691 + 10 * log10(avg(mean) OVER (PARTITION BY track)) - 10 AS gate FROM g WHERE l > -70)
+SELECT track, round(-0.691 + 10 * log10(avg(mean)), 4) AS lufs FROM a WHERE l > gate GROUP BY 1""")
 def k_weighted_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrated loudness of tones: K-weighting per track, then blocks and gates as column expressions."""
-    fs = 8000.0
+    """Integrated loudness of each track: K-weighting as a scan over chunks, then blocks and gates as column expressions."""
+    weighted = scanned(waves(spark, sf_dir).select("track", "i", F.col("l").alias("x")), Cascade(S.k_weighting(FS)))
+    return integrated(weighted, 20).select("track", r(F.col("lufs")).alias("lufs"))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.x.to_numpy()
-        for b, a in S.k_weighting(fs):
-            x = S.iir(x, b, a)
-        return pd.DataFrame({"i": p.i.to_numpy(), "x": x})
 
-    weighted = S.per_track(tones(spark, TONES, 16000, fs), ["track"], "i", run, "i long, x double")
-    blocks = weighted.groupBy("track", F.floor(F.col("i") / 800).alias("b")).agg(F.avg(F.col("x") * F.col("x")).alias("e"))
+def integrated(weighted: DataFrame, block: int) -> DataFrame:
+    """(track, lufs) of weighted samples (track, i, y): windows of four blocks, gated at -70 and at 10 below their mean."""
+    blocks = weighted.groupBy("track", F.floor(F.col("i") / block).alias("b")).agg(F.avg(F.col("y") * F.col("y")).alias("e"))
     windows = blocks.withColumn("mean", F.avg("e").over(frame(["track"], ["b"], -3, 0))).where("b >= 3").withColumn("l", loudness(F.col("mean")))
-    return gated(windows, -70, 10).groupBy("track").agg(r(loudness(F.avg("mean"))).alias("lufs"))
+    return gated(windows, -70, 10).groupBy("track").agg(loudness(F.avg("mean")).alias("lufs"))
 
 
 @query(f"""WITH ac AS ({AUTOCORR}), teeth AS (SELECT track, CAST(lag / k AS BIGINT) AS lag, ac * w AS v FROM ac, (VALUES (1, 1.0), (2, 0.5), (3, 0.33), (4, 0.25)) AS c(k, w) WHERE lag >= 1 AND lag % k = 0),
@@ -125,11 +133,16 @@ bx AS (SELECT *, (sum(ahead) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 4
 g(track, i, g) AS (SELECT track, i, CASE WHEN box < 1 THEN box ELSE 1 + (box - 1) * 0.1 END FROM bx WHERE i = 0 UNION ALL SELECT b.track, b.i, CASE WHEN b.box < g.g THEN b.box ELSE g.g + (b.box - g.g) * 0.1 END FROM g JOIN bx b ON b.track = g.track AND b.i = g.i + 1)
 SELECT track, i, round(x * least(g, need), 4) + 0.0 AS y FROM g JOIN bx USING (track, i)""")
 def limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.x.to_numpy()
-        return pd.DataFrame({"i": p.i.to_numpy(), "y": x * S.limiter(x, 60.0, 5, 0.1)})
-
-    return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "i long, y double").select("track", "i", r(F.col("y")).alias("y"))
+    """Samples held under a ceiling of 60: the gain that each needs, the least of the next five, their mean with those
+    before, and a release of a tenth of what is missing, as a scan over chunks."""
+    need = F.least(F.lit(1.0), 60 / F.greatest(F.abs("x"), F.lit(1e-12)))
+    s = samples(spark, sf_dir).select("track", "i", "x", need.alias("need"))
+    ahead = s.withColumn("ahead", F.min("need").over(frame(["track"], ["i"], 0, 4)))
+    first = F.first("ahead").over(Window.partitionBy("track").orderBy("i"))
+    box = (F.sum("ahead").over(frame(["track"], ["i"], -4, 0)) + F.greatest(F.lit(0), 4 - F.col("i")) * first) / 5
+    held = written(ahead.withColumn("box", box))
+    gain = scanned(held.select("track", "i", F.col("box").alias("x")), Release(0.1))
+    return held.join(gain, ["track", "i"]).select("track", "i", r(F.col("x") * F.least("y", "need")).alias("y"))
 
 
 @query(f"""WITH RECURSIVE {SAMPLES}, w AS (SELECT track, i // 8 AS k, -greatest(0, 10 * log10(greatest(sum(x * x) / 8, 1e-12)) - 30) * 0.5 AS want FROM samples GROUP BY 1, 2),
@@ -145,31 +158,24 @@ def glue_compressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "i long, y double").select("track", "i", r(F.col("y")).alias("y"))
 
 
-@query()
-def center_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shared part of two channels: tone a on both sides, b on the left, c on the right. A group is a chunk of 64
-    frames, whatever the track's length; the frames' parts are added up by sample."""
-    t = tones(spark, TONES, 4096, 8000.0).groupBy("i").pivot("track", ["a", "b", "c"]).agg(F.first("x"))
-    stereo = t.select(F.lit("mix").alias("track"), "i", (F.col("a") + F.col("b")).alias("l"), (F.col("a") + F.col("c")).alias("r"))
+def centre_of(stereo: DataFrame) -> DataFrame:
+    """(track, i, center): what both channels of (track, i, l, r) share. A group is a chunk of 64 frames, whatever the track's
+    length; the frames' parts are added up by sample."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         whole = len(p) >= 256 or p.chunk.iloc[0] == 0
         return pd.DataFrame({"i": p.i.to_numpy(), "center": S.center(p.l.to_numpy(), p.r.to_numpy()) if whole else np.zeros(len(p))})
 
-    parts = S.per_track(chunked(stereo, 256, 128), ["track", "chunk"], "i", run, "i long, center double")
-    both = parts.groupBy("track", "i").agg(F.sum("center").alias("center")).join(t.select("i", F.col("a").alias("truth")), "i")
-    return both.groupBy("track").agg(r(F.corr("center", "truth")).alias("r"), F.count(F.lit(1)).alias("n"))
-
-
-MELODY = [60, 62, 64, 65, 67, 67, 65, 64]
+    return S.per_track(chunked(stereo, 256, 128), ["track", "chunk"], "i", run, "i long, center double").groupBy("track", "i").agg(F.sum("center").alias("center"))
 
 
-def pitch_points(spark: SparkSession) -> DataFrame:
-    """A melody as pitch points (track, t, freq, clarity, rms): notes of 0.3 s with gaps of 0.1 s, a point each 10 ms."""
-    notes = F.broadcast(spark.createDataFrame(list(enumerate(MELODY)), "k int, note int"))
-    p = spark.range(len(MELODY) * 40).select((F.col("id") / 100).alias("t"), F.floor(F.col("id") / 40).cast("int").alias("k"), (F.col("id") % 40).alias("m"))
-    freq = F.when(F.col("m") < 30, 440 * F.pow(F.lit(2.0), (F.col("note") - 69) / 12)).otherwise(0.0)
-    return p.join(notes, "k").select(F.lit("melody").alias("track"), "t", freq.alias("freq"), F.lit(0.9).alias("clarity"), F.lit(0.1).alias("rms"))
+@query()
+def center_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of each track's shared part beside that of its mid signal, and how much they are alike."""
+    mid = waves(spark, sf_dir).withColumn("mid", (F.col("l") + F.col("r")) / 2)
+    both = centre_of(mid.select("track", "i", "l", "r")).join(mid.select("track", "i", "mid"), ["track", "i"])
+    level = lambda c: r(power_db(F.avg(F.col(c) * F.col(c))))
+    return both.groupBy("track").agg(r(F.corr("center", "mid")).alias("r"), level("center").alias("center_db"), level("mid").alias("mid_db"), F.count(F.lit(1)).alias("n"))
 
 
 def notes_of(points: DataFrame) -> DataFrame:
@@ -179,36 +185,54 @@ def notes_of(points: DataFrame) -> DataFrame:
     return S.per_track(points, ["track"], "t", run, "midi int, cents int, start double, end double, velocity int")
 
 
-@query()
+# events are apart by more than a gap, so each is a note of its own
+NOTES = f"""{SAMPLES}, pt AS (SELECT track, i, 48.0003 + x / 20.7 AS p FROM samples), notes AS (SELECT track, i, CAST(floor(round(p, 9) + 0.5) AS INTEGER) AS midi, CAST(floor(round(100 * (p - floor(round(p, 9) + 0.5)), 6) + 0.5) AS INTEGER) AS cents,
+ round(i * 20 / 100, 2) AS start, round((i * 20 + 11) / 100, 2) AS "end", CAST(least(127, greatest(20, floor(round(40 + 600 * (0.02 + p / 1000), 6) + 0.5))) AS INTEGER) AS velocity FROM pt)"""
+
+
+@query(f'WITH {NOTES} SELECT track, midi, cents, start, "end", velocity FROM notes')
 def segment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes_of(pitch_points(spark))
+    return notes_of(contour(spark, sf_dir)).withColumns({"start": F.round("start", 2), "end": F.round("end", 2)})
 
 
-@query()
+# Semitones of the modes above the tonic.
+MODES = {"major": (0, 2, 4, 5, 7, 9, 11), "minor": (0, 2, 3, 5, 7, 8, 10)}
+#: Variations of a melody: name, semitones up, seconds later.
+VARIATIONS = (("plain", 0, 0.0), ("octave", 12, 0.0), ("fifth", 7, 0.0), ("echo", 0, 0.5))
+
+
+def snapped(notes: DataFrame, tonic: Column, mode: Column) -> DataFrame:
+    """Notes moved into a key: one outside it goes a semitone towards the sign of its cents (in major and minor each
+    neighbour of such a note is inside)."""
+    pc = F.pmod(F.col("midi") - tonic, F.lit(12))
+    inside = F.when(mode == "major", pc.isin(*MODES["major"])).otherwise(pc.isin(*MODES["minor"]))
+    return notes.withColumn("midi", F.when(inside, F.col("midi")).when(F.col("cents") < 0, F.col("midi") - 1).otherwise(F.col("midi") + 1))
+
+
+@query(f"""WITH {NOTES}, k AS (SELECT track, CAST(track % 12 AS INTEGER) AS tonic, track % 2 = 0 AS major FROM notes GROUP BY 1),
+s AS (SELECT track, start, "end", CASE WHEN CASE WHEN major THEN (midi - tonic) % 12 IN {MODES['major']} ELSE (midi - tonic) % 12 IN {MODES['minor']} END THEN midi WHEN cents < 0 THEN midi - 1 ELSE midi + 1 END AS midi FROM notes JOIN k USING (track))
+SELECT track, name, midi + step AS midi, round(start + dt, 2) AS start, round("end" + dt, 2) AS "end" FROM s, (VALUES {', '.join(map(str, VARIATIONS))}) AS v(name, step, dt)""")
 def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes snapped to D major (scale degrees 0 2 4 5 7 9 11 above D), towards the sign of their cents, and moved to four variations."""
-    n = notes_of(pitch_points(spark))
-    pc = F.pmod(F.col("midi") - 2, F.lit(12))
-    inside = pc.isin(0, 2, 4, 5, 7, 9, 11)
-    snapped = n.withColumn("midi", F.when(inside, F.col("midi")).when(F.col("cents") < 0, F.col("midi") - 1).otherwise(F.col("midi") + 1))
-    moves = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(step).alias("step"), F.lit(dt).alias("dt")) for name, step, dt in (("plain", 0, 0.0), ("octave", 12, 0.0), ("fifth", 7, 0.0), ("echo", 0, 0.5))])
-    return snapped.withColumn("v", F.explode(moves)).select("track", "v.name", (F.col("midi") + F.col("v.step")).alias("midi"), (F.col("start") + F.col("v.dt")).alias("start"), (F.col("end") + F.col("v.dt")).alias("end"))
+    """Each user's notes snapped to the user's key (tonic and mode follow from the user's number), and their variations."""
+    n = notes_of(contour(spark, sf_dir))
+    moved = snapped(n, F.pmod(F.col("track"), F.lit(12)), F.when(F.col("track") % 2 == 0, "major").otherwise("minor"))
+    moves = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(step).alias("step"), F.lit(dt).alias("dt")) for name, step, dt in VARIATIONS])
+    at = lambda c: F.round(F.col(c) + F.col("v.dt"), 2).alias(c)
+    return moved.withColumn("v", F.explode(moves)).select("track", "v.name", (F.col("midi") + F.col("v.step")).alias("midi"), at("start"), at("end"))
 
 
 @query()
 def pitch_yin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch of each tone in overlapping frames; a frame is a group made by exploding samples to the frames they lie in."""
-    fs, size, hop = 8000.0, 400, 200
-    s = tones(spark, TONES, 2000, fs)
-    last = F.floor(F.col("i") / hop)
-    framed = s.withColumn("f", F.explode(F.sequence(F.greatest(F.lit(0), last - size // hop + 1), last)))
+    """Each event's tone of 50 ms, at a frequency that follows its value, and the pitch found in it."""
+    fs, size = 8000.0, 400
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        f, c = S.yin(p.x.to_numpy(), fs) if len(p) == size else (0.0, 0.0)
-        return pd.DataFrame({"freq": [f], "clarity": [c]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            found = [S.yin(0.5 * np.sin(2 * np.pi * f * np.arange(size) / fs), fs) for f in p.freq]
+            yield p.assign(found=[f for f, _ in found], clarity=[c for _, c in found])
 
-    found = S.per_track(framed, ["track", "f"], "i", run, "freq double, clarity double")
-    return found.where("freq > 0").select("track", "f", r(F.col("freq"), 2).alias("freq"), r(midi(F.col("freq")), 2).alias("midi"))
+    tones = table(spark, sf_dir, "events").select("event_id", (80 * F.pow(F.lit(2.0), F.col("value") / 160)).alias("freq"))
+    return tones.mapInPandas(run, "event_id long, freq double, found double, clarity double").where("found > 0").select("event_id", r(F.col("freq"), 2).alias("freq"), r(F.col("found"), 2).alias("found"), r(midi(F.col("found")), 2).alias("midi"))
 
 
 @query()
@@ -219,56 +243,37 @@ def laplacian_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_track(units(spark, sf_dir).select("track", "u", "t"), ["track"], "u", run, "u long, cluster long")
 
 
-@query()
-def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of each track: clusters, runs of them, energy of each, choruses where a repeated cluster is loudest, names."""
-    u = units(spark, sf_dir).select("track", "u", F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x * x)).alias("energy"))
-    c = laplacian_segments(spark, sf_dir).join(u, ["track", "u"])
-    line = Window.partitionBy("track").orderBy("u")
-    new = F.coalesce((F.col("cluster") != F.lag("cluster").over(line)).cast("int"), F.lit(1))
-    runs = c.withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    s = runs.groupBy("track", "run").agg(F.min("u").alias("start"), (F.max("u") + 1).alias("end"), F.first("cluster").alias("cluster"), F.avg("energy").alias("energy"))
-    times = F.count(F.lit(1)).over(Window.partitionBy("track", "cluster"))
-    mean = F.avg("energy").over(Window.partitionBy("track", "cluster"))
-    ranked = s.withColumns({"times": times, "mean": mean})
-    best = F.max(F.when(F.col("times") >= 2, F.col("mean"))).over(Window.partitionBy("track"))
-    last = F.max("run").over(Window.partitionBy("track"))
-    name = F.when(F.col("mean") == best, "chorus").when(F.col("run") == 1, "intro").when(F.col("run") == last, "outro").when(F.col("times") == 1, "bridge").otherwise("verse")
-    return ranked.select("track", F.col("run").cast("long").alias("run"), "start", "end", name.alias("kind"), r(F.col("energy"), 6).alias("energy"))
-
-
-@query(f"""WITH {tones_sql(3000, 8000.0)} SELECT track, i - 800 AS i, round(x * least(1, greatest(0, least((i - 800) / 80.0, (1600 - 1 - i) / 80.0))), 6) + 0.0 AS y FROM sig WHERE i >= 800 AND i < 1600""")
+@query(f"""WITH {WAVES} SELECT track, i - 200 AS i, round(l * least(1, greatest(0, least((i - 200) / 20.0, (399 - i) / 20.0))), 6) + 0.0 AS y FROM waves WHERE i >= 200 AND i < 400""")
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stretch of each track with linear fades of 10 ms at both ends."""
-    fade = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least((F.col("i") - 800) / 80.0, (1599 - F.col("i")) / 80.0)))
-    return tones(spark, TONES, 3000, 8000.0).where("i >= 800 and i < 1600").select("track", (F.col("i") - 800).alias("i"), r(F.col("x") * fade, 6).alias("y"))
+    """A stretch of each track with linear fades of 20 samples at both ends."""
+    fade = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least((F.col("i") - 200) / 20.0, (399 - F.col("i")) / 20.0)))
+    return waves(spark, sf_dir).where("i >= 200 and i < 400").select("track", (F.col("i") - 200).alias("i"), r(F.col("l") * fade, 6).alias("y"))
 
 
-@query(f"WITH {tones_sql(1000, 8000.0)} SELECT a.i, round((a.x + b.x) / 2, 6) + 0.0 AS mid, round((a.x - b.x) / 2, 6) + 0.0 AS side FROM sig a JOIN sig b USING (i) WHERE a.track = 'a' AND b.track = 'b'")
+@query(f"WITH {WAVES} SELECT track, i, round((l + r) / 2, 6) + 0.0 AS mid, round((l - r) / 2, 6) + 0.0 AS side FROM waves")
 def mono_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tones(spark, TONES, 1000, 8000.0).groupBy("i").pivot("track", ["a", "b"]).agg(F.first("x"))
-    return t.select("i", r((F.col("a") + F.col("b")) / 2, 6).alias("mid"), r((F.col("a") - F.col("b")) / 2, 6).alias("side"))
+    return waves(spark, sf_dir).select("track", "i", r((F.col("l") + F.col("r")) / 2, 6).alias("mid"), r((F.col("l") - F.col("r")) / 2, 6).alias("side"))
 
 
-@query(f"""WITH b AS (SELECT unnest(range(1, 400)) AS bin), h AS (SELECT bin, bin * 10.0 AS hz, 69 + 12 * log2(bin * 10.0 / 440) AS m FROM b)
-SELECT bin, CAST(floor(m + 0.5) AS BIGINT) % 12 AS pc, round(1 - 2 * abs(m - floor(m + 0.5)), 5) + 0.0 AS w, CAST(floor(24 * ln(hz / 10) / ln(400)) AS BIGINT) AS band FROM h WHERE hz >= 30""")
+@query(f"""WITH {SPECTRA}, h AS (SELECT track, power, 69 + 12 * log2(bin * 125.0 / 440) AS m FROM p WHERE bin > 0)
+SELECT track, CAST(floor(round(m, 9) + 0.5) AS BIGINT) % 12 AS pc, round(sum(sqrt(power) * greatest(0, 1 - 2 * abs(m - floor(round(m, 9) + 0.5)))), 5) + 0.0 AS w FROM h GROUP BY 1, 2""")
 def pitch_class_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each FFT bin's pitch class with a triangular weight and its log band, in closed form instead of range joins."""
-    hz = F.col("bin") * 10.0
-    h = spark.range(1, 400).withColumnRenamed("id", "bin").withColumns({"hz": hz, "m": midi(hz)}).where("hz >= 30")
-    near = half_up(F.col("m"))
-    return h.select("bin", F.pmod(near, F.lit(12)).cast("long").alias("pc"), r(1 - 2 * F.abs(F.col("m") - near), 5).alias("w"), F.floor(24 * F.ln(F.col("hz") / 10) / F.ln(F.lit(400.0))).alias("band"))
+    """Amplitudes of each track by pitch class: a bin counts by how near it is to the note, which is a closed form of the
+    bin's frequency instead of a range join."""
+    p = spectra_of(waves(spark, sf_dir).select("track", "i", F.col("l").alias("x"))).where("bin > 0")
+    h = p.withColumn("m", midi(F.col("bin") * 125.0))
+    near = half_up(F.round("m", 9))
+    return h.groupBy("track", F.pmod(near, F.lit(12)).cast("long").alias("pc")).agg(r(F.sum(F.sqrt("power") * F.greatest(F.lit(0.0), 1 - 2 * F.abs(F.col("m") - near))), 5).alias("w"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (0, 'intro', 4), (1, 'verse', 8), (2, 'chorus', 8), (3, 'verse', 8), (4, 'chorus', 8), (5, 'bridge', 4), (6, 'chorus', 8), (7, 'outro', 4)) AS v(idx, kind, bars)),
-t AS (SELECT *, sum(bars) OVER (ORDER BY idx) - bars AS start FROM s), b AS (SELECT idx, kind, start + unnest(range(0, bars)) AS bar FROM t)
-SELECT CAST(bar AS BIGINT) AS bar, kind, CAST(bar * 4 + k AS BIGINT) AS beat, (bar * 4 + k) * 0.5 AS t FROM b, (SELECT unnest([0, 1, 2, 3]) AS k)""")
+@query("""WITH s AS (SELECT l_orderkey AS track, CAST(row_number() OVER w AS INTEGER) AS idx, CAST(ceil(l_quantity / 10) AS BIGINT) AS bars, sum(CAST(ceil(l_quantity / 10) AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS stop FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+b AS (SELECT track, idx, CAST(stop - bars + unnest(range(0, bars)) AS BIGINT) AS bar FROM s) SELECT track, idx, bar, bar * 4 + k AS beat, (bar * 4 + k) * 0.5 AS t FROM b, (SELECT unnest([0, 1, 2, 3]) AS k)""")
 def song_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars and beats (120 BPM) of a song form: sections exploded to bars, bars to beats."""
-    form = [(0, "intro", 4), (1, "verse", 8), (2, "chorus", 8), (3, "verse", 8), (4, "chorus", 8), (5, "bridge", 4), (6, "chorus", 8), (7, "outro", 4)]
-    s = spark.createDataFrame(form, "idx int, kind string, bars int")
-    start = F.sum("bars").over(Window.orderBy("idx")) - F.col("bars")
-    bars = s.withColumn("start", start).select("kind", F.explode(F.sequence("start", F.col("start") + F.col("bars") - 1)).alias("bar"))
-    beats = bars.select("bar", "kind", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    """Bars and beats (120 BPM) of each order as a song form: its line items are sections, exploded to bars and these to beats."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    length = F.ceil(F.col("l_quantity") / 10)
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.row_number().over(w).alias("idx"), length.alias("bars"), F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("stop"))
+    bars = s.select("track", "idx", F.explode(F.sequence(F.col("stop") - F.col("bars"), F.col("stop") - 1)).alias("bar"))
+    beats = bars.select("track", "idx", "bar", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     beat = F.col("bar") * 4 + F.col("k")
-    return beats.select("bar", "kind", beat.alias("beat"), (beat * 0.5).alias("t"))
+    return beats.select("track", "idx", "bar", beat.alias("beat"), (beat * 0.5).alias("t"))

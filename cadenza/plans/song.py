@@ -1,4 +1,4 @@
-"""Features of a made song, frame by frame, and what follows from them: onsets, tempo, sections."""
+"""Features of signals frame by frame, and what follows from them: onsets and tempo; clips of bars and sections."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp, upper_median
 from ..operators import signal as S
 from ..operators.windows import moving_average, top
-from ..settings import Tuning, tuned
-from ..sources.tables import written
+from ..sources.tables import waves, written
 from .timeline import r
 
 QUERIES, ORACLES = {}, {}
@@ -30,29 +29,6 @@ def query(sql: str | None = None):
 
 
 FS = 8000.0
-TEMPOS = [("slow", 90.0), ("house", 120.0), ("fast", 128.0)]
-#: Sections of the song of each tempo: kind, bars, notes of the chord (pitch classes as MIDI numbers), level.
-FORM = [("intro", 2, (57, 60, 64), 0.15), ("verse", 4, (57, 60, 64), 0.3), ("chorus", 4, (60, 64, 67), 0.7), ("verse", 4, (57, 60, 64), 0.3), ("chorus", 4, (60, 64, 67), 0.7)]
-
-
-def song(spark: SparkSession) -> DataFrame:
-    """(track, i, l, r, kind): clicks on every beat and a chord for each section, in closed form of the sample's number."""
-    rows = []
-    for track, bpm in TEMPOS:
-        at = 0.0
-        for kind, bars, notes, level in FORM:
-            rows.append((track, bpm, at, at + bars * 240 / bpm, kind, [float(n) for n in notes], level))
-            at = rows[-1][3]
-    parts = F.broadcast(spark.createDataFrame(rows, "track string, bpm double, a double, b double, kind string, notes array<double>, level double"))
-    longest = math.ceil(max(x[3] for x in rows) * FS)
-    t = F.col("i") / FS
-    s = spark.range(longest).withColumnRenamed("id", "i").join(parts, (t >= F.col("a")) & (t < F.col("b")))
-    phase = F.pmod(t, 60 / F.col("bpm"))
-    click = 0.5 * F.exp(-60 * phase) * F.sin(2 * math.pi * 60 * phase) + 0.3 * F.exp(-200 * phase) * F.sin(2 * math.pi * 2400 * phase)
-    tone = lambda n: F.sin(2 * math.pi * 440 * F.pow(F.lit(2.0), (n - 69) / 12) * t)
-    chord = F.col("level") / 3 * F.aggregate("notes", F.lit(0.0), lambda acc, n: acc + tone(n))
-    return s.select("track", "i", (click + chord).alias("l"), (click + 0.5 * chord).alias("r"), "kind")
-
 
 def chunked(samples: DataFrame, size: int, hop: int, frames: int = 64) -> DataFrame:
     """Samples with the chunk of `frames` frames they lie in; those that two chunks need come twice."""
@@ -65,46 +41,51 @@ def chunked(samples: DataFrame, size: int, hop: int, frames: int = 64) -> DataFr
 FEATURES = "f long, rms_db double, low_db double, centroid double, flatness double, vocal double, timbre array<double>, chroma array<double>"
 
 
-def features(spark: SparkSession, size: int = 1024, hop: int = 512, frames: int = 64) -> DataFrame:
-    """Frame features of every track: a group is a chunk of frames with the samples they need, whatever the track's length."""
+def features(samples: DataFrame, fs: float = FS, size: int = 1024, hop: int = 512, frames: int = 64) -> DataFrame:
+    """Frame features of every track of (track, i, l, r): a group is a chunk of frames with the samples they need, whatever the track's length."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         left, right = p.l.to_numpy(), p.r.to_numpy()
-        x = S.frame_features(0.5 * (left + right), 0.5 * (left - right), FS, size, hop)
+        x = S.frame_features(0.5 * (left + right), 0.5 * (left - right), fs, size, hop)
         n = min(frames, len(x["rms_db"]))
         out = {k: list(v[:n]) for k, v in x.items()}
         return pd.DataFrame({"f": p.chunk.iloc[0] * frames + np.arange(n), **out})
 
-    own = chunked(song(spark).drop("kind"), size, hop, frames)
+    own = chunked(samples, size, hop, frames)
     return S.per_track(own, ["track", "chunk"], "i", run, FEATURES).drop("chunk")
 
 
 @query()
 def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = lambda c: F.transform(c, lambda x: r(x, 4))
-    return features(spark).select("track", "f", *(r(F.col(c)).alias(c) for c in ("rms_db", "low_db", "centroid", "flatness", "vocal")), rounded("timbre").alias("timbre"), rounded("chroma").alias("chroma"))
+    return features(waves(spark, sf_dir), size=64, hop=32).select("track", "f", *(r(F.col(c)).alias(c) for c in ("rms_db", "low_db", "centroid", "flatness", "vocal")), rounded("timbre").alias("timbre"), rounded("chroma").alias("chroma"))
 
 
-def onsets(spark: SparkSession, size: int = 256, hop: int = 128, bands: int = 40, frames: int = 256) -> DataFrame:
-    """(track, f, env): rises of log band powers between frames, less the local mean of 0.4 s, rectified, scaled to 1."""
+def onsets(samples: DataFrame, fs: float = FS, size: int = 256, hop: int = 128, bands: int = 40, frames: int = 256, lowest: float = 30.0) -> DataFrame:
+    """(track, f, env) of (track, i, l, r): rises of log band powers between frames, less the local mean of 0.4 s, rectified, scaled to 1."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        band = S.log_bands(size, FS, 30, min(11000, FS / 2 - 1), bands)
+        band = S.log_bands(size, fs, lowest, min(11000, fs / 2 - 1), bands)
         v = S._summed(S.spectra(0.5 * (p.l + p.r).to_numpy(), size, hop)[:frames], band, bands)
         return pd.DataFrame({"f": p.chunk.iloc[0] * frames + np.arange(len(v)), "v": list(np.log1p(1e4 * v))})
 
-    own = S.per_track(chunked(song(spark).drop("kind"), size, hop, frames), ["track", "chunk"], "i", run, "f long, v array<double>")
+    own = S.per_track(chunked(samples, size, hop, frames), ["track", "chunk"], "i", run, "f long, v array<double>")
     line = Window.partitionBy("track").orderBy("f")
     rise = F.zip_with("v", F.lag("v").over(line), lambda a, b: F.greatest(F.lit(0.0), a - b))
     flux = own.withColumn("flux", F.coalesce(F.aggregate(rise, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
-    local = F.greatest(F.lit(0.0), F.col("flux") - moving_average(F.col("flux"), ["track"], ["f"], round(0.4 * FS / hop)))
+    local = F.greatest(F.lit(0.0), F.col("flux") - moving_average(F.col("flux"), ["track"], ["f"], round(0.4 * fs / hop)))
     env = flux.withColumn("env", local)
     return env.select("track", "f", (F.col("env") / F.greatest(F.max("env").over(Window.partitionBy("track")), F.lit(1e-12))).alias("env"))
 
 
+def short_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of the line item signals, by frames of 16 samples that are 0.1 s apart."""
+    return onsets(waves(spark, sf_dir), 80.0, 16, 8, 8, lowest=5.0)
+
+
 @query()
 def onset_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return onsets(spark).select("track", "f", r(F.col("env"), 5).alias("env"))
+    return short_onsets(spark, sf_dir).select("track", "f", r(F.col("env"), 5).alias("env"))
 
 
 def tempo_of(envelope: DataFrame, hop_sec: float, least: float = 55.0, most: float = 215.0) -> DataFrame:
@@ -146,15 +127,7 @@ def tempo_of(envelope: DataFrame, hop_sec: float, least: float = 55.0, most: flo
 
 @query()
 def song_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tempo_of(onsets(spark), 128 / FS).select("track", r(F.col("bpm"), 3).alias("bpm"), r(F.col("confidence")).alias("confidence"), r(F.col("clarity")).alias("clarity"))
-
-
-def bars(spark: SparkSession) -> DataFrame:
-    """(track, u, level, chroma, timbre, bar_sec) of each bar of the found tempo: means of the frames that begin in it."""
-    tempo = tempo_of(onsets(spark), 128 / FS).select("track", "bpm")
-    f = features(spark).join(tempo, "track").withColumn("u", F.floor(F.col("f") * 512 / FS / (240 / F.col("bpm"))))
-    mean = lambda c, n: F.array(*[F.avg(F.get(c, F.lit(k))) for k in range(n)])
-    return f.groupBy("track", "u").agg(F.avg("rms_db").alias("level"), mean("chroma", 12).alias("chroma"), mean("timbre", 24).alias("timbre"), F.first(240 / F.col("bpm")).alias("bar_sec"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= tuned(spark).least_frames)
+    return tempo_of(short_onsets(spark, sf_dir), 0.1).select("track", r(F.col("bpm"), 3).alias("bpm"), r(F.col("confidence")).alias("confidence"), r(F.col("clarity")).alias("clarity"))
 
 
 def _unit(x: Column) -> Column:
@@ -162,32 +135,6 @@ def _unit(x: Column) -> Column:
     return F.transform(x, lambda v: v / F.greatest(size, F.lit(1e-12)))
 
 
-def structure_of(own: DataFrame, tuning: Tuning) -> DataFrame:
-    """Sections of each song of bars (track, u, level, chroma): bars alike in chords and level to the first such bar are
-    one cluster, successive bars of a cluster a section; the loudest cluster that comes twice is the chorus, other
-    repeated ones verses, a first or last section of its own the intro or outro, else a bridge. hook marks the first chorus."""
-    own = own.withColumn("c", _unit(F.col("chroma")))
-    a = own.select("track", F.col("u").alias("v"), F.col("c").alias("cv"), F.col("level").alias("lv"))
-    alike = (F.aggregate(F.zip_with("c", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= tuning.alike) & (F.abs(F.col("level") - F.col("lv")) <= tuning.level)
-    label = own.join(a, "track").where((F.col("v") <= F.col("u")) & alike).groupBy("track", "u").agg(F.min("v").alias("cluster"), F.first("level").alias("level"))
-    line = Window.partitionBy("track").orderBy("u")
-    new = F.coalesce((F.col("cluster") != F.lag("cluster").over(line)).cast("int"), F.lit(1))
-    runs = label.withColumn("new", new).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    s = runs.groupBy("track", "run").agg(F.min("u").alias("start"), (F.max("u") + 1).alias("end"), F.first("cluster").alias("cluster"), F.avg("level").alias("level"))
-    per = Window.partitionBy("track", "cluster")
-    s = s.withColumns({"times": F.count(F.lit(1)).over(per), "mean": F.avg("level").over(per), "last": F.max("run").over(Window.partitionBy("track"))})
-    best = F.max(F.when(F.col("times") >= 2, F.col("mean"))).over(Window.partitionBy("track"))
-    kind = F.when((F.col("times") >= 2) & (F.col("mean") == best), "chorus").when(F.col("times") >= 2, "verse").when(F.col("run") == 1, "intro").when(F.col("run") == F.col("last"), "outro").otherwise("bridge")
-    named = s.withColumn("kind", kind)
-    hook = F.min(F.when(F.col("kind") == "chorus", F.col("start"))).over(Window.partitionBy("track"))
-    return named.select("track", F.col("run").cast("int").alias("run"), "start", "end", "kind", r(F.col("level"), 2).alias("level"), (F.col("start") == hook).alias("hook"))
-
-
-@query()
-def song_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure_of(bars(spark), tuned(spark))
-
-
 # Bars a clip may have; weights of hook, early hook, loop and energy; the two kinds' shortest, longest and wanted seconds.
 CLIP_BARS, CLIP_WEIGHTS = (16, 12, 8, 6, 4, 3, 2, 1), (0.4, 0.2, 0.25, 0.15)
 CLIPS = [("clip", 11.0, 17.5, 15.0), ("micro", 5.0, 9.5, 7.0)]
@@ -238,10 +185,3 @@ def clips_of(own: DataFrame, sections: DataFrame, kinds: list[tuple[str, float,
     scored = at.withColumn("loop", loop).withColumn("score", F.round(score, 6))
     best = top(scored, ["track", "kind"], [F.desc("score"), F.asc("u")])
     return best.select("track", "kind", F.col("u").alias("start"), F.col("bars").cast("int").alias("bars"), r(F.col("loop")).alias("loop"), r(F.col("score")).alias("score"))
-
-
-@query()
-def song_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the bars are written, as clips and sections read them many times
-    own = written(bars(spark).drop("n"))
-    return clips_of(own, structure_of(own, tuned(spark)), CLIPS)

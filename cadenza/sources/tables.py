@@ -53,6 +53,28 @@ SAMPLES = """samples AS (SELECT user_id AS track, CAST(row_number() OVER (PARTIT
  value AS x, ts, event_id, event_type FROM events)"""
 
 
+def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a stereo signal per supplier: (track, i, l, r), i from 0 by order and line; quantity on the left and
+    discount on the right, both scaled to -1..1."""
+    line = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("track"), (F.row_number().over(line) - 1).cast("long").alias("i"), ((F.col("l_quantity") - 25.5) / 24.5).alias("l"), (20 * F.col("l_discount") - 1).alias("r")
+    )
+
+
+WAVES = """waves AS (SELECT l_suppkey AS track, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS BIGINT) AS i,
+ (l_quantity - 25.5) / 24.5 AS l, 20 * l_discount - 1 AS r FROM lineitem)"""
+
+
+def contour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pitch points of their user (track, t, freq, clarity, rms), one each 10 ms: an event sounds for 12 points, at
+    a pitch that follows its value, and 8 points of silence follow."""
+    pitch = 48.0003 + F.col("x") / 20.7  # no value lies half way between two notes or cents
+    points = samples(spark, sf_dir).select("track", "i", pitch.alias("pitch"), F.explode(F.array(*map(F.lit, range(20)))).alias("m"))
+    freq = F.when(F.col("m") < 12, 440 * F.pow(F.lit(2.0), (F.col("pitch") - 69) / 12)).otherwise(0.0)
+    return points.select("track", ((F.col("i") * 20 + F.col("m")) / 100).alias("t"), freq.alias("freq"), F.lit(0.9).alias("clarity"), (0.02 + F.col("pitch") / 1000).alias("rms"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly energy per event type: (track, b, energy), b from 0 over the hours that have events."""
     hour = F.date_trunc("hour", "ts")
