@@ -19,7 +19,8 @@ from .textops import slices
 #: Labels of a byte: 0 none, 1 a token of A ends here, 2 one of B, 3 both.
 BOTH = re.compile(rb"[^\x03]*\x03")
 #: Texts with a run of so many letters, other signs or blanks go to the slower tokenizer, whose work stays n log n in a run.
-LONG_RUN = re.compile(r"(?<!\w)\w{5000}|(?<![^\w\s])[^\w\s]{5000}|(?<!\s)\s{5000}")
+RUN = 5000
+LONG_RUN = re.compile(rf"(?<!\w)\w{{{RUN}}}|(?<![^\w\s])[^\w\s]{{{RUN}}}|(?<!\s)\s{{{RUN}}}")
 BATCH = "batch long, docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups: string>>, pairs array<long>, counts array<long>, links binary"
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long"
 
@@ -42,8 +43,7 @@ class ByteTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self._read, self._own = (lambda: Tokenizer.from_file(path)), None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         signs, vocab = byte_of_sign(), spec["model"]["vocab"]
@@ -61,8 +61,15 @@ class ByteTokens:
 
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in entries.items()}, special_tokens={})
 
+    @property
+    def own(self):
+        if self._own is None:
+            self._own = self._read()
+            self._own.encode_special_tokens = True
+        return self._own
+
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or LONG_RUN.search(text):
+        if self.fast is None or (len(text) >= RUN and LONG_RUN.search(text)):
             return self.own.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -87,14 +94,14 @@ def loaded(a_path: str, b_path: str) -> tuple[ByteTokens, PieceTokens, np.ndarra
     return a, b, np.array([len(x) for x in a.bytes], np.int64), np.array([len(x) for x in b.bytes], np.int64)
 
 
-def tokens_of(text: str | None, a: ByteTokens, b: PieceTokens) -> tuple[list[int], list[int]]:
+def tokens_of(text: str | None, a: ByteTokens, b: PieceTokens) -> tuple[np.ndarray, np.ndarray]:
     """Both tokenizers' ids of a text whose bytes both give back whole; else none."""
     if text:
         ids_a, ids_b = a(" " + text), b(text)
         raw = (" " + text).encode()
         if b"".join(map(a.bytes.__getitem__, ids_a)) == raw == b"".join(map(b.bytes.__getitem__, ids_b)):
-            return ids_a, ids_b
-    return [], []
+            return np.array(ids_a, np.int32), np.array(ids_b, np.int32)
+    return np.empty(0, np.int32), np.empty(0, np.int32)
 
 
 def labelled(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -108,7 +115,7 @@ def labelled(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: n
 
 def groups_of(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The end of every span of bytes up to a label `both`, and how many tokens of A and of B end in it."""
-    ends = np.fromiter((m.end() for m in BOTH.finditer(labels.tobytes())), np.int64)
+    ends = np.cumsum(np.fromiter(map(len, BOTH.findall(labels.tobytes())), np.int64))
     first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     count = lambda bit: np.add.reduceat((labels & bit) // bit, first, dtype=np.int64) if len(ends) else ends
     return ends, count(1), count(2)
@@ -138,7 +145,7 @@ def spelled(ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return out, np.add.reduceat(size, np.concatenate([[0], ends[:-1] + 1])) if len(ends) else size
 
 
-def batches_of(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 << 22) -> DataFrame:
+def batches_of(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 << 20) -> DataFrame:
     """A row for each run of documents with up to slice_bytes of text: their alignments, and the links of all of them as
     distinct pairs (A's id * 2^32 + B's id) with counts and, link by link, the number of its pair (unsigned 32 bits)."""
 
@@ -146,7 +153,7 @@ def batches_of(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 <
         a, b, size_a, size_b = loaded(a_path, b_path)
         tokens = [tokens_of(t, a, b) for t in part.column("text").to_pylist()]
         n_a, n_b = (np.array([len(x[k]) for x in tokens], np.int64) for k in (0, 1))
-        ids_a, ids_b = (np.fromiter((i for x in tokens for i in x[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+        ids_a, ids_b = (np.concatenate([x[k] for x in tokens]).astype(np.int64) for k in (0, 1))
         del tokens
         labels = labelled(ids_a, ids_b, size_a, size_b)
         before = np.concatenate([[0], np.cumsum(size_a[ids_a])])
@@ -217,7 +224,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, describe: Callable[[Column]
     pairs with that B id, the highest such count, ties included.
 
     Null and empty texts and those whose tokens do not give back a space and the text have no tokens: zeros and an empty
-    string. Texts are tokenised whole, some 4 MB together; repeated rows and null ids are rows of their own and count as
+    string. Texts are tokenised whole, some 1 MB together; repeated rows and null ids are rows of their own and count as
     often as they come. No rows give no rows.
     """
     batches = batches_of(docs, a_path, b_path)
