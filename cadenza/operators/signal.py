@@ -6,12 +6,14 @@ Spark groups and shuffles the samples; each function here is a small helper over
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.scalar import MULBERRY_MASKS, MULBERRY_STEP
+
 
 def per_track(df: DataFrame, keys: list[str], order: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """fn over each track's rows in order; its frame gets the keys in front."""
@@ -233,44 +235,109 @@ def notes(t: np.ndarray, freq: np.ndarray, clarity: np.ndarray, rms: np.ndarray,
     return out
 
 
-def segments(features: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
-    """Labels of a track's units: affinity of mutual neighbours and succession, normalised Laplacian, eigenvectors, k-means."""
-    n = len(features)
-    if n <= k:
-        return np.arange(n)
-    d = np.sqrt(((features[:, None] - features[None]) ** 2).sum(-1))
-    near = np.argsort(d, axis=1)[:, 1 : 1 + max(2, int(math.sqrt(n)))]
-    r = np.zeros((n, n), bool)
-    r[np.arange(n)[:, None], near] = True
-    r &= r.T
-    a = np.exp(-d / (np.median(d[d > 0]) if (d > 0).any() else 1.0)) * r
-    step = np.arange(n - 1)
-    a[step, step + 1] += 0.5
-    a[step + 1, step] += 0.5
-    deg = 1 / np.sqrt(a.sum(1) + 1e-12)
-    _, vec = np.linalg.eigh(np.eye(n) - deg[:, None] * a * deg[None])
-    e = vec[:, :k]
-    e = e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-12)
-    return kmeans(e, k, seed)
+def _middle(x: np.ndarray) -> float:
+    """The upper median, 0 of nothing."""
+    return float(np.sort(x)[len(x) // 2]) if len(x) else 0.0
+
+
+def running_median(x: np.ndarray, size: int) -> np.ndarray:
+    """Centred upper medians of `size` values, of fewer at the ends."""
+    half = size // 2
+    return np.array([_middle(x[max(0, i - half) : i + half + 1]) for i in range(len(x))])
+
+
+def embedding(repeats: np.ndarray, path: np.ndarray, vectors: int = 10, steps: int = 4, smoothing: int = 9) -> np.ndarray:
+    """First eigenvectors (units x vectors, smoothed) of the normalised Laplacian of a track's graph, whose nodes are bounded.
+
+    Edges join units that are mutual neighbours by `repeats` (each with those around it), kept where whole stretches
+    repeat (median along the diagonals), and successive units by how alike they are in `path`; a common weight balances both.
+    """
+    n = len(repeats)
+    around = repeats[np.clip(np.arange(n)[:, None] - steps // 2 + np.arange(steps), 0, n - 1)].reshape(n, -1)
+    d = np.stack([np.sqrt(((around - row) ** 2).sum(1)) for row in around])
+    far = np.abs(np.arange(n)[:, None] - np.arange(n)) >= 3
+    k = max(1, min(n - 7, 2 * math.ceil(math.sqrt(max(0, n - 5)))))
+    order = np.argsort(np.where(far, d, np.inf), axis=1, kind="stable")[:, :k]
+    near = np.zeros((n, n), bool)
+    near[np.arange(n)[:, None], order] = True
+    near &= far
+    last = [d[i, order[i][far[i, order[i]]][-1]] if near[i].any() else 1.0 for i in range(n)]
+    link = np.where(near & near.T, np.exp(-d / (_middle(np.array(last)) or 1.0)), 0.0)
+    kept = np.zeros((n, n))
+    for lag in range(1, n):
+        i = np.arange(n - lag)
+        kept[i, i + lag] = kept[i + lag, i] = running_median(link[i, i + lag], 7)
+    step = ((path[1:] - path[:-1]) ** 2).sum(1)
+    step = np.exp(-step / (_middle(step) or 1.0))
+    by_step = np.concatenate([step, [0.0]]) + np.concatenate([[0.0], step])
+    both = by_step + kept.sum(1)
+    share = float(by_step @ both / (both @ both)) if both.any() else 0.5
+    a = share * kept
+    i = np.arange(n - 1)
+    a[i, i + 1] += (1 - share) * step
+    a[i + 1, i] += (1 - share) * step
+    degree = a.sum(1)
+    scale = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)
+    _, v = np.linalg.eigh(np.eye(n) - a * scale[:, None] * scale)
+    return np.stack([running_median(v[:, c], smoothing | 1) for c in range(min(vectors, n))], 1)
+
+
+def clustered(vectors: np.ndarray, k: int) -> np.ndarray:
+    """k-means labels of the rows of the first k eigenvectors, scaled to length one."""
+    x = vectors[:, :k]
+    size = np.sqrt((x**2).sum(1, keepdims=True))
+    return kmeans(x / np.where(size > 0, size, 1), k)
+
+
+def segments(repeats: np.ndarray, path: np.ndarray, bar: int, most: int = 6, most_short: float = 0.08, embedding_bars: float = 2.0, smoothing_bars: float = 2.25) -> np.ndarray:
+    """Labels of a track's units: as many clusters, three to `most`, as leave at most most_short of the units in runs under
+    two bars."""
+    n = len(repeats)
+    v = embedding(repeats, path, 10, max(2, math.floor(embedding_bars * bar + 0.5)), max(3, math.floor(smoothing_bars * bar + 0.5)))
+
+    def short(label: np.ndarray) -> float:
+        cuts = np.concatenate([[0], np.flatnonzero(label[1:] != label[:-1]) + 1, [n]])
+        size = np.diff(cuts)
+        return float(size[size < 2 * bar].sum()) / n
+
+    for k in range(min(most, n - 1), 3, -1):
+        label = clustered(v, k)
+        if short(label) <= most_short:
+            return label
+    return clustered(v, min(3, n - 1))
+
+
+def random_numbers(seed: int) -> Iterator[float]:
+    """Numbers in [0, 1) of the 32-bit additive generator that functions.scalar.mulberry has in closed form."""
+    low = (1 << 32) - 1
+    while True:
+        seed = (seed + MULBERRY_STEP) & low
+        t = (seed ^ seed >> 15) * (seed | MULBERRY_MASKS[0]) & low
+        t ^= (t + ((t ^ t >> 7) * (t | MULBERRY_MASKS[1]) & low)) & low
+        yield (t ^ t >> 14) / 2.0**32
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 7, restarts: int = 8, rounds: int = 60) -> np.ndarray:
-    """Best of several seeded k-means++ runs; labels in order of first appearance."""
-    rng, best, cost = np.random.default_rng(seed), None, np.inf
+    """Labels of the best of several k-means++ runs from one seeded generator; a centre without rows moves to a drawn row."""
+    draw = random_numbers(seed)
+    some = lambda: x[int(next(draw) * len(x))]
+    to = lambda c: ((x[:, None] - c[None]) ** 2).sum(-1)
+    best, cost = np.zeros(len(x), int), np.inf
     for _ in range(restarts):
-        c = x[[rng.integers(len(x))]]
+        c = some()[None]
         while len(c) < k:
-            p = ((x[:, None] - c[None]) ** 2).sum(-1).min(1)
-            c = np.vstack([c, x[rng.choice(len(x), p=p / p.sum())] if p.sum() > 0 else x[rng.integers(len(x))]])
+            near = to(c).min(1)
+            at = np.searchsorted(np.cumsum(near), next(draw) * near.sum())
+            c = np.vstack([c, x[min(int(at), len(x) - 1)]])
+        label = np.full(len(x), -1)
         for _ in range(rounds):
-            d = ((x[:, None] - c[None]) ** 2).sum(-1)
-            label = d.argmin(1)
-            new = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
+            d = to(c)
+            now = d.argmin(1)
+            total, moved = float(d.min(1).sum()), bool((now != label).any())
+            label = now
+            c = np.stack([x[label == j].mean(0) if (label == j).any() else some() for j in range(k)])
+            if not moved:
                 break
-            c = new
-        total = d.min(1).sum()
         if total < cost - 1e-12:
             best, cost = label, total
-    order = {v: i for i, v in enumerate(dict.fromkeys(best.tolist()))}
-    return np.array([order[v] for v in best])
+    return best

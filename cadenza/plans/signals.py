@@ -14,7 +14,6 @@ from ..operators import signal as S
 from ..operators.scan import Cascade, Release, scanned
 from ..operators.windows import frame, top
 from ..sources.tables import SAMPLES, WAVES, contour, samples, table, waves, written
-from .relational import units
 from .song import FS, chunked
 from .timeline import gated, r
 
@@ -235,14 +234,6 @@ def pitch_yin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tones.mapInPandas(run, "event_id long, freq double, found double, clarity double").where("found > 0").select("event_id", r(F.col("freq"), 2).alias("freq"), r(F.col("found"), 2).alias("found"), r(midi(F.col("found")), 2).alias("midi"))
 
 
-@query()
-def laplacian_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"u": p.u.to_numpy(), "cluster": S.segments(np.stack(p.t.to_numpy()), 4)})
-
-    return S.per_track(units(spark, sf_dir).select("track", "u", "t"), ["track"], "u", run, "u long, cluster long")
-
-
 @query(f"""WITH {WAVES} SELECT track, i - 200 AS i, round(l * least(1, greatest(0, least((i - 200) / 20.0, (399 - i) / 20.0))), 6) + 0.0 AS y FROM waves WHERE i >= 200 AND i < 400""")
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stretch of each track with linear fades of 20 samples at both ends."""

@@ -153,13 +153,14 @@ def clips_of(own: DataFrame, sections: DataFrame, kinds: list[tuple[str, float,
 
     A clip loops if the bar behind it is like its first, its last like the one before it, or its second half like its
     first: three joins of bars a fixed distance apart, so no pairs of all bars. Hookness is a share of the energy (levels
-    scaled to 0 to 1) and of standing in a chorus; a chorus beginning within 3 s of the start counts on top.
+    scaled to 0 to 1) and of standing in a chorus, unless the bars have a column hook; a chorus beginning within 3 s of the start counts on top.
     """
     whole, line = Window.partitionBy("track"), Window.partitionBy("track").orderBy("u")
     low, high = F.min("level").over(whole), F.max("level").over(whole)
     e = own.withColumns({"c": _unit(F.col("chroma")), "energy": F.when(high > low, (F.col("level") - low) / (high - low)).otherwise(0.0), "n": F.max("u").over(whole) + 1})
     chorus = sections.where("kind = 'chorus'").select("track", F.col("start").alias("first"), F.explode(F.sequence("start", F.col("end") - 1)).alias("u"))
-    e = e.join(chorus, ["track", "u"], "left").withColumn("hook", 0.7 * F.col("first").isNotNull().cast("double") + 0.3 * F.col("energy"))
+    e = e.join(chorus, ["track", "u"], "left")
+    e = e if "hook" in own.columns else e.withColumn("hook", 0.7 * F.col("first").isNotNull().cast("double") + 0.3 * F.col("energy"))
     early = F.min(F.when(F.col("first") == F.col("u"), F.col("u"))).over(line.rowsBetween(0, Window.unboundedFollowing))
     e = e.withColumns({"early": F.coalesce(((early - F.col("u")) * F.col("bar_sec") <= 3).cast("double"), F.lit(0.0)), "hooks": F.sum("hook").over(line), "energies": F.sum("energy").over(line)})
     kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), clip_bars(F.col("bar_sec"), *limits).alias("bars")) for k, *limits in kinds]))

@@ -100,14 +100,14 @@ def test_waited_reports_each_batch(spark, tmp_path):
 def test_tuning(spark):
     assert tuned(spark) == Tuning()
     try:
-        spark.conf.set("spark.cadenza.alike", "0.5")
-        assert tuned(spark) == Tuning(alike=0.5)
-        spark.conf.set("spark.cadenza.least_frames", "few")
-        with pytest.raises(ValueError, match="least_frames"):
+        spark.conf.set("spark.cadenza.clusters", "5")
+        assert tuned(spark) == Tuning(clusters=5)
+        spark.conf.set("spark.cadenza.least_bars", "few")
+        with pytest.raises(ValueError, match="least_bars"):
             tuned(spark)
     finally:
-        spark.conf.unset("spark.cadenza.alike")
-        spark.conf.unset("spark.cadenza.least_frames")
+        spark.conf.unset("spark.cadenza.clusters")
+        spark.conf.unset("spark.cadenza.least_bars")
 
 
 def test_clips(spark):

@@ -71,14 +71,6 @@ def test_spectrum_and_autocorrelation():
     assert int(ac[5:30].argmax()) + 5 == 20
 
 
-def test_segments_find_three_groups():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(c, 0.05, (10, 3)) for c in (0, 3, 6, 0)])
-    label = S.segments(x, 3)
-    assert len(set(label[:10])) == 1 and len(set(label[:30])) == 3
-    assert list(S.kmeans(np.array([[0.0], [0.1], [5.0], [5.1], [9.0]]), 3)) == [0, 0, 1, 1, 2]
-
-
 def test_notes_of_melody(spark):
     got = [r.midi for r in sorted(notes_of(pitch_points(spark)).collect(), key=lambda r: r.start)]
     assert got == MELODY
