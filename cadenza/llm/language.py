@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
+from .common import mapped
 from .textops import slices
 
 SLICE_BYTES = 1 << 20
@@ -27,13 +29,15 @@ def fit_dictionaries(labelled: DataFrame, n_samples: int = 400, sample_chars: in
 
     For every language n_samples rows are drawn by seeded hash and a stretch of sample_chars code points at a
     hashed place of each is taken, so a dictionary has at most n_samples * sample_chars characters whatever the
-    corpus. Null text or lang takes no part; a language without letters in its sample gets no dictionary.
+    corpus. Null text or lang takes no part; a language without letters in its sample gets no dictionary. Each value of
+    lang costs that much on the driver and in every task, and one compression of every text: lang names languages, some
+    hundreds at most, and is no free text.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return {}
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))  # the text too, or rows of one id, or of none, would be drawn together
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - sample_chars)) + 1
     # of a frequent language only some eight times the sample, chosen by the hash, goes on to be ranked
     scale = 1 << 30
@@ -85,13 +89,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Compressors(model.value, chunk, level)
-        for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
-            found = [classify(t) for t in b.column("text").to_pylist()]
+        for b in (part for batch in batches for part in slices(batch, text, SLICE_BYTES)):
+            found = [classify(t) for t in b.column(text).to_pylist()]
             rejected = [lang == UNDETERMINED or margin <= min_margin for lang, margin in found]
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, lang_score double, lang_rejected boolean")
+    return mapped(docs, run, lang_pred=StringType(), lang_score=DoubleType(), lang_rejected=BooleanType())
