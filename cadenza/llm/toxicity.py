@@ -9,8 +9,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
-from .common import dropped, written
+from .common import dropped, mapped, written
 from .textops import slices
 
 SLICE_BYTES = 1 << 20
@@ -142,8 +143,13 @@ class Scorer:
                 excused.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        for a, b in excused:
-            for k in [k for k in best if a <= k < b]:
+        excused.sort()
+        reach, i = -1, 0
+        for k in sorted(best) if excused else ():
+            while i < len(excused) and excused[i][0] <= k:
+                reach = max(reach, excused[i][1])
+                i += 1
+            if k < reach:
                 del best[k]
         total = sum(best.values())
         return total / (total + math.sqrt(n_words) / 2), len(best), n_words
@@ -159,12 +165,11 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float], exceptions: Seque
     docs = docs.drop("tox_score", "tox_hits", "tox_words")
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model.value, exceptions)
-        for b in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
-            found = [score(t) for t in b.column("text").to_pylist()]
+        for b in (part for batch in batches for part in slices(batch, text, SLICE_BYTES)):
+            found = [score(t) for t in b.column(text).to_pylist()]
             added = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "tox_score", "tox_hits", "tox_words"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, tox_score double, tox_hits long, tox_words long")
+    return mapped(docs, run, tox_score=DoubleType(), tox_hits=LongType(), tox_words=LongType())
