@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import copies, ranked
 
 
 def interleaved_shards(docs: DataFrame, n_shards: int, seed: int = 17, stratum: str = "source", n_buckets: int = 4096) -> DataFrame:
@@ -16,18 +16,19 @@ def interleaved_shards(docs: DataFrame, n_shards: int, seed: int = 17, stratum:
     into n_shards stretches whose row counts differ by one at most (law `rows`); slot counts from 0 in a shard.
 
     A null text has no bytes and crc 0; a null stratum is a stratum of its own; a null doc_id is a row as any
-    other; repeated rows each get their own slot; an empty table gives no rows. n_buckets bounds what one task
+    other; repeated rows are numbered and each get their own slot; an empty table gives no rows. n_buckets bounds what one task
     ranks: a stratum's rows are spread over that many hash buckets, whatever its share.
     """
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), crc)  # the text too, or rows of one doc_id would fall into one bucket
     rows = docs.select(
         "doc_id",
         F.col(stratum).alias("stratum"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         crc.alias("text_crc32"),
-        h.alias("h"),
     )
+    # text and number among equal rows too, or rows of one doc_id, and equal rows, would fall into one bucket
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col("copy"))
+    rows = copies(rows, "copy").withColumn("h", h)
     order = [F.col(c) for c in ("h", "doc_id", "text_crc32", "size")]
     inside = ranked(rows, ["stratum"], F.pmod(F.col("h"), F.lit(n_buckets)), order, "rank")
     share = inside.withColumn("share", (F.col("rank") + F.lit(0.5)) / F.col("rank_total"))
