@@ -26,9 +26,17 @@ def without_fragment(url: Column) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) urls: all canonical links and refresh redirects that the pages' html declares, relative ones resolved."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.col("url")
-    attr = r"""\s*=\s*["']?\s*([^"'>\s]+)"""
-    links = F.regexp_extract_all(html, F.lit(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
-    metas = F.regexp_extract_all(html, F.lit(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
+    attr = r"""\s*+=\s*+["']?+\s*+([^"'>\s]+)"""
+    # what stands before each `>`, and of it what a tag opens: every pattern reads a piece once, also where no tag is closed
+    pieces = F.split(html, ">")
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+    def tags(name: str, mark: str) -> Column:
+        opened = F.transform(closed, lambda p: F.regexp_extract(p, rf"(?is)<{name}\b.*+", 0))
+        return F.filter(opened, lambda t: t.rlike(mark))
+
+    links = tags("link", r"""(?i)\brel\s*+=\s*+["']?+canonical\b""")
+    metas = tags("meta", r"""(?i)\bhttp-equiv\s*+=\s*+["']?+refresh\b""")
     targets = F.concat(
         F.transform(links, lambda x: F.regexp_extract(x, rf"(?i)\bhref{attr}", 1)),
         F.transform(metas, lambda x: F.regexp_extract(x, rf"(?i)\burl{attr}", 1)),
