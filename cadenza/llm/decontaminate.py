@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .common import mapped
 from .fmindex import FMIndex
 from .textops import gram_hashes, slices, text_bytes, word_hashes
 
@@ -131,12 +133,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     for k in range(n_parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k).collect()
         parts.append(docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width)))
-    names = [*docs.columns, *ADDED]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in slices(batch, "text", shard_bytes):
-                yield pa.RecordBatch.from_arrays([*shard.columns, *_found(shard.column("text"), parts, sample)], names=names)
+            for shard in slices(batch, text, shard_bytes):
+                yield pa.RecordBatch.from_arrays([*shard.columns, *_found(shard.column(text), parts, sample)], names=[*shard.schema.names, *ADDED])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), FOUND])
-    return docs.mapInArrow(run, ddl)
+    return mapped(docs, run, **{f.name: f.dataType for f in StructType.fromDDL(FOUND)})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -255,13 +256,15 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     first = written(classes.groupBy("class_key").agg(F.min(place).alias("first")))
     rest = classes.join(first, "class_key").where(~place.eqNullSafe(F.col("first")))
-    rest = rest.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    own = uuid.uuid4().hex  # docs may have columns of any name
+    i, k = f"id_{own}", f"key_{own}"
+    rest = rest.select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
     key = F.xxhash64("text")
-    kept = docs.join(rest, docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    kept = docs.join(rest, docs.doc_id.cast("long").eqNullSafe(F.col(i)) & (key == F.col(k)), "left_anti")
     again = classes.groupBy("doc_id", "text_key").count().where("count > 1")
     if again.isEmpty():
         return kept
     # equal rows of one doc_id: only these are gathered by their text
-    again = again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = kept.doc_id.cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    again = again.select(F.col("doc_id").alias(i), F.col("text_key").alias(k))
+    same = kept.doc_id.cast("long").eqNullSafe(F.col(i)) & (key == F.col(k))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

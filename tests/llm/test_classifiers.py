@@ -3,6 +3,7 @@
 import math
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -56,7 +57,7 @@ def plain_language(rows):
     by_lang = defaultdict(list)
     for d, text, lang in rows:
         if text is not None and lang is not None and zlib.crc32(str(d).encode()) % 5:
-            h = signed(xxhash.xxh64_intdigest(struct.pack("<q", d), xxhash.xxh64_intdigest(struct.pack("<i", 5), 42)))
+            h = signed(xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(struct.pack("<q", d), xxhash.xxh64_intdigest(struct.pack("<i", 5), 42))))
             at = h % max(1, len(text) - 256)
             by_lang[lang].append((h, d, text[at : at + 256]))
     coders = []
@@ -80,6 +81,28 @@ def test_language_query_against_plain_python(spark):
     assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in Q.op6_language(spark, SF).collect()} == plain_language(rows)
 
 
+def test_language_of_null_and_repeated_ids_is_learned(spark):
+    """A language whose 20,000 rows have no id, and one whose rows share an id, give dictionaries as the others do."""
+    ids = spark.range(60000).select("id", (F.col("id") % 3).alias("k"))
+    doc_id, lang = F.when(F.col("k") == 0, F.lit(None)).when(F.col("k") == 1, F.lit(7)).otherwise(F.col("id")), F.concat(F.lit("l"), F.col("k"))
+    model = fit_dictionaries(ids.select(doc_id.cast("long").alias("doc_id"), F.concat(F.lit("text of number "), F.hex(F.xxhash64("id"))).alias("text"), lang.alias("lang")), n_samples=200)
+    assert set(model) == {"l0", "l1", "l2"} and all(len(v) > 200 * 10 for v in model.values())
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the dog you idiot", 2, (3,))], "doc_id long, text string, `a``b` int, c struct<`a b`: int>")
+    model = {"en": b"the dog and the cat", "fr": b"le chien et le chat"}
+    assert identify(docs, model).columns == ["doc_id", "text", "a`b", "c", "lang_pred", "lang_score", "lang_rejected"]
+    row = score_toxicity(identify(docs, model), {" idiot ": 3.0}).first()
+    assert row.lang_pred == "en" and row.tox_hits == 1 and row["a`b"] == 2 and row.c["a b"] == 3
+
+
+def test_exceptions_of_a_long_text_take_linear_time():
+    score = Scorer({" iditot ": 1.0, folded("idiot"): 2.0, folded("fool"): 1.0}, EXCEPTIONS)
+    begin = time.time()
+    assert score("idiot proof fool " * 100_000)[1] == 100_000 and time.time() - begin < 2
+
+
 def test_null_ids_have_a_fold(spark, tmp_path):
     whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     whole.unionByName(spark.createDataFrame([(None, "the text of no id", "en", "s", 1)], whole.schema)).write.parquet(f"{tmp_path}/documents.parquet")

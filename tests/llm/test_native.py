@@ -3,14 +3,18 @@
 import hashlib
 import math
 import random
+import struct
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
+import xxhash
 from pyspark.sql import functions as F
 
 from cadenza.llm import queries as Q
 from cadenza.llm.chat import BOS, END, PAST, TURN, escaped, format_chat, read_targets, read_turns, unescaped
+from cadenza.llm.common import copies
 from cadenza.llm.sharding import interleaved_shards
 from cadenza.llm.urls import judge_urls, link_edges
 
@@ -238,6 +242,56 @@ def test_url_components_against_union_find(spark):
     assert set(want.values()) == {"allow", "block"} and len(seen) > 50
 
 
+def test_url_open_tags_take_linear_time(spark):
+    html = [("<link rel= " * 100_000, 0), ("<link href=" + " " * 1_000_000, 0), ("<meta http-equiv" + " " * 500_000 + "<link rel=canonical href='/a'" * 20_000 + ">", 1), ("<LINK\nREL = 'canonical' HREF=\" /b\">x<a>", 1)]
+    pages = spark.createDataFrame([(f"http://h.org/{k}", h) for k, (h, _) in enumerate(html)], "url string, html string")
+    begin = time.time()
+    got = {r.src: r.dst for r in link_edges(pages).collect()}
+    assert got == {"http://h.org/2": "http://h.org/a", "http://h.org/3": "http://h.org/b"} and time.time() - begin < 8
+
+
+def test_shards_of_equal_rows_are_spread(spark):
+    """A third of all rows, equal ones, fall into as many buckets as others do."""
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("t")).alias("text"), F.lit("s").alias("source"))
+    rows = copies(docs.select("doc_id", "text"), "copy").withColumn("b", F.pmod(F.xxhash64("doc_id", "text", "copy"), F.lit(4096)))
+    assert rows.groupBy("b").count().agg(F.max("count")).first()[0] < 90 and rows.count() == 9000
+    out = interleaved_shards(docs, 40).collect()
+    assert len(out) == 9000 and len({(r.shard, r.slot) for r in out}) == 9000
+
+
+def plain_shards(rows, n_shards, seed=17):
+    """(doc_id, crc, shard, slot) of rows (doc_id, text, source): shuffled by hash inside each source, then by fractional rank."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    seen, by_source, line = Counter(), defaultdict(list), []
+    for d, text, source in rows:
+        raw = (text or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 16
+        copy = seen[d, source, crc, size]
+        seen[d, source, crc, size] += 1
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        for v in (d, crc, copy):
+            h = h if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        h = signed(h)
+        by_source[source].append((h % 4096, h, d, crc))
+    for source, own in by_source.items():
+        own.sort(key=lambda x: x[:2])
+        line += [((k + 0.5) / len(own), source is not None, source or "", h, d, crc) for k, (_, h, d, crc) in enumerate(own)]
+    line.sort(key=lambda x: x[:4])
+    n, out = len(line), []
+    for p, (*_, d, crc) in enumerate(line):
+        shard = p * n_shards // n
+        out.append((d, crc, shard, p - -(-shard * n // n_shards)))
+    return Counter(out)
+
+
+def test_shards_against_plain_python(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows += [(None, None, None)] * 50 + [(5, "same", "src1")] * 20 + [(None, "x", "src1"), (3, None, None)]
+    for n_shards in (40, 7):
+        got = interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), n_shards).collect()
+        assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got) == plain_shards(rows, n_shards)
+
+
 def test_url_long_chain(spark):
     n = 40
     df = spark.createDataFrame([(i, f"http://n{i:03}.net/", "") for i in range(n)], "page_id long, url string, html string")

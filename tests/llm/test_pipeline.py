@@ -55,7 +55,7 @@ def test_run_and_odd_rows(spark, tmp_path):
     # words of real texts in an order of their own, long enough for their language to show
     one, two = (" ".join(sorted(r.text.split()[:80])) for r in whole.where("lang = 'en' and length(text) > 600").orderBy("doc_id").limit(2).collect())
     odd = [(9001, None, "en", "s", 0), (9002, "", None, None, 0), (9003, whole.first().text, None, "s", 1), (None, one, "en", None, None), (9004, two, "en", "s", 8), (9004, two, "en", "s", 8)]
-    docs = whole.unionByName(spark.createDataFrame(odd, whole.schema)).withColumn("class_key", F.lit("x")).withColumn("n_hit", F.lit(1))
+    docs = whole.unionByName(spark.createDataFrame(odd, whole.schema)).withColumns({"class_key": F.lit("x"), "n_hit": F.lit(1), "_id": F.lit(1), "_key": F.lit("k"), "a`b": F.lit(2), "s.t": F.struct(F.lit(3).alias("a b"))})
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
