@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import crc_mod, dropped, read, scratch, written
+from cadenza.llm.common import crc_mod, dropped, read, same_columns, scratch, written
 from cadenza.llm.decontaminate import decontaminate
 from cadenza.llm.jaccard import keep_one
 from cadenza.llm.language import fit_dictionaries, identify
@@ -25,14 +25,14 @@ CONTAMINATED_FROM = 0.5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of TOXIC_FROM or more go. Learned from the labelled rows outside the held-out fold."""
     lexicon = fit_lexicon(docs, read(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 4) != 2))
-    return score_toxicity(docs, lexicon).where(F.col("tox_score") < TOXIC_FROM).select(*docs.columns)
+    return same_columns(score_toxicity(docs, lexicon).where(F.col("tox_score") < TOXIC_FROM), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or with narrow margins go; a missing lang is filled with the prediction."""
     dictionaries = fit_dictionaries(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
     kept = identify(docs, dictionaries).where(~F.col("lang_rejected"))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return same_columns(kept.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < CONTAMINATED_FROM * F.col("n_words")))
     hit = F.col("n_hit") > 0
     cut = {"text": F.when(hit, F.col("clean_text")).otherwise(F.col("text")), "n_chars": F.when(hit, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.withColumns(cut).select(*docs.columns)
+    return same_columns(kept.withColumns(cut), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
