@@ -1,7 +1,7 @@
 """Registered queries with their oracles, one module per family."""
 
-from . import catalog, cues, live, lyrics, relational, scoring, signals, song, structure, timeline
+from . import catalog, cues, live, lyrics, melody, relational, scoring, signals, song, structure, timeline
 
-MODULES = (timeline, relational, lyrics, scoring, signals, live, catalog, song, structure, cues)
+MODULES = (timeline, relational, lyrics, scoring, signals, live, catalog, song, structure, melody, cues)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
