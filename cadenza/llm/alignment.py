@@ -145,9 +145,9 @@ def spelled(ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return out, np.add.reduceat(size, np.concatenate([[0], ends[:-1] + 1])) if len(ends) else size
 
 
-def batches_of(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 << 20) -> DataFrame:
+def batches_of(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 << 19) -> DataFrame:
     """A row for each run of documents with up to slice_bytes of text: their alignments, and the links of all of them as
-    distinct pairs (A's id * 2^32 + B's id) with counts and, link by link, the number of its pair (unsigned 32 bits)."""
+    distinct pairs (A's id * 2^32 + B's id) with counts and, link by link, the number of its pair (unsigned, of 16 bits where they do, else of 32)."""
 
     def row(part: pa.RecordBatch, batch: int) -> pa.RecordBatch:
         a, b, size_a, size_b = loaded(a_path, b_path)
@@ -175,7 +175,7 @@ def batches_of(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = 1 <
         struct = pa.StructArray.from_arrays(own, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"])
         listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([batch], pa.int64()), listed(struct), listed(pa.array(pairs, pa.int64())), listed(pa.array(counts, pa.int64())), pa.array([links.astype("<u4").tobytes()], pa.binary())],
+            [pa.array([batch], pa.int64()), listed(struct), listed(pa.array(pairs, pa.int64())), listed(pa.array(counts, pa.int64())), pa.array([links.astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes()], pa.binary())],
             names=["batch", "docs", "pairs", "counts", "links"],
         )
 
@@ -205,7 +205,7 @@ def score_links(batches: DataFrame) -> DataFrame:
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
         docs = own.column("docs").combine_chunks().flatten()
-        links = np.frombuffer(own.column("links")[0].as_buffer(), "<u4")
+        links = np.frombuffer(own.column("links")[0].as_buffer(), "<u2" if found.num_rows <= 1 << 16 else "<u4")
         order = np.argsort(found.column("pair").to_numpy()) if found.num_rows else np.empty(0, np.int64)
         n, best = (found.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[order][links] for c in ("n", "best"))
         stops = np.concatenate([[0], np.cumsum(docs.field("n_links").to_numpy())])
@@ -224,7 +224,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, describe: Callable[[Column]
     pairs with that B id, the highest such count, ties included.
 
     Null and empty texts and those whose tokens do not give back a space and the text have no tokens: zeros and an empty
-    string. Texts are tokenised whole, some 1 MB together; repeated rows and null ids are rows of their own and count as
+    string. Texts are tokenised whole, some 512 kB together; repeated rows and null ids are rows of their own and count as
     often as they come. No rows give no rows.
     """
     batches = batches_of(docs, a_path, b_path)
