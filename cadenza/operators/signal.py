@@ -117,22 +117,25 @@ def autocorrelation(x: np.ndarray, most: int) -> np.ndarray:
     return np.fft.irfft(f * np.conj(f), size)[: most + 1] / (n - np.arange(most + 1))
 
 
-def true_peak(x: np.ndarray, over: int = 4, taps: int = 16) -> float:
-    """Largest level between samples, from `over` shifted windowed-sinc interpolations around the loudest samples."""
-    if not len(x):
-        return 0.0
-    best = float(np.abs(x).max())
-    padded = np.pad(x, taps)
-    loud = np.flatnonzero(np.abs(x) >= 0.5 * best) + taps
-    t = np.arange(-taps // 2 + 1, taps // 2 + 1)
-    for phase in range(1, over):
+def between_samples(x: np.ndarray, at: np.ndarray, over: int = 4, taps: int = 16) -> float:
+    """Largest level of the `over` - 1 points behind each place in `at`, by windowed-sinc interpolation; x reaches `taps` samples
+    beyond all places."""
+    best, t = 0.0, np.arange(-taps // 2 + 1, taps // 2 + 1)
+    for phase in range(1, over) if len(at) else ():
         u = t - phase / over
         h = np.sinc(u) * (0.5 + 0.5 * np.cos(np.pi * u / (taps / 2)))
-        h /= h.sum()
-        best = max(best, float(np.abs(padded[loud[:, None] + t] @ h).max()))
+        best = max(best, float(np.abs(x[at[:, None] + t] @ (h / h.sum())).max()))
     return best
 
 
+def true_peak(x: np.ndarray, over: int = 4, taps: int = 16) -> float:
+    """Largest level at and between samples, looked for around the loudest ones."""
+    if not len(x):
+        return 0.0
+    top = float(np.abs(x).max())
+    return max(top, between_samples(np.pad(x, taps), np.flatnonzero(np.abs(x) >= 0.5 * top) + taps, over, taps))
+
+
 def yin(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 1100.0, threshold: float = 0.12) -> tuple[float, float]:
     """Pitch and clarity of one frame: cumulative-mean-normalised difference, first dip below the threshold."""
     most = int(fs / lo)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp, lcg, upper_median
 from ..operators.windows import frame, moving_average, top
 from ..sources.dimensions import BRIEFS, CAMELOT, GENRES, KEYS, PLANS, TONE_BANDS, VERSIONS, values
-from ..sources.tables import SAMPLES, samples, table
+from ..sources.tables import SAMPLES, passing, samples, table
+from ..sources.wave import read_waves, write_parts
 from . import scoring
 from .relational import SSM, UNITS, ssm, units
 from .scoring import BALANCE_SQL, BANDS_SQL, FEATURES, deviations, features
@@ -224,14 +225,14 @@ def job_public(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(gone, "event_id", "left_anti").select("event_id", F.to_json(job, {"ignoreNullFields": "false"}).alias("job"))
 
 
-@query(f"""WITH {FEATURES}, {values([(k, g[1]) for k, g in enumerate(GENRES)], ["gk", "family"], "ge")} SELECT track, concat_ws(', ', family, CASE WHEN track % 3 = 0 THEN 'live' END, CASE WHEN track % 4 > 0 THEN bpm || ' BPM' END, CASE WHEN track % 2 = 0 THEN 'in Am' END, 'radio-ready mix, punchy, modern production') AS prompt,
+@query(f"""WITH {FEATURES}, {values([(k, g[1]) for k, g in enumerate(GENRES)], ["gk", "family"], "ge")} SELECT track, concat_ws(', ', family, CASE WHEN track % 3 = 0 THEN 'live' END, CASE WHEN track % 4 > 0 THEN bpm || ' BPM' END, CASE WHEN track % 2 = 0 THEN 'in Am' END, 'clear and loud, ready for release') AS prompt,
  round(greatest(0.1, least(0.95, 1.0 - dance)), 2) AS strength FROM feat JOIN ge ON gk = track % 8""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style prompts with the parts that are known, and the cover strength of an intensity."""
     g = F.broadcast(spark.createDataFrame([(k, x[1]) for k, x in enumerate(GENRES)], "gk int, family string"))
     t = F.col("track")
     f = features(spark, sf_dir).withColumn("gk", (t % 8).cast("int")).join(g, "gk")
-    parts = [F.col("family"), F.when(t % 3 == 0, "live"), F.when(t % 4 > 0, F.concat(F.col("bpm").cast("string"), F.lit(" BPM"))), F.when(t % 2 == 0, "in Am"), F.lit("radio-ready mix, punchy, modern production")]
+    parts = [F.col("family"), F.when(t % 3 == 0, "live"), F.when(t % 4 > 0, F.concat(F.col("bpm").cast("string"), F.lit(" BPM"))), F.when(t % 2 == 0, "in Am"), F.lit("clear and loud, ready for release")]
     return f.select("track", F.concat_ws(", ", *parts).alias("prompt"), r(F.greatest(F.lit(0.1), F.least(F.lit(0.95), 1.0 - F.col("dance"))), 2).alias("strength"))
 
 
@@ -289,7 +290,21 @@ def dither_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", r(F.col("tpdf"), 9).alias("tpdf"), pcm.alias("pcm"))
 
 
-@query(f"WITH {SAMPLES} SELECT track, i // 64 AS part, count(*) AS n, round(sum(x), 4) AS total FROM samples GROUP BY 1, 2")
+#: Bytes of a part of a user's events: 50 samples.
+PART = 144
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, g(i, s) AS (SELECT 1, CAST(22222 AS HUGEINT) * 1664525 % 4294967296 + 1013904223 UNION ALL SELECT i + 1, (s % 4294967296 * 1664525 + 1013904223) % 4294967296 FROM g WHERE i < (SELECT 2 * max(i) + 2 FROM samples)),
+n AS (SELECT i, CAST(s % 4294967296 AS BIGINT) AS s FROM g), t AS (SELECT (a.i - 1) // 2 AS i, (a.s - b.s) / 4294967296 AS d FROM n a JOIN n b ON b.i = a.i + 1 WHERE a.i % 2 = 1),
+v AS (SELECT track, samples.i, greatest(-32768, least(32767, CAST(floor((least(1, x / 500) + d / 32768) * 32767 + 0.5) AS BIGINT))) AS v FROM samples JOIN t ON t.i = samples.i)
+SELECT CAST(track AS VARCHAR) AS track, CAST(i // 50 AS BIGINT) AS part, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM v GROUP BY 1, 2""")
 def speech_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks cut into parts of 64 samples, each a file of its own size below the limit of an upload."""
-    return samples(spark, sf_dir).groupBy("track", F.floor(F.col("i") / 64).alias("part")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("x")).alias("total"))
+    """Each user's events as WAVE files of PART bytes at most, dithered to 16 bits, written and read again by ranges: samples
+    and their sum by file."""
+    path = passing(spark, "parts")
+    x = samples(spark, sf_dir).select("track", "i", F.least(F.lit(1.0), F.col("x") / 500).alias("x"))
+    write_parts(x, path, most_bytes=PART)
+    found, _ = read_waves(spark, path)
+    name = F.regexp_extract("path", r"([^/]*)\.wav$", 1)
+    track, part = F.regexp_extract(name, r"^(.*)-\d+$", 1), F.regexp_extract(name, r"-(\d+)$", 1).cast("long")
+    return found.groupBy(track.alias("track"), part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("l") * 32768).cast("long")).alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.strict import Rule, parsed, violations
 from ..operators.windows import top
 from ..sources.tables import contour, passing, table
 from ..streaming import live
@@ -111,3 +112,26 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("p", "text"))
     d.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), "text").write.option("escape", '"').csv(path)
     return spark.read.schema("doc_id long, i long, text string").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+#: What a call may carry: a count of 0 to 80, which must be there.
+CALL = [Rule("k", "int", True, 0, 80)]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties as models give them back: bare, in a code fence, between words, with another field, or cut."""
+    p = F.col("props")
+    forms = [p, F.concat(F.lit("```json\n"), p, F.lit("\n```")), F.concat(F.lit("Here: "), p, F.lit(" as asked")), F.replace(p, F.lit("{"), F.lit('{"extra": 1, ')), F.substring(p, F.lit(1), F.length(p) - 1)]
+    form = F.coalesce(*[F.when(F.col("event_id") % len(forms) == k, f) for k, f in enumerate(forms)])
+    return table(spark, sf_dir, "events").select("event_id", form.alias("answer"))
+
+
+@query("""WITH a AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'Here: ' || props || ' as asked' WHEN 3 THEN replace(props, '{', '{"extra": 1, ') ELSE substr(props, 1, length(props) - 1) END AS t FROM events),
+f AS (SELECT event_id, regexp_extract(CASE WHEN regexp_matches(t, '(?s)```(?:json)?\\s*(.*?)```') THEN regexp_extract(t, '(?s)```(?:json)?\\s*(.*?)```', 1) ELSE t END, '(?s)\\{.*\\}', 0) AS j FROM a),
+p AS (SELECT event_id, CASE WHEN j <> '' AND json_valid(j) THEN j END AS j FROM f), v AS (SELECT event_id, j, json_extract(j, '$.k') AS k FROM p)
+SELECT event_id, j IS NOT NULL AS readable, array_to_string(CASE WHEN j IS NULL THEN ['$: missing'] ELSE list_concat(CASE WHEN k IS NULL OR json_type(k) = 'NULL' THEN ['$.k: missing'] WHEN json_type(k) NOT IN ('UBIGINT', 'BIGINT') THEN ['$.k: kind']
+ WHEN CAST(k AS BIGINT) < 0 THEN ['$.k: low'] WHEN CAST(k AS BIGINT) > 80 THEN ['$.k: high'] ELSE [] END, list_transform(list_sort(list_filter(json_keys(j), lambda n: n <> 'k')), lambda n: '$.' || n || ': unknown')) END, ', ') AS violations FROM v""")
+def strict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each answer holds an object, and what in it breaks the rules of a call."""
+    v = answers(spark, sf_dir).withColumn("v", parsed(F.col("answer")))
+    return v.select("event_id", F.col("v").isNotNull().alias("readable"), F.array_join(violations(F.col("v"), CALL), ", ").alias("violations"))

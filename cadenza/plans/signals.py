@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import amplitude_db, half_up, loudness, midi, power_db
 from ..operators import signal as S
+from ..operators.levels import gated, report
 from ..operators.scan import Cascade, Release, scanned
 from ..operators.windows import frame, top
 from ..sources.tables import SAMPLES, WAVES, contour, samples, table, waves, written
 from .song import FS, chunked
-from .timeline import gated, r
+from .timeline import r
 
 QUERIES, ORACLES = {}, {}
 
@@ -79,13 +80,13 @@ def biquad_iir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.select("track", "i", r(F.col("y"), 6).alias("y"))
 
 
-def _weighting_sql() -> str:
-    """Both sections of the weighting as one recursion over the samples, one after the other."""
+def _weighting_sql(c: str = "l", name: str = "k") -> str:
+    """Both sections of the weighting as one recursion over the samples of a channel, one after the other."""
     ((p0, p1, p2), (q1, q2)), ((s0, s1, s2), (t1, t2)) = S.k_weighting(FS)
-    first = f"{p0!r} * w.l + {{z}}1"
-    return f"""k(track, i, a1, a2, b1, b2, y) AS (SELECT track, i, {p1!r} * l - {q1!r} * ({p0!r} * l), {p2!r} * l - {q2!r} * ({p0!r} * l), {s1!r} * ({p0!r} * l) - {t1!r} * ({s0!r} * ({p0!r} * l)), {s2!r} * ({p0!r} * l) - {t2!r} * ({s0!r} * ({p0!r} * l)), {s0!r} * ({p0!r} * l) FROM waves WHERE i = 0
+    first = f"{p0!r} * w.{c} + k.a1"
+    return f"""{name}(track, i, a1, a2, b1, b2, y) AS (SELECT track, i, {p1!r} * {c} - {q1!r} * ({p0!r} * {c}), {p2!r} * {c} - {q2!r} * ({p0!r} * {c}), {s1!r} * ({p0!r} * {c}) - {t1!r} * ({s0!r} * ({p0!r} * {c})), {s2!r} * ({p0!r} * {c}) - {t2!r} * ({s0!r} * ({p0!r} * {c})), {s0!r} * ({p0!r} * {c}) FROM waves WHERE i = 0
  UNION ALL SELECT track, i, {p1!r} * x - {q1!r} * u + a2, {p2!r} * x - {q2!r} * u, {s1!r} * u - {t1!r} * v + b2, {s2!r} * u - {t2!r} * v, v
- FROM (SELECT w.track, w.i, w.l AS x, a2, b2, {first.format(z='k.a')} AS u, {s0!r} * ({first.format(z='k.a')}) + k.b1 AS v FROM k JOIN waves w ON w.track = k.track AND w.i = k.i + 1))"""
+ FROM (SELECT w.track, w.i, w.{c} AS x, a2, b2, {first} AS u, {s0!r} * ({first}) + k.b1 AS v FROM {name} k JOIN waves w ON w.track = k.track AND w.i = k.i + 1))"""
 
 
 @query(f"""WITH RECURSIVE {WAVES}, {_weighting_sql()}, e AS (SELECT track, i // 20 AS b, avg(y * y) AS e FROM k GROUP BY 1, 2), w AS (SELECT track, b, avg(e) OVER (PARTITION BY track ORDER BY b ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS mean FROM e QUALIFY b >= 3),
@@ -97,6 +98,31 @@ def k_weighted_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrated(weighted, 20).select("track", r(F.col("lufs")).alias("lufs"))
 
 
+_PHASES = " UNION ALL ".join(f"SELECT {p} AS phase, t, CASE WHEN t = {p / 4} THEN 1 ELSE sin(pi() * (t - {p / 4})) / (pi() * (t - {p / 4})) END * (0.5 + 0.5 * cos(pi() * (t - {p / 4}) / 8)) AS h FROM (SELECT unnest(range(-7, 9)) AS t)" for p in (1, 2, 3))
+#: Samples of a block of the report over line items, and the level from which they count as clipped.
+REPORT_BLOCK, REPORT_LIMIT = 10, 0.9
+
+
+@query(f"""WITH RECURSIVE {WAVES}, {_weighting_sql("l", "kl")}, {_weighting_sql("r", "kr")}, en AS (SELECT track, b, sum(e) AS e FROM (SELECT track, i // {REPORT_BLOCK} AS b, avg(y * y) AS e, count(*) AS n FROM kl GROUP BY 1, 2 UNION ALL SELECT track, i // {REPORT_BLOCK}, avg(y * y), count(*) FROM kr GROUP BY 1, 2) WHERE n = {REPORT_BLOCK} GROUP BY 1, 2),
+w AS (SELECT track, b, n, avg(e) OVER (PARTITION BY track ORDER BY b ROWS BETWEEN n - 1 PRECEDING AND CURRENT ROW) AS mean, count(*) OVER (PARTITION BY track, n) AS m FROM en, (VALUES (4), (30)) AS v(n)),
+""".replace("ROWS BETWEEN n - 1 PRECEDING AND CURRENT ROW) AS mean, count(*) OVER (PARTITION BY track, n) AS m FROM en, (VALUES (4), (30)) AS v(n)),", "ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS mean, count(*) OVER (PARTITION BY track) AS m FROM en, (SELECT 4 AS n) UNION ALL SELECT track, b, n, avg(e) OVER (PARTITION BY track ORDER BY b ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), count(*) OVER (PARTITION BY track) FROM en, (SELECT 30 AS n)),") + f"""
+lv AS (SELECT track, n, b, mean, -0.691 + 10 * log10(mean) AS l FROM w WHERE b >= n - 1 OR (m < n AND b = m - 1)),
+g AS (SELECT *, -0.691 + 10 * log10(avg(mean) OVER (PARTITION BY track, n)) - CASE n WHEN 4 THEN 10 ELSE 20 END AS gate FROM lv WHERE l > -70),
+ld AS (SELECT track, -0.691 + 10 * log10(avg(mean) FILTER (WHERE n = 4)) AS integrated, quantile_cont(l, 0.95) FILTER (WHERE n = 30) - quantile_cont(l, 0.1) FILTER (WHERE n = 30) AS lra FROM g WHERE l > gate GROUP BY 1),
+mx AS (SELECT track, max(l) FILTER (WHERE n = 4) AS mm, max(l) FILTER (WHERE n = 30) AS sm FROM lv GROUP BY 1),
+ch AS (SELECT track, 0 AS ch, i, l AS x FROM waves UNION ALL SELECT track, 1, i, r FROM waves), pk AS (SELECT track, ch, max(abs(x)) AS p FROM ch GROUP BY 1, 2), ph AS (SELECT phase, t, h / sum(h) OVER (PARTITION BY phase) AS h FROM ({_PHASES})),
+tp AS (SELECT track, max(v) AS tp FROM (SELECT a.track, a.ch, a.i, phase, abs(sum(b.x * h)) AS v FROM ch a JOIN pk ON pk.track = a.track AND pk.ch = a.ch AND abs(a.x) >= 0.5 * p CROSS JOIN ph JOIN ch b ON b.track = a.track AND b.ch = a.ch AND b.i = a.i + t GROUP BY 1, 2, 3, 4 UNION ALL SELECT track, ch, -1, 0, p FROM pk) GROUP BY 1),
+rn AS (SELECT track, ch, i - row_number() OVER (PARTITION BY track, ch ORDER BY i) AS run FROM ch WHERE abs(x) >= {REPORT_LIMIT}), cl AS (SELECT track, sum(n) AS n FROM (SELECT track, ch, run, count(*) AS n FROM rn GROUP BY 1, 2, 3 HAVING count(*) >= 3) GROUP BY 1),
+sp AS (SELECT track, 20 * log10(max(greatest(abs(l), abs(r)))) AS peak, 20 * log10(sqrt(avg(pow((l + r) / 2, 2)))) AS rms FROM waves GROUP BY 1)
+SELECT track, round(integrated, 4) AS integrated, round(mm, 4) AS momentary_max, round(sm, 4) AS short_term_max, round(lra, 4) + 0.0 AS lra, round(20 * log10(tp), 4) + 0.0 AS true_peak, round(peak, 4) + 0.0 AS sample_peak, round(rms, 4) + 0.0 AS rms, round(peak - rms, 4) AS crest,
+ round(20 * log10(tp) - integrated, 4) AS plr, round(20 * log10(tp) - sm, 4) AS psr, CAST(coalesce(cl.n, 0) AS BIGINT) AS clipped, (SELECT count(*) FROM lv WHERE lv.track = sp.track AND n = 4) AS n_momentary, (SELECT count(*) FROM lv WHERE lv.track = sp.track AND n = 30 AND (b - 29) % 10 = 0) AS n_short_term
+FROM sp JOIN ld USING (track) JOIN mx USING (track) JOIN tp USING (track) LEFT JOIN cl USING (track)""")
+def loudness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report(waves(spark, sf_dir), FS, REPORT_BLOCK, REPORT_LIMIT)
+    levels = ("integrated", "momentary_max", "short_term_max", "lra", "true_peak", "sample_peak", "rms", "crest", "plr", "psr")
+    return rows.select("track", *(r(F.col(c)).alias(c) for c in levels), "clipped", F.size("momentary").cast("long").alias("n_momentary"), F.size("short_term").cast("long").alias("n_short_term"))
+
+
 def integrated(weighted: DataFrame, block: int) -> DataFrame:
     """(track, lufs) of weighted samples (track, i, y): windows of four blocks, gated at -70 and at 10 below their mean."""
     blocks = weighted.groupBy("track", F.floor(F.col("i") / block).alias("b")).agg(F.avg(F.col("y") * F.col("y")).alias("e"))

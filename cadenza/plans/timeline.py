@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import from_power_db, loudness, upper_median
+from ..operators.levels import gated
 from ..operators.quantiles import exact_quantiles
 from ..operators.windows import asof, closed_runs, frame, local_peaks, moving_average, runs, sliding_windows, spaced, top, with_runs
 from ..sources.tables import BLOCKS, SAMPLES, blocks, samples, table
@@ -41,13 +42,6 @@ def momentary(spark: SparkSession, sf_dir: str, win: int = 4) -> DataFrame:
     return sliding_windows(blocks(spark, sf_dir), "energy", ["track"], "b", win).withColumn("l", loudness(F.col("mean")))
 
 
-def gated(windows: DataFrame, absolute: float, relative: float) -> DataFrame:
-    """Windows above the absolute gate and above the mean energy of those, lowered by `relative` dB (both strictly)."""
-    loud = windows.where(F.col("l") > absolute)
-    mean = F.avg("mean").over(Window.partitionBy("track"))
-    return loud.withColumn("_gate", loudness(mean) - relative).where(F.col("l") > F.col("_gate")).drop("_gate")
-
-
 @query(f"""WITH {MOMENTARY}, loud AS (SELECT * FROM momentary WHERE l > -70),
 g AS (SELECT track, -0.691 + 10 * log10(avg(mean)) - 10 AS gate FROM loud GROUP BY track),
 i AS (SELECT track, -0.691 + 10 * log10(avg(mean)) AS l, count(*) AS n FROM loud JOIN g USING (track) WHERE l > gate GROUP BY track)

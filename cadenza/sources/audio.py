@@ -34,6 +34,29 @@ def encode_wav(channels: list[np.ndarray], fs: int, bits: int = 16) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, len(channels), fs, fs * block, block, bits) + b"data" + struct.pack("<I", len(body)) + body
 
 
+def wave_format(part: bytes) -> tuple[int, int, int, int]:
+    """Format tag (1 PCM, 3 float), channels, rate and bits of a format chunk. ValueError for what is not read here."""
+    if len(part) < 16:
+        raise ValueError("cut format chunk")
+    tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", part[:16])
+    # the extensible format names the real one at the start of its identifier
+    real = int.from_bytes(part[24:26], "little") if tag == 0xFFFE and len(part) >= 26 else tag
+    if (real, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not channels or not rate:
+        raise ValueError(f"format {real} of {bits} bits and {channels} channels")
+    return real, channels, rate, bits
+
+
+def pcm(body: bytes, tag: int, width: int) -> np.ndarray:
+    """Samples (-1 to 1) of PCM or float bytes of `width` bytes each."""
+    if tag == 3:
+        return np.frombuffer(body, f"<f{width}").astype(np.float64)
+    if width == 1:
+        return (np.frombuffer(body, np.uint8) - 128.0) / 128
+    v = np.zeros((len(body) // width, 4), np.uint8)
+    v[:, 4 - width :] = np.frombuffer(body, np.uint8).reshape(-1, width)
+    return v.reshape(-1).view("<i4") / 2.0**31
+
+
 def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
     """(samples x channels, rate) of WAVE bytes: PCM of 8 to 32 bits or floats of 32 or 64. ValueError for all else."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
@@ -43,25 +66,11 @@ def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
         kind, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
         part = raw[at + 8 : at + 8 + size]
         if kind == b"fmt ":
-            if len(part) < 16:
-                raise ValueError("cut format chunk")
-            fmt = struct.unpack("<HHIIHH", part[:16])
-            # the extensible format names the real one at the start of its identifier
-            tag = int.from_bytes(part[24:26], "little") if fmt[0] == 0xFFFE and len(part) >= 26 else fmt[0]
-            if (tag, fmt[5]) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not fmt[1] or not fmt[2]:
-                raise ValueError(f"format {tag} of {fmt[5]} bits and {fmt[1]} channels")
+            fmt = wave_format(part)
         elif kind == b"data" and fmt:
-            width = fmt[5] // 8
-            body = part[: len(part) // (width * fmt[1]) * width * fmt[1]]
-            if tag == 3:
-                x = np.frombuffer(body, f"<f{width}").astype(np.float64)
-            elif width == 1:
-                x = (np.frombuffer(body, np.uint8) - 128.0) / 128
-            else:
-                v = np.zeros((len(body) // width, 4), np.uint8)
-                v[:, 4 - width :] = np.frombuffer(body, np.uint8).reshape(-1, width)
-                x = v.reshape(-1).view("<i4") / 2.0**31
-            return x.reshape(-1, fmt[1]), fmt[2]
+            tag, channels, rate, bits = fmt
+            frame = bits // 8 * channels
+            return pcm(part[: len(part) // frame * frame], tag, bits // 8).reshape(-1, channels), rate
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
