@@ -39,13 +39,21 @@ key AS (SELECT track, tonic, mode FROM ks QUALIFY row_number() OVER (PARTITION B
 
 def event_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as notes of their user: (track, i, midi)."""
-    return samples(spark, sf_dir).select("track", "i", F.floor(48 + F.col("x") / 20).cast("int").alias("midi"))
+    return notes_of_events(samples(spark, sf_dir))
+
+
+def notes_of_events(signal: DataFrame) -> DataFrame:
+    return signal.select("track", "i", F.floor(48 + F.col("x") / 20).cast("int").alias("midi"))
 
 
 def keys_of(notes: DataFrame) -> DataFrame:
     """(track, tonic, mode) of tracks of four notes or more: the rotation whose two profiles fit the pitch classes best."""
     sums = notes.groupBy("track").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.pmod("midi", F.lit(12)) == k).cast("double").alias(f"p{k}") for k in range(12)]).where("n >= 4")
-    chroma = sums.select("track", F.array(*[f"p{k}" for k in range(12)]).alias("v"))
+    return keys_of_chroma(sums.select("track", F.array(*[f"p{k}" for k in range(12)]).alias("v")))
+
+
+def keys_of_chroma(chroma: DataFrame) -> DataFrame:
+    """(track, mode, tonic) of each track's pitch classes (track, v): one row a track in, 24 fits of 12 numbers, one row out."""
     keys = [F.struct(F.lit(m).alias("mode"), F.lit(t).alias("tonic")) for m in ("major", "minor") for t in range(12)]
     tests = chroma.withColumn("k", F.explode(F.array(*keys))).select("track", "v", "k.mode", "k.tonic")
     profile = lambda a, b: F.when(F.col("mode") == "major", rotated(a, F.col("tonic"))).otherwise(rotated(b, F.col("tonic")))

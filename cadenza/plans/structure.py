@@ -39,9 +39,12 @@ LAGS = 64
 
 
 def song_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units_of(table(spark, sf_dir, "embeddings"))
+
+
+def units_of(e: DataFrame) -> DataFrame:
     """Vectors as units of songs of 100: (track, u, level, vocal, timbre, chroma, bar); bands from the first 24 components,
     pitch classes from the next 12, voice from the next one."""
-    e = table(spark, sf_dir, "embeddings")
     v, u = doubles(F.col("embedding")), F.pmod("vec_id", F.lit(UNITS))
     t, c = F.slice(v, 1, 24), F.transform(F.slice(v, 25, 12), lambda x: F.abs(x))
     level = 10 * F.log10(dot(t, t) / 24 + 1e-12)
@@ -226,20 +229,25 @@ def bars_of(own: DataFrame, hooks: DataFrame, per_bar: int, unit_sec: float) ->
 
 
 def _song(make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    tune = tuned(spark)
-    own = curves(song_units(spark, sf_dir), PER_BAR, UNIT_SEC, tune)
+    return of_units(make, song_units(spark, sf_dir))
+
+
+def of_units(make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], units: DataFrame) -> DataFrame:
+    """make() of the curves, sections and hooks of songs of units, with the session's tuning."""
+    tune = tuned(units.sparkSession)
+    own = curves(units, PER_BAR, UNIT_SEC, tune)
     return make(own, written(sections_of(own, PER_BAR, UNIT_SEC, tune)), written(hooks_of(own, PER_BAR, UNIT_SEC, tune)))
 
 
 @query()
 def song_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sections of each song, and whether the hook begins in it."""
+    return _song(section_rows, spark, sf_dir)
 
-    def rows(own: DataFrame, sections: DataFrame, hooks: DataFrame) -> DataFrame:
-        s = sections.join(hooks.select("track", F.col("start").alias("h")), "track")
-        return s.select("track", "run", "start", "end", "label", "kind", *(r(F.col(c)).alias(c) for c in ("energy", "vocal", "loud")), ((F.col("h") >= F.col("start")) & (F.col("h") < F.col("end"))).alias("hook"))
 
-    return _song(rows, spark, sf_dir)
+def section_rows(own: DataFrame, sections: DataFrame, hooks: DataFrame) -> DataFrame:
+    """The sections of each song, and whether the hook begins in it."""
+    s = sections.join(hooks.select("track", F.col("start").alias("h")), "track")
+    return s.select("track", "run", "start", "end", "label", "kind", *(r(F.col(c)).alias(c) for c in ("energy", "vocal", "loud")), ((F.col("h") >= F.col("start")) & (F.col("h") < F.col("end"))).alias("hook"))
 
 
 @query()
@@ -249,8 +257,9 @@ def song_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def song_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def clips(own: DataFrame, sections: DataFrame, hooks: DataFrame) -> DataFrame:
-        by_bar = sections.withColumns({c: F.ceil(F.col(c) / PER_BAR) for c in ("start", "end")}).where("end > start")
-        return clips_of(written(bars_of(own, hooks, PER_BAR, UNIT_SEC)), by_bar, CLIPS)
+    return _song(clip_rows, spark, sf_dir)
+
 
-    return _song(clips, spark, sf_dir)
+def clip_rows(own: DataFrame, sections: DataFrame, hooks: DataFrame) -> DataFrame:
+    by_bar = sections.withColumns({c: F.ceil(F.col(c) / PER_BAR) for c in ("start", "end")}).where("end > start")
+    return clips_of(written(bars_of(own, hooks, PER_BAR, UNIT_SEC)), by_bar, CLIPS)

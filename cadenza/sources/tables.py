@@ -42,9 +42,13 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
     """Events as a signal per user: (track, i, x, ts, event_id, event_type), i from 0 in time order."""
     line = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("track"), (F.row_number().over(line) - 1).cast("long").alias("i"), F.col("value").alias("x"), "ts", "event_id", "event_type"
     )
 
@@ -54,10 +58,14 @@ SAMPLES = """samples AS (SELECT user_id AS track, CAST(row_number() OVER (PARTIT
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves_of(table(spark, sf_dir, "lineitem"))
+
+
+def waves_of(items: DataFrame) -> DataFrame:
     """Line items as a stereo signal per supplier: (track, i, l, r), i from 0 by order and line; quantity on the left and
     discount on the right, both scaled to -1..1."""
     line = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(
+    return items.select(
         F.col("l_suppkey").alias("track"), (F.row_number().over(line) - 1).cast("long").alias("i"), ((F.col("l_quantity") - 25.5) / 24.5).alias("l"), (20 * F.col("l_discount") - 1).alias("r")
     )
 
