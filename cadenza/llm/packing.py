@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import copies, ranked, written
 from .textops import ASCII_ALNUM, ASCII_SIGN, LOWERED, NOT_SPACE, run_hashes, runs, slices, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -216,6 +216,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, n_buckets: in
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *found], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     order = [F.col(c) for c in ("_h", "doc_id", "piece", "ids_crc32")]
-    spread = pieces.withColumn("_h", F.xxhash64("doc_id", "piece"))
+    # equal pieces are told apart by their number, or those of null doc_ids would fall into one bucket
+    spread = copies(pieces, "copy").withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", "copy"))
     line = ranked(spread, ["length"], F.pmod(F.col("_h"), F.lit(n_buckets)), order)
     return line.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
