@@ -7,6 +7,7 @@ those of a track's chunks are composed in groups, and groups of groups; each chu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,16 @@ Section = tuple[tuple[float, float, float], tuple[float, float]]
 ROWS = 512
 
 
+class Scan(Protocol):
+    """Maps of states: the state at a track's start, a map applied to a state, and one map then another as one map."""
+
+    start: np.ndarray
+
+    def through(self, m: np.ndarray, state: np.ndarray) -> np.ndarray: ...
+
+    def joined(self, m: np.ndarray, then: np.ndarray) -> np.ndarray: ...
+
+
 class Cascade:
     """Second-order sections one after the other, as one linear system z' = A z + B x, y = C z + D x.
 
@@ -45,8 +56,8 @@ class Cascade:
             z[on] = z[on] @ self.a.T + x[on, t, None] * self.b
         return out, z
 
-    def map_of(self, n: int, last: np.ndarray) -> list[float]:
-        return [float(n), *last]
+    def maps(self, x: np.ndarray, n: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        return np.concatenate([n[:, None], self.run(x, n, np.tile(self.start, (len(x), 1)))[1]], 1)
 
     def through(self, m: np.ndarray, state: np.ndarray) -> np.ndarray:
         return np.linalg.matrix_power(self.a, int(m[0])) @ state + m[1:]
@@ -76,8 +87,8 @@ class Release:
             slope, base = np.where(on, (1 - self.rise) * slope, slope), np.where(on, (1 - self.rise) * base + self.rise * v, base)
         return out, np.stack([top, slope, base], 1)
 
-    def map_of(self, n: int, last: np.ndarray) -> list[float]:
-        return list(last)
+    def maps(self, x: np.ndarray, n: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        return self.run(x, n, np.tile(self.start, (len(x), 1)))[1]
 
     def through(self, m: np.ndarray, state: np.ndarray) -> np.ndarray:
         return np.minimum(m[0], m[1] * state + m[2])
@@ -86,7 +97,7 @@ class Release:
         return np.array([min(then[0], then[1] * m[0] + then[2]), then[1] * m[1], then[1] * m[2] + then[2]])
 
 
-def states_before(maps: DataFrame, scan: Cascade | Release, width: int = 1024) -> DataFrame:
+def states_before(maps: DataFrame, scan: Scan, width: int = 1024) -> DataFrame:
     """(track, chunk, state) before each chunk, from the chunks' maps (track, chunk, m). Groups of `width` chunks are composed
     by a task each, and their maps in the same way, until a track's maps are one group."""
     largest = maps.agg(F.max("chunk")).first()[0]
@@ -123,22 +134,28 @@ def _rows(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, n
 
 
-def scanned(signal: DataFrame, scan: Cascade | Release, size: int = 1024, width: int = 1024) -> DataFrame:
+def chunks_of(signal: DataFrame, size: int) -> DataFrame:
+    """(track, chunk, row): the samples of each chunk in order, as an array."""
+    own = signal.groupBy("track", F.expr(f"i div {size}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return own.select("track", "chunk", F.transform("s", lambda s: s.x).alias("row"))
+
+
+def stepped(make: Callable[[pd.DataFrame], pd.DataFrame], rows: int = ROWS) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """make() of at most `rows` rows at a time."""
+    return lambda batches: (make(p.iloc[at : at + rows]) for p in batches for at in range(0, len(p), rows))
+
+
+def scanned(signal: DataFrame, scan: Scan, size: int = 1024, width: int = 1024) -> DataFrame:
     """(track, i, y): the recurrence's output for every sample of signal (track, i, x), i from 0 without gaps in each track.
 
     The samples are gathered by chunks of `size`; a task steps through many chunks at once.
     """
-    own = signal.groupBy("track", F.expr(f"i div {size}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    own = written(own.select("track", "chunk", F.transform("s", lambda s: s.x).alias("row")))
+    own = written(chunks_of(signal, size))
     track = f"track {own.schema['track'].dataType.simpleString()}"
 
-    def stepped(make: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        return lambda batches: (make(p.iloc[at : at + ROWS]) for p in batches for at in range(0, len(p), ROWS))
-
     def ends(p: pd.DataFrame) -> pd.DataFrame:
         x, n = _rows(p.row)
-        _, last = scan.run(x, n, np.tile(scan.start, (len(p), 1)))
-        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "m": [scan.map_of(k, z) for k, z in zip(n, last, strict=True)]})
+        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "m": list(scan.maps(x, n, p.chunk.to_numpy()))})
 
     def outputs(p: pd.DataFrame) -> pd.DataFrame:
         x, n = _rows(p.row)

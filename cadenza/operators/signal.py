@@ -158,29 +158,6 @@ def yin(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 1100.0, threshol
     return fs / (t + shift), float(1 - c[t])
 
 
-def beats(onset: np.ndarray, period: float, tightness: float = 100.0) -> list[int]:
-    """Beat places by dynamic programming: each beat's score adds its onset to the best earlier beat near a period ago."""
-    n = len(onset)
-    score, back = onset.astype(float).copy(), np.full(n, -1)
-    far, near = int(round(2 * period)), max(1, int(round(period / 2)))
-    gap = np.arange(near, far + 1)
-    cost = -tightness * np.log(gap / period) ** 2
-    for i in range(near, n):
-        g = gap[gap <= i]
-        s = score[i - g] + cost[: len(g)]
-        k = int(np.argmax(s))
-        if s[k] > 0:
-            score[i] += s[k]
-            back[i] = i - g[k]
-    tail = max(0, n - int(math.ceil(period)))
-    i = tail + int(np.argmax(score[tail:])) if n else -1
-    out = []
-    while i >= 0:
-        out.append(i)
-        i = int(back[i])
-    return out[::-1]
-
-
 def limiter(x: np.ndarray, ceiling: float, look: int, release: float) -> np.ndarray:
     """Gain that keeps |x * gain| under the ceiling: needed gain, forward minimum, box mean, slow release."""
     need = np.minimum(1.0, ceiling / np.maximum(np.abs(x), 1e-12))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import amplitude_db, half_up, loudness, midi, power_db
 from ..operators import signal as S
+from ..operators.beats import beats_of, strengths
 from ..operators.levels import gated, report
 from ..operators.scan import Cascade, Release, scanned
 from ..operators.windows import frame, top
@@ -144,12 +145,9 @@ def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def beat_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.x.to_numpy()
-        found = S.beats(x / (x.std() + 1e-12), 4.0)
-        return pd.DataFrame({"k": np.arange(len(found)), "i": np.array(found, int)})
-
-    return S.per_track(samples(spark, sf_dir).select("track", "i", "x"), ["track"], "i", run, "k long, i long")
+    """Beats of each user's events, some four apart; k numbers them."""
+    found = beats_of(strengths(samples(spark, sf_dir).select("track", "i", "x"), 4.0), 4.0)
+    return found.select("track", (F.row_number().over(Window.partitionBy("track").orderBy("i")) - 1).cast("long").alias("k"), "i")
 
 
 @query(f"""WITH RECURSIVE {SAMPLES}, nd AS (SELECT track, i, x, least(1.0, 60 / greatest(abs(x), 1e-12)) AS need FROM samples),

@@ -48,13 +48,6 @@ def test_pitch_of_silence_and_noise_gate():
     assert S.yin(np.zeros(2000), 22050.0) == (0.0, 0.0) and S.yin(np.ones(20), 22050.0) == (0.0, 0.0)
 
 
-def test_beats_of_clicks():
-    x = np.zeros(400)
-    x[7::20] = 1.0
-    found = np.array(S.beats(x / x.std(), 20.0))
-    assert set(np.diff(found)) == {20} and found[0] % 20 == 7
-
-
 def test_limiter_and_compressor():
     x = sine(50, 2.0, 4000)
     g = S.limiter(x, 0.9, 32, 0.01)
