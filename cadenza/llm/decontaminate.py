@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mapped
+from .common import mapped, written
 from .fmindex import FMIndex
 from .textops import gram_hashes, slices, text_bytes, word_hashes
 
@@ -129,9 +129,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = -(-size // part_bytes)
     docs = docs.drop(*ADDED)
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_parts))))
+    if n_parts > 1:  # lies in order of its parts, so that each is read alone
+        dealt = written(dealt.repartitionByRange("part").sortWithinPartitions("part"))
     parts = []
     for k in range(n_parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k).collect()
+        rows = dealt.where(F.col("part") == k).collect()
         parts.append(docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width)))
 
     def run(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
