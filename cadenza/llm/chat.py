@@ -48,14 +48,72 @@ def _numbered(rows: DataFrame, bucket_turns: int) -> DataFrame:
     return both.select(*[c for c in rows.columns if c != "_b"], "total", (F.col("_r") + F.col("_n")).alias("rank"), (F.col("_s") + F.col("_t")).alias("before"))
 
 
+def _after(turns: DataFrame, size: int) -> DataFrame:
+    """(conv_id, rank, next) of turns (conv_id, rank, before, tokens, room): the turn at which a window that begins with the
+    turn is full, one further at least. That is how many turns end within the window's room, counted in stretches of `size`
+    tokens and shifted by the stretches before."""
+    ends = turns.select("conv_id", (F.col("before") + F.col("tokens")).alias("v"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("rank"))
+    rows = ends.unionByName(turns.select("conv_id", (F.col("before") + F.col("room")).alias("v"), F.lit(1).alias("ask"), F.col("rank").cast("long").alias("rank"))).withColumn("_b", F.floor(F.col("v") / size))
+    inside = Window.partitionBy("conv_id", "_b").orderBy("v", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("conv_id", "_b").agg(F.sum(1 - F.col("ask")).alias("_n"))
+    past = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_k"), past.alias("_past"))
+    found = rows.withColumn("_own", F.sum(1 - F.col("ask")).over(inside)).where("ask = 1").join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_k")))
+    return found.select("conv_id", "rank", F.greatest(F.col("rank") + 1, F.col("_own") + F.col("_past")).alias("next"))
+
+
+def window_starts(turns: DataFrame, size: int) -> DataFrame:
+    """(conv_id, rank) of the turns at which the windows of each conversation begin, filled greedily from the first turn on.
+
+    Every turn knows the start after it; what is reached from the first turn by 1, 2, 4, ... such steps is found by
+    joins, so that there are as many rounds as the number of windows has binary digits, however long a conversation is.
+    """
+    step = written(_after(turns, size))
+    reached = step.where("rank = 0").select("conv_id", "rank")
+    n = -1
+    while True:
+        further = reached.select(F.col("conv_id").alias("_c"), F.col("rank").alias("_r")).join(step, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("rank") == F.col("_r")))
+        reached = written(reached.union(further.select("conv_id", "next")).distinct())
+        now = reached.count()
+        if now == n:
+            break
+        n = now
+        then = step.select(F.col("conv_id").alias("_c"), F.col("rank").alias("_r"), F.col("next").alias("_next"))
+        step = written(step.join(then, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("next") == F.col("_r"))).select("conv_id", "rank", F.col("_next").alias("next")))
+    last = turns.groupBy("conv_id").agg(F.max("rank").alias("_last")).withColumnRenamed("conv_id", "_c")
+    return reached.join(last, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("rank") <= F.col("_last"))).select("conv_id", "rank")
+
+
+def _blocks(rows: DataFrame, size: int, budget: int, history_budget: int) -> DataFrame:
+    """Adds block: about `size` tokens of a conversation, but whole windows only. A block is named after the multiple of size
+    that its first window has passed; turns before that start belong to the block before."""
+    rows = rows.withColumn("block", F.floor(F.col("before") / size))
+    long = rows.where(F.col("total") > size)
+    if long.isEmpty():
+        return rows
+    system = rows.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("tokens", "rank").alias("_s")).withColumnRenamed("conv_id", "_c")
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - F.coalesce("_s", F.lit(0)))
+    turns = written(long.join(system, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select("conv_id", "rank", "before", "tokens", "block", room.alias("room")))
+    starts = window_starts(turns, size).select(F.col("conv_id").alias("_c"), F.col("rank").alias("_r"))
+    begun = turns.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("rank") == F.col("_r"))).groupBy("conv_id", "block").agg(F.min("rank").alias("edge"))
+    every = turns.select("conv_id", "block").distinct()
+    edges = every.join(begun.select(F.col("conv_id").alias("_c"), F.col("block").alias("_k"), "edge"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_k")), "left")
+    before = F.last(F.when(F.col("edge").isNotNull(), F.col("block")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    edges = written(edges.select(F.col("conv_id").alias("_c"), F.col("block").alias("_k"), "edge", before.alias("earlier")))
+    placed = rows.join(edges, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_k")), "left")
+    block = F.when(F.col("_k").isNull() | (F.col("rank") >= F.col("edge")), F.col("block")).otherwise(F.col("earlier"))
+    return written(placed.withColumn("block", block).drop("_c", "_k", "edge", "earlier"))
+
+
 def format_chat(conversations: DataFrame, budget: int = 2048, history_turns: int = 2, history_budget: int = 256, tokens: Column | None = None, block_budgets: int = 64, bucket_turns: int = 512) -> DataFrame:
     """Windows of conversations (conv_id, turn, role, text): one row per window with its formatted text and loss mask.
 
     A turn's tokens are those of its text (the column `tokens` where the caller has exact counts, else
     token_count) and 4 for its marks. Prefix sums of them choose spans of whole turns that fit the budget, less
     what the system turn and the history reserve; a turn that is larger than that stands alone and marks its
-    window `over_budget`. A span also ends where the prefix sum passes a multiple of block_budgets budgets:
-    that is the block of a conversation that one task formats. Each later window repeats the conversation's first
+    window `over_budget`. Of a conversation beyond block_budgets budgets all starts are found first (window_starts), so
+    that one task formats a block of about so many tokens that consists of whole windows: windows are the same for any
+    block_budgets. Each later window repeats the conversation's first
     system turn and up to history_turns turns before it (within history_budget), across blocks too, both as
     `past` turns outside the loss mask. So every turn is a target once: loss_spans holds [start, end) code point
     offsets of the assistant texts among the window's own turns.
@@ -68,7 +126,7 @@ def format_chat(conversations: DataFrame, budget: int = 2048, history_turns: int
     count = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else token_count(text)
     rows = conversations.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (count + 4).alias("tokens"))
     size = block_budgets * budget
-    placed = written(_numbered(rows, bucket_turns).withColumn("block", F.floor(F.col("before") / size)))
+    placed = _blocks(written(_numbered(rows, bucket_turns)), size, budget, history_budget)
     head = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("~2"))
     item = F.struct("rank", "turn", "role", "tokens", head.alias("head"), escaped(F.col("text")).alias("body"))
     own = placed.select("conv_id", "block", F.lit("own").alias("part"), item.alias("item"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -111,6 +112,30 @@ def test_chat_windows_follow_tokens_not_turn_numbers(spark):
     assert all(r.over_budget for r in counted)
 
 
+@pytest.mark.parametrize("block_budgets", [1, 2, 4, 64, 10**6])
+def test_chat_windows_are_the_same_for_every_block(spark, block_budgets):
+    """300 equal turns, a conversation of uneven ones with a system turn and some over the budget, and one without an id."""
+    rnd = random.Random(4)
+    rows = [(1, k, "user" if k % 2 else "assistant", "x", 36) for k in range(300)]
+    rows += [(None if k % 3 else 2, k, "system" if k == 3 else "user", f"t{k}", rnd.choice([1, 5, 30, 90, 500])) for k in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    got = format_chat(df, budget=128, history_budget=8, tokens=F.col("n"), block_budgets=block_budgets, bucket_turns=16).collect()
+    want = []
+    for c in (1, 2, None):
+        own = sorted((r[1], r[2], r[4] + 4) for r in rows if r[0] == c)
+        room = max(1, 120 - next((n for _, role, n in own if role == "system"), 0))
+        used, first = 0, None
+        for k, (turn, _, n) in enumerate(own):
+            if first is None or used + n > room:
+                if first is not None:
+                    want.append((c, first, own[k - 1][0]))
+                used, first = 0, turn
+            used += n
+        want.append((c, first, own[-1][0]))
+    assert Counter((r.conv_id, r.first_turn, r.last_turn) for r in got) == Counter(want)
+    assert sum(r.n_own for r in got) == len(rows)
+
+
 def test_chat_escapes_and_empty(spark):
     texts = ["", "~", "~1", "<|end|>", "<~1|", "</s>", "[/INST]", "<s><<||"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
