@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_up
 from ..functions.text import ACCENTED, EN_STOP, FR_STOP, FR_SOUNDS, FR_VOWEL, PLAIN, french_or_english, normal_line, rhyme, safe_name, syllables, words
+from ..operators.repeats import similar_bags, similar_runs
 from ..operators.windows import top
 from ..sources.tables import LINES, lyric_lines, table, written
 from .timeline import r
@@ -415,30 +416,10 @@ def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines are counted without blank ones and resemble each other from a Dice similarity of 0.75 of their words,
     repeated words counted. Of a stretch, the first k lines end before line j, so both runs have no line in common.
-
-    A line of n words shares at least 0.6 n with any that resembles it, so two that do share a word among the first
-    n - ceil(0.6 n) + 1 of any fixed order: only these, longest words first, are joined. Equal lines are one node.
     """
     line = Window.partitionBy("doc_id").orderBy("pos")
-    every = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    o = lyric_lines(spark, sf_dir).select("doc_id", (F.row_number().over(line) - 1).cast("long").alias("i"), every.alias("_all"), words(normal_line(F.col("text"))).alias("w"))
-    # two runs of two lines without a line in common need four lines
-    counted = o.where("_all >= 4").select("doc_id", "i", F.explode("w").alias("x")).groupBy("doc_id", "i", "x").agg(F.count(F.lit(1)).alias("c"))
-    tokens = counted.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
-    token = F.struct((-F.length("x")).alias("l"), "x", "c")
-    bags = tokens.select("doc_id", "i", token.alias("t")).groupBy("doc_id", "i").agg(F.array_sort(F.collect_list("t")).alias("bag"))
-    bags = written(bags.groupBy("doc_id", "bag").agg(F.array_sort(F.collect_list("i")).alias("at")).withColumns({"node": F.get("at", F.lit(0)), "n": F.size("bag")}))
-
-    first = bags.select("doc_id", "node", "n", F.explode(F.slice("bag", F.lit(1), F.expr("n - (3 * n + 4) div 5 + 1"))).alias("t"))
-    a, b = (first.select("doc_id", "t", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = a.join(b, ["doc_id", "t"]).where("a < b AND 5 * na >= 3 * nb AND 5 * nb >= 3 * na").select("doc_id", "a", "b").distinct()
-    side = lambda x: bags.select("doc_id", F.col("node").alias(x), F.col("bag").alias(f"bag{x}"), F.col("at").alias(f"at{x}"))
-    alike = near.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"]).where(8 * F.size(F.array_intersect("baga", "bagb")) >= 3 * (F.size("baga") + F.size("bagb")))
-    nodes = alike.select("doc_id", "ata", "atb").unionByName(bags.where(F.size("at") > 1).select("doc_id", F.col("at").alias("ata"), F.col("at").alias("atb")))
-    places = nodes.select("doc_id", "atb", F.explode("ata").alias("p")).select("doc_id", "p", F.explode("atb").alias("q")).where("p <> q")
-    pairs = places.select("doc_id", F.least("p", "q").alias("i"), F.abs(F.col("p") - F.col("q")).alias("d")).where("d >= 2").distinct()
-    g = pairs.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "d").orderBy("i")))
-    found = g.groupBy("doc_id", "d", "g").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    o = lyric_lines(spark, sf_dir).select("doc_id", (F.row_number().over(line) - 1).cast("long").alias("i"), words(normal_line(F.col("text"))).alias("w"))
+    found = similar_runs(*similar_bags(o)).where("d >= 2")
     return found.select("doc_id", "i", (F.col("i") + F.col("d")).alias("j"), "n", F.least("n", "d").alias("k"))
 
 

@@ -1,6 +1,9 @@
 """Runs of similar lines inside a document."""
 
+import random
+
 from cadenza import plans
+from cadenza.operators.repeats import similar_runs
 
 
 def test_line_runs_of_changed_lines(spark, tmp_path):
@@ -11,3 +14,50 @@ def test_line_runs_of_changed_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in plans.QUERIES["line_runs"](spark, str(tmp_path)).select("doc_id", "i", "j", "n", "k").collect())
     assert got == [(1, 0, 4, 3, 3), (2, 0, 2, 3, 2), (2, 0, 3, 2, 2)]
+
+
+def plain_runs(nodes, like):
+    same = lambda a, b: a == b or (a, b) in like or (b, a) in like
+    out, n = [], len(nodes)
+    for d in range(1, n):
+        i = 0
+        while i + d < n:
+            m = 0
+            while i + m + d < n and same(nodes[i + m], nodes[i + m + d]):
+                m += 1
+            if m >= 2:
+                out.append((i, d, m))
+            i += max(m, 1)
+    return sorted(out)
+
+
+def test_runs_against_every_pair(spark):
+    """Random texts of few lines, some of them alike, some without words."""
+    draw = random.Random(5)
+    texts, likes = {}, {}
+    for t in range(12):
+        k = draw.choice([2, 3, 5])
+        texts[t] = [draw.randrange(k) for _ in range(draw.randrange(1, 40))]
+        likes[t] = {(a, b) for a in range(k) for b in range(a) if draw.random() < 0.4}
+    nodes = spark.createDataFrame([(t, i, x) for t, xs in texts.items() for i, x in enumerate(xs)], "doc_id long, i long, node long")
+    alike = spark.createDataFrame([(t, *p) for t, ps in likes.items() for a, b in ps for p in ((a, b), (b, a))], "doc_id long, a long, b long")
+    got = {}
+    for r in similar_runs(nodes, alike).collect():
+        got.setdefault(r.doc_id, []).append((r.i, r.d, r.n))
+    for t, xs in texts.items():
+        assert sorted(got.get(t, [])) == plain_runs(xs, likes[t])
+
+
+def test_missing_lines_part_runs(spark):
+    nodes = spark.createDataFrame([(1, i, i % 5) for i in (0, 1, 3, 5, 6, 8)], "doc_id long, i long, node long")
+    alike = spark.createDataFrame([], "doc_id long, a long, b long")
+    assert [tuple(r) for r in similar_runs(nodes, alike).collect()] == [(1, 0, 5, 2)]
+    assert similar_runs(nodes.limit(0), alike).count() == 0
+
+
+def test_a_refrain_of_thousands(spark):
+    """4,000 lines of a verse of four: 8 million pairs of lines, 999 runs."""
+    nodes = spark.createDataFrame([(1, i, i % 4) for i in range(4000)], "doc_id long, i long, node long")
+    alike = spark.createDataFrame([], "doc_id long, a long, b long")
+    got = sorted((r.d, r.i, r.n) for r in similar_runs(nodes, alike).collect())
+    assert got == [(4 * k, 0, 4000 - 4 * k) for k in range(1, 1000)]
