@@ -40,6 +40,19 @@ DEVICES = {
     "mono": [],
 }
 MONO = ("phone", "bluetooth", "mono")
+# What else a device does: small-speaker drive, gain in dB, compressor (threshold, ratio, attack and release in
+# seconds, knee), noise (kind, level), reverb (seconds, wet); None where it has none.
+DEVICE_STAGES = {
+    "studio": (0.0, 0, None, None, None),
+    "phone": (0.35, -2, (-22, 6, 0.003, 0.12, 6), None, None),
+    "earbuds": (0.0, -2, None, None, None),
+    "laptop": (0.15, -2, (-20, 4, 0.005, 0.15, 6), None, None),
+    "car": (0.0, -4, None, ("road", -30), (0.35, 0.08)),
+    "bluetooth": (0.2, -3, (-16, 8, 0.002, 0.1, 4), None, (0.5, 0.06)),
+    "club": (0.05, -4, None, ("crowd", -34), (1.8, 0.16)),
+    "radio": (0.1, 0, (-28, 10, 0.002, 0.2, 8), ("hiss", -52), None),
+    "mono": (0.0, 0, None, None, None),
+}
 # Mastering presets: loudness, ceiling, low cut, mono below, width, saturation, release ms, compressor ratio.
 PRESETS = [
     ("streaming", -14, -1, 25, 120, 1.0, 0.05, 120, 1.6),
@@ -104,6 +117,14 @@ def device_filters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "device string, place int, type string, freq double, q double, gain double")
 
 
+def device_stages(spark: SparkSession) -> DataFrame:
+    """One row a device; a stage that it lacks is a null struct."""
+    row = lambda v: None if v is None else tuple(x if isinstance(x, str) else float(x) for x in v)
+    rows = [(d, d in MONO, float(drive), float(gain), row(c), row(n), row(v)) for d, (drive, gain, c, n, v) in DEVICE_STAGES.items()]
+    compressor = "struct<threshold: double, ratio: double, attack: double, release: double, knee: double>"
+    return spark.createDataFrame(rows, f"device string, mono boolean, drive double, gain double, compressor {compressor}, noise struct<kind: string, level: double>, reverb struct<seconds: double, wet: double>")
+
+
 def values(rows: list[tuple], names: list[str], table: str) -> str:
     """The same rows as a SQL common table, for oracles."""
     lit = lambda v: "'" + v + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
