@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, logistic, mulberry
-from ..operators import signal as S
+from ..operators.dynamics import delivery_gain, limited
 from ..sources import files
 from ..sources.tables import LINES, SAMPLES, lyric_lines, passing, samples, table
 from .relational import UNITS, units
@@ -144,18 +142,9 @@ def energy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finalised(signal: DataFrame, lufs: Column, ceiling_db: float = -1.0, look: int = 5, release: float = 0.1) -> DataFrame:
-    """(track, i, y): the signal at its target of min(-7, lufs), -12 without a level, then limited; nothing else changes it.
-
-    The limiter's release needs each gain before it, so a track is one group; tracks run beside each other.
-    """
-    target = F.when(lufs.isNotNull() & ~F.isnan(lufs) & (F.abs(lufs) < math.inf), F.least(lufs, F.lit(-7.0))).otherwise(-12.0)
-    gain = F.pow(F.lit(10.0), F.coalesce(target - lufs, F.lit(0.0)) / 20)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.x.to_numpy()
-        return pd.DataFrame({"i": p.i.to_numpy(), "y": x * S.limiter(x, 10 ** (ceiling_db / 20), look, release)})
-
-    return S.per_track(signal.select("track", "i", (F.col("x") * gain).alias("x")), ["track"], "i", run, "i long, y double")
+    """(track, i, y): the signal at its target of min(-7, lufs), unchanged without a level, then limited; nothing else changes it."""
+    x = F.col("x") * delivery_gain(lufs)
+    return limited(signal.select("track", "i", x.alias("l"), x.alias("r")), 10 ** (ceiling_db / 20), look, release).select("track", "i", F.col("l").alias("y"))
 
 
 @query(f"""WITH RECURSIVE {SAMPLES}, lv AS (SELECT track, -0.691 + 10 * log10(avg(pow(x / 100, 2))) AS l FROM samples GROUP BY 1), sc AS (SELECT track, i, x / 100 * pow(10, (least(l, -7) - l) / 20) AS x FROM samples JOIN lv USING (track)),

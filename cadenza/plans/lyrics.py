@@ -9,7 +9,8 @@ from ..functions.scalar import half_up
 from ..functions.text import ACCENTED, EN_STOP, FR_STOP, FR_SOUNDS, FR_VOWEL, PLAIN, french_or_english, normal_line, rhyme, safe_name, syllables, words
 from ..operators.repeats import similar_bags, similar_runs
 from ..operators.windows import top
-from ..sources.tables import LINES, lyric_lines, table, written
+from ..sources.tables import LINES, lyric_lines, table
+from ..sources.timings import labelled, parsed
 from .timeline import r
 
 QUERIES, ORACLES = {}, {}
@@ -406,11 +407,14 @@ def similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "w").where("a < b").groupBy("a", "b").agg(dice.alias("d")).where("d >= 0.35").select("a", "b", r(F.col("d"), 6).alias("dice"))
 
 
-@query(f"""WITH {LINES}, o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, {words_sql('text')} AS w FROM lines),
+LINE_RUNS_SQL = f"""WITH {LINES}, o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, {words_sql('text')} AS w FROM lines),
 c AS (SELECT doc_id, i, len(any_value(w)) AS n, x, count(*) AS c FROM (SELECT doc_id, i, w, unnest(w) AS x FROM o) GROUP BY doc_id, i, x),
 p AS (SELECT a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i GROUP BY 1, 2, 3 HAVING 2 * sum(least(a.c, b.c)) / (any_value(a.n) + any_value(b.n)) >= 0.75),
 g AS (SELECT doc_id, i, j, i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS g FROM p)
-SELECT doc_id, CAST(min(i) AS BIGINT) AS i, CAST(min(j) AS BIGINT) AS j, count(*) AS n, CAST(least(count(*), any_value(j - i)) AS BIGINT) AS k FROM g GROUP BY doc_id, j - i, g HAVING count(*) >= 2 AND any_value(j - i) >= 2""")
+SELECT doc_id, CAST(min(i) AS BIGINT) AS i, CAST(min(j) AS BIGINT) AS j, count(*) AS n, CAST(least(count(*), any_value(j - i)) AS BIGINT) AS k FROM g GROUP BY doc_id, j - i, g HAVING count(*) >= 2 AND any_value(j - i) >= 2"""
+
+
+@query(LINE_RUNS_SQL)
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of n >= 2 successive lines i, i + 1, ... of a document that resemble the lines j, j + 1, ...
 
@@ -423,6 +427,19 @@ def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "i", (F.col("i") + F.col("d")).alias("j"), "n", F.least("n", "d").alias("k"))
 
 
+@query(f"""WITH {LINES}, o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, text FROM lines WHERE doc_id IS NOT NULL), lr AS ({LINE_RUNS_SQL}),
+f AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM lr UNION SELECT DISTINCT doc_id, unnest(range(j, j + n)) AS i FROM lr)
+SELECT o.doc_id AS song, o.i, round(o.i * 2.5 + 0.25, 2) AS start, round(o.i * 2.5 + 0.25 + length(text) / 64, 2) AS "end", text, f.i IS NOT NULL AS rep FROM o LEFT JOIN f ON f.doc_id = o.doc_id AND f.i = o.i""")
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all texts as rows of a timings file (start, end and the quoted text), read back and marked where they repeat."""
+    line = Window.partitionBy("doc_id").orderBy("pos")
+    o = lyric_lines(spark, sf_dir).where("doc_id IS NOT NULL").select("doc_id", (F.row_number().over(line) - 1).alias("i"), "text")
+    start = F.col("i") * 2.5 + 0.25
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", F.round(start, 2), F.round(start + F.length("text") / 64, 2), quoted)
+    return labelled(parsed(o.select(F.col("doc_id").alias("song"), row.alias("row"))).where("problem IS NULL"))
+
+
 def _safe_sql(x: str) -> str:
     plain = f"regexp_replace(translate({x}, '{ACCENTED + ACCENTED.upper()}', '{PLAIN + PLAIN.upper()}'), '[–—]', '-', 'g')"
     kept = f"regexp_replace(regexp_replace(regexp_replace({plain}, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"

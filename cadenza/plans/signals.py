@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import amplitude_db, half_up, loudness, midi, power_db
 from ..operators import signal as S
 from ..operators.beats import beats_of, strengths
+from ..operators.dynamics import limited
 from ..operators.levels import gated, report
-from ..operators.scan import Cascade, Release, scanned
+from ..operators.scan import Cascade, scanned
 from ..operators.windows import frame, top
-from ..sources.tables import SAMPLES, WAVES, contour, samples, table, waves, written
+from ..sources.tables import SAMPLES, WAVES, contour, samples, table, waves
 from .song import FS, chunked
 from .timeline import r
 
@@ -158,14 +159,8 @@ SELECT track, i, round(x * least(g, need), 4) + 0.0 AS y FROM g JOIN bx USING (t
 def limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples held under a ceiling of 60: the gain that each needs, the least of the next five, their mean with those
     before, and a release of a tenth of what is missing, as a scan over chunks."""
-    need = F.least(F.lit(1.0), 60 / F.greatest(F.abs("x"), F.lit(1e-12)))
-    s = samples(spark, sf_dir).select("track", "i", "x", need.alias("need"))
-    ahead = s.withColumn("ahead", F.min("need").over(frame(["track"], ["i"], 0, 4)))
-    first = F.first("ahead").over(Window.partitionBy("track").orderBy("i"))
-    box = (F.sum("ahead").over(frame(["track"], ["i"], -4, 0)) + F.greatest(F.lit(0), 4 - F.col("i")) * first) / 5
-    held = written(ahead.withColumn("box", box))
-    gain = scanned(held.select("track", "i", F.col("box").alias("x")), Release(0.1))
-    return held.join(gain, ["track", "i"]).select("track", "i", r(F.col("x") * F.least("y", "need")).alias("y"))
+    x = F.col("x")
+    return limited(samples(spark, sf_dir).select("track", "i", x.alias("l"), x.alias("r")), 60.0, 5, 0.1).select("track", "i", r(F.col("l")).alias("y"))
 
 
 @query(f"""WITH RECURSIVE {SAMPLES}, w AS (SELECT track, i // 8 AS k, -greatest(0, 10 * log10(greatest(sum(x * x) / 8, 1e-12)) - 30) * 0.5 AS want FROM samples GROUP BY 1, 2),
