@@ -116,3 +116,18 @@ def safe_name(name: Column, default: str = "file") -> Column:
     kept = F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9._-]+", "_"), "_+", "_")
     kept = F.regexp_replace(kept, "^_|_$", "")
     return F.when(kept == "", default).otherwise(kept)
+
+
+# The stems that are known by name, and other names for one of them.
+STEMS = ["vocals", "drums", "bass", "guitar", "piano", "other", "instrumental"]
+STEM_ALIASES = {"no vocals": "instrumental", "no_vocals": "instrumental", "accompaniment": "instrumental"}
+
+
+def stem_of(name: Column) -> Column:
+    """The stem a file name tells: what its first brackets hold, or the name before its last dot; other words with hyphens."""
+    inside = F.regexp_extract(name, r"\(([^)]+)\)", 1)
+    told = F.lower(F.trim(F.when(inside != "", inside).otherwise(F.regexp_replace(name, r"(.)\.[^.]*$", "$1"))))
+    aliases = F.create_map(*[F.lit(x) for pair in STEM_ALIASES.items() for x in pair])
+    stem = F.coalesce(F.try_element_at(aliases, told), told)
+    plain = F.regexp_replace(F.regexp_replace(stem, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(stem.isin(STEMS), stem).otherwise(F.coalesce(F.nullif(plain, F.lit("")), F.when(name.isNotNull(), "stem")))
