@@ -77,7 +77,7 @@ def norm(a: Column) -> Column:
 
 def minute_second(seconds: Column) -> Column:
     whole = half_up(seconds).cast("long")
-    return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    return F.concat((whole / 60).cast("long").cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 
 
 def rotated(profile: list[float], k: Column) -> Column:

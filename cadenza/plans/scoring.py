@@ -394,8 +394,10 @@ def preset_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(floor(value + 0.5) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(floor(value + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM events""")
 def scalar_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
+    # a logarithm that Spark gives as NULL is minus infinity or no number in the SQL
+    note = F.when(v == 0, float("-inf")).when(v < 0, float("nan")).otherwise(r(midi(v), 6))
     return table(spark, sf_dir, "events").select(
-        "event_id", r(power_db(v), 6).alias("db"), r(midi(v), 6).alias("midi"), r(hz(F.round(F.least(v, F.lit(130.0)))), 4).alias("hz"), r(1 / (1 + F.exp(-(v - 50) / 10)), 6).alias("p"),
+        "event_id", r(power_db(v), 6).alias("db"), note.alias("midi"), r(hz(F.round(F.least(v, F.lit(130.0)))), 4).alias("hz"), r(1 / (1 + F.exp(-(v - 50) / 10)), 6).alias("p"),
         r(F.tanh(v / 100), 6).alias("sat"), minute_second(v).alias("clock"),
     )
 
