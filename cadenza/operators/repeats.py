@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df, never broadcast in a join: repeated numbers and words are small as files but large in the driver's memory."""
+    return df.hint("merge")
+
+
 def similar_bags(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (doc_id, i, node) and their likeness (doc_id, a, b), both ways, of lines (doc_id, i, w): w is an array of words.
 
@@ -22,13 +27,15 @@ def similar_bags(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = bags.groupBy("doc_id", "bag").agg(F.min("i").alias("node")).withColumn("n", F.size("bag"))
     nodes = written(nodes)
 
-    first = nodes.select("doc_id", "node", "n", F.explode(F.slice("bag", F.lit(1), F.expr("n - (3 * n + 4) div 5 + 1"))).alias("t"))
+    # tokens by hash: a collision only adds a pair to look at
+    head = F.transform(F.slice("bag", F.lit(1), F.expr("n - (3 * n + 4) div 5 + 1")), lambda t: F.xxhash64(t.x, t.c))
+    first = nodes.select("doc_id", "node", "n", F.explode(head).alias("t"))
     a, b = (first.select("doc_id", "t", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = a.join(b, ["doc_id", "t"]).where("a < b AND 5 * na >= 3 * nb AND 5 * nb >= 3 * na").select("doc_id", "a", "b").distinct()
+    near = a.join(_apart(b), ["doc_id", "t"]).where("a < b AND 5 * na >= 3 * nb AND 5 * nb >= 3 * na").select("doc_id", "a", "b").distinct()
     side = lambda x: nodes.select("doc_id", F.col("node").alias(x), F.col("bag").alias(f"bag{x}"))
-    alike = near.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"]).where(8 * F.size(F.array_intersect("baga", "bagb")) >= 3 * (F.size("baga") + F.size("bagb")))
+    alike = near.join(_apart(side("a")), ["doc_id", "a"]).join(_apart(side("b")), ["doc_id", "b"]).where(8 * F.size(F.array_intersect("baga", "bagb")) >= 3 * (F.size("baga") + F.size("bagb")))
     alike = written(alike.select("doc_id", "a", "b"))
-    return bags.join(nodes, ["doc_id", "bag"]).select("doc_id", "i", "node"), alike.unionByName(alike.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    return bags.join(_apart(nodes), ["doc_id", "bag"]).select("doc_id", "i", "node"), alike.unionByName(alike.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def similar_runs(nodes: DataFrame, alike: DataFrame) -> DataFrame:
@@ -49,9 +56,9 @@ def similar_runs(nodes: DataFrame, alike: DataFrame) -> DataFrame:
     # pairs of two lines (x, y) and (p, q) of other nodes that match
     kinds = two.select("doc_id", "x", "y").distinct()
     other = kinds.select("doc_id", F.col("x").alias("p"), F.col("y").alias("q"))
-    second = kinds.join(alike.select("doc_id", F.col("a").alias("y"), F.col("b").alias("q")), ["doc_id", "y"]).withColumn("p", F.col("x")).join(other, ["doc_id", "p", "q"])
-    moved = kinds.join(alike.select("doc_id", F.col("a").alias("x"), F.col("b").alias("p")), ["doc_id", "x"]).join(other, ["doc_id", "p"])
-    both = moved.join(alike.select("doc_id", F.col("a").alias("y"), F.col("b").alias("q")), ["doc_id", "y", "q"], "left_semi")
+    second = kinds.join(_apart(alike.select("doc_id", F.col("a").alias("y"), F.col("b").alias("q"))), ["doc_id", "y"]).withColumn("p", F.col("x")).join(_apart(other), ["doc_id", "p", "q"])
+    moved = kinds.join(_apart(alike.select("doc_id", F.col("a").alias("x"), F.col("b").alias("p"))), ["doc_id", "x"]).join(_apart(other), ["doc_id", "p"])
+    both = moved.join(_apart(alike.select("doc_id", F.col("a").alias("y"), F.col("b").alias("q"))), ["doc_id", "y", "q"], "left_semi")
     columns = ["doc_id", "x", "y", "p", "q"]
     kin = second.select(*columns).unionByName(moved.where("y = q").select(*columns)).unionByName(both.select(*columns))
     kin = written(kin.where("x < p OR (x = p AND y < q)"))
@@ -60,10 +67,10 @@ def similar_runs(nodes: DataFrame, alike: DataFrame) -> DataFrame:
         groups = two.groupBy("doc_id", "x", "y", F.coalesce(context, -1 - F.col("i")).alias("u")).agg(F.collect_list("i").alias("at"))
         groups = written(groups)
         there = groups.select("doc_id", F.col("x").alias("p"), F.col("y").alias("q"), F.col("u").alias("v"), F.col("at").alias("to"))
-        same = groups.join(there.withColumns({"x": F.col("p"), "y": F.col("q")}), ["doc_id", "x", "y"]).where("u < v")
-        changed = kin.join(groups, ["doc_id", "x", "y"]).join(there, ["doc_id", "p", "q"]).where("u <> v")
+        same = groups.join(_apart(there.withColumns({"x": F.col("p"), "y": F.col("q")})), ["doc_id", "x", "y"]).where("u < v")
+        changed = kin.join(_apart(groups), ["doc_id", "x", "y"]).join(_apart(there), ["doc_id", "p", "q"]).where("u <> v")
         columns = ["doc_id", "u", "v", "at", "to"]
-        free = same.select(*columns).unionByName(changed.select(*columns)).join(alike.select("doc_id", F.col("a").alias("u"), F.col("b").alias("v")), ["doc_id", "u", "v"], "left_anti")
+        free = same.select(*columns).unionByName(changed.select(*columns)).join(_apart(alike.select("doc_id", F.col("a").alias("u"), F.col("b").alias("v"))), ["doc_id", "u", "v"], "left_anti")
         places = free.select("doc_id", "to", F.explode("at").alias("s")).select("doc_id", "s", F.explode("to").alias("t"))
         return places.select("doc_id", F.abs(F.col("s") - F.col("t")).alias("d"), F.least("s", "t").alias("i"))
 

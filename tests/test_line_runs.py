@@ -3,7 +3,7 @@
 import random
 
 from cadenza import plans
-from cadenza.operators.repeats import similar_runs
+from cadenza.operators.repeats import similar_bags, similar_runs
 
 
 def test_line_runs_of_changed_lines(spark, tmp_path):
@@ -61,3 +61,12 @@ def test_a_refrain_of_thousands(spark):
     alike = spark.createDataFrame([], "doc_id long, a long, b long")
     got = sorted((r.d, r.i, r.n) for r in similar_runs(nodes, alike).collect())
     assert got == [(4 * k, 0, 4000 - 4 * k) for k in range(1, 1000)]
+
+
+def test_no_table_is_broadcast(spark):
+    """Small files of repeated numbers are large in the driver's memory."""
+    lines = [(t, i, [f"w{i % 3}", f"v{t % 5}", "la"]) for t in range(5) for i in range(20)]
+    nodes, alike = similar_bags(spark.createDataFrame(lines, "doc_id long, i long, w array<string>"))
+    for df in (nodes, alike, similar_runs(nodes, alike)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
