@@ -45,4 +45,4 @@ def labelled(lines: DataFrame) -> DataFrame:
     ends += [F.struct((F.col("i") + F.col("d")).alias("i"), F.lit(1).alias("s")), F.struct((F.col("i") + F.col("d") + F.col("n")).alias("i"), F.lit(-1).alias("s"))]
     steps = runs.select(F.col("doc_id").alias("song"), F.explode(F.array(*ends)).alias("e")).groupBy("song", "e.i").agg(F.sum("e.s").alias("s"))
     depth = F.sum(F.coalesce("s", F.lit(0))).over(Window.partitionBy("song").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.join(steps, ["song", "i"], "left").select("song", "i", "start", "end", "text", (depth > 0).alias("rep"))
+    return numbered.join(steps.hint("merge"), ["song", "i"], "left").select("song", "i", "start", "end", "text", (depth > 0).alias("rep"))
