@@ -74,15 +74,35 @@ c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >=
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 3- to 6-grams of each document; n-grams cross line ends.
 
-    Word arrays are dealt by doc_id once; hashes of the n-grams are counted where they lie, and only of repeated ones
-    the words are joined.
+    A text's n-grams are sorted by their hashes where it lies, and each stretch of equal ones gives a row, so n-grams are
+    neither dealt out nor grouped. Only rows that share their doc_id with others have their n-grams counted together.
     """
-    w = doc_words(spark, sf_dir).repartition("doc_id")
-    at = w.select("doc_id", "w", F.explode(F.array(*map(F.lit, (3, 4, 5, 6)))).alias("size")).where(F.size("w") >= F.col("size"))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("size"))))
-    counted = at.select("doc_id", "size", F.posexplode(hashes).alias("i", "h")).groupBy("doc_id", "size", "h").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
-    again = counted.where("n >= 2").join(w, "doc_id")
-    return again.select("doc_id", F.array_join(F.slice("w", F.col("i") + 1, F.col("size")), " ").alias("gram"), "n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(F.xxhash64("doc_id", "text"))
+    several = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    of = lambda how: docs.join(several, same, how).select("doc_id", words(normal_line(F.col("text"))).alias("w"))
+
+    def sized(w: DataFrame) -> DataFrame:
+        return w.select("doc_id", "w", F.explode(F.array(*map(F.lit, (3, 4, 5, 6)))).alias("size")).where(F.size("w") >= F.col("size"))
+
+    gram = lambda i: F.array_join(F.slice("w", i, F.col("size")), " ")
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)
+    # word by word: inside a lambda a slice copies the whole text
+    word = lambda i, n: F.xxhash64(*[F.get("w", i + k - 1) for k in range(n)])
+    hashed = lambda i: F.when(F.col("size") == 3, word(i, 3)).when(F.col("size") == 4, word(i, 4)).when(F.col("size") == 5, word(i, 5)).otherwise(word(i, 6))
+    hashes = F.transform(starts, lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))
+    by_hash = sized(of("left_anti")).select("doc_id", "w", "size", F.sort_array(hashes).alias("s"))
+    like = lambda x, k: F.coalesce(F.get("s", k).h == x.h, F.lit(False))
+    place = lambda x, k: F.struct(x.i.alias("i"), k.alias("k"))
+    marked = F.transform("s", lambda x, k: F.when(like(x, k - 1) != like(x, k + 1), place(x, k)))
+    ends = by_hash.select("doc_id", "w", "size", F.array_compact(marked).alias("e"))
+    # first and last places of stretches take turns; no filter on them, as it would be moved below and sort once a place
+    turns = F.when(F.size("e") > 1, F.sequence(F.lit(0), F.size("e") - 2, F.lit(2)))
+    stretch = F.transform(turns, lambda j: F.struct(F.get("e", j).i.alias("i"), (F.get("e", j + 1).k - F.get("e", j).k + 1).cast("long").alias("n")))
+    at = ends.select("doc_id", "w", "size", F.explode_outer(stretch).alias("x")).where("x IS NOT NULL")
+    alone = at.select("doc_id", gram(F.col("x.i")).alias("gram"), "x.n")
+    shared = sized(of("left_semi")).select("doc_id", "w", "size", F.explode(starts).alias("i")).select("doc_id", gram(F.col("i")).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return alone.unionByName(shared)
 
 
 @query(f"WITH {GRAMS_SQL} SELECT doc_id, gram, n FROM c")
