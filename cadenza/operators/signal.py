@@ -56,9 +56,10 @@ def k_weighting(fs: float) -> list[tuple[tuple[float, float, float], tuple[float
 
 
 def power_spectrum(x: np.ndarray) -> np.ndarray:
-    """Power of the Hann-windowed signal's non-negative frequencies, normalised by the window's energy."""
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))
-    return np.abs(np.fft.rfft(x * w)) ** 2 / (np.sum(w * w) * len(x))
+    """Power of the Hann-windowed signal's non-negative frequencies, normalised by the window's energy; of each row, if x has rows."""
+    n = x.shape[-1]
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    return np.abs(np.fft.rfft(x * w)) ** 2 / (np.sum(w * w) * n)
 
 
 def spectra(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -204,14 +205,18 @@ def notes(t: np.ndarray, freq: np.ndarray, clarity: np.ndarray, rms: np.ndarray,
             out.append((int(math.floor(p + 0.5)), int(math.floor(100 * (p - math.floor(p + 0.5)) + 0.5)), float(t[run[0]]), float(t[run[-1]]), int(min(127, max(20, math.floor(40 + 600 * rms[run].max() + 0.5))))))
         run.clear()
 
-    for i in range(len(t)):
-        if not (freq[i] > 0 and clarity[i] >= 0.6):
-            continue
-        p = 69 + 12 * math.log2(freq[i] / 440)
-        if run and (t[i] - t[run[-1]] > gap or abs(p - np.median(69 + 12 * np.log2(freq[run[-6:]] / 440))) > 0.7):
-            close()
-        run.append(i)
-    close()
+    sounding = np.flatnonzero((freq > 0) & (clarity >= 0.6))
+    pitch = 69 + 12 * np.log2(freq[sounding] / 440)
+    cuts = np.flatnonzero(np.diff(t[sounding]) > gap) + 1
+    for own, p in zip(np.split(sounding, cuts), np.split(pitch, cuts), strict=True):
+        if len(p) and p.max() - p.min() <= 0.7:  # none is a jump from a median of others
+            run.extend(own)
+        else:
+            for k, v in enumerate(p):
+                if run and abs(v - np.median(p[max(k - len(run), k - 6) : k])) > 0.7:
+                    close()
+                run.append(own[k])
+        close()
     return out
 
 

@@ -14,7 +14,7 @@ from ..operators import signal as S
 from ..operators.beats import beats_of, strengths
 from ..operators.dynamics import limited
 from ..operators.levels import gated, report
-from ..operators.scan import Cascade, scanned
+from ..operators.scan import Cascade, chunks_of, scanned, stepped
 from ..operators.windows import frame, top
 from ..sources.tables import SAMPLES, WAVES, contour, samples, table, waves
 from .song import FS, chunked
@@ -48,13 +48,15 @@ p AS (SELECT track, block, k AS bin, (re * re + im * im) / (SELECT sum(w * w) *
 
 
 def spectra_of(signal: DataFrame, size: int = 64) -> DataFrame:
-    """(track, block, bin, power) of each whole block of `size` samples of a signal (track, i, x). A group is a block."""
+    """(track, block, bin, power) of each whole block of `size` samples of a signal (track, i, x). A task has many blocks at once."""
+    own = chunks_of(signal, size).where(F.size("row") == size)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        v = S.power_spectrum(p.x.to_numpy()) if len(p) == size else np.empty(0)
-        return pd.DataFrame({"bin": np.arange(len(v)), "power": v})
+        power = S.power_spectrum(np.stack(p.row.to_numpy()).astype(float))
+        return pd.DataFrame({"track": p.track, "block": p.chunk, "power": list(power)})
 
-    return S.per_track(signal.withColumn("block", F.floor(F.col("i") / size)), ["track", "block"], "i", run, "bin long, power double")
+    track = f"track {signal.schema['track'].dataType.simpleString()}"
+    return own.mapInPandas(stepped(run), f"{track}, block long, power array<double>").select("track", "block", F.posexplode("power").alias("bin", "power")).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query(f"WITH {SPECTRA} SELECT track, block, bin, round(power, 9) + 0.0 AS power FROM p")
@@ -197,6 +199,9 @@ def center_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes_of(points: DataFrame) -> DataFrame:
+    # points that sound: the others end no note by themselves
+    points = points.where("freq > 0 AND NOT isnan(freq) AND clarity >= 0.6 AND NOT isnan(clarity)")
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(S.notes(*(p[c].to_numpy() for c in ("t", "freq", "clarity", "rms"))), columns=["midi", "cents", "start", "end", "velocity"])
 
