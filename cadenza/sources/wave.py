@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +28,8 @@ SAMPLES = "path string, i long, l double, r double, fs int, error string"
 PART_BYTES, BATCH = 16 << 20, 1 << 16
 #: Bytes of a WAVE file before its samples.
 HEAD = 44
+#: Bytes of samples that a file costs beside its own, as it must be opened, and files that the driver moves at once.
+OPEN_BYTES, MOVES = 16 << 10, 32
 
 
 def _at(path: str) -> tuple[store.FileSystem, str]:
@@ -48,6 +51,13 @@ class Stretch(InputPartition):
     error: str | None = None
 
 
+@dataclass
+class Small(InputPartition):
+    """Files that a task reads one after the other, each whole; their heads are read by the task."""
+
+    paths: list[str]
+
+
 def layout(file: pa.NativeFile, size: int) -> tuple[int, int, int, int, int, int]:
     """Format tag, channels, bytes a sample, rate, first byte and frames of a WAVE file, from its chunk heads alone."""
     file.seek(0)
@@ -74,44 +84,71 @@ class WaveReader(DataSourceReader):
         self.cap_bytes = int(options.get("capbytes", 200 << 20))
         self.max_seconds = float(options.get("maxseconds", 420.0))
 
-    def partitions(self) -> list[Stretch]:
-        """Stretches of all .wav files under the path, at frame borders, part_bytes each at most; only heads are read here.
-        A file beyond cap_bytes, or none of a known format, is one refused stretch."""
+    def partitions(self) -> list[Stretch | Small]:
+        """Stretches of all .wav files under the path, at frame borders, part_bytes each at most; only heads are read here,
+        and only of files beyond part_bytes or without room for a sample. The others go to tasks many at a time, as many
+        as are part_bytes with what opening them costs. A file beyond cap_bytes, or none of a known format, is a refused stretch."""
         system, root = _at(self.path)
-        out = []
+        out, small, held = [], [], 0
         for info in sorted(system.get_file_info(store.FileSelector(root, recursive=True)), key=lambda x: x.path):
             if not info.is_file or not info.path.lower().endswith(".wav"):
                 continue
-            if not 0 < info.size <= self.cap_bytes:
-                out.append(Stretch(info.path, error="size"))
-                continue
-            try:
-                with system.open_input_file(info.path) as file:
-                    tag, channels, width, rate, offset, frames = layout(file, info.size)
-            except (ValueError, struct.error) as e:
-                out.append(Stretch(info.path, error=str(e)))
-                continue
-            frames = min(frames, int(self.max_seconds * rate))
-            each = max(1, self.part_bytes // (width * channels))
-            out += [Stretch(info.path, offset + a * width * channels, a, min(each, frames - a), tag, channels, width, rate) for a in range(0, frames, each)]
+            if HEAD < info.size <= min(self.part_bytes, self.cap_bytes):
+                if small and held + info.size + OPEN_BYTES > self.part_bytes:
+                    out.append(Small(small))
+                    small, held = [], 0
+                small.append(info.path)
+                held += info.size + OPEN_BYTES
+            else:
+                out += self.stretches(system, info.path, info.size, self.part_bytes)
+        if small:
+            out.append(Small(small))
         return out or [Stretch("", frames=0)]
 
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def stretches(self, system: store.FileSystem, path: str, size: int, part_bytes: int) -> list[Stretch]:
+        if not 0 < size <= self.cap_bytes:
+            return [Stretch(path, error="size")]
+        try:
+            with system.open_input_file(path) as file:
+                tag, channels, width, rate, offset, frames = layout(file, size)
+        except (ValueError, struct.error) as e:
+            return [Stretch(path, error=str(e))]
+        frames = min(frames, int(self.max_seconds * rate))
+        each = max(1, part_bytes // (width * channels))
+        return [Stretch(path, offset + a * width * channels, a, min(each, frames - a), tag, channels, width, rate) for a in range(0, frames, each)]
+
+    def read(self, part: Stretch | Small) -> Iterator[pa.RecordBatch]:
         names = ["path", "i", "l", "r", "fs", "error"]
         kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
+        held, n = [], 0
+        for columns in self.rows(part):
+            held.append([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)])
+            n += len(held[-1][0])
+            if n >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=names)
+                held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=names)
+
+    def rows(self, part: Stretch | Small) -> Iterator[tuple]:
+        """Columns of at most BATCH frames of a file at a time."""
+        system, _ = _at(self.path)
+        if isinstance(part, Small):
+            for path in part.paths:
+                for own in self.stretches(system, path, system.get_file_info(path).size, self.part_bytes):
+                    yield from self.rows(own)
+            return
         if part.error is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part.path, None, None, None, None, part.error), kinds, strict=True)], names=names)
+            yield [part.path], [None], [None], [None], [None], [part.error]
         if not part.frames:
             return
-        system, _ = _at(self.path)
         with system.open_input_file(part.path) as file:
             file.seek(part.offset)
             for a in range(0, part.frames, BATCH):
                 n = min(BATCH, part.frames - a)
                 x = pcm(file.read(n * part.width * part.channels), part.tag, part.width).reshape(-1, part.channels)
                 n = len(x)
-                columns = (np.full(n, part.path), part.first + a + np.arange(n), x[:, 0], x[:, min(1, part.channels - 1)], np.full(n, part.rate), [None] * n)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
+                yield [part.path] * n, part.first + a + np.arange(n), x[:, 0], x[:, min(1, part.channels - 1)], np.full(n, part.rate), [None] * n
 
 
 def noise(first: int, n: int) -> np.ndarray:
@@ -142,17 +179,15 @@ class WaveWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = _at(self.path)
-        system.create_dir(f"{root}/_{self.run}", recursive=True)
-        done, key, held, first = [], None, [], 0
+        own = f"{root}/_{self.run}/{uuid.uuid4().hex}"
+        system.create_dir(own, recursive=True)
+        key, held, first = None, [], 0
 
         def close() -> None:
             if key is not None:
                 body = dithered(np.concatenate(held), first)
-                name = f"{key[0]}-{key[1]:05}.wav"
-                own = f"{root}/_{self.run}/{uuid.uuid4().hex}"
-                with system.open_output_stream(own) as file:
+                with system.open_output_stream(f"{own}/{key[0]}-{key[1]:05}.wav") as file:
                     file.write(b"RIFF" + struct.pack("<I", HEAD - 8 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, self.rate, 2 * self.rate, 2, 16) + b"data" + struct.pack("<I", len(body)) + body)
-                done.append((own, f"{root}/{name}"))
 
         for b in batches:
             track, part, i = (b.column(c).to_pylist() for c in ("track", "part", "i"))
@@ -165,13 +200,17 @@ class WaveWriter(DataSourceArrowWriter):
                         key, held, first = (track[lo], part[lo]), [], i[lo]
                     held.append(x[lo:hi])
         close()
-        return Written(done)
+        return Written(own)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """The files of the tasks that count get their names; what other attempts have left goes."""
+        """The files of the tasks that count get their names, a task's at a time and many at once; what other attempts have
+        left goes."""
         system, root = _at(self.path)
-        for own, name in (f for m in messages if m is not None for f in m.files):
-            system.move(own, name)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for m in messages:
+                if m is not None:
+                    names = [f.base_name for f in system.get_file_info(store.FileSelector(m.folder))]
+                    list(pool.map(lambda name, folder=m.folder: system.move(f"{folder}/{name}", f"{root}/{name}"), names))
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -182,7 +221,9 @@ class WaveWriter(DataSourceArrowWriter):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """The folder of a task's files."""
+
+    folder: str
 
 
 class Wave(DataSource):

@@ -83,3 +83,15 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert left == []
     with pytest.raises(ValueError):
         wave.write_parts(df, str(tmp_path / "out"), most_bytes=44)
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    """600 files of 50 samples are one stretch of reading, with the rows of each."""
+    df = spark.range(30_000).select(F.expr("cast(id div 100 as string)").alias("track"), F.expr("id % 100").alias("i"), F.lit(0.5).alias("x"))
+    wave.write_parts(df, str(tmp_path / "out"), most_bytes=144)
+    (tmp_path / "out" / "bad.wav").write_bytes(b"RIFF1234WAVEjunk" + bytes(60))
+    samples, rejected = wave.read_waves(spark, str(tmp_path / "out"))
+    assert samples.rdd.getNumPartitions() == 1 and [r.error for r in rejected.collect()] == ["no data chunk"]
+    found = samples.groupBy("path").agg(F.count("*").alias("n"), F.max("i").alias("last")).collect()
+    assert len(found) == 600 and {(r.n, r.last) for r in found} == {(50, 49)}
+    assert len(wave.WaveReader({"path": str(tmp_path / "out"), "partbytes": str(1 << 20)}).partitions()) == 10
