@@ -197,27 +197,31 @@ def center(left: np.ndarray, right: np.ndarray, size: int = 256) -> np.ndarray:
 
 def notes(t: np.ndarray, freq: np.ndarray, clarity: np.ndarray, rms: np.ndarray, least: float = 0.09, gap: float = 0.05) -> list[tuple[int, int, float, float, int]]:
     """Notes (midi, cents, start, end, velocity) of a pitch contour: a gap, or a jump from the median of the last six, ends one."""
-    out, run = [], []
+    return list(zip(*(c.tolist() for c in notes_by_track(np.zeros(len(t), int), t, freq, clarity, rms, least, gap)[1:]), strict=True))
 
-    def close() -> None:
-        if run and t[run[-1]] - t[run[0]] >= least:
-            p = float(np.median(69 + 12 * np.log2(freq[run] / 440)))
-            out.append((int(math.floor(p + 0.5)), int(math.floor(100 * (p - math.floor(p + 0.5)) + 0.5)), float(t[run[0]]), float(t[run[-1]]), int(min(127, max(20, math.floor(40 + 600 * rms[run].max() + 0.5))))))
-        run.clear()
 
+def notes_by_track(track: np.ndarray, t: np.ndarray, freq: np.ndarray, clarity: np.ndarray, rms: np.ndarray, least: float = 0.09, gap: float = 0.05) -> tuple[np.ndarray, ...]:
+    """The notes of many contours at once, as columns with the number of their track in front; points come by track and time."""
     sounding = np.flatnonzero((freq > 0) & (clarity >= 0.6))
-    pitch = 69 + 12 * np.log2(freq[sounding] / 440)
-    cuts = np.flatnonzero(np.diff(t[sounding]) > gap) + 1
-    for own, p in zip(np.split(sounding, cuts), np.split(pitch, cuts), strict=True):
-        if len(p) and p.max() - p.min() <= 0.7:  # none is a jump from a median of others
-            run.extend(own)
-        else:
-            for k, v in enumerate(p):
-                if run and abs(v - np.median(p[max(k - len(run), k - 6) : k])) > 0.7:
-                    close()
-                run.append(own[k])
-        close()
-    return out
+    if not len(sounding):
+        return tuple(np.zeros(0, kind) for kind in (int, int, int, float, float, int))
+    own, at, pitch = track[sounding], t[sounding], 69 + 12 * np.log2(freq[sounding] / 440)
+    first = np.concatenate([[0], np.flatnonzero((np.diff(at) > gap) | (np.diff(own) != 0)) + 1])
+    steady = np.maximum.reduceat(pitch, first) - np.minimum.reduceat(pitch, first) <= 0.7  # none is a jump from a median of others
+    cuts = []
+    for lo, hi in zip(first[~steady], np.append(first[1:], len(at))[~steady], strict=True):
+        for k in range(lo + 1, hi):
+            if abs(pitch[k] - np.median(pitch[max(lo, k - 6) : k])) > 0.7:
+                cuts.append(k)
+                lo = k
+    first = np.sort(np.concatenate([first, np.array(cuts, int)]))
+    n = np.diff(np.append(first, len(at)))
+    whole = at[first + n - 1] - at[first] >= least
+    loud = np.maximum.reduceat(rms[sounding], first)[whole]
+    first, n = first[whole], n[whole]
+    p = np.array([np.median(pitch[a : a + m]) for a, m in zip(first, n, strict=True)], float)
+    note = np.floor(p + 0.5)
+    return own[first], note.astype(int), np.floor(100 * (p - note) + 0.5).astype(int), at[first], at[first + n - 1], np.clip(np.floor(40 + 600 * loud + 0.5), 20, 127).astype(int)
 
 
 def _middle(x: np.ndarray) -> float:

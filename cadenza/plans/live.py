@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strict import Rule, parsed, violations
 from ..operators.windows import top
-from ..sources.tables import contour, passing, table
+from ..sources.tables import contour, passing, samples, table
 from ..streaming import live
 from . import timeline
 from .relational import SECTIONS, sections
@@ -31,15 +31,24 @@ def scratch(spark: SparkSession) -> str:
     return passing(spark, "stream")
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 @query()
 def live_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitch points of the events arriving in six portions by time; notes committed once they are settled."""
+    """Pitch points of the events arriving in six portions by time; notes committed once they are settled. A portion is as
+    many files as there are tasks, and the stream goes on with each as one batch from where it stopped."""
     path = scratch(spark)
     p = contour(spark, sf_dir)
-    each = p.agg(F.max("t")).first()[0] / 6 + 0.001
+    last = samples(spark, sf_dir).agg(F.max("i")).first()[0]  # an event's points are the 20 from its number on
+    each = ((last or 0) * 20 + 19) / 100 / 6 + 0.001
+    p.withColumn("portion", F.floor(F.col("t") / each)).write.partitionBy("portion").parquet(f"{path}/all")
+    portions = spark.read.schema(f"{_ddl(p)}, portion long").parquet(f"{path}/all")
     for k in range(6):
-        p.where(F.floor(F.col("t") / each) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return live.finished(live.live_notes(live.stream_of(spark, f"{path}/in", p.schema)), path)
+        portions.where(F.col("portion") == k).drop("portion").write.mode("append").parquet(f"{path}/in")
+        out = live.finished(live.live_notes(live.stream_of(spark, f"{path}/in", p.schema, 1 << 30)), path)
+    return out
 
 
 @query("""SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")

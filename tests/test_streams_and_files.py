@@ -106,3 +106,16 @@ def test_spaced_and_scalars(spark):
         half_up(F.lit(-2.5)).alias("a"), upper_median(F.array(*map(F.lit, (4, 1, 3, 2)))).alias("b"), minute_second(F.lit(125.4)).alias("c"), note_name(F.lit(69.0)).alias("d"), bell(F.lit(5.0), 1, 5, 2.0).alias("e")
     ).first()
     assert tuple(one) == (-2, 3, "2:05", "A4", 1.0)
+
+
+def test_live_notes_of_many_tracks_share_states(spark, tmp_path):
+    """40 tracks in 3 buckets over two batches: the notes are those of each track alone, and the files of a portion are many."""
+    def points(lo, hi):
+        return [(f"t{k}", (20 * n + m) / 100, 220.0 * 2 ** ((k + n % 5) / 12) if m < 12 else 0.0, 0.9, 0.05) for k in range(40) for n in range(lo, hi) for m in range(20)]
+
+    schema = "track string, t double, freq double, clarity double, rms double"
+    for part in (points(0, 4), points(4, 9)):
+        spark.createDataFrame(part, schema).repartition(4).write.mode("append").parquet(f"{tmp_path}/in")
+        out = live.finished(live.live_notes(live.stream_of(spark, f"{tmp_path}/in", schema, 1000), buckets=3), str(tmp_path))
+    got = sorted((r.track, round(r.start, 2), r.midi) for r in out.collect())
+    assert got == sorted((f"t{k}", round(n / 5, 2), 57 + k + n % 5) for k in range(40) for n in range(8))
