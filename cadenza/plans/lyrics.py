@@ -306,6 +306,8 @@ hs AS (SELECT *, CAST(floor(100 * (0.3 * CASE WHEN n BETWEEN 4 AND 11 THEN 1.0 W
 
 # Words that address a listener; the score's weights are 0.3, 0.3, 0.15, 0.15 and 0.1.
 ADDRESS = "(^|[^a-z0-9_])(tu|toi|te|t''|you|your|we|nous|on)($|[^a-z0-9_])"
+# the same by what stands around a word, with fewer choices
+ADDRESSED = "(?<![a-z0-9_])(?:t(?:u|oi|e|')|you|your|we|nous|on)(?![a-z0-9_])"
 
 
 HOOK_SQL = f"{LINES}, {LANG_SQL}, ln AS (SELECT lines.*, l FROM lines JOIN langs USING (doc_id)), {_sections_sql('ln', 'doc_id')}, {_hooks_sql('sec', 'doc_id')}"
@@ -314,12 +316,13 @@ HOOK_SQL = f"{LINES}, {LANG_SQL}, ln AS (SELECT lines.*, l FROM lines JOIN langs
 def hook_scores(lines: DataFrame, key: str) -> DataFrame:
     """Hook score of lines (key, pos, text, section, n): singable length, repetition, address to a listener, a section
     that is a hook, short words."""
-    s = lines.withColumns({"norm": normal_line(F.col("text"))}).withColumn("w", words(F.col("norm")))
+    s = lines.withColumn("norm", normal_line(F.col("text")))
     reps = F.count(F.lit(1)).over(Window.partitionBy(key, "norm"))
     short = F.when(F.col("n").between(4, 11), 1.0).when(F.col("n") <= 14, 0.5).otherwise(0.1)
-    address = F.when(F.lower("text").rlike(ADDRESS.replace("''", "'")), 1).otherwise(0)
+    address = F.when(F.lower("text").rlike(ADDRESSED), 1).otherwise(0)
     hook = F.when(F.col("section").rlike(HOOK_SECTION), 1).otherwise(0)
-    mean = F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.lit(1), F.size("w"))
+    letters = F.length(F.translate("norm", " ", ""))  # single blanks stand between the words
+    mean = letters / (F.length("norm") - letters + 1)
     simple = F.when(mean <= 5, 1.0).when(mean <= 6.5, 0.6).otherwise(0.3)
     rep = F.least(F.lit(1.0), (F.col("reps") - 1) / 2)
     return s.withColumn("reps", reps).withColumn("score", half_up(100 * (0.3 * short + 0.3 * rep + 0.15 * address + 0.15 * hook + 0.1 * simple)))
@@ -348,12 +351,13 @@ def lyric_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best run of two to four lines, as one frame per length; the first wins a tie."""
     line = Window.partitionBy("doc_id").orderBy("pos")
     o = scored_lines(spark, sf_dir).withColumns({"i": (F.row_number().over(line) - 1).cast("long"), "total": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
-    parts = []
+    each = []
     for m in (2, 3, 4):
         w = line.rowsBetween(0, m - 1)
         value = F.avg("score").over(w) * F.when(F.sum("n").over(w) <= 44, 1.0).otherwise(0.5) + m * 2
-        parts.append(o.select("doc_id", "i", "total", F.lit(m).alias("m"), F.round(value, 6).alias("score")).where(F.col("i") + m <= F.col("total")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        each.append(F.struct(F.lit(m).alias("m"), F.round(value, 6).alias("score")))
+    # all lengths in one pass, so that the lines are scored once
+    every = o.select("doc_id", "i", "total", F.array(*each).alias("x")).select("doc_id", "i", "total", F.explode("x").alias("x")).where(F.col("i") + F.col("x.m") <= F.col("total")).select("doc_id", "i", "x.m", "x.score")
     return top(every, ["doc_id"], [F.desc("score"), F.asc("i"), F.asc("m")]).select("doc_id", "i", "m", "score")
 
 
