@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import loudness
 from ..sources.tables import written
 from .levels import block_energies, gated
-from .scan import Release, scanned
+from .scan import Release, _rows, scanned, stepped
 from .signal import per_track
 from .windows import sliding_windows
 
@@ -43,23 +43,31 @@ def smoothed(targets: DataFrame, keys: list[str], slowest: float, size: int = 10
 
     Steps with two shares have no short common form, but each shrinks a difference of states to `slowest` or less (the
     largest share in the table). So a chunk warms up over as many steps before it as leave LEFT of any difference; its
-    states are those of the whole recurrence up to that part, and a task has two chunks' rows at most.
+    states are those of the whole recurrence up to that part. A task steps through many chunks at once.
     """
     halo = 1 if slowest <= 0 else math.ceil(math.log(LEFT) / math.log(slowest))
     size = max(size, halo)
     chunk = F.expr(f"b div {size}")
     both = F.array_compact(F.array(chunk, F.when(F.col("b") % size >= size - halo, chunk + 1)))
 
+    parts = ("b", "x", "attack", "release")
+    gathered = targets.withColumn("chunk", F.explode(both)).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("s"))
+    rows = gathered.select(*keys, "chunk", *(F.col(f"s.{c}").alias(f"_{c}") for c in parts))
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        state, out = 0.0, np.empty(len(p))
-        for k, (x, a, r) in enumerate(zip(p.x.to_numpy(), p.attack.to_numpy(), p.release.to_numpy())):
-            state = x + (state - x) * (a if x > state else r)
-            out[k] = state
-        own = p.b.to_numpy() // size == p.chunk.to_numpy()
-        return pd.DataFrame({"b": p.b.to_numpy()[own], "x": out[own]})
-
-    spread = targets.withColumn("chunk", F.explode(both))
-    return per_track(spread, [*keys, "chunk"], "b", run, "b long, x double").drop("chunk")
+        (x, n), (a, _), (r, _) = (_rows(p[c]) for c in ("_x", "_attack", "_release"))
+        state, out = np.zeros(len(x)), np.empty_like(x)
+        for t in range(x.shape[1]):
+            v = x[:, t]
+            state = v + (state - v) * np.where(v > state, a[:, t], r[:, t])
+            out[:, t] = state
+        warm = [int((b // size < chunk).sum()) for b, chunk in zip(p._b, p.chunk, strict=True)]
+        own = {"b": [b[w:] for b, w in zip(p._b, warm, strict=True)], "x": [row[w:k] for row, w, k in zip(out, warm, n, strict=True)]}
+        return pd.DataFrame({**{k: p[k] for k in keys}, **own})
+
+    fields = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
+    done = rows.mapInPandas(stepped(run), f"{fields}, b array<long>, x array<double>")
+    return done.select(*keys, F.explode(F.arrays_zip("b", "x")).alias("v")).select(*keys, "v.b", "v.x")
 
 
 def reduced(stereo: DataFrame, reduction: DataFrame, block: int) -> DataFrame:

@@ -68,3 +68,15 @@ def test_delivery_gain(spark):
 def test_devices_have_their_stages(spark):
     d = {v.device: v for v in device_stages(spark).collect()}
     assert len(d) == 9 and d["studio"].compressor is None and d["car"].noise.kind == "road" and d["club"].reverb.wet == 0.16 and d["phone"].mono
+
+
+def test_smoothed_steps_many_chunks_at_once(spark):
+    """No group of its own for each chunk of each track."""
+    df = spark.range(4000).selectExpr("id div 10 AS track", "id % 10 AS b", "cast(id % 7 AS double) AS x", "0.5D AS attack", "0.25D AS release")
+    out = D.smoothed(df, ["track"], 0.5)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 4000
+    state = 0.0
+    for r in out.where("track = 399").orderBy("b").collect():
+        x = float((3990 + r.b) % 7)
+        state = x + (state - x) * (0.5 if x > state else 0.25)
+        assert abs(r.x - state) < 1e-12
