@@ -13,7 +13,6 @@ from ..functions.scalar import loudness
 from ..sources.tables import written
 from .levels import block_energies, gated
 from .scan import Release, _rows, scanned, stepped
-from .signal import per_track
 from .windows import sliding_windows
 
 #: Share of a state before a chunk's warm-up that may be left when the chunk begins.
@@ -102,19 +101,27 @@ def limited(stereo: DataFrame, ceiling: float, look: int, rise: float, size: int
     chunk, at, over = F.expr(f"i div {size}"), F.col("i") % size, look - 1
     near = F.array_compact(F.array(chunk, F.when((at < over) & (chunk > 0), chunk - 1), F.when(at >= size - over, chunk + 1)))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        i, first = p.i.to_numpy(), int(p.chunk.iloc[0]) * size
-        x = np.ones(size + 2 * over)
-        x[i - first + over] = p.need.to_numpy()
+    track = f"track {needs.schema['track'].dataType.simpleString()}"
+
+    def means(i: np.ndarray, need: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        if i[-1] < first:  # a track that ends at the border before this chunk
+            return i[:0], need[:0]
+        x = np.ones(int(i[-1]) - first + 1 + 2 * over)
+        x[i - first + over] = need
         ahead = np.lib.stride_tricks.sliding_window_view(x, look).min(1)
         if first == 0:
             ahead[:over] = ahead[over]
         mean = np.lib.stride_tricks.sliding_window_view(ahead, look).mean(1)
         own = i[i // size == first // size]
-        return pd.DataFrame({"i": own, "x": mean[own - first]})
+        return own, mean[own - first]
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        done = [means(i, need, int(chunk) * size) for i, need, chunk in zip(p.i, p.need, p.chunk, strict=True)]
+        return pd.DataFrame({"track": p.track, "i": [i for i, _ in done], "x": [x for _, x in done]})
 
     spread = needs.select("track", "i", "need", F.explode(near).alias("chunk"))
-    mean = per_track(spread, ["track", "chunk"], "i", run, "i long, x double").drop("chunk")
+    rows = spread.groupBy("track", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "need"))).alias("s")).select("track", "chunk", F.col("s.i").alias("i"), F.col("s.need").alias("need"))
+    mean = rows.mapInPandas(stepped(run), f"{track}, i array<long>, x array<double>").select("track", F.explode(F.arrays_zip("i", "x")).alias("v")).select("track", "v.i", "v.x")
     gain = F.least("y", "need")
     out = needs.join(scanned(mean, Release(rise)), ["track", "i"])
     return out.select("track", "i", (F.col("l") * gain).alias("l"), (F.col("r") * gain).alias("r"))

@@ -80,3 +80,11 @@ def test_smoothed_steps_many_chunks_at_once(spark):
         x = float((3990 + r.b) % 7)
         state = x + (state - x) * (0.5 if x > state else 0.25)
         assert abs(r.x - state) < 1e-12
+
+
+def test_limited_has_no_group_for_each_chunk(spark):
+    """Tracks that end at, before and behind a chunk's border, all in one pass over batches."""
+    df = spark.createDataFrame([(f"t{n}", i, math.sin(i * n) * 2, 0.1) for n in (1, 31, 32, 33, 64) for i in range(n)], "track string, i long, l double, r double")
+    whole, cut = (D.limited(df, 0.7, 5, 0.1, size=s) for s in (4096, 32))
+    assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(*[np.array(x.orderBy("track", "i").select("l", "r").collect()) for x in (whole, cut)], atol=1e-12) and cut.count() == 161
