@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import upper_median
 from ..sources.tables import written
-from .scan import _rows, chunks_of, states_before, stepped
+from .scan import _rows, chunks_of, stepped, with_states
 from .windows import top
 
 
@@ -25,21 +25,28 @@ class Scores:
         self.cost = -tightness * np.log(np.arange(self.near, self.far + 1) / period) ** 2
         self.start = np.concatenate([[0.0], np.full(self.far, -np.inf)])
 
-    def step(self, past: np.ndarray) -> np.ndarray:
-        return (past[..., self.near - 1 :] + self.cost).max(-1)
-
     def run(self, x: np.ndarray, n: np.ndarray, past: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and last pasts of rows of x; where `first`, a frame without earlier ones has its strength alone."""
-        out = np.full(past.shape[:-1] + x.shape[1:], -np.inf)
-        x = x.reshape(len(x), *[1] * (past.ndim - 2), -1)
-        for t in range(x.shape[-1]):
-            best = self.step(past)
-            free = np.isneginf(best) & first.reshape(len(x), *[1] * (past.ndim - 2))
-            score = x[..., t] + np.where(free, 0.0, best)
-            on = t < n
-            out[on, ..., t] = score[on]
-            past[on] = np.concatenate([score[on][..., None], past[on][..., :-1]], -1)
-        return out, past
+        side, far = (len(x), *[1] * (past.ndim - 2)), self.far
+        line = np.full((far + x.shape[1], *past.shape[:-1]), -np.inf)  # by time, the past before it
+        line[:far] = np.moveaxis(past, -1, 0)[::-1]
+        cost, begin = self.cost[::-1].reshape(-1, *[1] * (past.ndim - 1)), first.reshape(side)
+        for t, v in enumerate(np.ascontiguousarray(x.T)):
+            best = (line[t : t + len(cost)] + cost).max(0)
+            score = v.reshape(side) + np.where(np.isneginf(best) & begin, 0.0, best)
+            line[far + t] = np.where((t < n).reshape(side), score, -np.inf)
+        last = line[n[:, None] + np.arange(far)[::-1], np.arange(len(x))[:, None]]
+        return np.moveaxis(line[far:], 0, -1), np.moveaxis(last, 1, -1)
+
+    def back(self, past: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """How many frames before each the one lies that its score was built on, the nearest of equals; 0 for a first beat."""
+        line = np.concatenate([past[:, ::-1], scores], 1)
+        best, out = np.full(scores.shape, -np.inf), np.zeros(scores.shape, np.int32)
+        for g, cost in zip(range(self.near, self.far + 1), self.cost, strict=True):
+            score = line[:, self.far - g : self.far - g + scores.shape[1]] + cost
+            better = score > best
+            best[better], out[better] = score[better], g
+        return out
 
     def maps(self, x: np.ndarray, n: np.ndarray, chunk: np.ndarray) -> np.ndarray:
         size = self.far + 1
@@ -78,15 +85,49 @@ class Jumps:
         return np.where(m >= 0, then[np.maximum(m, 0).astype(int)], -1.0)
 
 
-def strengths(onsets: DataFrame, period: float) -> DataFrame:
-    """(track, i, x): onsets (track, i, x) smoothed by a bell of a 32nd of the period (a frame at least) over their root mean
-    square. Each frame hands its share to the frames around it, so no track is gathered."""
+def strength_rows(onsets: DataFrame, period: float, size: int) -> DataFrame:
+    """(track, chunk, row): the strengths of each chunk of `size` frames in order, from onsets (track, i from 0 without gaps, x).
+
+    A chunk is gathered with the frames of its neighbours that the bell reaches, and many are smoothed at once; a track's
+    root mean square is made of its chunks' sums.
+    """
     sigma = max(1.0, period / 32)
     half = math.ceil(3 * sigma)
-    bell = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-0.5 * (k / sigma) ** 2)).alias("w")) for k in range(-half, half + 1)])
-    size = onsets.groupBy("track").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.max("i").alias("last"))
-    shares = onsets.withColumn("b", F.explode(bell)).groupBy("track", (F.col("i") + F.col("b.k")).alias("i")).agg(F.sum(F.col("x") * F.col("b.w")).alias("x"))
-    return shares.join(size, "track").where(F.col("i").between(0, F.col("last"))).select("track", "i", (F.col("x") / F.when(F.col("rms") > 0, F.col("rms")).otherwise(1.0)).alias("x"))
+    if half > size:
+        raise ValueError("size must be three deviations of the bell at least")
+    bell = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+    chunk, at = F.expr(f"i div {size}"), F.col("i") % size
+    near = F.array_compact(F.array(chunk, F.when((at < half) & (chunk > 0), chunk - 1), F.when(at >= size - half, chunk + 1)))
+    gathered = onsets.select("track", "i", "x", F.explode(near).alias("chunk")).groupBy("track", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("s"))
+    lead = F.col("chunk") * size - F.get("s", F.lit(0)).i  # frames of the chunk before
+    rows = gathered.select("track", "chunk", lead.alias("lead"), F.col("s.x").alias("row")).where(F.size("row") > F.col("lead"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        n = np.array([min(size, len(row) - lead) for row, lead in zip(p.row, p.lead, strict=True)])
+        x = np.zeros((len(p), int(n.max()) + 2 * half))
+        for k, (row, lead) in enumerate(zip(p.row, p.lead, strict=True)):
+            x[k, half - lead : half - lead + len(row)] = np.where(np.isnan(row), 0.0, row)  # nothing known adds nothing
+        own = x[:, half:-half]
+        out = np.zeros_like(own)
+        for k, w in enumerate(bell):
+            out += x[:, k : k + own.shape[1]] * w
+        known = [row[lead : lead + m] for row, lead, m in zip(p.row, p.lead, n, strict=True)]
+        sums = {"n": [int((~np.isnan(v)).sum()) for v in known], "squares": [float(row[:m] @ row[:m]) for row, m in zip(own, n, strict=True)]}
+        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "row": [row[:m] for row, m in zip(out, n, strict=True)], **sums})
+
+    track = f"track {onsets.schema['track'].dataType.simpleString()}"
+    smooth = written(rows.mapInPandas(stepped(run), f"{track}, chunk long, row array<double>, n long, squares double"))
+    rms = F.sqrt(F.sum("squares") / F.sum("n"))
+    size_of = smooth.groupBy("track").agg(F.when(rms > 0, rms).otherwise(1.0).alias("rms"))
+    return smooth.join(size_of, "track").select("track", "chunk", F.transform("row", lambda x: x / F.col("rms")).alias("row"))
+
+
+def strengths(onsets: DataFrame, period: float) -> DataFrame:
+    """(track, i, x): onsets (track, i from 0 without gaps, x) smoothed by a bell of a 32nd of the period (a frame at least) over their root mean
+    square. A task has chunks of tracks, so no track is gathered."""
+    size = max(1024, math.ceil(period))
+    rows = strength_rows(onsets, period, size).select("track", "chunk", F.posexplode("row").alias("p", "x"))
+    return rows.select("track", (F.col("chunk") * size + F.col("p")).alias("i"), "x")
 
 
 def beats_of(strength: DataFrame, period: float, tightness: float = 100.0, size: int = 1024, width: int = 64) -> DataFrame:
@@ -96,12 +137,22 @@ def beats_of(strength: DataFrame, period: float, tightness: float = 100.0, size:
     both ends, under a quarter of the upper median strength, go. A chunk of `size` frames is stepped through at a time,
     and no task has more than `width` chunks' maps.
     """
+    size = max(size, 2 * Scores(period, tightness).far)
+    return _beats(chunks_of(strength, size), period, tightness, size, width)
+
+
+def beats(onsets: DataFrame, period: float, tightness: float = 100.0, size: int = 1024, width: int = 64) -> DataFrame:
+    """beats_of the strengths of onsets (track, i from 0 without gaps, x), which stay in their chunks."""
+    size = max(size, 2 * Scores(period, tightness).far)
+    return _beats(strength_rows(onsets, period, size), period, tightness, size, width)
+
+
+def _beats(rows: DataFrame, period: float, tightness: float, size: int, width: int) -> DataFrame:
     scan = Scores(period, tightness)
-    far = scan.far
-    size = max(size, 2 * far)
-    own = written(chunks_of(strength, size))
+    far, late = scan.far, math.ceil(period)
+    own = written(rows)
     track = f"track {own.schema['track'].dataType.simpleString()}"
-    rows = max(1, (1 << 20) // (far * far))
+    many = max(1, (1 << 20) // (far * far))
 
     def maps(p: pd.DataFrame) -> pd.DataFrame:
         x, n = _rows(p.row)
@@ -110,19 +161,19 @@ def beats_of(strength: DataFrame, period: float, tightness: float = 100.0, size:
     def scores(p: pd.DataFrame) -> pd.DataFrame:
         x, n = _rows(p.row)
         past = np.stack(p.state.to_numpy())[:, 1:]
-        found, _ = scan.run(x, n, past.copy(), p.chunk.to_numpy() == 0)
-        line = np.concatenate([past[:, ::-1], found], 1)
-        cand = np.stack([line[:, far - g : far - g + x.shape[1]] for g in range(scan.near, far + 1)], -1) + scan.cost
-        back = np.where(np.isneginf(cand.max(-1)), 0, cand.argmax(-1) + scan.near)  # how far back, 0 for a first beat
-        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "score": [r[:k] for r, k in zip(found, n, strict=True)], "back": [r[:k] for r, k in zip(back, n, strict=True)]})
-
-    before = states_before(written(own.mapInPandas(stepped(maps, rows), f"{track}, chunk long, m array<double>")), scan, width)
-    done = written(own.join(before, ["track", "chunk"]).mapInPandas(stepped(scores, rows), f"{track}, chunk long, score array<double>, back array<long>"))
-    ends = done.groupBy("track").agg((F.max(F.col("chunk") * size + F.size("score"))).alias("n"), F.max("chunk").alias("top"))
-    each = done.select("track", "chunk", F.posexplode("score").alias("p", "score")).select("track", (F.col("chunk") * size + F.col("p")).alias("i"), "score")
-    tail = each.join(ends, "track").where(F.col("i") >= F.col("n") - math.ceil(period))
+        found, _ = scan.run(x, n, past, p.chunk.to_numpy() == 0)
+        back = [b[:k] for b, k in zip(scan.back(past, found), n, strict=True)]
+        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "row": p.row, "back": back, "tail": [s[max(0, k - late) : k] for s, k in zip(found, n, strict=True)]})
+
+    mapped = lambda chunks: chunks.mapInPandas(stepped(maps, many), f"{track}, chunk long, m array<double>")
+    before = with_states(own, F.size("row") < size, mapped, scan, width)
+    scored = written(before.mapInPandas(stepped(scores), f"{track}, chunk long, row array<double>, back array<int>, tail array<double>"))
+    end = F.col("chunk") * size + F.size("back")
+    ends = scored.groupBy("track").agg(F.max(end).alias("n"), F.max("chunk").alias("top"))
+    each = scored.select("track", end.alias("end"), F.size("tail").alias("m"), F.posexplode("tail").alias("p", "score")).select("track", (F.col("end") - F.col("m") + F.col("p")).alias("i"), "score")
+    tail = each.join(ends, "track").where(F.col("i") >= F.col("n") - late)
     last = top(tail, ["track"], [F.desc("score"), F.asc("i")]).select("track", F.col("i").alias("last"), "top")
-    done = written(done.join(last, "track").withColumn("turned", F.col("top") - F.col("chunk")))
+    done = written(scored.drop("tail").join(last, "track").withColumn("turned", F.col("top") - F.col("chunk")))
 
     def trail(back: np.ndarray, p: int) -> tuple[list[int], int]:
         """Places of a chunk on the way back from p, and where it leaves the chunk (negative), or -far - 1 at its end."""
@@ -149,16 +200,18 @@ def beats_of(strength: DataFrame, period: float, tightness: float = 100.0, size:
 
     def places(p: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for back, chunk, end, state in zip(p.back, p.chunk, p["last"], p.state, strict=True):
+        for row, back, chunk, end, state in zip(p.row, p.back, p.chunk, p["last"], p.state, strict=True):
             place = int(end) - int(chunk) * size
             begin = place if 0 <= place < len(back) else len(back) - 1 - int(state[0]) if place >= 0 and state[0] >= 0 else -1
-            out.append(np.array(trail(back, begin)[0], np.int64) + int(chunk) * size)
-        return pd.DataFrame({"track": p.track, "at": out})
-
-    into = states_before(written(done.mapInPandas(stepped(jumps), f"{track}, chunk long, m array<double>")), Jumps(), width).withColumnRenamed("chunk", "turned")
-    found = done.join(into, ["track", "turned"]).mapInPandas(stepped(places), f"{track}, `at` array<long>").select("track", F.explode("at").alias("i"))
-    beats = written(found.join(strength, ["track", "i"]))
+            at = np.array(trail(back, begin)[0], np.int64)
+            out.append((at + int(chunk) * size, row[at]))
+        return pd.DataFrame({"track": p.track, "i": [i for i, _ in out], "x": [x for _, x in out]})
+
+    turns = lambda chunks: chunks.mapInPandas(stepped(jumps), f"{track}, chunk long, m array<double>")
+    into = with_states(done, F.col("chunk") == 0, turns, Jumps(), width, "turned")
+    found = into.mapInPandas(stepped(places), f"{track}, i array<long>, x array<double>").select("track", F.explode(F.arrays_zip("i", "x")).alias("v"))
+    beats = written(found.select("track", "v.i", "v.x"))
     weak = beats.groupBy("track").agg((0.25 * upper_median(F.collect_list("x"))).alias("least"), F.max("i").alias("end"))
-    strong = beats.join(weak, "track")
-    span = strong.groupBy("track", "end").agg(F.min(F.when(F.col("x") >= F.col("least"), F.col("i"))).alias("a"), F.max(F.when(F.col("x") >= F.col("least"), F.col("i"))).alias("b"))
-    return beats.join(span, "track").where(F.col("i").between(F.coalesce("a", "end"), F.coalesce("b", "end"))).select("track", "i", "x")
+    strong, line = F.when(F.col("x") >= F.col("least"), F.col("i")), Window.partitionBy("track")
+    span = beats.join(weak, "track").withColumns({"a": F.min(strong).over(line), "b": F.max(strong).over(line)})
+    return span.where(F.col("i").between(F.coalesce("a", "end"), F.coalesce("b", "end"))).select("track", "i", "x")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import amplitude_db, half_up, loudness, midi, power_db
 from ..operators import signal as S
-from ..operators.beats import beats_of, strengths
+from ..operators.beats import beats
 from ..operators.dynamics import limited
 from ..operators.levels import gated, report
 from ..operators.scan import Cascade, chunks_of, scanned, stepped
@@ -149,7 +149,7 @@ def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def beat_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats of each user's events, some four apart; k numbers them."""
-    found = beats_of(strengths(samples(spark, sf_dir).select("track", "i", "x"), 4.0), 4.0)
+    found = beats(samples(spark, sf_dir).select("track", "i", "x"), 4.0)
     return found.select("track", (F.row_number().over(Window.partitionBy("track").orderBy("i")) - 1).cast("long").alias("k"), "i")
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from cadenza.operators.beats import beats_of, strengths
+from cadenza.operators.beats import beats, beats_of, strengths
 
 
 def plain_strength(x, period):
@@ -57,3 +57,27 @@ def test_beats_equal_the_recurrence(spark, period, size, width):
 
 def test_no_frames(spark):
     assert beats_of(spark.createDataFrame([], "track string, i long, x double"), 4.0).count() == 0
+
+
+def test_onsets_are_read_once(spark):
+    """Neither the strengths, nor those of the beats, are worked out again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for p in batches:
+            seen.add(len(p))
+            yield p
+
+    x = np.random.default_rng(2).uniform(0, 1, 300)
+    df = spark.createDataFrame([(t, i, float(v)) for t in range(4) for i, v in enumerate(x[: 300 - 40 * t])], "track long, i long, x double")
+    found = beats_of(strengths(df.mapInPandas(counted, df.schema), 4.0), 4.0, size=32, width=3)
+    want = {(t, b) for t in range(4) for b in plain_beats(plain_strength(x[: 300 - 40 * t], 4.0), 4.0)}
+    assert {(r.track, r.i) for r in found.collect()} == want and seen.value == df.count()
+    assert {(r.track, r.i) for r in beats(df, 4.0, size=32, width=3).collect()} == want
+
+
+def test_unknown_onsets_add_nothing(spark):
+    df = spark.createDataFrame([(1, i, None if i == 5 else 1.0 + i % 3) for i in range(12)], "track long, i long, x double")
+    x = np.array([0.0 if i == 5 else 1.0 + i % 3 for i in range(12)])
+    got = [r.x for r in strengths(df, 4.0).orderBy("i").collect()]
+    assert np.allclose(got, plain_strength(x, 4.0) * np.sqrt(11 / 12))
