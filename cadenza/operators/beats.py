@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import upper_median
 from ..sources.tables import written
-from .scan import _rows, chunks_of, stepped, with_states
+from .scan import _rows, chunks_of, laid, stepped, strips, with_states
 from .windows import top
 
 
@@ -93,29 +93,21 @@ def strength_rows(onsets: DataFrame, period: float, size: int) -> DataFrame:
     """
     sigma = max(1.0, period / 32)
     half = math.ceil(3 * sigma)
-    if half > size:
-        raise ValueError("size must be three deviations of the bell at least")
     bell = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
-    chunk, at = F.expr(f"i div {size}"), F.col("i") % size
-    near = F.array_compact(F.array(chunk, F.when((at < half) & (chunk > 0), chunk - 1), F.when(at >= size - half, chunk + 1)))
-    gathered = onsets.select("track", "i", "x", F.explode(near).alias("chunk")).groupBy("track", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("s"))
-    lead = F.col("chunk") * size - F.get("s", F.lit(0)).i  # frames of the chunk before
-    rows = gathered.select("track", "chunk", lead.alias("lead"), F.col("s.x").alias("row")).where(F.size("row") > F.col("lead"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        n = np.array([min(size, len(row) - lead) for row, lead in zip(p.row, p.lead, strict=True)])
-        x = np.zeros((len(p), int(n.max()) + 2 * half))
-        for k, (row, lead) in enumerate(zip(p.row, p.lead, strict=True)):
-            x[k, half - lead : half - lead + len(row)] = np.where(np.isnan(row), 0.0, row)  # nothing known adds nothing
+        x, n = laid(p.x, p.lead, size, half, half)
+        x = np.where(np.isnan(x), 0.0, x)  # nothing known adds nothing
         own = x[:, half:-half]
         out = np.zeros_like(own)
         for k, w in enumerate(bell):
             out += x[:, k : k + own.shape[1]] * w
-        known = [row[lead : lead + m] for row, lead, m in zip(p.row, p.lead, n, strict=True)]
+        known = [row[lead : lead + m] for row, lead, m in zip(p.x, p.lead, n, strict=True)]
         sums = {"n": [int((~np.isnan(v)).sum()) for v in known], "squares": [float(row[:m] @ row[:m]) for row, m in zip(own, n, strict=True)]}
         return pd.DataFrame({"track": p.track, "chunk": p.chunk, "row": [row[:m] for row, m in zip(out, n, strict=True)], **sums})
 
     track = f"track {onsets.schema['track'].dataType.simpleString()}"
+    rows = strips(onsets.withColumn("x", F.col("x").cast("double")), ["x"], size, half, half)
     smooth = written(rows.mapInPandas(stepped(run), f"{track}, chunk long, row array<double>, n long, squares double"))
     rms = F.sqrt(F.sum("squares") / F.sum("n"))
     size_of = smooth.groupBy("track").agg(F.when(rms > 0, rms).otherwise(1.0).alias("rms"))

@@ -118,15 +118,18 @@ def autocorrelation(x: np.ndarray, most: int) -> np.ndarray:
     return np.fft.irfft(f * np.conj(f), size)[: most + 1] / (n - np.arange(most + 1))
 
 
+def sinc_phases(over: int = 4, taps: int = 16) -> np.ndarray:
+    """Weights (taps x over - 1) of the samples around a place, from taps / 2 - 1 before it on, for the points behind it."""
+    u = np.arange(-taps // 2 + 1, taps // 2 + 1)[:, None] - np.arange(1, over) / over
+    h = np.sinc(u) * (0.5 + 0.5 * np.cos(np.pi * u / (taps / 2)))
+    return h / h.sum(0)
+
+
 def between_samples(x: np.ndarray, at: np.ndarray, over: int = 4, taps: int = 16) -> float:
     """Largest level of the `over` - 1 points behind each place in `at`, by windowed-sinc interpolation; x reaches `taps` samples
     beyond all places."""
-    best, t = 0.0, np.arange(-taps // 2 + 1, taps // 2 + 1)
-    for phase in range(1, over) if len(at) else ():
-        u = t - phase / over
-        h = np.sinc(u) * (0.5 + 0.5 * np.cos(np.pi * u / (taps / 2)))
-        best = max(best, float(np.abs(x[at[:, None] + t] @ (h / h.sum())).max()))
-    return best
+    t = np.arange(-taps // 2 + 1, taps // 2 + 1)
+    return float(np.abs(x[at[:, None] + t] @ sinc_phases(over, taps)).max()) if len(at) else 0.0
 
 
 def true_peak(x: np.ndarray, over: int = 4, taps: int = 16) -> float:
