@@ -1,6 +1,7 @@
 """Reports of stereo signals (track, i from 0, l, r): likeness of the channels, width by band, rises of the high band.
 
-Frames are dealt to tasks by chunks of frames, whatever the track's length; what meets by track is one row a chunk or a frame.
+Frames are dealt to tasks by chunks of frames, many of which are worked on at once, whatever the track's length; what meets
+by track is one row a chunk or a frame.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import power_db
 from ..sources.tables import written
 from . import signal as S
-from .scan import Cascade, Section, scanned
+from .scan import Cascade, Channels, Section, laid, stepped, strips, with_states
 
 EPS = 1e-12
 #: Bands of the width, in Hz.
@@ -32,38 +33,45 @@ def low_pass(freq: float, q: float, fs: float) -> Section:
     return ((1 - c) / 2 / a0, (1 - c) / a0, (1 - c) / 2 / a0), (-2 * c / a0, (1 - alpha) / a0)
 
 
-def framed(signal: DataFrame, size: int, hop: int) -> DataFrame:
-    """The samples with the chunk of FRAMES frames they lie in; those that more than one chunk needs come again."""
-    span = FRAMES * hop
-    first, last = F.greatest(F.lit(0), F.expr(f"(i + {hop - size}) div {span}")), F.expr(f"i div {span}")
-    return signal.withColumn("chunk", F.explode(F.sequence(first, last)))
+def framed(signal: DataFrame, columns: list[str], size: int, hop: int, frames: int = FRAMES) -> DataFrame:
+    """Strips of the samples that `frames` frames begin with, and of those which the last of them reach beyond."""
+    return strips(signal, columns, frames * hop, after=max(0, size - hop))
 
 
-def frame_spectra(x: np.ndarray, size: int, hop: int) -> np.ndarray:
-    """Spectra of the frames that begin in a chunk, from its samples in order."""
-    return S.spectra(x[: (FRAMES - 1) * hop + size], size, hop)
+def strip_spectra(rows: list[np.ndarray], size: int, hop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spectra of the whole frames that begin in the chunks of strips, chunk by chunk, and how many each has."""
+    views = [np.lib.stride_tricks.sliding_window_view(x, size)[::hop] if len(x) >= size else np.zeros((0, size)) for x in rows]
+    return S.power_spectrum(np.concatenate(views)), np.array([len(v) for v in views])
+
+
+def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] rows of values, of the counts[1] behind them, and so on."""
+    out, some = np.zeros((len(counts), values.shape[1])), counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
+def some_rows(samples: int) -> int:
+    """How many strips of so many samples are worked on at once."""
+    return max(1, (1 << 21) // samples)
 
 
 def mean_spectra(stereo: DataFrame, size: int, hop: int) -> DataFrame:
     """(track, bin, mid, side): mean power of each bin over all whole frames of half the sum and half the difference."""
+    frames = max(FRAMES, math.ceil(size / hop))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        left, right = p.l.to_numpy(), p.r.to_numpy()
-        mid, side = (frame_spectra(x, size, hop) for x in ((left + right) / 2, (left - right) / 2))
-        return pd.DataFrame({"n": [len(mid)], "mid": [mid.sum(0)], "side": [side.sum(0)]})
+        (mid, n), (side, _) = (strip_spectra([(a + sign * b) / 2 for a, b in zip(p.l, p.r, strict=True)], size, hop) for sign in (1, -1))
+        return pd.DataFrame({"track": p.track, "n": n, "mid": list(row_sums(mid, n)), "side": list(row_sums(side, n))})
 
-    sums = S.per_track(framed(stereo, size, hop), ["track", "chunk"], "i", run, "n long, mid array<double>, side array<double>")
+    track = f"track {stereo.schema['track'].dataType.simpleString()}"
+    sums = framed(stereo, ["l", "r"], size, hop, frames).mapInPandas(stepped(run, some_rows(frames * size)), f"{track}, n long, mid array<double>, side array<double>")
     bins = sums.select("track", "n", F.posexplode(F.arrays_zip("mid", "side")).alias("bin", "v"))
     total = bins.groupBy("track", "bin").agg(F.sum("n").alias("n"), F.sum("v.mid").alias("mid"), F.sum("v.side").alias("side"))
     return total.where("n > 0").select("track", "bin", (F.col("mid") / F.col("n")).alias("mid"), (F.col("side") / F.col("n")).alias("side"))
 
 
-def channel_sums(stereo: DataFrame, prefix: str) -> DataFrame:
-    """(track, {prefix}ll, {prefix}rr, {prefix}lr): energies and the product of the channels."""
-    sums = {n: F.sum(F.col(n[0]) * F.col(n[1])) for n in ("ll", "rr", "lr")}
-    return stereo.groupBy("track").agg(*[v.alias(prefix + n) for n, v in sums.items()])
-
-
 def alike(ll: Column, rr: Column, lr: Column) -> Column:
     """Uncentred correlation of two channels; 1 where one of them is silent."""
     return F.when((ll < EPS) | (rr < EPS), 1.0).otherwise(lr / F.sqrt(ll * rr))
@@ -72,22 +80,41 @@ def alike(ll: Column, rr: Column, lr: Column) -> Column:
 def stereo_report(stereo: DataFrame, fs: float, size: int = 4096, hop: int = 2048) -> DataFrame:
     """One row a track: correlation, low_correlation (below 120 Hz), width, widths (by WIDTHS), balance_db (left over right),
     mono_loss_db (at most 0). A track without a whole frame has widths of 0."""
-    stereo = written(stereo)
-    low = Cascade([low_pass(120.0, 0.707, fs)])
-    both = [scanned(stereo.select("track", "i", F.col(c).alias("x")), low).select("track", "i", F.col("y").alias(c)) for c in ("l", "r")]
-    sums = channel_sums(stereo, "").join(channel_sums(both[0].join(both[1], ["track", "i"]), "low_"), "track")
-
     step = fs / size
     spans = [(max(1, math.floor(lo / step)), min(size // 2 + 1, math.ceil(hi / step))) for lo, hi in ((20, 20000), *WIDTHS)]
-    inside = lambda c, s: F.coalesce(F.sum(F.when((F.col("bin") >= s[0]) & (F.col("bin") < s[1]), F.col(c))), F.lit(0.0))
-    share = lambda s: F.when(inside("mid", s) + inside("side", s) > EPS, inside("side", s) / (inside("mid", s) + inside("side", s))).otherwise(0.0)
-    widths = mean_spectra(stereo, size, hop).groupBy("track").agg(F.array(*map(share, spans)).alias("w"))
+    inside = np.array([[float(lo <= k < hi) for lo, hi in spans] for k in range(size // 2 + 1)])
+    frames = max(4, math.ceil(size / hop), 8192 // hop)
+    span, rows = frames * hop, some_rows(frames * size)
+    own, low = written(framed(stereo, ["l", "r"], size, hop, frames)), Channels(Cascade([low_pass(120.0, 0.707, fs)]), 2)
+    track = f"track {own.schema['track'].dataType.simpleString()}"
+
+    def ends(p: pd.DataFrame) -> pd.DataFrame:
+        (left, n), (right, _) = (laid(p[c], p.lead, span) for c in "lr")
+        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "m": list(low.maps([left, right], n, p.chunk.to_numpy()))})
+
+    def sums(p: pd.DataFrame) -> pd.DataFrame:
+        (left, n), (right, _) = (laid(p[c], p.lead, span) for c in "lr")
+        on = np.arange(left.shape[1]) < n[:, None]
+        low_left, low_right = (np.where(on, y, 0.0) for y in low.run([left, right], n, np.stack(p.state.to_numpy())))
+        (mid, count), (side, _) = (strip_spectra([(a + sign * b) / 2 for a, b in zip(p.l, p.r, strict=True)], size, hop) for sign in (1, -1))
+        left, right = (np.where(np.isnan(v), 0.0, v) for v in (left, right))  # sums leave out what is not known
+        pairs = {"ll": (left, left), "rr": (right, right), "lr": (left, right), "low_ll": (low_left, low_left), "low_rr": (low_right, low_right), "low_lr": (low_left, low_right)}
+        products = {k: np.einsum("ij,ij->i", a, b) for k, (a, b) in pairs.items()}
+        return pd.DataFrame({"track": p.track, **products, "n": count, "mid": list(row_sums(mid @ inside, count)), "side": list(row_sums(side @ inside, count))})
+
+    fields = f"{track}, ll double, rr double, lr double, low_ll double, low_rr double, low_lr double, n long, mid array<double>, side array<double>"
+    maps = lambda chunks: chunks.mapInPandas(stepped(ends, rows), f"{track}, chunk long, m array<double>")
+    parts = with_states(own, F.size("l") < span, maps, low).mapInPandas(stepped(sums, rows), fields)
+    products = [F.sum(k).alias(k) for k in ("ll", "rr", "lr", "low_ll", "low_rr", "low_lr")]
+    mean = lambda name, k: F.sum(F.get(name, F.lit(k))) / F.sum("n")
+    share = lambda k: F.when(mean("mid", k) + mean("side", k) > EPS, mean("side", k) / (mean("mid", k) + mean("side", k))).otherwise(0.0)
+    sums_of = parts.groupBy("track").agg(*products, F.when(F.sum("n") > 0, F.array(*map(share, range(len(spans))))).alias("w"))
 
     c = F.col
     energy = c("ll") + c("rr")
     loss = F.when(energy > EPS, F.least(F.lit(0.0), power_db((energy + 2 * c("lr")) / 2 / energy))).otherwise(0.0)
     w = F.coalesce("w", F.array_repeat(F.lit(0.0), len(spans)))
-    return sums.join(widths, "track", "left").select(
+    return sums_of.select(
         "track", alike(c("ll"), c("rr"), c("lr")).alias("correlation"), alike(c("low_ll"), c("low_rr"), c("low_lr")).alias("low_correlation"),
         F.get(w, F.lit(0)).alias("width"), F.slice(w, 2, len(WIDTHS)).alias("widths"), power_db(c("ll") / F.greatest(c("rr"), F.lit(EPS))).alias("balance_db"), loss.alias("mono_loss_db"),
     )
@@ -99,14 +126,17 @@ def high_band_rises(mono: DataFrame, fs: float, size: int = 1024, hop: int = 512
     n = mono.groupBy("track").agg((F.max("i") + 1).alias("n"))
     span = F.least("n", F.lit(math.floor(seconds * fs + 0.5)))
     middle = n.select("track", span.alias("span"), F.floor((F.col("n") - span) / 2).alias("start"))
-    cut = mono.join(middle, "track").where("i >= start AND i < start + span").select("track", (F.col("i") - F.col("start")).alias("i"), "x", F.expr(f"(span - {size}) div {hop}").alias("count"))
+    cut = mono.join(middle, "track").where("i >= start AND i < start + span").select("track", (F.col("i") - F.col("start")).alias("i"), "x")
+    frames = max(FRAMES, math.ceil(size / hop))
     first = math.floor(above / (fs / size))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        e = frame_spectra(p.x.to_numpy(), size, hop)[:, first:].sum(1)
-        f = int(p.chunk.iloc[0]) * FRAMES + np.arange(len(e))
-        return pd.DataFrame({"f": f, "v": np.log1p(1e5 * e)})[f < p["count"].iloc[0]]
+        power, n = strip_spectra(list(p.x), size, hop)
+        return pd.DataFrame({"track": p.track, "chunk": p.chunk, "v": np.split(np.log1p(1e5 * power[:, first:].sum(1)), np.cumsum(n)[:-1])})
 
-    levels = S.per_track(framed(cut, size, hop), ["track", "chunk"], "i", run, "f long, v double")
+    track = f"track {mono.schema['track'].dataType.simpleString()}"
+    each = framed(cut, ["x"], size, hop, frames).mapInPandas(stepped(run, some_rows(frames * size)), f"{track}, chunk long, v array<double>")
+    placed = each.select("track", "chunk", F.posexplode("v").alias("p", "v")).select("track", (F.col("chunk") * frames + F.col("p")).alias("f"), "v")
+    levels = placed.join(middle, "track").where(F.col("f") < F.expr(f"(span - {size}) div {hop}"))
     before = F.lag("v").over(Window.partitionBy("track").orderBy("f"))
     return levels.select("track", "f", F.greatest(F.lit(0.0), F.coalesce(F.col("v") - before, F.lit(0.0))).alias("rise"))

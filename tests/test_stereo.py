@@ -52,3 +52,21 @@ def test_rises_over_chunks(spark):
 def test_short_and_empty(spark):
     assert T.high_band_rises(table(spark, [0.1] * 5, [0.1] * 5).selectExpr("track", "i", "l AS x"), 8000.0).count() == 0
     assert T.mean_spectra(table(spark, [0.1] * 5, [0.1] * 5), 16, 8).count() == 0
+
+
+def test_report_of_long_and_short_tracks_at_once(spark):
+    """A track of three chunks, one of less and one without a frame, in no groups of their own, against whole arrays."""
+    rng = np.random.default_rng(9)
+    x = {t: rng.normal(0, 1, (2, n)) for t, n in {1: 20000, 2: 700, 3: 40}.items()}
+    df = table(spark, *x[1], 1).unionByName(table(spark, *x[2], 2)).unionByName(table(spark, *x[3], 3))
+    report = T.stereo_report(df, 44100.0, 256, 128)
+    spectra, rises = T.mean_spectra(df, 256, 128), T.high_band_rises(df.selectExpr("track", "i", "l AS x"), 44100.0, 64, 32)
+    assert not any("FlatMapGroupsIn" in d._jdf.queryExecution().executedPlan().toString() for d in (report, spectra, rises))
+    got = {g.track: g for g in report.collect()}
+    b, a = T.low_pass(120.0, 0.707, 44100.0)
+    for t, (left, right) in x.items():
+        low_left, low_right = S.iir(left, b, a), S.iir(right, b, a)
+        assert got[t].correlation == pytest.approx(left @ right / np.sqrt((left @ left) * (right @ right)), abs=1e-9)
+        assert got[t].low_correlation == pytest.approx(low_left @ low_right / np.sqrt((low_left @ low_left) * (low_right @ low_right)), abs=1e-9)
+        mid, side = (S.spectra(v / 2, 256, 128)[:, 1:117].sum() for v in (left + right, left - right))
+        assert got[t].width == pytest.approx(side / (mid + side) if len(left) >= 256 else 0.0, abs=1e-9)
