@@ -25,9 +25,18 @@ def without_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
+def plain_line(text: Column) -> Column:
+    """Lower case, no accents."""
+    return without_accents(F.lower(text))
+
+
+#: What is no sign of a word, and a word: normal_line puts blanks for the one, what it leaves are the others.
+NO_WORD, WORD = "[^a-z0-9']+", "[a-z0-9']+"
+
+
 def normal_line(text: Column) -> Column:
     """Lower case, no accents, only a-z, 0-9, apostrophes and single blanks."""
-    return F.trim(F.regexp_replace(without_accents(F.lower(text)), "[^a-z0-9']+", " "))
+    return F.trim(F.regexp_replace(plain_line(text), NO_WORD, " "))
 
 
 def words(normal: Column) -> Column:

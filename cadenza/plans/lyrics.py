@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_up
 from ..functions.text import ACCENTED, EN_STOP, FR_STOP, FR_SOUNDS, FR_VOWEL, PLAIN, french_or_english, normal_line, rhyme, safe_name, syllables, words
-from ..operators.repeats import similar_bags, similar_runs
+from ..operators.repeats import repeated_runs
 from ..operators.windows import top
-from ..sources.tables import LINES, lyric_lines, table
+from ..sources.tables import LINES, lyric_lines, table, text_sizes
 from ..sources.timings import labelled, parsed
 from .timeline import r
 
@@ -445,9 +445,7 @@ def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are counted without blank ones and resemble each other from a Dice similarity of 0.75 of their words,
     repeated words counted. Of a stretch, the first k lines end before line j, so both runs have no line in common.
     """
-    line = Window.partitionBy("doc_id").orderBy("pos")
-    o = lyric_lines(spark, sf_dir).select("doc_id", (F.row_number().over(line) - 1).cast("long").alias("i"), words(normal_line(F.col("text"))).alias("w"))
-    found = similar_runs(*similar_bags(o)).where("d >= 2")
+    found = repeated_runs(lyric_lines(spark, sf_dir), text_sizes(spark, sf_dir)).where("d >= 2")
     return found.select("doc_id", "i", (F.col("i") + F.col("d")).alias("j"), "n", F.least("n", "d").alias("k"))
 
 

@@ -101,5 +101,12 @@ def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("pos").cast("long").alias("pos"), F.trim("raw").alias("text")).where(F.col("text") != "")
 
 
+def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lines, signs) of documents, blank lines counted too."""
+    text = F.col("text")
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", (breaks + 1).alias("lines"), F.length(text).alias("signs"))
+
+
 LINES = r"""lines AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, text FROM (SELECT doc_id, unnest(range(0, len(l))) AS pos, trim(unnest(l), ' ') AS text
  FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS l FROM documents)) WHERE text <> '')"""

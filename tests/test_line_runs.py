@@ -2,8 +2,12 @@
 
 import random
 
+import duckdb
+import pytest
+
 from cadenza import plans
-from cadenza.operators.repeats import similar_bags, similar_runs
+from cadenza.operators import repeats
+from cadenza.operators.repeats import runs_inside, similar_bags, similar_runs
 
 
 def test_line_runs_of_changed_lines(spark, tmp_path):
@@ -70,3 +74,39 @@ def test_no_table_is_broadcast(spark):
     for df in (nodes, alike, similar_runs(nodes, alike)):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def texts(seed, n):
+    """Lines of few words, often the same, some repeated, with accents, or without any word."""
+    draw = random.Random(seed)
+    pool = [" ".join(draw.choice(["la", "la", "Été", "don't", "sun", "moon,", "walk"]) for _ in range(draw.choice([1, 2, 4, 8]))) for _ in range(12)] + ["...", "--"]
+    return {k: [draw.choice(pool[: draw.choice([3, 14])]) for _ in range(draw.randrange(1, 40))] for k in range(n)}
+
+
+def test_short_texts_move_once(spark, tmp_path):
+    """Their lines are gathered, not joined: by joins, shuffles took 20 times the text."""
+    spark.createDataFrame([(k, "\n".join(v)) for k, v in texts(3, 20).items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES["line_runs"](spark, str(tmp_path))
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_runs_inside_a_text_as_by_joins(spark):
+    clean = {k: [x.lower().replace("é", "e") for x in v] for k, v in texts(4, 30).items()}
+    rows = [(k, i, [w.strip(",") for w in x.split() if w.strip(",.-")]) for k, v in clean.items() for i, x in enumerate(v)]
+    want = sorted(tuple(r) for r in similar_runs(*similar_bags(spark.createDataFrame(rows, "doc_id long, i long, w array<string>"))).select("doc_id", "i", "d", "n").collect())
+    assert sorted((k, *map(int, r)) for k, v in clean.items() for r in runs_inside(v)) == want and len(want) > 100
+    assert len(runs_inside([])) == len(runs_inside([None, "", "a"])) == 0
+
+
+@pytest.mark.parametrize("limit", [{}, {"MOST_LINES": 20}, {"MOST_SIGNS": 0}])
+def test_long_and_short_texts_against_the_sql(spark, tmp_path, monkeypatch, limit):
+    for name, value in limit.items():
+        monkeypatch.setattr(repeats, name, value)
+    spark.createDataFrame([(k or None, "\n".join(v)) for k, v in texts(5, 20).items()] + [(90, None), (91, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = plans.QUERIES["line_runs"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLES['line_runs']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
