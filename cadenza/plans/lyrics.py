@@ -459,7 +459,8 @@ def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("i") * 2.5 + 0.25
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     row = F.concat_ws(",", F.round(start, 2), F.round(start + F.length("text") / 64, 2), quoted)
-    return labelled(parsed(o.select(F.col("doc_id").alias("song"), row.alias("row"))).where("problem IS NULL"))
+    sizes = text_sizes(spark, sf_dir).withColumnRenamed("doc_id", "song")
+    return labelled(parsed(o.select(F.col("doc_id").alias("song"), row.alias("row"))).where("problem IS NULL"), sizes)
 
 
 def _safe_sql(x: str) -> str:

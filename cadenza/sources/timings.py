@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_line, words
-from ..operators.repeats import similar_bags, similar_runs
+from ..operators.repeats import marks_of, parted, similar_bags, similar_runs
 from ..sources.tables import written
 
 #: The first two commas part the fields; the text may hold more, and quotes around it.
@@ -34,9 +34,23 @@ def read_timings(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("song"), F.col("value").alias("row")))
 
 
-def labelled(lines: DataFrame) -> DataFrame:
+def labelled(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(song, i, start, end, text, rep) of lines (song, start, end, text): i from 0 by time; rep where a line lies in two or
-    more successive lines that come again, alike (Dice 0.75 of their words), later or before, without a line in common."""
+    more successive lines that come again, alike (Dice 0.75 of their words), later or before, without a line in common.
+
+    sizes: (song, lines, signs) of the songs, which may be too high; counted here if left out.
+    """
+    lines = lines.select("song", "start", "end", "text")
+    if sizes is None:
+        sizes = lines.groupBy("song").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("signs"))
+    short, rest = parted(lines, "song", sizes)
+    rep = F.when(F.col("song").isNotNull(), F.col("rep")).otherwise(F.lit(False))  # songs without a name are not told apart
+    rows = short.select("song", F.posexplode(F.arrays_zip("rows", marks_of(F.col("rows.text")).alias("rep"))).alias("i", "x"))
+    found = rows.select("song", F.col("i").cast("long").alias("i"), "x.rows.*", F.col("x.rep").alias("rep")).withColumn("rep", rep)
+    return found if rest is None else found.unionByName(_labelled_long(rest))
+
+
+def _labelled_long(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("song").orderBy("start", "end", "text")
     numbered = written(lines.select("song", (F.row_number().over(order) - 1).cast("long").alias("i"), "start", "end", "text"))
     runs = similar_runs(*similar_bags(numbered.select(F.col("song").alias("doc_id"), "i", words(normal_line(F.col("text"))).alias("w")))).where("d >= 2")

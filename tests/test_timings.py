@@ -1,5 +1,10 @@
 """Timings files: fields, rejected rows, repeated lines."""
 
+import duckdb
+import pytest
+
+from cadenza import plans
+from cadenza.operators import repeats
 from cadenza.sources.timings import labelled, parsed, read_timings
 
 
@@ -27,3 +32,40 @@ def test_files_and_repeats(spark, tmp_path):
 
 def test_no_lines(spark):
     assert labelled(spark.createDataFrame([], "song string, start double, end double, text string")).count() == 0
+
+
+VERSE = ["we walk along the empty street", "nobody knows the name of this"]
+SONG = [*VERSE, "a line alone", "we walk along the empty road", "nobody knows the name of that", "the end"]
+
+
+def test_short_songs_move_once(spark, tmp_path):
+    """Their lines are gathered, not joined: by joins, shuffles took 29 times the text."""
+    spark.createDataFrame([(k, "\n".join(SONG)) for k in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.QUERIES["timed_lines"](spark, str(tmp_path))
+    assert found.where("rep").count() == 20 and found.count() == 30
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("limit", [{}, {"MOST_LINES": 6}, {"MOST_SIGNS": 0}])
+def test_long_songs_and_songs_without_a_name(spark, monkeypatch, tmp_path, limit):
+    for name, value in limit.items():
+        monkeypatch.setattr(repeats, name, value)
+    songs = {"a": SONG, "b": [*SONG, *VERSE], "c": ["alone"], None: SONG}
+    rows = [(s, float(i), float(i + 1), v) for s, x in songs.items() for i, v in enumerate(x)]
+    got = {}
+    for r in labelled(spark.createDataFrame(rows[::-1], "song string, start double, end double, text string")).orderBy("i").collect():
+        got.setdefault(r.song, []).append((r.i, r.text, r.rep))
+    marks = lambda s: [r[2] for r in got[s]]
+    assert {s: [r[1] for r in x] for s, x in got.items()} == songs and all([r[0] for r in x] == list(range(len(x))) for x in got.values())
+    assert marks("a") == [True, True, False, True, True, False] and marks("b") == [True, True, False, True, True, False, True, True]
+    assert marks("c") == [False] and marks(None) == [False] * 6
+
+    spark.createDataFrame([(k or None, "\n".join(x)) for k, x in enumerate([SONG, SONG, [*SONG, "", *VERSE], ["x"]])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = plans.QUERIES["timed_lines"](spark, str(tmp_path))
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    want = con.execute(f"SELECT {columns} FROM ({plans.ORACLES['timed_lines']})").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and want
